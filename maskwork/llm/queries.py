@@ -3,10 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskwork.session import configure, table
 
+from .bloom_lm import score_texts, train_lm
+from .chat_format import CHAT_SQL, format_chats, read_chats
+from .decontaminate import DECONTAMINATE_SQL, benchmark_hits
+from .lang_hyper import held_out, learn_languages, predict_languages
+from .near_dedup import NEAR_SQL, NearRules, near_duplicates
 from .quality_divergence import quality_rules
+from .quality_ordinal import score_quality, train
+from .secret_scan import scan_secrets
+from .source_mixing import MIX_SQL, mix_sources
+
+
+def op1_quality_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
+    model = train(docs, table(spark, folder, "labels").select("doc_id", grade.alias("grade")))
+    return score_quality(docs, model).select("doc_id", "expected_grade", "top_probability", "kept")
+
+
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents")
+    return mix_sources(docs.select("doc_id", "source"))
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(configure(spark), folder, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", spoken), (-7, 1, "assistant", spoken)], "conv_id long, turn long, role string, text string")
+    chats = read_chats(format_chats(turns.unionByName(extra)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_lang_hyper(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text", "lang", held_out(1, 3).alias("held_out"))
+    model = learn_languages(docs.where(~F.col("held_out")))
+    return predict_languages(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    return benchmark_hits(docs, table(spark, folder, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,5 +62,23 @@ def op6_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
-QUERIES = {"op6_quality_divergence": op6_quality_divergence}
-ORACLES = {}
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(table(configure(spark), folder, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(configure(spark), folder, "documents"), NearRules(percent=85))
+
+
+def op9_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text", held_out(2, 7).alias("held_out"))
+    model = train_lm(docs.where(~F.col("held_out")))
+    return score_texts(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm)}
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_near_dedup": NEAR_SQL}

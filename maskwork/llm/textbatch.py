@@ -144,3 +144,9 @@ def text_shingles(column: pa.Array | pa.ChunkedArray, size: int = 5) -> list[np.
     data = LOWER[data]
     starts, ends, rows = words(data, offsets)
     return shingles(Hasher(data)(starts, ends), rows, size)
+
+
+def mix_light(x: np.ndarray) -> np.ndarray:
+    """One round of mixing in place, for values that are already well spread."""
+    x ^= x >> U64(32)
+    return x
