@@ -16,6 +16,7 @@ from .quality_divergence import quality_rules
 from .quality_ordinal import score_quality, train
 from .secret_scan import scan_secrets
 from .source_mixing import MIX_SQL, mix_sources
+from .suffix_dedup import REPEAT_SQL, remove_repeats
 
 
 def op1_quality_ordinal(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,5 +81,9 @@ def op9_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm)}
-ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_near_dedup": NEAR_SQL}
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(configure(spark), folder, "documents"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm, op10_suffix_dedup)}
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
+
 #: The distribution is inverted for means up to this; a larger mean is a sum of such parts, each with its own number.
 PART_MEAN = 16.0
 #: So many terms of a distribution with such a mean leave less than 2**-52.
@@ -55,7 +57,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     gives none.  The rates are broadcast up to ``most_sources`` of them; beyond, they are joined by a shuffle in which
     each source is dealt over ``salts`` keys.
     """
-    keep = [c for c in docs.columns if c not in ("n_copies", "copy_no", "shuffle_key")]
+    made = ["n_copies", "copy_no", "shuffle_key"]
+    docs, keep, restored = set_aside(docs, ["doc_id", "source"], made)
     rates = repetition_rates(docs, weights, size).select(F.col("source").alias("_source"), F.col("n_parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     same = F.col("source").eqNullSafe(F.col("_source"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -71,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     joined = joined.withColumn("n_copies", F.aggregate("_drawn", F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u))).cast("long"))
     copies = joined.where(F.col("n_copies") > 0).select(*keep, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), id_text, F.col("copy_no").cast("string")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*restored, *made)
 
 
 MIX_SQL = """
