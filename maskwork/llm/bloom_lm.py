@@ -31,9 +31,10 @@ class LmRules:
     prior: float = 50.0
     #: Tokens counted by a task before it hands its counts on.
     flush: int = 2_000_000
-    #: No broadcast is larger than these.  A larger filter or vocabulary is cut, and the texts are passed by each part.
-    filter_bytes: int = 128 << 20
-    vocabulary: int = 16_000_000
+    #: Bytes of the model that a pass over the texts looks at; where it has more, there are several passes.
+    pass_bytes: int = 256 << 20
+    #: Bytes of one broadcast, and so of what the driver holds at once.
+    part_bytes: int = 8 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +165,15 @@ class Filter:
 
 
 def _parts(sizes: list[tuple], bound: int) -> list[list[tuple]]:
-    """Segments in order, dealt to parts of at most ``bound`` in sum (or one segment)."""
+    """Items in order, dealt to parts of at most ``bound`` in sum (or one item); each item ends with its size."""
     parts: list[list[tuple]] = []
     room = 0
-    for kind, bucket, size in sizes:
-        if not parts or size > room:
+    for item in sizes:
+        if not parts or item[-1] > room:
             parts.append([])
             room = bound
-        parts[-1].append((kind, bucket))
-        room -= size
+        parts[-1].append(item)
+        room -= item[-1]
     return parts
 
 
@@ -183,10 +184,9 @@ def train_lm(texts: DataFrame, rules: LmRules = LmRules()) -> DataFrame:
 
 
 def _load(model: DataFrame, part: list[tuple], columns: list[str]) -> list:
-    if not part:
-        return []
-    wanted = model.sparkSession.createDataFrame(part, "kind int, bucket int")
-    return model.join(F.broadcast(wanted), ["kind", "bucket"]).select("kind", "bucket", *columns).orderBy("kind", "bucket").collect()
+    wanted = F.col("bucket").isin([x[2] for x in part]) & F.col("kind").isin(list({x[1] for x in part}))
+    chosen = {x[1:3] for x in part}
+    return sorted((r for r in model.where(wanted).select("kind", "bucket", *columns).collect() if (r["kind"], r["bucket"]) in chosen), key=lambda r: r[:2])
 
 
 def _filter(model: DataFrame, part: list[tuple], buckets: int, rules: LmRules) -> Filter:
@@ -197,14 +197,31 @@ def _filter(model: DataFrame, part: list[tuple], buckets: int, rules: LmRules) -
             d.setdefault(r["kind"], np.zeros(buckets, kind))
         out.starts[r["kind"]][r["bucket"]], out.n_bits[r["kind"]][r["bucket"]] = at, 8 * len(r["bits"])
         at += len(r["bits"])
-        chunks.append(bytes(r["bits"]))
+        chunks.append(r["bits"])
     out.data = np.frombuffer(b"".join(chunks), np.uint8)
     return out
 
 
-def _vocabulary(model: DataFrame, part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Vocabulary:
+    """Exact counts of the words of some hash ranges."""
+
+    known: np.ndarray
+    counts: np.ndarray
+
+    def look_up(self, distinct: np.ndarray, out: np.ndarray) -> None:
+        """Put the counts of those of the sorted hashes that are known here into ``out``."""
+        lo, hi = np.searchsorted(distinct, self.known[[0, -1]] if len(self.known) else np.zeros(2, U))
+        some = distinct[lo : hi + 1]
+        if len(self.known) and len(some):
+            at = np.searchsorted(self.known, some).clip(max=len(self.known) - 1)
+            out[lo : hi + 1] += np.where(self.known[at] == some, self.counts[at], 0)
+
+
+def _vocabulary(model: DataFrame, part: list[tuple]) -> Vocabulary:
     rows = _load(model, part, ["hashes", "counts"])
-    return np.frombuffer(b"".join(r["hashes"] for r in rows), U), np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    return Vocabulary(np.frombuffer(b"".join(r["hashes"] for r in rows), U), counts.astype(np.uint32) if len(counts) and counts.max() < 2**32 else counts)
 
 
 def about(levels: np.ndarray) -> np.ndarray:
@@ -228,14 +245,15 @@ def score_texts(docs: DataFrame, model: DataFrame, rules: LmRules = LmRules()) -
     buckets = sizes[0]["buckets"] if sizes else 1
     words = [r for r in sizes if r["kind"] == UNIGRAM]
     n, v = sum(r["n_total"] for r in words), sum(r["n_distinct"] for r in words)
-    filters = _parts([(r["kind"], r["bucket"], r["size"]) for r in sizes], rules.filter_bytes)
-    vocabularies = _parts([(r["kind"], r["bucket"], r["n_distinct"]) for r in words], rules.vocabulary)
-    passes = max(len(filters), len(vocabularies), 1)
+    items = [("words", UNIGRAM, r["bucket"], 16 * r["n_distinct"]) for r in words] + [("bits", r["kind"], r["bucket"], r["size"]) for r in sizes]
+    parts = [part for what in ("words", "bits") for part in _parts([x for x in items if x[0] == what], rules.part_bytes)]
+    passes = _parts([(part, sum(x[-1] for x in part)) for part in parts], rules.pass_bytes) or [[]]
     out = docs.select(*[c for c in docs.columns if c not in made])
-    for i in range(passes):
-        f = _filter(model, filters[i] if i < len(filters) else [], buckets, rules)
-        w = _vocabulary(model, vocabularies[i] if i < len(vocabularies) else [])
-        out = _pass(out, spark.sparkContext.broadcast((f, w)), i == 0, i == passes - 1, n, v, rules)
+    for i, own in enumerate(passes):
+        shared = []
+        for part, _ in own:
+            shared.append(spark.sparkContext.broadcast(_vocabulary(model, part) if part[0][0] == "words" else _filter(model, part, buckets, rules)))
+        out = _pass(out, shared, i == 0, i == len(passes) - 1, n, v, rules)
     return out
 
 
@@ -247,17 +265,18 @@ def _pass(docs: DataFrame, shared, first: bool, last: bool, n: int, v: int, rule
     done = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (known, counts) = shared.value
+        held = [x.value for x in shared]
+        filters, vocabularies = [x for x in held if isinstance(x, Filter)], [x for x in held if isinstance(x, Vocabulary)]
+        look_up = lambda kind, hashes: np.maximum.reduce([f.look_up(kind, hashes) for f in filters] or [np.zeros(len(hashes), np.uint8)])
         bottom = np.log10(n + (v + 1))
         for whole in batches:
             for batch in T.pieces(whole):
                 got, rows = tokens(batch.column("text"))
                 distinct, where = np.unique(got, return_inverse=True)
                 c = np.zeros(len(distinct), np.int64)
-                if len(known):
-                    at = np.searchsorted(known, distinct).clip(max=len(known) - 1)
-                    c = np.where(known[at] == distinct, counts[at], 0)
-                levels = np.stack([table.look_up(UNIGRAM, distinct)[where], table.look_up(BIGRAM, bigrams(got))])
+                for x in vocabularies:
+                    x.look_up(distinct, c)
+                levels = np.stack([look_up(UNIGRAM, distinct)[where], look_up(BIGRAM, bigrams(got))])
                 add = lambda x: np.add.reduceat(x[where], rows[:-1])
                 n_known, logs = add((c > 0).astype(np.int64)), add(np.log10(c + 1.0))
                 if not first:
