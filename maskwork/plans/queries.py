@@ -1,6 +1,398 @@
-"""Queries over the driver's tables, one for each operator, and their SQL."""
+"""Queries over the driver's tables, one or more for each operator, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwork.functions import display, validators as V
+from maskwork.operators import entities as E
+from maskwork.operators import geometry as G
+from maskwork.operators import layout as L
+from maskwork.operators.redact import redact, report, select_spans, summary
+from maskwork.operators.registry import EMAIL, RULES
+from maskwork.operators.spans import CANDIDATE, explode_spans, find_matches, merge_spans, resolve, resolve_rows, rule_candidates, with_spans
+from maskwork.plans.cases import FOUND
+from maskwork.session import configure, table
+from maskwork.sources.tables import text_lines
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: table(configure(spark), folder, name))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def matches_sql(table: str, key: str, text: str, value: str, before: str = "", after: str = "", where: str = "true") -> str:
+    """SQL for ``find_matches``: key, start, end, value."""
+    p = _quote(f"({before})({value}){after}")
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda t: length(t))), 0)"
+    return f"""
+SELECT {key}, s::INT AS start, (s + length(val[i]))::INT AS "end", val[i] AS value FROM (
+    SELECT {key}, i, val, {total("gap[1:i]")} + {total("al[1:i - 1]")} + length(pre[i]) AS s, body FROM (
+        SELECT {key}, {text} AS body, unnest(range(1, len(al) + 1)) AS i, al, pre, val, gap FROM (
+            SELECT {key}, {text}, regexp_extract_all({text}, {p}, 0) AS al, regexp_extract_all({text}, {p}, 1) AS pre, regexp_extract_all({text}, {p}, 2) AS val, string_split_regex({text}, {p}) AS gap FROM {table})))
+WHERE {where}"""
+
+
+def _rule_rows(docs: DataFrame, key: str, text: str, *names: str, pick=None) -> DataFrame:
+    """Candidates of the named rules, unresolved."""
+    chosen = [r for r in RULES if r.label in names and (pick is None or pick(r))]
+    found = docs.select(key, F.col(text).alias("text"), F.concat(*[rule_candidates(F.col(text), r) for r in chosen]).alias("_c"))
+    rows = found.select(key, "text", F.explode("_c").alias("s"))
+    return rows.select(key, "s.start", "s.end", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+EMAIL_RE = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+
+
+@query(matches_sql("documents", "doc_id", "text", EMAIL_RE))
+def email_spans(t):
+    return _rule_rows(t("documents"), "doc_id", "text", "EMAIL")
+
+
+@query(matches_sql("pages", "page_id", "html", EMAIL_RE))
+def page_email_spans(t):
+    return _rule_rows(t("pages"), "page_id", "html", "EMAIL")
+
+
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+@query(matches_sql("documents", "doc_id", "text", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"\b", r"\b", rf"regexp_full_match(val[i], '{OCTET}(\.{OCTET}){{3}}') AND val[i] <> '0.0.0.0' AND NOT regexp_matches(substr(body, (greatest(s - 24, 0) + 1)::BIGINT, least(s, 24)::BIGINT), '(?i)\b(version|release|v)\s*$')"))
+def ipv4_spans(t):
+    return _rule_rows(t("documents"), "doc_id", "text", "IP_ADDRESS", pick=lambda r: r.value.startswith(r"(?:[0-9]{1,3}\.)"))
+
+
+DIGIT_COUNT = "length(regexp_replace(val[i], '[^0-9]', '', 'g'))"
+
+
+@query(matches_sql("documents", "doc_id", "text", r"\+[0-9]{1,3}[ \t.\-\x{00A0}]?\(?[0-9]{1,4}\)?(?:[ \t.\-\x{00A0}]?[0-9]{2,5}){2,4}\b(?:[ \t]?(?:ext\.?|x)\s?[0-9]{1,5})?", where=f"{DIGIT_COUNT} BETWEEN 10 AND 15"))
+def phone_spans(t):
+    return _rule_rows(t("documents"), "doc_id", "text", "PHONE", pick=lambda r: r.value.startswith(r"\+"))
+
+
+LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN (2 * d[k]::INT) // 10 + (2 * d[k]::INT) % 10 ELSE d[k]::INT END)) % 10 = 0"
+
+
+@query(
+    f"""SELECT doc_id, start, "end", value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({matches_sql("documents", "doc_id", "text", r"(?:[0-9][ \t\x{00A0}-]?){12,18}[0-9]", r"\b", r"\b")}))
+WHERE {LUHN} AND length(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, ''))) > 1"""
+)
+def card_spans(t):
+    return _rule_rows(t("documents"), "doc_id", "text", "CREDIT_CARD")
+
+
+@query(
+    f"""SELECT doc_id, start, "end", 'PASSWORD_OR_SECRET' AS label, value FROM ({matches_sql("documents", "doc_id", "text", "[0-9a-f]{40}", 'token = "', '"')})
+UNION ALL SELECT doc_id, start, "end", 'PASSWORD_OR_SECRET', value FROM ({matches_sql("documents", "doc_id", "text", "[0-9a-f]{18}", "password=", "")})
+UNION ALL SELECT doc_id, start, "end", 'AWS_ACCESS_KEY', value FROM ({matches_sql("documents", "doc_id", "text", "AKIA[0-9A-Z]{16}", r"\b", r"\b")})"""
+)
+def secret_spans(t):
+    """All rules for secrets with overlaps settled; the documents have three shapes of them."""
+    return explode_spans(with_spans(t("documents"), categories=["secrets"]), "doc_id").select("doc_id", "start", "end", "label", "value")
+
+
+def _planted(t) -> DataFrame:
+    """Each customer's text: a case, dealt by the key, behind a prefix with the key."""
+    cases = t("customer").sparkSession.createDataFrame([(i, text) for i, (text, _, _) in enumerate(FOUND)], "case_no int, case_text string")
+    own = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(FOUND)).cast("int").alias("case_no"))
+    # A case that counts as a whole text gets no prefix.
+    return own.join(F.broadcast(cases), "case_no").select("id", "case_no", F.col("case_text").alias("text"))
+
+
+PLANTED = "(VALUES " + ", ".join(f"({i}, {_quote(t)}, {_quote(label)}, {_quote(v)})" for i, (t, label, v) in enumerate(FOUND)) + ") AS p(case_no, text, label, value)"
+
+
+@query(f"SELECT c_custkey AS id, label, value, (position(value IN text) - 1)::INT AS start FROM customer JOIN {PLANTED} ON c_custkey % {len(FOUND)} = case_no")
+def planted_spans(t):
+    """Every rule on planted values: what was planted is found, at its place, under its label."""
+    return _planted_rows(t).select("id", "label", "value", "start")
+
+
+def _planted_rows(t) -> DataFrame:
+    rows = explode_spans(with_spans(_planted(t)), "id")
+    wanted = t("customer").sparkSession.createDataFrame([(i, label, v) for i, (_, label, v) in enumerate(FOUND)], "case_no int, label string, value string")
+    ids = _planted(t).select("id", "case_no")
+    return rows.join(ids, "id").join(F.broadcast(wanted), ["case_no", "label", "value"], "left_semi")
+
+
+@query(f"SELECT category, count(*) AS n FROM customer JOIN {PLANTED} ON c_custkey % {len(FOUND)} = case_no JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted({(r.label, r.category) for r in RULES})) + ") AS k(label, category) USING (label) GROUP BY category")
+def category_summary(t):
+    return summary(_planted_rows(t))
+
+
+@query()
+def label_counts(t):
+    """All rules over all documents, counted by label."""
+    rows = explode_spans(with_spans(t("documents")), "doc_id")
+    return rows.groupBy("category", "label").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, count(*) AS n FROM ({matches_sql("documents", "doc_id", "text", EMAIL_RE)}) GROUP BY doc_id)
+SELECT lang, source, count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_emails, count(n) AS n_docs_with FROM documents LEFT JOIN e USING (doc_id) GROUP BY ROLLUP (lang, source)"""
+)
+def emails_by_lang_source(t):
+    docs = t("documents").withColumn("n", F.size(rule_candidates(F.col("text"), EMAIL)))
+    return docs.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_emails"), F.sum((F.col("n") > 0).cast("long")).alias("n_docs_with"))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, count(*) AS n FROM ({matches_sql("documents", "doc_id", "text", EMAIL_RE)}) GROUP BY doc_id)
+SELECT quality, toxic, count(*) AS n_docs, count(n) AS n_with FROM labels LEFT JOIN e USING (doc_id) GROUP BY quality, toxic"""
+)
+def emails_by_rating(t):
+    docs = t("documents").withColumn("n", F.size(rule_candidates(F.col("text"), EMAIL))).select("doc_id", "n")
+    return t("labels").join(docs, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce((F.col("n") > 0).cast("long"), F.lit(0))).alias("n_with"))
+
+
+@query(f"""SELECT doc_id, start, "end", value FROM ({matches_sql("documents", "doc_id", "text", EMAIL_RE)}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) = 1""")
+def first_email(t):
+    rows = _rule_rows(t("documents"), "doc_id", "text", "EMAIL")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("start", "end", "value")).alias("s")).select("doc_id", "s.*")
+
+
+TERMS = "token, Thnt\nthe of"
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)(the of|token|thnt)', '[CUSTOM]', 'g') AS redacted, len(regexp_extract_all(text, '(?i)(the of|token|thnt)'))::INT AS n FROM documents")
+def custom_terms_redacted(t):
+    return redact(t("documents"), categories=[], custom_terms=TERMS).select("doc_id", "redacted", F.size("spans").alias("n"))
+
+
+@query(
+    f"""SELECT doc_id, list_aggregate(list_transform(range(1, len(gap) + 1), lambda k: gap[k] || CASE WHEN k <= len(m) THEN repeat('█', length(m[k])) ELSE '' END), 'string_agg', '') AS redacted
+FROM (SELECT doc_id, string_split_regex(text, '{EMAIL_RE}') AS gap, regexp_extract_all(text, '{EMAIL_RE}') AS m FROM documents WHERE contains(text, '@'))"""
+)
+def emails_boxed(t):
+    from maskwork.operators.redact import redact_text
+
+    docs = t("documents").where(F.contains("text", F.lit("@"))).withColumn("spans", resolve(rule_candidates(F.col("text"), EMAIL)))
+    return docs.select("doc_id", redact_text("text", "spans", "box").alias("redacted"))
+
+
+@query(
+    """SELECT p_partkey, p_name, CASE WHEN length(n) < 8 THEN repeat('•', length(n)) ELSE substr(n, 1, k) || repeat('•', least(8, length(n) - k)) END AS preview,
+    array_to_string(list_transform(string_split('AWS_' || upper(replace(n, ' ', '_')), '_'), lambda w: CASE WHEN w IN ('IP','AWS','URL','SSN','US','IBAN','JWT','MAC','QR','AI','API') THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS shown
+FROM (SELECT p_partkey, p_name, trim(p_name) AS n, CASE WHEN length(trim(p_name)) < 20 THEN 2 ELSE 4 END AS k FROM part)"""
+)
+def previews(t):
+    label = F.concat(F.lit("AWS_"), F.upper(F.replace(F.trim("p_name"), F.lit(" "), F.lit("_"))))
+    return t("part").select("p_partkey", "p_name", display.mask_preview(F.col("p_name")).alias("preview"), display.pretty_label(label).alias("shown"))
+
+
+@query(
+    """SELECT p_partkey, round(-list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) / len(c) * log2(len(list_filter(c, lambda y: y = x)) / len(c)))), 6) AS bits
+FROM (SELECT p_partkey, string_split(p_name, '') AS c FROM part)"""
+)
+def name_entropy(t):
+    return t("part").select("p_partkey", F.round(V.shannon_entropy(F.col("p_name")), 6).alias("bits"))
+
+
+@query(
+    f"""SELECT o_orderkey, d, {LUHN} AND len(list_distinct(string_split(d, ''))) > 1 AS ok
+FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + 4000000000000000)::VARCHAR, 16, '0') AS d FROM orders)"""
+)
+def luhn_checks(t):
+    d = F.lpad((F.col("o_orderkey") * 7919 + F.lit(4000000000000000)).cast("string"), 16, "0")
+    return t("orders").select("o_orderkey", d.alias("d"), V.luhn_ok(d).alias("ok"))
+
+
+@query("""SELECT o_orderkey, iban, (substr(iban, 5)::HUGEINT * 1000000 + 131400 + substr(iban, 3, 2)::HUGEINT) % 97 = 1 AS ok FROM (SELECT o_orderkey, 'DE' || lpad((o_orderkey % 97)::VARCHAR, 2, '0') || lpad((o_orderkey * 7919)::VARCHAR, 18, '3') AS iban FROM orders)""")
+def iban_checks(t):
+    iban = F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") * 7919).cast("string"), 18, "3"))
+    return t("orders").select("o_orderkey", iban.alias("iban"), V.iban_ok(iban).alias("ok"))
+
+
+GREEDY_SQL = """
+SELECT k AS l_orderkey, u.r AS "rank", u.s AS start, u.e AS "end" FROM (
+    SELECT k, unnest(list_reduce(list_transform(list_sort(list({'r': r, 'n': s - e, 's': s, 'e': e})), lambda x: [x]),
+        lambda acc, z: CASE WHEN len(list_filter(acc, lambda y: y.s < z[1].e AND z[1].s < y.e)) = 0 THEN list_concat(acc, z) ELSE acc END)) AS u
+    FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber::INT AS r, (l_partkey % 97)::INT AS s, (l_partkey % 97 + 1 + l_suppkey % 9)::INT AS e FROM lineitem) GROUP BY k)
+"""
+
+
+def _intervals(t) -> DataFrame:
+    start = (F.col("l_partkey") % 97).cast("int")
+    return t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("rank"), start.alias("start"), (start + 1 + F.col("l_suppkey") % 9).cast("int").alias("end")).distinct()
+
+
+@query(GREEDY_SQL)
+def resolved_islands(t):
+    return resolve_rows(_intervals(t), ["l_orderkey"])
+
+
+@query('SELECT l_orderkey, start, "end" FROM (' + GREEDY_SQL + ")")
+def resolved_arrays(t):
+    item = F.struct("rank", (F.col("start") - F.col("end")).alias("shorter"), "start", "end", F.lit("L").alias("label"), F.lit("secrets").alias("category"), F.lit(1.0).alias("score"), F.lit("rule").alias("source"))
+    found = _intervals(t).groupBy("l_orderkey").agg(F.collect_list(item).cast(f"array<{CANDIDATE}>").alias("c"))
+    return found.select("l_orderkey", F.explode(resolve("c")).alias("s")).select("l_orderkey", "s.start", "s.end")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), a AS (SELECT l_orderkey, l_linenumber * 10 AS s FROM l WHERE l_linenumber % 2 = 1), b AS (SELECT l_orderkey, l_linenumber * 10 + p % 13 AS s FROM l WHERE l_linenumber % 2 = 0)
+SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, s FROM a UNION ALL SELECT l_orderkey, s FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_orderkey = b.l_orderkey AND a.s < b.s + 4 AND b.s < a.s + 4)) GROUP BY l_orderkey"""
+)
+def merged_spans(t):
+    """Two kinds of spans per order; those of the second kind are apart from each other by construction."""
+    span = lambda s, name: F.struct(s.cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.lit(name).alias("label"), F.lit("person").alias("category"), F.lit(1.0).alias("score"), F.lit(name).alias("source"))
+    odd = F.col("l_linenumber") % 2 == 1
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    rows = lines.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.when(odd, span(F.col("l_linenumber") * 10, "a")))).alias("a"), F.array_sort(F.collect_list(F.when(~odd, span(F.col("l_linenumber") * 10 + F.col("p") % 13, "b")))).alias("b")
+    )
+    return rows.select("l_orderkey", F.size(merge_spans("a", "b")).cast("long").alias("n"))
+
+
+def _boxes(t) -> DataFrame:
+    x, y = (F.col("l_partkey") % 60).cast("double"), (F.col("l_suppkey") % 40).cast("double")
+    return t("lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("int").alias("box_id")).agg(F.min(F.struct(x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 12).alias("y1"))).alias("box"), F.min("l_quantity").alias("score"))
+
+
+BOXES = "(SELECT k, b, min({'x0': x, 'y0': y, 'x1': x + 20, 'y1': y + 12}) AS box, min(q) AS score FROM (SELECT l_orderkey AS k, l_linenumber::INT AS b, (l_partkey % 60)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, l_quantity AS q FROM lineitem) GROUP BY ALL)"
+SHARED_SQL = "greatest(0, least(y.box.x1, z[1].box.x1) - greatest(y.box.x0, z[1].box.x0)) * greatest(0, least(y.box.y1, z[1].box.y1) - greatest(y.box.y0, z[1].box.y0))"
+
+
+@query(
+    f"""SELECT k AS l_orderkey, u.b AS box_id, u.score AS score, u.box.x0 AS x0, u.box.y0 AS y0 FROM (
+    SELECT k, unnest(list_reduce(list_transform(list_sort(list({{'o': -score, 'b': b, 'score': score, 'box': box}})), lambda x: [x]),
+        lambda acc, z: CASE WHEN len(list_filter(acc, lambda y: {SHARED_SQL} / (480 - {SHARED_SQL}) > 0.3)) = 0 THEN list_concat(acc, z) ELSE acc END)) AS u FROM {BOXES} GROUP BY k)"""
+)
+def nms_boxes(t):
+    return G.nms(_boxes(t), ["l_orderkey"], 0.3).select("l_orderkey", "box_id", "score", "box.x0", "box.y0")
+
+
+@query(
+    f"""WITH d AS (SELECT *, coalesce((box.y0 - lag(box.y0) OVER (PARTITION BY k ORDER BY box.y0, b) >= 10)::INT, 0) AS new FROM {BOXES}),
+r AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY box.y0, b)::INT AS row_no FROM d)
+SELECT k AS l_orderkey, b AS box_id, row_no, row_number() OVER (PARTITION BY k ORDER BY row_no, box.x0, box.y0, b)::INT AS place FROM r"""
+)
+def sorted_boxes(t):
+    return G.sort_boxes(_boxes(t), ["l_orderkey"]).select("l_orderkey", "box_id", "row_no", "place")
+
+
+@query(
+    """SELECT p_partkey, unnest(CASE WHEN n <= 640 THEN [0] ELSE list_concat(list_filter(range(0, n, 512), lambda s: s + 640 < n), [n - 640]) END)::INT AS start
+FROM (SELECT p_partkey, p_partkey * 37 % 3000 + 1 AS n FROM part)"""
+)
+def tile_starts(t):
+    n = (F.col("p_partkey") * 37 % 3000 + 1).cast("int")
+    return t("part").select("p_partkey", F.explode(G.tile_starts(n, 640, 512)).alias("start"))
+
+
+@query(
+    """SELECT c_custkey, round(x0 + (s / n - CASE WHEN s > 0 THEN 0.35 / n ELSE 0.35 / n END) * 200, 6) AS x0, round(x0 + CASE WHEN e < n THEN least(1, e / n + 0.35 / n) ELSE greatest(1, e / n + 0.35 / n) END * 200, 6) AS x1, round(10 - 1.6, 6) AS y0, round(30 + 1.6, 6) AS y1
+FROM (SELECT c_custkey, (c_custkey % 50)::DOUBLE AS x0, length(c_name)::DOUBLE AS n, (c_custkey % 3)::DOUBLE AS s, (c_custkey % 3 + 2)::DOUBLE AS e FROM customer)"""
+)
+def span_boxes(t):
+    x = (F.col("c_custkey") % 50).cast("double")
+    line = F.struct(F.col("c_name").alias("text"), F.struct(x.alias("x0"), F.lit(10.0).alias("y0"), (x + 200).alias("x1"), F.lit(30.0).alias("y1")).alias("box"), F.array().cast("array<struct<t0:double,t1:double>>").alias("bounds"), F.lit(None).cast("string").alias("orientation"))
+    s = (F.col("c_custkey") % 3).cast("int")
+    rows = t("customer").select("c_custkey", line.alias("l"), s.alias("s")).withColumn("b", G.span_box(F.col("l"), F.col("s"), F.col("s") + 2))
+    return rows.select("c_custkey", *[F.round(f"b.{k}", 6).alias(k) for k in ("x0", "x1", "y0", "y1")])
+
+
+def _form(t) -> DataFrame:
+    """A form per customer: a label, a field on its right at a distance by the key, and a line below."""
+    c = F.col("c_custkey")
+    gap = (c % 7 * 100).cast("double")
+    at = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    n = lambda v: F.lit(float(v))
+    line = lambda i, text, place: F.struct(F.lit(i).alias("line_id"), text.alias("text"), place.alias("box"))
+    rows = F.array(
+        line(0, F.lit("Password:"), at(n(0), n(0), n(80), n(20))),
+        line(1, F.concat(F.lit("field "), c.cast("string")), at(80 + gap, n(2), 180 + gap, n(22))),
+        line(2, F.concat(F.lit("below "), c.cast("string")), at(n(5), n(30) + c % 5 * 20, n(90), n(50) + c % 5 * 20)),
+    )
+    return t("customer").select("c_custkey", F.explode(rows).alias("l")).select("c_custkey", "l.*")
+
+
+@query("SELECT c_custkey, 0 AS label_id, CASE WHEN c_custkey % 7 * 100 <= 400 THEN 1 ELSE 2 END AS line_id FROM customer WHERE c_custkey % 7 * 100 <= 400 OR 30 + c_custkey % 5 * 20 - 20 <= 60")
+def labelled_values(t):
+    return L.labelled_values(_form(t), "c_custkey")
+
+
+@query(
+    """SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY y, x)::INT AS row_id, text FROM (
+    SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Password: field ' || c_custkey ELSE 'Password:' END AS text, 0 AS y, 0 AS x FROM customer
+    UNION ALL SELECT c_custkey, 'field ' || c_custkey, 2, 80 + c_custkey % 7 * 100 FROM customer WHERE c_custkey % 7 > 0
+    UNION ALL SELECT c_custkey, 'below ' || c_custkey, 30 + c_custkey % 5 * 20, 5 FROM customer)"""
+)
+def row_grouping(t):
+    return L.group_rows(_form(t), "c_custkey").select("c_custkey", "row_id", "text")
+
+
+@query("SELECT c_custkey, 1 AS detection_id, 'PASSWORD_OR_SECRET' AS label, 'secrets' AS category, CASE WHEN c_custkey % 7 = 0 AND c_custkey < 100 THEN 'field' WHEN c_custkey % 7 <= 4 THEN 'field ' || c_custkey ELSE 'below ' || c_custkey END AS text FROM customer WHERE c_custkey % 7 <= 4 OR 10 + c_custkey % 5 * 20 <= 60")
+def page_detections(t):
+    """Rows, compact rows, the page and labelled values together, on the forms.
+
+    A field right beside its label is in its row, and found by the rule for keys and values; its value has a space, and is
+    found whole if the number behind it is long enough to look like more of a secret.
+    """
+    return L.detect(_form(t), "c_custkey", ["secrets"]).select("c_custkey", "detection_id", "label", "category", "text")
+
+
+@query(
+    """WITH g AS (SELECT *, sum(CASE WHEN l_linenumber % 3 = 1 OR before IS NULL OR before + 1 <> l_linenumber THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS grp
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)))
+SELECT l_orderkey, 'PERSON' AS type, (min(l_linenumber) * 6 - 6)::INT AS start, (max(l_linenumber) * 6 - 1)::INT AS "end", round(avg(0.5 + l_linenumber / 20), 6) AS score FROM g GROUP BY l_orderkey, grp"""
+)
+def bio_entities(t):
+    """Tokens of five letters, of which each third begins an entity and the others are inside one; entities lie a letter apart."""
+    n = F.col("l_linenumber")
+    rows = t("lineitem").select("l_orderkey", n).distinct()
+    tokens = rows.select("l_orderkey", n.cast("int").alias("index"), F.when(n % 3 == 1, "B-PERSON").otherwise("I-PERSON").alias("entity"), F.lit("Abcde").alias("word"), (0.5 + n / 20).alias("score"), (n * 6 - 6).cast("int").alias("start"), (n * 6 - 1).cast("int").alias("end"))
+    texts = rows.select("l_orderkey").distinct().withColumn("text", F.expr("repeat('Abcde|', 8)"))
+    return E.group_entities(tokens, texts, "l_orderkey").withColumn("score", F.round("score", 6))
+
+
+@query(
+    """SELECT doc_id, (max(line_id) + 1)::INT AS n_lines, sum(length(line) * 8.0) AS width FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_id FROM documents) GROUP BY doc_id"""
+)
+def document_lines(t):
+    lines = text_lines(t("documents"), "doc_id")
+    return lines.groupBy("doc_id").agg((F.max("line_id") + 1).alias("n_lines"), F.sum(F.col("box.x1") - F.col("box.x0")).alias("width"))
+
+
+@query()
+def reports(t):
+    """JSON reports of contact data in documents; emails are left visible."""
+    docs = with_spans(t("documents").select("doc_id", "text"), categories=["contact"])
+    return report(docs, "doc_id", kept=F.col("label") == "EMAIL")
+
+
+@query(
+    f"""SELECT doc_id, start, "end", value FROM ({matches_sql("documents", "doc_id", "text", EMAIL_RE)}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) % 2 = 1"""
+)
+def selected_spans(t):
+    """Of each document's emails, every other one is selected."""
+    docs = t("documents").withColumn("spans", resolve(rule_candidates(F.col("text"), EMAIL)))
+    rows = explode_spans(docs, "doc_id")
+    return select_spans(rows, rows.where("ordinal % 2 = 1").select("doc_id", "ordinal"), ["doc_id"]).select("doc_id", "start", "end", "value")
+
+
+@query(matches_sql("benchmark", "item_id", "text", "[A-Z][a-z]+", r"\.\s+", ""))
+def match_offsets(t):
+    """Matches behind a prefix, with offsets, in texts with accents."""
+    found = t("benchmark").select("item_id", F.explode(find_matches("text", "[A-Z][a-z]+", r"\.\s+")).alias("m"))
+    return found.select("item_id", "m.start", "m.end", "m.value")
+
+
+@query()
+def conversation_spans_by_role(t):
+    rows = explode_spans(with_spans(t("conversations")), ["conv_id", "turn", "role"])
+    return rows.groupBy("role", "category").agg(F.count("*").alias("n"))
