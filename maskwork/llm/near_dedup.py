@@ -6,9 +6,10 @@ number of slots that differ.  The slots are cut into chunks, of which by the pig
 error if there are fewer than two errors per chunk; so a document is filed under each chunk with each of its slots left
 out, and any two documents within the distance meet in some file.
 
-In each file, documents are linked with the smallest one only, if their full sets confirm it.  Documents of a file that
-are not connected by such links are then compared with one another, so no link between components is missed, while
-copies are never paired with each other.
+In each file, documents are linked with the smallest one only, if their full sets confirm it.  Those of a file that are
+near by signature, and not yet connected by links, make families; the members of a family are compared by their full
+sets, a tile against a tile.  So no link between components is missed, and only pairs that connect something leave a
+tile, at most one for each of its rows.
 """
 
 from __future__ import annotations
@@ -56,6 +57,9 @@ class NearRules:
         return list(zip(cut, cut[1:]))
 
 
+_SLOT_BITS = np.uint64(0xFF)
+
+
 def _factors(slots: int) -> tuple[np.ndarray, np.ndarray]:
     x = T.mix(np.arange(1, 2 * slots + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     return x[:slots] | np.uint64(1), x[slots:]
@@ -96,7 +100,7 @@ def features(docs: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def filed(representatives: DataFrame, rules: NearRules) -> DataFrame:
-    """``key, id``: a row for each chunk and each of its slots that is left out."""
+    """``key, id``: a row for each chunk and each of its slots that is left out; the key ends in the number of that slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +113,7 @@ def filed(representatives: DataFrame, rules: NearRules) -> DataFrame:
             slot = T.mix((sig.astype(np.uint64) + np.uint64(1)) * a + b)
             for lo, hi in rules.chunks:
                 whole = slot[:, lo:hi].sum(axis=1, dtype=np.uint64)
-                keys = [T.mix(whole - slot[:, j] + np.uint64(0x9E37 + 131 * j)) for j in range(lo, hi)]
+                keys = [T.mix(whole - slot[:, j] + np.uint64(0x9E37 + 131 * j)) & ~_SLOT_BITS | np.uint64(j) for j in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, hi - lo))], names=["key", "id"])
 
     return representatives.select("id", "signature").mapInArrow(run, "key long, id long")
@@ -153,27 +157,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     return pairs.join(text("a"), "a").join(text("b"), "b").where("_a IS NOT NULL AND _b IS NOT NULL").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def _foreign_pairs(members: DataFrame, rules: NearRules) -> DataFrame:
-    """Distinct pairs of one file, near by signature and of different components; the file's smallest id is left out."""
-    tiles = members.where("id != hub").withColumn("_n", F.ceil(F.col("size") / rules.tile).cast("int")).withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+def _tiled(members: DataFrame, key: str, rules: NearRules) -> DataFrame:
+    """Rows of groups of ``size``, dealt to pairs of tiles ``t, u`` so that any two rows of a group meet in one of them."""
+    tiles = members.withColumn("_n", F.ceil(F.col("size") / rules.tile).cast("int")).withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     tiles = tiles.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    tiles = tiles.select("key", F.least("_t", "_u").alias("t"), F.greatest("_t", "_u").alias("u"), (F.col("_t") <= F.col("_u")).alias("first"), "id", "component", "signature")
+    return tiles.withColumns({"t": F.least("_t", "_u"), "u": F.greatest("_t", "_u")}).drop("_t", "_u", "_n", "size").withColumnRenamed(key, "key")
+
+
+def _joined(ids: np.ndarray, linked: np.ndarray) -> pa.Table:
+    """Each id with the smallest that a symmetric matrix of links connects it to, where there is one."""
+    label = np.arange(len(ids))
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    by = np.argsort(ids, kind="stable")
+    label = rank.copy()
+    while True:
+        least = np.where(linked, label[None, :], len(ids)).min(axis=1, initial=len(ids))
+        new = np.minimum(label, least)
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != rank)
+    return pa.table({"a": pa.array(ids[by[label[moved]]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
+
+
+def _first_meeting(differs: np.ndarray, left_out: int, rules: NearRules) -> np.ndarray:
+    """Of rows of differing slots between members of the file of a left-out slot: whether the two meet in no file before."""
+    starts = np.array([lo for lo, _ in rules.chunks])
+    errors = np.add.reduceat(differs, starts, axis=-1, dtype=np.int16)
+    own = int(np.searchsorted(starts, left_out, side="right")) - 1
+    return (errors[..., :own] > 1).all(axis=-1) & (differs[..., left_out] | (left_out == starts[own]))
+
+
+def _near_foreign(members: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs that connect what is near by signature and of different components.
+
+    A file's smallest id is left out, as it was compared before, and two documents count in the first file that they share.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        ids, component, first = (np.asarray(group.column(c)) for c in ("id", "component", "first"))
+        ids, component = (np.asarray(group.column(c).combine_chunks()) for c in ("id", "component"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(-1, rules.slots)
-        one = group.column("t")[0].as_py() == group.column("u")[0].as_py()
-        left = np.arange(len(ids)) if one else np.flatnonzero(first)
-        right = np.arange(len(ids)) if one else np.flatnonzero(~first)
-        a, b = [], []
-        for i in left:
-            near = right[(component[right] != component[i]) & (_differing(sig[right], sig[i]) <= rules.distance)]
-            a.append(np.minimum(ids[i], ids[near]))
-            b.append(np.maximum(ids[i], ids[near]))
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        left_out = group.column("key")[0].as_py() & int(_SLOT_BITS)
+        near = np.zeros((len(ids), len(ids)), bool)
+        for i, x in enumerate(sig):
+            differs = sig != x
+            near[i] = (differs.sum(axis=1) <= rules.distance) & (component != component[i]) & _first_meeting(differs, left_out, rules)
+        return _joined(ids, near)
+
+    return _tiled(members.where("id != hub").select("key", "id", "component", "signature", "size"), "key", rules).groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
+
 
-    return tiles.groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
+def _exact_links(families: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs that connect documents of different components that full sets link, within families ``family, id, component``.
+
+    The rows of a tile are compared at once: products of their incidence with shared shingles are the intersections.
+    """
+    sized = families.join(families.groupBy("family").agg(F.count("*").alias("size")), "family")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, component = (np.asarray(group.column(c).combine_chunks()) for c in ("id", "component"))
+        sets = T.text_shingles(group.column("text"), rules.shingle)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        distinct, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        use = counts[at] > 1
+        row, at = row[use], (np.cumsum(counts > 1) - 1)[at[use]]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int((counts > 1).sum()), 4096):
+            some = (at >= lo) & (at < lo + 4096)
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[some], at[some] - lo] = 1
+            shared += part @ part.T
+        both = np.rint(shared).astype(np.int64)
+        linked = (both > 0) & (100 * both >= rules.percent * (sizes[:, None] + sizes[None, :] - both)) & (component[:, None] != component[None, :])
+        return _joined(ids, linked)
+
+    return _tiled(sized.join(texts, "id"), "family", rules).groupBy("key", "t", "u").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -198,8 +258,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
 
     named = members.where("size > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    foreign = _foreign_pairs(named.join(mixed, "key", "left_semi").join(reps.select("id", "signature"), "id"), rules)
-    more = confirmed(foreign, docs, rules)
+    close = written(_near_foreign(named.join(mixed, "key", "left_semi").join(reps.select("id", "signature"), "id"), rules), "close")
+    families = written(connected_components(close).withColumnRenamed("component", "family").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "families")
+    more = _exact_links(families, docs, rules)
     of = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"_{k}"))
     bridges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     second = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("root"))
