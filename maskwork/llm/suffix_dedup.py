@@ -28,7 +28,7 @@ from . import textbatch as T
 
 U = np.uint64
 LAST = np.int64(2**63 - 1)  # stands for a null id
-STEP = 4 << 20
+STEP = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,8 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
 
 def _rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, bytes and offsets of the texts of a run, piece by piece."""
-    for piece in T.pieces(table.combine_chunks()):
+    T.release()
+    for piece in (p.combine_chunks() for p in T.pieces(table, limit=1 << 20)):
         ids = piece.column("doc_id").combine_chunks() if isinstance(piece.column("doc_id"), pa.ChunkedArray) else piece.column("doc_id")
         data, offsets = T.buffers(piece.column("text"))
         yield np.asarray(ids.fill_null(int(LAST)), np.int64), data, offsets
@@ -115,35 +116,50 @@ def _least_most(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[
 
 # 1. fingerprints
 
+#: A range has but so many fingerprints, so of each only 39 bits are sent, and a bit more, in five bytes.  Two that agree
+#: in these by chance count as one: that sends suffixes in vain and changes no result.
+SENT = U(2**39 - 1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(U)
+
 
 def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules) -> pa.Table:
-    """A row for each range: fingerprints, sorted, each shifted by a bit that says if several documents have it."""
+    """A row for each range: the sent part of fingerprints, shifted by a bit that says if several documents have it."""
     found, owner = [], []
     for ids, data, offsets in _rows(table):
         a = find_anchors(data, offsets, rules)
         found.append(a.fingerprint)
         owner.append(ids[a.row])
     prints, ids = np.concatenate(found), np.concatenate(owner)
+    several = np.zeros(0, U)
     if len(prints):
         one, least, most = _least_most(prints, ids, ids)
-        prints = prints[one] << U(1) | (least != most).astype(U)
-    cuts = np.searchsorted(_range_of(prints >> U(1), ranges), np.arange(ranges + 1))
+        prints, several = prints[one], (least != most).astype(U)
+    cuts = np.searchsorted(_range_of(prints, ranges), np.arange(ranges + 1))
+    sent = (prints & SENT) << U(1) | several
     full = np.flatnonzero(np.diff(cuts))
     run = table.column("run")[0].as_py()
-    return pa.table({"run": pa.array([run] * len(full), pa.int32()), "range": pa.array(full.astype(np.int32)), "prints": pa.array([prints[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())})
+    return pa.table({"run": pa.array([run] * len(full), pa.int32()), "range": pa.array(full.astype(np.int32)), "prints": pa.array([_pack(sent[cuts[r] : cuts[r + 1]]) for r in full], pa.binary())})
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """For each run, those of its fingerprints that several documents have."""
-    own = [np.frombuffer(b, U) for b in table.column("prints").to_pylist()]
+    own = [_unpack(b) for b in table.column("prints").to_pylist()]
     every = np.sort(np.concatenate(own))
     key = every >> U(1)
-    order_same = key[1:] == key[:-1]
-    several = np.unique(np.concatenate([key[1:][order_same], key[(every & U(1)) == 1]]))
-    kept = [np.intersect1d(x >> U(1), several, assume_unique=True) for x in own]
+    several = np.unique(np.concatenate([key[1:][key[1:] == key[:-1]], key[(every & U(1)) == 1]]))
+    kept = [x[several[np.searchsorted(several, x >> U(1)).clip(max=max(len(several) - 1, 0))] == x >> U(1)] >> U(1) if len(several) else x[:0] for x in own]
     some = [i for i, k in enumerate(kept) if len(k)]
-    runs = table.column("run").to_pylist()
-    return pa.table({"run": pa.array([runs[i] for i in some], pa.int32()), "prints": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+    runs, which = table.column("run").to_pylist(), table.column("range").to_pylist()
+    return pa.table({"run": pa.array([runs[i] for i in some], pa.int32()), "at": pa.array([which[i] for i in some], pa.int32()), "prints": pa.array([_pack(kept[i]) for i in some], pa.binary())})
 
 
 # 2. sorted, front-coded suffixes
@@ -153,7 +169,9 @@ def _matrix(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int,
     """Rows of ``width`` bytes from each start, zero behind each size; or those before each start, the nearest first."""
     steps = np.arange(width)
     at = starts[:, None] - 1 - steps if backwards else starts[:, None] + steps
-    out = data[at.clip(0, max(len(data) - 1, 0))]
+    if not len(data):
+        return np.zeros((len(starts), width), np.uint8)
+    out = data[at.clip(0, len(data) - 1)]
     out[steps[None, :] >= sizes[:, None]] = 0
     return out
 
@@ -183,13 +201,15 @@ def _suffix_runs(table: pa.Table, repeated: pa.Table, ranges: int, rules: Repeat
     schema = pa.schema([("run", pa.int32()), ("range", pa.int32())] + [(c, pa.binary()) for c in columns[2:]])
     if not repeated.num_rows or not table.num_rows:
         return schema.empty_table()
-    wanted = np.sort(np.concatenate([np.frombuffer(b, U) for b in repeated.column("prints").to_pylist()]))
+    keyed = lambda at, prints: at.astype(U) << U(39) | prints & SENT
+    wanted = np.sort(np.concatenate([keyed(np.array([r]), _unpack(b)) for r, b in zip(repeated.column("at").to_pylist(), repeated.column("prints").to_pylist())]))
     parts = []
     for ids, data, offsets in _rows(table):
         a = find_anchors(data, offsets, rules)
         if not len(a.at):
             continue
-        hit = np.flatnonzero(wanted[np.searchsorted(wanted, a.fingerprint).clip(max=len(wanted) - 1)] == a.fingerprint)
+        print_ = keyed(_range_of(a.fingerprint, ranges), a.fingerprint)
+        hit = np.flatnonzero(wanted[np.searchsorted(wanted, print_).clip(max=len(wanted) - 1)] == print_)
         if not len(hit):
             continue
         own = ids[a.row[hit]]
@@ -298,6 +318,7 @@ def merge_runs(runs: list[FrontCoded]) -> Iterator[tuple[int, int, int]]:
 
 def _smallest_owners(table: pa.Table, rules: RepeatRules) -> pa.Table:
     """For each run: segments with the offsets of the anchor in strings that a smaller document may have, and its id."""
+    T.release()
     cols = {c: table.column(c).to_pylist() for c in ("run", "shared", "right_size", "left_size", "rest", "left", "least", "several", "segment")}
     merged = np.array(list(merge_runs([FrontCoded(*x) for x in zip(cols["shared"], cols["right_size"], cols["rest"])])), np.int64).reshape(-1, 3)
     run, shared = merged[:, 0], merged[:, 2]
@@ -390,7 +411,7 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
     runs = max(1, -(-total // rules.run_bytes))
     texts = texts.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(runs)).cast("int"))
     prints = texts.groupBy("run").applyInArrow(lambda t: _fingerprints(t, runs, rules), "run int, range int, prints binary")
-    repeated = prints.groupBy("range").applyInArrow(_repeated, "run int, prints binary")
+    repeated = prints.groupBy("range").applyInArrow(_repeated, "run int, at int, prints binary")
     coded = texts.groupBy("run").cogroup(repeated.groupBy("run")).applyInArrow(
         lambda t, r: _suffix_runs(t, r, runs, rules), "run int, range int, shared binary, right_size binary, left_size binary, rest binary, left binary, least binary, several binary, segment binary"
     )

@@ -42,7 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**n modulo 2**64, kept for the next call."""
     got = _powers.get(base)
     if got is None or len(got) <= n:
-        got = np.full(max(n + 1, PIECE_BYTES + 64), base, U64)
+        got = np.full(max(n + 1, 1 << 20), base, U64)
         got[0] = 1
         np.multiply.accumulate(got, out=got)
         if len(got) <= 4 * PIECE_BYTES:
@@ -150,3 +150,8 @@ def mix_light(x: np.ndarray) -> np.ndarray:
     """One round of mixing in place, for values that are already well spread."""
     x ^= x >> U64(32)
     return x
+
+
+def release() -> None:
+    """Hand memory that Arrow keeps from a group that is done back to the system, for the next worker or the JVM."""
+    pa.default_memory_pool().release_unused()
