@@ -41,7 +41,7 @@ def parse_terms(terms: str) -> list[str]:
 
 def split_terms(terms: Column | str) -> Column:
     """The same for a column."""
-    return F.filter(F.transform(F.split(_col(terms), "[,\n]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(_col(terms), "[,\n]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def summary(spans: DataFrame) -> DataFrame:
