@@ -12,7 +12,7 @@ from .chat_format import CHAT_SQL, format_chats, read_chats
 from .decontaminate import DECONTAMINATE_SQL, benchmark_hits
 from .lang_hyper import held_out, learn_languages, predict_languages
 from .near_dedup import NEAR_SQL, NearRules, near_duplicates
-from .quality_divergence import quality_rules
+from .quality_divergence import QUALITY_SQL, quality_rules
 from .quality_ordinal import score_quality, train
 from .secret_scan import scan_secrets
 from .source_mixing import MIX_SQL, mix_sources
@@ -86,4 +86,4 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm, op10_suffix_dedup)}
-ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL}
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op6_quality_divergence": QUALITY_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL}
