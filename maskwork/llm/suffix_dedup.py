@@ -422,7 +422,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
 
 REPEAT_SQL = r"""
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM bytes)),
+pieces AS (SELECT doc_id, 500 * k AS base, substr(h, 1000 * k + 1, 1098) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS k FROM bytes)),
+starts AS (SELECT doc_id, base + i AS i, substr(p, 2 * i + 1, 100) AS s FROM (SELECT doc_id, base, p, unnest(range(0, least(greatest(length(p) // 2 - 49, 0), 500))) AS i FROM pieces)),
 least AS (SELECT s, min(doc_id) AS m FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM starts JOIN least USING (s) WHERE m < doc_id),
 marked AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hits),
