@@ -358,12 +358,14 @@ def _smallest_owners(table: pa.Table, rules: RepeatRules) -> pa.Table:
     return pa.table({"run": pa.array([cols["run"][i] for i in full], pa.int32()), "segment": block(segment[row]), "low": block(start.astype(np.uint8)), "high": block(end.astype(np.uint8)), "least": block(least_of[row, start])})
 
 
-def _removed(table: pa.Table, answers: pa.Table, rules: RepeatRules) -> pa.Table:
-    """Per document: what is left, and the removed ranges."""
+def _removed(table: pa.Table, answers: pa.Table, rules: RepeatRules, digest: bool) -> pa.Table:
+    """Per document: what is left, and the removed ranges; or, as a digest, the hash of what is left."""
     got = {c: np.frombuffer(b"".join(answers.column(c).to_pylist()) if answers.num_rows else b"", kind) for c, kind in (("segment", U), ("low", np.uint8), ("high", np.uint8), ("least", np.int64))}
     order = np.argsort(got["segment"], kind="stable")
     got = {c: x[order] for c, x in got.items()}
-    out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")}
+    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
+    types |= {"kept_sha256": pa.string()} if digest else {"kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+    out: dict[str, list] = {c: [] for c in types}
     for ids, data, offsets in _rows(table):
         change = np.zeros(len(data) + 1, np.int32)
         if len(got["segment"]):
@@ -384,17 +386,15 @@ def _removed(table: pa.Table, answers: pa.Table, rules: RepeatRules) -> pa.Table
             out["n_bytes"].append(y - x)
             out["n_removed"].append(int(own.sum()))
             out["n_spans"].append(len(edges))
-            out["kept"].append(data[x:y][~own].tobytes() if len(edges) else data[x:y].tobytes())
-            out["spans"].append([{"start": int(p), "end": int(q)} for p, q in edges])
-    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+            rest = data[x:y][~own] if len(edges) else data[x:y]
+            if digest:
+                out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
+            else:
+                out["kept"].append(rest.tobytes())
+                out["spans"].append([{"start": int(p), "end": int(q)} for p, q in edges])
     return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
 
-def _digest(table: pa.Table) -> pa.Table:
-    kept = [hashlib.sha256(b).hexdigest() for b in table.column("kept").to_pylist()]
-    return table.drop_columns(["kept", "spans"]).append_column("kept_sha256", pa.array(kept, pa.string()))
-
-
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary, spans array<struct<start int, end int>>``, a row for each row.
 
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
     )
     answers = coded.groupBy("range").applyInArrow(lambda t: _smallest_owners(t, rules), "run int, segment binary, low binary, high binary, least binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:int,end:int>>")
-    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda t, a: _digest(_removed(t, a, rules)) if digest else _removed(t, a, rules), schema)
+    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda t, a: _removed(t, a, rules, digest), schema)
 
 
 REPEAT_SQL = r"""

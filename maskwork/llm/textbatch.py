@@ -6,6 +6,7 @@ k-byte strings and longer passages all share one pass over the bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,6 +153,11 @@ def mix_light(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there on glibc only
+
+
 def release() -> None:
-    """Hand memory that Arrow keeps from a group that is done back to the system, for the next worker or the JVM."""
+    """Hand memory that is kept from a group that is done back to the system, for the next worker or the JVM."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
