@@ -59,11 +59,14 @@ class Anchors:
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> Anchors:
+    """Anchors of all rows, the same for a row wherever it stands: each step has the anchors that lie in it, and reads as
+    far before it as their strings may begin, so a border never cuts a segment in two."""
     n, size = len(data), rules.length
     parts = []
     ends = np.repeat(offsets[1:], np.diff(offsets))  # of the row that each byte is in
-    for base in range(0, n - size + 1, STEP):
-        piece = data[base : base + STEP + size - 1]
+    for base in range(0, n - rules.seed + 1 if n >= size else 0, STEP):
+        begin = max(0, base - rules.reach)
+        piece = data[begin : base + STEP + size - 1]
         hasher = T.Hasher(piece)
         seeds = hasher.windows(rules.seed)
         key = seeds & U(2**64 - 2**24) | np.arange(len(seeds), dtype=U)  # the leftmost of equal ones is the smallest
@@ -73,14 +76,16 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
             done *= 2
         if done < width:
             key = np.minimum(key[: len(key) - (width - done)], key[width - done :])
-        starts = np.flatnonzero(ends[base : base + len(key)] - np.arange(base, base + len(key)) >= size)
+        starts = np.flatnonzero(ends[begin : begin + len(key)] - np.arange(begin, begin + len(key)) >= size)
+        at = (key[starts] & U(2**24 - 1)).astype(np.int64)
+        own = (at + begin >= base) & (at + begin < base + STEP)
+        starts, at = starts[own], at[own]
         if not len(starts):
             continue
-        at = (key[starts] & U(2**24 - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         first, last, at = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1], at[new]
         segment = T.mix(hasher(first, last + size) + (at - first).astype(U))
-        parts.append((at + base, first + base, last + base, seeds[at] >> U(1), segment))
+        parts.append((at + begin, first + begin, last + begin, seeds[at] >> U(1), segment))
     if not parts:
         none = np.zeros(0, np.int64)
         return Anchors(none, none, none, none, none.astype(U), none.astype(U))
