@@ -109,7 +109,10 @@ def guess_cost(value: str, rules: GuessRules = GuessRules()) -> float:
 
 
 def find_secrets(text: str, rules: GuessRules = GuessRules()) -> list[tuple[str, int, int]]:
-    """Base spans, then guessed spans that lie in no base span: (kind, start, end), by start and then as kinds are listed."""
+    """Base spans, then guessed spans that lie in no base span: (kind, start, end), by start and then as kinds are listed.
+
+    A value that a base span covers in part only is judged whole, and its span stands beside the base one.
+    """
     low = text.lower()
     found: list[tuple[str, int, int]] = []
     context = any(w in low for w in CONTEXT_WORDS)
@@ -126,7 +129,7 @@ def find_secrets(text: str, rules: GuessRules = GuessRules()) -> list[tuple[str,
             a, b = m.span(1)
             while b > a and text[b - 1] in ".:!?":
                 b -= 1
-            if b - a >= 6 and not any(x < b and a < y for _, x, y in base) and guess_cost(text[a:b], rules) >= rules.least_cost:
+            if b - a >= 6 and not any(x <= a and b <= y for _, x, y in base) and guess_cost(text[a:b], rules) >= rules.least_cost:
                 found.append(("guess", a, b))
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
