@@ -15,6 +15,7 @@ from .near_dedup import NEAR_SQL, NearRules, near_duplicates
 from .quality_divergence import QUALITY_SQL, quality_rules
 from .quality_ordinal import score_quality, train
 from .secret_scan import scan_secrets
+from .shared import written
 from .source_mixing import MIX_SQL, mix_sources
 from .suffix_dedup import REPEAT_SQL, remove_repeats
 
@@ -27,8 +28,9 @@ def op1_quality_ordinal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(configure(spark), folder, "documents")
-    return mix_sources(docs.select("doc_id", "source"))
+    """Whole documents are repeated, shuffled and written; the result has the columns of the SQL, read from that table."""
+    mixed = written(mix_sources(table(configure(spark), folder, "documents")), "mixed")
+    return mixed.select("doc_id", "source", "n_copies", "copy_no", "shuffle_key")
 
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
