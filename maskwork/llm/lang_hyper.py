@@ -49,7 +49,7 @@ def _letters(rules: HyperRules) -> tuple[np.ndarray, np.ndarray]:
 
 
 def triples(texts: list[str | None], rules: HyperRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, triple and count of the letter triples of each text, runs of other characters read as one space."""
+    """Row, triple and count of the letter triples of each text, its runs of other characters read as one space."""
     slots, _ = _letters(rules)
     joined = "\x00".join(t or "" for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,7 +57,7 @@ def triples(texts: list[str | None], rules: HyperRules) -> tuple[np.ndarray, np.
     row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[: len(codes)]
     slot = slots[codes]
     keep = np.ones(len(slot), bool)
-    keep[1:] = (slot[1:] > 0) | (slot[:-1] > 0)
+    keep[1:] = (slot[1:] > 0) | (slot[:-1] > 0) | (row[1:] != row[:-1])
     slot, row = slot[keep].astype(np.int64), row[keep]
     if len(slot) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
