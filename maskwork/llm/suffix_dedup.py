@@ -4,20 +4,25 @@ Each string of ``length`` bytes has an anchor: the k-byte substring of the small
 string alone, so equal strings have it at the same place, and only suffixes that start at anchors need sorting.
 
 1. Texts are dealt to runs.  Runs exchange fingerprints of their anchors; an anchor that is in one document only can be in
-   no repeat, and its suffix goes no further.
+   no repeat, and its suffix goes no further.  An anchor with very many surroundings is split: each of its strings becomes
+   a suffix of its own, which starts at the string and is filed by the string's hash, so that no range holds them all.
 2. Each run sorts its remaining suffixes, up to the end of the last string of that anchor, joins equal ones, and sends
    them front-coded: the length of the prefix shared with the one before, and the rest.
 3. Each range of anchors merges its runs by a loser tree that knows, for each contender, the prefix shared with the last
    suffix put out.  The longer one wins without a look at the bytes; at a tie the comparison goes on behind it.
 4. The common prefixes of neighbours, and those of what stands before the anchors, say which strings are equal, and so
    which is the smallest document that has each.  Runs get this back and remove what a smaller document has.
-"""
 
+No run sends a row to every range.  Where there are more than ``fan`` of them, rows go to groups of ranges first, and there
+blocks of ``fan`` runs are merged and sent on to smaller groups; so rows and merges have at most ``fan`` parts at any size.
+"""
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,12 @@ class RepeatRules:
     length: int = 50
     #: Bytes of an anchor: fewer make fewer anchors, more make fewer that are alike by chance.
     seed: int = 16
-    #: Bytes of text in a run.  Runs and anchor ranges are as many as the text has such parts, and each run sends each
-    #: range a row; so this should grow with the memory of the workers.
+    #: Bytes of text in a run.  Runs and anchor ranges are as many as the text has such parts.
     run_bytes: int = 4 << 20
+    #: Into so many groups of ranges a run sends its rows, and so many runs are merged at once.
+    fan: int = 512
+    #: An anchor with more distinct surroundings than this, counted to a power of two in each run, is split by its strings.
+    hot: int = 100_000
 
     @property
     def reach(self) -> int:
@@ -57,6 +65,20 @@ class Anchors:
     fingerprint: np.ndarray
     segment: np.ndarray
 
+    def __getitem__(self, chosen) -> Anchors:
+        return Anchors(*(x[chosen] for x in (self.at, self.first, self.last, self.row, self.fingerprint, self.segment)))
+
+    def strings(self, data: np.ndarray, size: int) -> Anchors:
+        """Each string of these anchors as an anchor of its own, at its start."""
+        n = self.last - self.first + 1
+        at = np.repeat(self.first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        whole = np.zeros(len(at), U)
+        for base in range(0, len(data), STEP):
+            own = slice(*np.searchsorted(at, [base, base + STEP]))
+            if own.stop > own.start:
+                whole[own] = T.Hasher(data[base : base + STEP + size])(at[own] - base, at[own] - base + size)
+        return Anchors(at, at, at, np.repeat(self.row, n), whole >> U(1), T.mix(whole))
+
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> Anchors:
     """Anchors of all rows, the same for a row wherever it stands: each step has the anchors that lie in it, and reads as
@@ -96,7 +118,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
 def _rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, bytes and offsets of the texts of a run, piece by piece."""
     T.release()
-    for piece in (p.combine_chunks() for p in T.pieces(table, limit=1 << 20)):
+    for piece in (p.combine_chunks() for p in T.pieces(table, limit=1 << 19)):
         ids = piece.column("doc_id").combine_chunks() if isinstance(piece.column("doc_id"), pa.ChunkedArray) else piece.column("doc_id")
         data, offsets = T.buffers(piece.column("text"))
         yield np.asarray(ids.fill_null(int(LAST)), np.int64), data, offsets
@@ -121,9 +143,9 @@ def _least_most(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[
 
 # 1. fingerprints
 
-#: A range has but so many fingerprints, so of each only 39 bits are sent, and a bit more, in five bytes.  Two that agree
-#: in these by chance count as one: that sends suffixes in vain and changes no result.
-SENT = U(2**39 - 1)
+#: A range has but so many fingerprints, so of each only 35 bits are sent, with five bits more, in five bytes.  Two that
+#: agree in these by chance count as one: that sends suffixes in vain and changes no result.
+SENT = U(2**35 - 1)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -136,35 +158,52 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U)
 
 
-def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules) -> pa.Table:
-    """A row for each range: the sent part of fingerprints, shifted by a bit that says if several documents have it."""
-    found, owner = [], []
+def _keyed(at: np.ndarray | int, prints: np.ndarray) -> np.ndarray:
+    """A range and the sent part of a fingerprint in one number."""
+    return U(at) << U(35) | prints & SENT if np.isscalar(at) else at.astype(U) << U(35) | prints & SENT
+
+
+def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules) -> Entries:
+    """For each range, the sent part of fingerprints, above four bits for how many segments and one for several documents."""
+    found, owner, segments = [], [], []
     for ids, data, offsets in _rows(table):
         a = find_anchors(data, offsets, rules)
         found.append(a.fingerprint)
+        segments.append(a.segment)
         owner.append(ids[a.row])
-    prints, ids = np.concatenate(found), np.concatenate(owner)
-    several = np.zeros(0, U)
+    prints, ids, segments = np.concatenate(found), np.concatenate(owner), np.concatenate(segments)
+    sent = np.zeros(0, U)
     if len(prints):
-        one, least, most = _least_most(prints, ids, ids)
-        prints, several = prints[one], (least != most).astype(U)
+        order = np.lexsort([segments, prints])
+        prints, ids, segments = prints[order], ids[order], segments[order]
+        changed = prints[1:] != prints[:-1]
+        new = np.flatnonzero(np.concatenate([[True], changed]))
+        distinct = np.add.reduceat(np.concatenate([[True], changed | (segments[1:] != segments[:-1])]).astype(np.int64), new)
+        several = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
+        prints = prints[new]
+        sent = (prints & SENT) << U(5) | np.log2(distinct).astype(U).clip(max=U(15)) << U(1) | several.astype(U)
     cuts = np.searchsorted(_range_of(prints, ranges), np.arange(ranges + 1))
-    sent = (prints & SENT) << U(1) | several
-    full = np.flatnonzero(np.diff(cuts))
-    run = table.column("run")[0].as_py()
-    return pa.table({"run": pa.array([run] * len(full), pa.int32()), "range": pa.array(full.astype(np.int32)), "prints": pa.array([_pack(sent[cuts[r] : cuts[r + 1]]) for r in full], pa.binary())})
+    return [(int(r), _pack(sent[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each run, those of its fingerprints that several documents have."""
-    own = [_unpack(b) for b in table.column("prints").to_pylist()]
+def _repeated(runs: list[int], prints: list[bytes], rules: RepeatRules) -> Entries:
+    """For each run, those of its fingerprints that several documents have, above a bit that says if they are split."""
+    own = [_unpack(b) for b in prints]
     every = np.sort(np.concatenate(own))
-    key = every >> U(1)
-    several = np.unique(np.concatenate([key[1:][key[1:] == key[:-1]], key[(every & U(1)) == 1]]))
-    kept = [x[several[np.searchsorted(several, x >> U(1)).clip(max=max(len(several) - 1, 0))] == x >> U(1)] >> U(1) if len(several) else x[:0] for x in own]
-    some = [i for i, k in enumerate(kept) if len(k)]
-    runs, which = table.column("run").to_pylist(), table.column("range").to_pylist()
-    return pa.table({"run": pa.array([runs[i] for i in some], pa.int32()), "at": pa.array([which[i] for i in some], pa.int32()), "prints": pa.array([_pack(kept[i]) for i in some], pa.binary())})
+    key = every >> U(5)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.concatenate([new, [len(key)]]))
+    several = (times > 1) | (np.bitwise_or.reduceat(every, new) & U(1) == 1)
+    hot = np.add.reduceat(np.int64(1) << (every >> U(1) & U(15)).astype(np.int64), new) > rules.hot
+    key, hot = key[new][several], hot[several].astype(U)
+    out = []
+    for run, x in zip(runs, own):
+        x = x >> U(5)
+        at = np.searchsorted(key, x).clip(max=max(len(key) - 1, 0))
+        kept = np.flatnonzero(key[at] == x) if len(key) else []
+        if len(kept):
+            out.append((run, _pack(x[kept] << U(1) | hot[at[kept]])))
+    return out
 
 
 # 2. sorted, front-coded suffixes
@@ -172,12 +211,10 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _matrix(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, backwards: bool = False) -> np.ndarray:
     """Rows of ``width`` bytes from each start, zero behind each size; or those before each start, the nearest first."""
-    steps = np.arange(width)
-    at = starts[:, None] - 1 - steps if backwards else starts[:, None] + steps
-    if not len(data):
-        return np.zeros((len(starts), width), np.uint8)
-    out = data[at.clip(0, len(data) - 1)]
-    out[steps[None, :] >= sizes[:, None]] = 0
+    out = np.zeros((len(starts), width), np.uint8)
+    for k in range(width if len(data) else 0):
+        at = starts - 1 - k if backwards else starts + k
+        out[:, k] = np.where(k < sizes, data[at.clip(0, len(data) - 1)], 0)
     return out
 
 
@@ -200,56 +237,90 @@ def _common(matrix: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffix_runs(table: pa.Table, repeated: pa.Table, ranges: int, rules: RepeatRules) -> pa.Table:
-    """A row for each range: the run's distinct suffixes of that range, sorted and front-coded."""
-    columns = ["run", "range", "shared", "right_size", "left_size", "rest", "left", "least", "several", "segment"]
-    schema = pa.schema([("run", pa.int32()), ("range", pa.int32())] + [(c, pa.binary()) for c in columns[2:]])
-    if not repeated.num_rows or not table.num_rows:
-        return schema.empty_table()
-    keyed = lambda at, prints: at.astype(U) << U(39) | prints & SENT
-    wanted = np.sort(np.concatenate([keyed(np.array([r]), _unpack(b)) for r, b in zip(repeated.column("at").to_pylist(), repeated.column("prints").to_pylist())]))
+@dataclass
+class Block:
+    """Sorted suffixes, front-coded: ``shared`` with the one before and the ``rest``; and of each what stands before its
+    anchor, the smallest document and whether there are several, a hash, its run, and whether it is one of a split anchor."""
+
+    shared: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+    rest: np.ndarray
+    before: np.ndarray
+    least: np.ndarray
+    several: np.ndarray
+    segment: np.ndarray
+    run: np.ndarray
+    split: np.ndarray
+
+    def pack(self) -> bytes:
+        parts = [np.ascontiguousarray(x).tobytes() for x in (self.shared, self.right, self.left, self.rest, self.before, self.least, self.several, self.segment, self.run, self.split)]
+        return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+    @staticmethod
+    def unpack(packed: bytes) -> Block:
+        kinds = [np.uint8] * 5 + [np.int64, np.uint8, U, np.int32, np.uint8]
+        cuts = np.cumsum([80, *np.frombuffer(packed, np.int64, 10)]).tolist()
+        return Block(*(np.frombuffer(packed[a:b], kind) for a, b, kind in zip(cuts, cuts[1:], kinds)))
+
+    def reader(self) -> FrontCoded:
+        return FrontCoded(self.shared.tobytes(), self.right.tobytes(), self.rest.tobytes())
+
+
+def _ragged(matrix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bytes from low to high of each row, one row after another."""
+    steps = np.arange(matrix.shape[1], dtype=np.uint8)[None, :]
+    return matrix[(steps >= low.astype(np.uint8)[:, None]) & (steps < high.astype(np.uint8)[:, None])]
+
+
+def _suffix_runs(table: pa.Table, ranges_: list[int], prints: list[bytes], ranges: int, rules: RepeatRules) -> Entries:
+    """For each range, the run's distinct suffixes, sorted and front-coded."""
+    if not prints or not table.num_rows:
+        return []
+    wanted, hot = [], []
+    for r, packed in zip(ranges_, prints):
+        x = _unpack(packed)
+        wanted.append(_keyed(r, x >> U(1)))
+        hot.append(x & U(1) == 1)
+    wanted, hot = np.concatenate(wanted), np.concatenate(hot)
+    order = np.argsort(wanted)
+    wanted, hot = wanted[order], hot[order]
     parts = []
     for ids, data, offsets in _rows(table):
         a = find_anchors(data, offsets, rules)
-        if not len(a.at):
-            continue
-        print_ = keyed(_range_of(a.fingerprint, ranges), a.fingerprint)
-        hit = np.flatnonzero(wanted[np.searchsorted(wanted, print_).clip(max=len(wanted) - 1)] == print_)
-        if not len(hit):
-            continue
-        own = ids[a.row[hit]]
-        one, least, most = _least_most(a.segment[hit], own, own)
-        hit = hit[one]
-        right, left = a.last[hit] + rules.length - a.at[hit], a.at[hit] - a.first[hit]
-        parts.append((a.segment[hit], a.fingerprint[hit], least, most, right, left, _matrix(data, a.at[hit], right, rules.length), _matrix(data, a.at[hit], left, rules.reach, True)))
+        key = _keyed(_range_of(a.fingerprint, ranges), a.fingerprint)
+        at = np.searchsorted(wanted, key).clip(max=len(wanted) - 1)
+        hit = wanted[at] == key
+        for chosen, split in ((a[hit & ~hot[at]], 0), (a[hit & hot[at]], 1)):
+            if not len(chosen.at):
+                continue
+            if split:
+                chosen = chosen.strings(data, rules.length)
+            own = ids[chosen.row]
+            one, least, most = _least_most(chosen.segment, own, own)
+            c = chosen[one]
+            right, left = c.last + rules.length - c.at, c.at - c.first
+            small = [x.astype(np.uint8) for x in (right, left, np.full(len(right), split))]
+            parts.append((c.segment, c.fingerprint, least, most, *small, _matrix(data, c.at, right, rules.length), _matrix(data, c.at, left, rules.reach, True)))
     if not parts:
-        return schema.empty_table()
-    segment, prints, least, most, right, left, rights, lefts = (np.concatenate(x) for x in zip(*parts))
+        return []
+    segment, print_, least, most, right, left, split, rights, lefts = (np.concatenate(x) for x in zip(*parts))
+    del parts
     one, least, most = _least_most(segment, least, most)
-    segment, prints, right, left, rights, lefts = (x[one] for x in (segment, prints, right, left, rights, lefts))
-    part = _range_of(prints, ranges)
-    order = np.lexsort([*_sort_keys(lefts), left, right, *_sort_keys(rights), part])
-    segment, right, left, rights, lefts, least, most, part = (x[order] for x in (segment, right, left, rights, lefts, least, most, part))
-    shared = _common(rights, right)
+    part = _range_of(print_[one], ranges)
+    order = np.lexsort([*_sort_keys(lefts[one]), left[one], right[one], *_sort_keys(rights[one]), part])
+    least, several, part, one = least[order], (least != most)[order].astype(np.uint8), part[order], one[order]
+    segment, right, left, split, rights, lefts = segment[one], right[one], left[one], split[one], rights[one], lefts[one]
+    shared = _common(rights, right).astype(np.uint8)
     cuts = np.searchsorted(part, np.arange(ranges + 1))
     shared[cuts[:-1][cuts[:-1] < len(shared)]] = 0
-    steps = np.arange(rules.length)[None, :]
-    rest = (steps >= shared[:, None]) & (steps < right[:, None])
-    before = np.arange(rules.reach)[None, :] < left[:, None]
-    rest_cut, left_cut = np.concatenate([[0], np.cumsum(rest.sum(axis=1))]), np.concatenate([[0], np.cumsum(left)])
-    rest, before = rights[rest], lefts[before]
-    small = [x.astype(np.uint8) for x in (shared, right, left)]
-    several = (least != most).astype(np.uint8)
-    full = np.flatnonzero(np.diff(cuts))
-    out = {c: [] for c in columns[2:]}
-    for r in full:
-        a, b = cuts[r], cuts[r + 1]
-        for c, x in zip(("shared", "right_size", "left_size", "least", "several", "segment"), (*small, least, several, segment)):
-            out[c].append(x[a:b].tobytes())
-        out["rest"].append(rest[rest_cut[a] : rest_cut[b]].tobytes())
-        out["left"].append(before[left_cut[a] : left_cut[b]].tobytes())
-    run = table.column("run")[0].as_py()
-    return pa.table({"run": pa.array([run] * len(full), pa.int32()), "range": pa.array(full.astype(np.int32))} | {c: pa.array(v, pa.binary()) for c, v in out.items()})
+    run = np.full(len(part), table.column("run")[0].as_py(), np.int32)
+    out = []
+    for r in np.flatnonzero(np.diff(cuts)):
+        s = slice(cuts[r], cuts[r + 1])
+        block = Block(shared[s], right[s], left[s], _ragged(rights[s], shared[s], right[s]), _ragged(lefts[s], np.zeros(s.stop - s.start), left[s]), least[s], several[s], segment[s], run[s], split[s])
+        out.append((int(r), block.pack()))
+    return out
 
 
 # 3. merging
@@ -318,71 +389,137 @@ def merge_runs(runs: list[FrontCoded]) -> Iterator[tuple[int, int, int]]:
             node >>= 1
 
 
+def merge_blocks(blocks: list[Block], rules: RepeatRules, texts: bool) -> tuple[Block, np.ndarray]:
+    """One sorted block of all, and what stands before each anchor as rows; the rests of suffixes only if asked for."""
+    readers = [b.reader() for b in blocks]
+    places, shared, rests = array("q"), bytearray(), []
+    first = np.cumsum([0] + [len(b.shared) for b in blocks]).tolist()
+    for i, row, common in merge_runs(readers):
+        places.append(first[i] + row)
+        shared.append(common)
+        if texts:
+            rests.append(readers[i].text[common:])
+    at = np.frombuffer(places, np.int64)
+    joined = lambda name: np.concatenate([getattr(b, name) for b in blocks])
+    left = joined("left")
+    begins = np.cumsum(left, dtype=np.int64) - left
+    lefts = _matrix(joined("before"), begins[at], left[at], rules.reach)
+    rest = np.frombuffer(b"".join(rests), np.uint8)
+    gathered = {name: joined(name)[at] for name in ("right", "least", "several", "segment", "run", "split")}
+    before = _ragged(lefts, np.zeros(len(at)), left[at]) if texts else rest
+    return Block(shared=np.frombuffer(bytes(shared), np.uint8), left=left[at], rest=rest, before=before, **gathered), lefts
+
+
 # 4. which strings are equal
 
 
-def _smallest_owners(table: pa.Table, rules: RepeatRules) -> pa.Table:
+def _smallest_owners(packed: list[bytes], rules: RepeatRules) -> Entries:
     """For each run: segments with the offsets of the anchor in strings that a smaller document may have, and its id."""
     T.release()
-    cols = {c: table.column(c).to_pylist() for c in ("run", "shared", "right_size", "left_size", "rest", "left", "least", "several", "segment")}
-    merged = np.array(list(merge_runs([FrontCoded(*x) for x in zip(cols["shared"], cols["right_size"], cols["rest"])])), np.int64).reshape(-1, 3)
-    run, shared = merged[:, 0], merged[:, 2]
-    base = np.cumsum([0] + [len(x) for x in cols["shared"]])[run] + merged[:, 1]
-    of = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind)[base]
-    right, left, least, several, segment = of("right_size", np.uint8).astype(np.int64), of("left_size", np.uint8).astype(np.int64), of("least", np.int64), of("several", np.uint8), of("segment", U)
-    flat, sizes = np.frombuffer(b"".join(cols["left"]), np.uint8), np.frombuffer(b"".join(cols["left_size"]), np.uint8).astype(np.int64)
-    lefts = _matrix(flat, (np.cumsum(sizes) - sizes)[base], left, rules.reach)
+    b, lefts = merge_blocks([Block.unpack(x) for x in packed], rules, texts=False)
+    shared, right, left, n = b.shared.astype(np.int64), b.right.astype(np.int64), b.left.astype(np.int64), len(b.run)
     order = np.lexsort([left, *_sort_keys(lefts)])
     alike = _common(lefts[order], left[order])
-    n = len(run)
-    least_of = np.full((n, rules.reach + 1), LAST, np.int64)
-    asked = np.zeros((n, rules.reach + 1), bool)
-    left_group = np.empty(n, np.int64)
-    for offset in range(rules.reach + 1):
-        own = np.flatnonzero((offset <= left) & (rules.length - offset <= right))
-        if not len(own):
-            continue
-        left_group[order] = np.cumsum(alike < offset)
-        key = np.cumsum(shared < rules.length - offset)[own] * (n + 1) + left_group[own]
-        by, new = _grouped(key)
-        smallest = np.repeat(np.minimum.reduceat(least[own][by], new), np.diff(np.concatenate([new, [len(own)]])))
-        least_of[own[by], offset] = smallest
-        asked[own[by], offset] = (smallest < least[own][by]) | (several[own][by] == 1)
-    begins = asked.copy()
-    begins[:, 1:] &= ~(asked[:, :-1] & (least_of[:, 1:] == least_of[:, :-1]))
-    finishes = asked.copy()
-    finishes[:, :-1] &= ~(asked[:, 1:] & (least_of[:, 1:] == least_of[:, :-1]))
-    row, start = np.nonzero(begins)
-    end = np.nonzero(finishes)[1]
-    owner = run[row]
-    by = np.argsort(owner, kind="stable")
-    row, start, end, owner = row[by], start[by], end[by], owner[by]
-    cuts = np.searchsorted(owner, np.arange(len(cols["run"]) + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    block = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())
-    return pa.table({"run": pa.array([cols["run"][i] for i in full], pa.int32()), "segment": block(segment[row]), "low": block(start.astype(np.uint8)), "high": block(end.astype(np.uint8)), "least": block(least_of[row, start])})
-
-
-def _removed(table: pa.Table, answers: pa.Table, rules: RepeatRules, digest: bool) -> pa.Table:
+    del lefts
+    group = np.empty(n, np.int64)
+    open_, start, known = np.zeros(n, bool), np.zeros(n, np.uint8), np.full(n, LAST)
+    found: list[tuple] = []
+    for offset in range(rules.reach + 2):  # one more, at which all that is open ends
+        asked, least = np.zeros(n, bool), np.full(n, LAST)
+        own = np.flatnonzero((offset <= left) & (rules.length - offset <= right) & (offset <= rules.reach))
+        if len(own):
+            group[order] = np.cumsum(alike < offset)
+            by, new = _grouped(np.cumsum(shared < rules.length - offset)[own] * (n + 1) + group[own])
+            smallest = np.repeat(np.minimum.reduceat(b.least[own][by], new), np.diff(np.concatenate([new, [len(own)]])))
+            own = own[by]
+            least[own] = smallest
+            asked[own] = (smallest < b.least[own]) | (b.several[own] == 1)
+        same = open_ & asked & (least == known)
+        ended, begun = np.flatnonzero(open_ & ~same), np.flatnonzero(asked & ~same)
+        found.append((ended, start[ended].copy(), np.full(len(ended), max(offset - 1, 0), np.uint8), known[ended]))
+        start[begun] = offset
+        open_, known = asked, least
+    row, low, high, least = (np.concatenate(x) for x in zip(*found))
+    high[b.split[row] == 1] = SPLIT
+    by = np.argsort(b.run[row], kind="stable")
+    row, low, high, least = row[by], low[by], high[by], least[by]
+    runs, cuts = np.unique(b.run[row], return_index=True)
+    ends = [*cuts[1:], len(row)]
+    return [(int(run), Answers(b.segment[row[x:y]], low[x:y], high[x:y], least[x:y]).pack()) for run, x, y in zip(runs, cuts, ends)]
+
+
+#: In place of the last offset: the answer is on one string of a split anchor.
+SPLIT = 255
+
+
+@dataclass
+class Answers:
+    segment: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    least: np.ndarray
+
+    def pack(self) -> bytes:
+        return np.int64(len(self.segment)).tobytes() + b"".join(x.tobytes() for x in (self.segment, self.low, self.high, self.least))
+
+    @staticmethod
+    def unpack(packed: list[bytes]) -> Answers:
+        parts = []
+        for p in packed:
+            n = int(np.frombuffer(p, np.int64, 1)[0])
+            parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((U, 0), (np.uint8, 8), (np.uint8, 9), (np.int64, 10))])
+        segment, low, high, least = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, k) for k in (U, np.uint8, np.uint8, np.int64))
+        order = np.argsort(segment, kind="stable")
+        return Answers(segment[order], low[order], high[order], least[order])
+
+    def where(self, mask: np.ndarray) -> Answers:
+        return Answers(self.segment[mask], self.low[mask], self.high[mask], self.least[mask])
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place among the hashes and one among the answers."""
+        lo, hi = np.searchsorted(self.segment, hashes), np.searchsorted(self.segment, hashes, side="right")
+        times = hi - lo
+        which = np.repeat(np.arange(len(times)), times)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + lo[which]
+
+
+def _split_hits(data: np.ndarray, offsets: np.ndarray, answers: Answers, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of strings that answers on split anchors are about, and those answers; most places go by a table of bits."""
+    some = np.zeros(1 << 20, bool)
+    some[answers.segment >> U(44)] = True
+    starts, which = [], []
+    for base in range(0, len(data) - size + 1, STEP):
+        hashes = T.mix(T.Hasher(data[base : base + STEP + size - 1]).windows(size))
+        at = np.flatnonzero(some[hashes >> U(44)])
+        at = at[np.searchsorted(offsets, at + base, side="right") == np.searchsorted(offsets, at + base + size - 1, side="right")]
+        own, answer = answers.look_up(hashes[at])
+        starts.append(at[own] + base)
+        which.append(answer)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(starts or none), np.concatenate(which or none)
+
+
+def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: bool) -> pa.Table:
     """Per document: what is left, and the removed ranges; or, as a digest, the hash of what is left."""
-    got = {c: np.frombuffer(b"".join(answers.column(c).to_pylist()) if answers.num_rows else b"", kind) for c, kind in (("segment", U), ("low", np.uint8), ("high", np.uint8), ("least", np.int64))}
-    order = np.argsort(got["segment"], kind="stable")
-    got = {c: x[order] for c, x in got.items()}
+    answers = Answers.unpack(packed)
+    whole, answers = answers.where(answers.high == SPLIT), answers.where(answers.high != SPLIT)
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
     types |= {"kept_sha256": pa.string()} if digest else {"kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
     out: dict[str, list] = {c: [] for c in types}
     for ids, data, offsets in _rows(table):
         change = np.zeros(len(data) + 1, np.int32)
-        if len(got["segment"]):
+        if len(answers.segment):
             a = find_anchors(data, offsets, rules)
-            lo, hi = np.searchsorted(got["segment"], a.segment), np.searchsorted(got["segment"], a.segment, side="right")
-            times = hi - lo
-            which = np.repeat(np.arange(len(times)), times)
-            answer = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + lo[which]
-            use = got["least"][answer] < ids[a.row[which]]
+            which, answer = answers.look_up(a.segment)
+            use = answers.least[answer] < ids[a.row[which]]
             which, answer = which[use], answer[use]
-            np.add.at(change, a.at[which] - got["high"][answer], 1)
-            np.add.at(change, a.at[which] - got["low"][answer] + rules.length, -1)
+            np.add.at(change, a.at[which] - answers.high[answer], 1)
+            np.add.at(change, a.at[which] - answers.low[answer] + rules.length, -1)
+        if len(whole.segment):
+            starts, answer = _split_hits(data, offsets, whole, rules.length)
+            use = whole.least[answer] < ids[np.searchsorted(offsets, starts, side="right") - 1]
+            np.add.at(change, starts[use], 1)
+            np.add.at(change, starts[use] + rules.length, -1)
         covered = np.cumsum(change[:-1]) > 0
         for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             own = covered[x:y]
@@ -400,29 +537,103 @@ def _removed(table: pa.Table, answers: pa.Table, rules: RepeatRules, digest: boo
     return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
 
+# Exchange.  A row bundles what one source, or a group of them, has for a group of targets.
+
+Entries = list[tuple[int, bytes]]
+BUNDLE = "key int, source int, sources binary, targets binary, sizes binary, payload binary"
+
+
+def _bundled(source: int, entries: list[tuple[int, int, bytes]], width: int) -> pa.Table:
+    """Rows by ``target // width`` of (source, target, payload)."""
+    rows: dict[str, list] = {c.split()[0]: [] for c in BUNDLE.split(", ")}
+    entries.sort(key=lambda e: e[1])
+    for key, own in groupby(entries, lambda e: e[1] // width):
+        own = list(own)
+        ints = lambda k: np.array([e[k] for e in own], np.int32).tobytes()
+        for c, v in zip(rows, (key, source, ints(0), ints(1), np.array([len(e[2]) for e in own], np.int64).tobytes(), b"".join(e[2] for e in own))):
+            rows[c].append(v)
+    return pa.table({c: pa.array(v, pa.int32() if c in ("key", "source") else pa.binary()) for c, v in rows.items()})
+
+
+def _entries(bundles: pa.Table) -> list[tuple[int, int, bytes]]:
+    out = []
+    for sources, targets, sizes, payload in zip(*(bundles.column(c).to_pylist() for c in ("sources", "targets", "sizes", "payload"))):
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]).tolist()
+        out += [(s, t, payload[a:b]) for s, t, a, b in zip(np.frombuffer(sources, np.int32).tolist(), np.frombuffer(targets, np.int32).tolist(), cuts, cuts[1:])]
+    return out
+
+
+def _widths(parts: int, fan: int) -> list[int]:
+    """How many targets a bundle is for, on each step of the way to single ones."""
+    widths = [1]
+    while widths[0] * fan < parts:
+        widths.insert(0, widths[0] * fan)
+    return widths
+
+
+def _exchanged(sent: DataFrame, parts: int, rules: RepeatRules, join) -> DataFrame:
+    """Bundles for single targets, by column ``key``, from those for groups of them; ``join`` makes one payload of several."""
+    for width in _widths(parts, rules.fan)[1:]:
+        sent = sent.withColumn("source", F.floor(F.col("source") / rules.fan).cast("int")).groupBy("key", "source").applyInArrow(_regroup(width, join), BUNDLE)
+    return sent
+
+
+def _regroup(width: int, join):
+    return lambda bundles: _bundled(bundles.column("source")[0].as_py(), join(_entries(bundles)), width)
+
+
+def _merged(entries: list[tuple[int, int, bytes]], rules: RepeatRules) -> list[tuple[int, int, bytes]]:
+    """The blocks for one target as one block."""
+    out = []
+    for target, own in groupby(sorted(entries, key=lambda e: e[1]), lambda e: e[1]):
+        own = list(own)
+        out.append((own[0][0], target, merge_blocks([Block.unpack(e[2]) for e in own], rules, texts=True)[0].pack() if len(own) > 1 else own[0][2]))
+    return out
+
+
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary, spans array<struct<start int, end int>>``, a row for each row.
 
     A byte of a text's UTF-8 is removed if a string of ``length`` bytes that covers it also starts in a document with a
     smaller id.  Strings are judged on the input; overlaps count; none crosses documents.  ``kept`` holds the other bytes,
     ``spans`` the removed ranges in bytes.  A null text is empty, a text shorter than ``length`` stays whole, a null id is
-    larger than any other, and rows of equal ids remove nothing from one another.  An empty table gives none.  With
-    ``digest``, ``kept_sha256`` stands in place of ``kept`` and ``spans``.
+    larger than any other, and rows of equal ids remove nothing from one another.  An empty table gives none; columns other
+    than ``doc_id`` and ``text`` are not carried along.  With ``digest``, ``kept_sha256`` stands in place of ``kept`` and
+    ``spans``.
 
     Strings are compared byte by byte in the merge; equal segments within a run are joined by a 64-bit hash of theirs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     runs = max(1, -(-total // rules.run_bytes))
+    first = _widths(runs, rules.fan)[0]
     texts = texts.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(runs)).cast("int"))
-    prints = texts.groupBy("run").applyInArrow(lambda t: _fingerprints(t, runs, rules), "run int, range int, prints binary")
-    repeated = prints.groupBy("range").applyInArrow(_repeated, "run int, at int, prints binary")
-    coded = texts.groupBy("run").cogroup(repeated.groupBy("run")).applyInArrow(
-        lambda t, r: _suffix_runs(t, r, runs, rules), "run int, range int, shared binary, right_size binary, left_size binary, rest binary, left binary, least binary, several binary, segment binary"
-    )
-    answers = coded.groupBy("range").applyInArrow(lambda t: _smallest_owners(t, rules), "run int, segment binary, low binary, high binary, least binary")
+    plain = lambda entries: entries
+    run_of = lambda t: t.column("run")[0].as_py()
+    key_of = lambda t: t.column("key")[0].as_py()
+    of = lambda source, entries: [(source, target, x) for target, x in entries]
+
+    def fingerprints(t: pa.Table) -> pa.Table:
+        return _bundled(run_of(t), of(run_of(t), _fingerprints(t, runs, rules)), first)
+
+    def repeated(t: pa.Table) -> pa.Table:
+        entries = _entries(t)
+        return _bundled(key_of(t), of(key_of(t), _repeated([e[0] for e in entries], [e[2] for e in entries], rules)), first)
+
+    def suffixes(t: pa.Table, r: pa.Table) -> pa.Table:
+        entries = _entries(r)
+        run = run_of(t) if t.num_rows else 0
+        return _bundled(run, of(run, _suffix_runs(t, [e[0] for e in entries], [e[2] for e in entries], runs, rules)), first)
+
+    def owners(t: pa.Table) -> pa.Table:
+        return _bundled(key_of(t), of(key_of(t), _smallest_owners([e[2] for e in _entries(t)], rules)), first)
+
+    prints = _exchanged(texts.groupBy("run").applyInArrow(fingerprints, BUNDLE), runs, rules, plain)
+    known = _exchanged(prints.groupBy("key").applyInArrow(repeated, BUNDLE), runs, rules, plain)
+    coded = _exchanged(texts.groupBy("run").cogroup(known.groupBy("key")).applyInArrow(suffixes, BUNDLE), runs, rules, lambda e: _merged(e, rules))
+    answers = _exchanged(coded.groupBy("key").applyInArrow(owners, BUNDLE), runs, rules, plain)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:int,end:int>>")
-    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda t, a: _removed(t, a, rules, digest), schema)
+    return texts.groupBy("run").cogroup(answers.groupBy("key")).applyInArrow(lambda t, a: _removed(t, [e[2] for e in _entries(a)], rules, digest), schema)
 
 
 REPEAT_SQL = r"""

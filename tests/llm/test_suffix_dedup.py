@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from maskwork.llm.suffix_dedup import FrontCoded, RepeatRules, merge_runs, remove_repeats
 
 
@@ -37,6 +39,18 @@ def test_against_brute_force(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rules", [RepeatRules(run_bytes=1500, fan=3), RepeatRules(run_bytes=1500, hot=3), RepeatRules(run_bytes=900, fan=2, hot=1)])
+def test_steps_of_merging_and_split_anchors(spark, rules):
+    """The same rows whatever the steps of the exchange, and with a passage in every document, in other surroundings each time."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
+    shared = [text(70), text(55), "Licensed text 16", "z" * 40, "q" * 130]
+    rows = [(i, text(rng.randrange(60)) + shared[2] + text(rng.randrange(6)) + rng.choice(shared) + text(9)) for i in range(90)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:12])] + [(None, rows[3][1]), (5, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in remove_repeats(docs, rules, digest=True).collect()), key=str) == brute_force(rows, 50)
+
+
 def test_spans_and_rest(spark):
     a = "x1y2z3" * 10
     docs = spark.createDataFrame([(1, a), (2, "é" + a + "end")], "doc_id long, text string")

@@ -44,7 +44,9 @@ def test_rows_in_another_order_in_each_read(monkeypatch):
     monkeypatch.setattr(S, "STEP", 64)
     for _ in range(4):
         shuffled = lambda: a_table(rng.sample(rows, len(rows)))
-        repeated = S._repeated(S._fingerprints(shuffled(), 1, rules))
-        answers = S._smallest_owners(S._suffix_runs(shuffled(), repeated, 1, rules), rules)
-        got = S._removed(shuffled(), answers, rules, True).to_pylist()
+        prints = S._fingerprints(shuffled(), 1, rules)
+        repeated = S._repeated([0], [x for _, x in prints], rules)
+        blocks = S._suffix_runs(shuffled(), [0], [x for _, x in repeated], 1, rules)
+        answers = S._smallest_owners([x for _, x in blocks], rules)
+        got = S._removed(shuffled(), [x for _, x in answers], rules, True).to_pylist()
         assert sorted((tuple(r.values()) for r in got), key=str) == brute_force(rows, 50)
