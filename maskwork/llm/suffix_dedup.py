@@ -107,7 +107,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         first, last, at = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1], at[new]
         segment = T.mix(hasher(first, last + size) + (at - first).astype(U))
-        parts.append((at + begin, first + begin, last + begin, seeds[at] >> U(1), segment))
+        parts.append((at + begin, first + begin, last + begin, T.mix(seeds[at]) >> U(1), segment))  # mixed again: anchors have small hashes
     if not parts:
         none = np.zeros(0, np.int64)
         return Anchors(none, none, none, none, none.astype(U), none.astype(U))
