@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A validator gets the value, the whole text and where the value starts in it.
-Validator = Callable[[Column, Column, Column], Column]
+#: A validator gets the value and its match, which has the text around it where the rule asks for context.
+Validator = Callable[[Column, Column], Column]
 
 
 def digits(value: Column) -> Column:
@@ -20,10 +20,9 @@ def chars(value: Column) -> Column:
     return F.filter(F.split(value, ""), lambda c: c != "")
 
 
-def before(text: Column, start: Column, n: int) -> Column:
+def before(match: Column, n: int) -> Column:
     """Up to ``n`` characters that end where the value starts."""
-    first = F.greatest(start - n, F.lit(0))
-    return F.substring(text, first + 1, start - first)
+    return F.right(match["head"], F.lit(n))
 
 
 def luhn_ok(value: Column) -> Column:
@@ -62,9 +61,9 @@ def ssn_ok(value: Column) -> Column:
     return digits(value).rlike(r"^(?!000|666|9[0-9]{2})[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
 
 
-def ssn_context_ok(value: Column, text: Column, start: Column) -> Column:
-    cued = before(text, start, 32).rlike(r"(?i)(?<![0-9A-Za-z_])(?:ssn|social\s+security)(?![0-9A-Za-z_])\s*[:#-]?\s*\z")
-    return ssn_ok(value) & (value.rlike("[ -]") | (F.trim(text) == value) | cued)
+def ssn_context_ok(value: Column, match: Column) -> Column:
+    cued = before(match, 32).rlike(r"(?i)(?<![0-9A-Za-z_])(?:ssn|social\s+security)(?![0-9A-Za-z_])\s*+[:#-]?\s*\z")
+    return ssn_ok(value) & (value.rlike("[ -]") | match["alone"] | cued)
 
 
 def ipv4_ok(value: Column) -> Column:
@@ -72,8 +71,8 @@ def ipv4_ok(value: Column) -> Column:
     return value.rlike(rf"^{octet}(?:\.{octet}){{3}}\z") & (value != "0.0.0.0")
 
 
-def ipv4_in_context_ok(value: Column, text: Column, start: Column) -> Column:
-    return ipv4_ok(value) & ~before(text, start, 24).rlike(r"(?i)(?:(?<![0-9A-Za-z_])version|(?<![0-9A-Za-z_])release|(?<![0-9A-Za-z_])v)\s*\z")
+def ipv4_in_context_ok(value: Column, match: Column) -> Column:
+    return ipv4_ok(value) & ~before(match, 24).rlike(r"(?i)(?:(?<![0-9A-Za-z_])version|(?<![0-9A-Za-z_])release|(?<![0-9A-Za-z_])v)\s*\z")
 
 
 def ipv6_ok(value: Column) -> Column:
@@ -134,15 +133,14 @@ def valid_domain(domain: Column) -> Column:
     return (F.char_length(domain) <= 255) & domain.rlike(rf"^(?:{label}\.)+{label}\z") & ~domain.rlike(r"\..\z")
 
 
-def extend_secret(text: Column, end: Column, most: int = 4) -> Column:
-    """The end of a secret after up to ``most`` following chunks that look like more of it."""
+def more_of_secret(tail: Column, most: int = 4) -> Column:
+    """How many characters of the text behind a secret, up to ``most`` chunks of it, look like more of the secret."""
     piece = r""" {1,2}[^\s"',;]+"""
-    tail = F.substring(text, end + 1, F.char_length(text))
     pieces = F.regexp_extract_all(F.regexp_extract(tail, f"^(?:{piece}){{0,{most}}}", 0), F.lit(piece), F.lit(0))
-    start = F.struct(end.cast("int").alias("end"), F.lit(True).alias("open"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(True).alias("open"))
 
     def step(a: Column, p: Column) -> Column:
         more = a["open"] & secret_like_chunk(F.ltrim(p))
-        return F.struct(F.when(more, a["end"] + F.char_length(p)).otherwise(a["end"]).alias("end"), more.alias("open"))
+        return F.struct(F.when(more, a["size"] + F.char_length(p)).otherwise(a["size"]).alias("size"), more.alias("open"))
 
-    return F.aggregate(pieces, start, step, lambda a: a["end"])
+    return F.aggregate(pieces, start, step, lambda a: a["size"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.functions.display import mask_preview, pretty_label
-from maskwork.operators.spans import _col, explode_spans, with_spans
+from maskwork.operators.spans import _col, explode_spans, let, with_spans
 
 
 def redact_text(text: Column | str, spans: Column | str, style: str = "label") -> Column:
@@ -23,9 +23,12 @@ def redact_text(text: Column | str, spans: Column | str, style: str = "label") -
         shown = lambda s: mask_preview(cut(s["start"], s["end"]))
     else:
         raise ValueError("style must be one of label, box, mask")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], cut(a["at"], s["start"]), shown(s)).alias("out"))
-    return F.aggregate(_col(spans), start, step, lambda a: F.concat(a["out"], cut(a["at"], n(text))))
+    def stitched(all_: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(all_, i)["end"], F.lit(0))
+        parts = F.transform(all_, lambda s, i: F.concat(cut(end(i - 1), s["start"]), shown(s)))
+        return F.array_join(F.concat(parts, F.array(cut(end(F.size(all_) - 1), n(text)))), "")
+
+    return let(_col(spans), stitched)
 
 
 def redact(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: str | Sequence[str] = (), style: str = "label") -> DataFrame:

@@ -1,12 +1,12 @@
 """The detection rules, in order of priority, as data.
 
-A rule finds ``before``, then its value, then ``after``; the span is the value.  ``trigger`` is a cheap test of the whole
-text that any match implies, so that most texts skip the expensive pattern.
+A rule finds ``before``, then its value, then ``after``; the span is the value.  ``words``, ``folded``, ``digit`` and
+``trigger`` are cheap tests of the whole text that any match implies, so that most texts skip the expensive pattern.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from maskwork.functions import validators as V
 
@@ -29,21 +29,28 @@ class Rule:
     extend: bool = False
     score: float = 1.0
     rank: int = 0
-    #: Capturing groups inside ``before``.
+    #: Capturing groups inside ``before`` and inside ``value``.
     groups: int = 0
-    words: tuple[str, ...] = field(default=())  # literal triggers, any of which has to be there
+    value_groups: int = 0
+    #: Whether the check looks at the text around the value.
+    context: bool = False
+    words: tuple[str, ...] = ()  # any of which has to be there
+    folded: tuple[str, ...] = ()  # any of which has to be there in lower case
+    digit: bool = False  # whether a digit has to be there
 
 
 def plain(check) -> V.Validator:
-    return lambda value, text, start: check(value)
+    return lambda value, match: check(value)
 
 
+# Repeats are possessive (``*+``) or bounded where what follows could otherwise be tried in many ways: the engine recurses on
+# repeated groups, and tries all cuts of a long run of spaces between two repeats of them.
 # The shared parts of the patterns.
-ID_LABEL = rf"{SPACE}*(?:no\.?|num(?:ber)?|#)?{SPACE}*[:#]?{SPACE}*"
+ID_LABEL = rf"{SPACE}*+(?:no\.?|num(?:ber)?|#)?{SPACE}*+[:#]?{SPACE}*+"
 SEPARATOR = r"[ \t.\-\x{00A0}]"
 SENSITIVE_KEY = r"pass(?:word|wd|code|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|credentials?"
 LABEL_KEY = r"pass(?:word|wd|code|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|pin|otp"
-KEY_TRIGGER = r"(?i)pass|pwd|secret|token|key|credential"
+KEY_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
 NOT_NAMES = (
     "Yesterday|Today|Tomorrow|Now|Just|Edited|Sent|Seen|Read|Delivered|Mon|Tue|Wed|Thu|Fri|Sat|Sun|"
     "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|"
@@ -66,8 +73,9 @@ SECRET_LABEL_ONLY = rf"(?i)(?:^|{SPACE})(?:{LABEL_KEY}){SPACE}*[:=]?{SPACE}*\z"
 PEM_LINE = r"[A-Za-z0-9+/=]{8,}|Proc-Type:[^\r\n]*|DEK-Info:[^\r\n]*|Comment:[^\r\n]*"
 LOCAL = r"[\p{L}\p{N}_%+\-]"
 DOMAIN_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,61}[\p{L}\p{N}])?"
-KEYED = rf"(?:{SENSITIVE_KEY})(?:[_-][A-Za-z0-9]+)*"
-QUOTED_KEY = rf"""\\?["']?{KEYED}\\?["']?{SPACE}*[:=]{SPACE}*"""
+#: A key may have so many more words behind the one that makes it sensitive, each so long at most.
+KEYED = rf"(?:{SENSITIVE_KEY})(?:[_-][A-Za-z0-9]{{1,64}}+){{0,32}}+"
+QUOTED_KEY = rf"""\\?["']?{KEYED}\\?["']?{SPACE}*+[:=]{SPACE}*+"""
 
 
 def _quoted(quote: str) -> str:
@@ -93,54 +101,55 @@ _ORDER: list[list[Rule]] = [
     [Rule("PYPI_TOKEN", "secrets", r"pypi-[A-Za-z0-9_\-]{20,}", EDGE, EDGE, words=("pypi-",))],
     [Rule("SENDGRID_TOKEN", "secrets", r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", EDGE, EDGE, words=("SG.",))],
     [Rule("DISCORD_WEBHOOK", "secrets", r"https://discord(?:app)?\.com/api/webhooks/[0-9]{16,20}/[A-Za-z0-9_\-]{20,}", words=("/api/webhooks/",))],
-    [Rule("TELEGRAM_BOT", "secrets", r"[0-9]{8,10}:[A-Za-z0-9_\-]{20,}", EDGE, EDGE, trigger="[0-9]{8}:")],
+    [Rule("TELEGRAM_BOT", "secrets", r"[0-9]{8,10}:[A-Za-z0-9_\-]{20,}", EDGE, EDGE, trigger="[0-9]{8}:", digit=True)],
     [Rule("GOOGLE_API_KEY", "secrets", r"AIza[0-9A-Za-z_\-]{35}", EDGE, EDGE, words=("AIza",))],
     [Rule("STRIPE_KEY", "secrets", r"(?:sk|rk)_(?:[l1I]ive|test)_[0-9a-zA-Z]{16,}", EDGE, EDGE, words=("sk_", "rk_"))],
-    [Rule("JWT", "secrets", r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", EDGE, words=("eyJ",))],
+    [Rule("JWT", "secrets", r"eyJ[A-Za-z0-9_\-]{8,4096}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", EDGE, words=("eyJ",))],
     [Rule("CONNECTION_STRING_KEY", "secrets", r"[A-Za-z0-9+/%=]{16,}", EDGE + "(?:AccountKey|SharedAccessKey|SharedAccessSignature|sig)=", words=("AccountKey=", "SharedAccessKey=", "SharedAccessSignature=", "sig="))],
-    [Rule("BEARER_TOKEN", "secrets", r"[A-Za-z0-9._~+/\-]{16,}=*", rf"{EDGE}bearer{SPACE}+", trigger="(?i)bearer", ignore_case=True)],
-    [Rule("BASIC_AUTH", "secrets", r"[A-Za-z0-9+/]{8,}={0,2}", rf"{EDGE}(?:Authorization{SPACE}*:{SPACE}*)?Basic{SPACE}+", trigger="(?i)basic", ignore_case=True, check=plain(V.basic_auth_ok))],
+    [Rule("BEARER_TOKEN", "secrets", r"[A-Za-z0-9._~+/\-]{16,}=*", rf"{EDGE}bearer{SPACE}+", folded=("bearer",), ignore_case=True)],
+    [Rule("BASIC_AUTH", "secrets", r"[A-Za-z0-9+/]{8,}={0,2}", rf"{EDGE}(?:Authorization{SPACE}*:{SPACE}*)?Basic{SPACE}+", folded=("basic",), ignore_case=True, check=plain(V.basic_auth_ok))],
     [Rule("URL_PASSWORD", "secrets", r"[^\s@/]{3,}", EDGE + r"[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@]+:", "@", words=("://",))],
-    [Rule("URL_TOKEN", "secrets", r"[^&\s]{8,}", r"[?&](?:token|key|api_?key|sig|signature|access_token|auth|code|secret|password)=", trigger="[?&][A-Za-z_]+=", ignore_case=True)],
+    [Rule("URL_TOKEN", "secrets", r"[^&\s]{8,}", r"[?&](?:token|key|api_?key|sig|signature|access_token|auth|code|secret|password)=", trigger="[?&][A-Za-z_]+=", ignore_case=True, words=("?", "&"))],
     [
-        Rule("PASSWORD_OR_SECRET", "secrets", _quoted('"'), QUOTED_KEY + '"', '"', KEY_TRIGGER, True, _SECRET),
-        Rule("PASSWORD_OR_SECRET", "secrets", _quoted("'"), QUOTED_KEY + "'", "'", KEY_TRIGGER, True, _SECRET),
-        Rule("PASSWORD_OR_SECRET", "secrets", r'[^"\\]{4,}', QUOTED_KEY + r'\\"', r'\\?"', KEY_TRIGGER, True, _SECRET),
-        Rule("PASSWORD_OR_SECRET", "secrets", r"[^'\\]{4,}", QUOTED_KEY + r"\\'", r"\\?'", KEY_TRIGGER, True, _SECRET),
+        Rule("PASSWORD_OR_SECRET", "secrets", _quoted('"'), QUOTED_KEY + '"', '"', ignore_case=True, check=_SECRET, folded=KEY_WORDS),
+        Rule("PASSWORD_OR_SECRET", "secrets", _quoted("'"), QUOTED_KEY + "'", "'", ignore_case=True, check=_SECRET, folded=KEY_WORDS),
+        Rule("PASSWORD_OR_SECRET", "secrets", r'[^"\\]{4,}', QUOTED_KEY + r'\\"', r'\\?"', ignore_case=True, check=_SECRET, folded=KEY_WORDS),
+        Rule("PASSWORD_OR_SECRET", "secrets", r"[^'\\]{4,}", QUOTED_KEY + r"\\'", r"\\?'", ignore_case=True, check=_SECRET, folded=KEY_WORDS),
     ],
-    [Rule("PASSWORD_OR_SECRET", "secrets", r"[^<]{3,}", rf"<({SENSITIVE_KEY}){EDGE}[^>]*>", r"</\2>", KEY_TRIGGER, True, _SECRET, groups=1, words=("</",))],
-    [Rule("PASSWORD_OR_SECRET", "secrets", r"""[^\s"',;]{4,}""", rf"""(?<![A-Za-z]){KEYED}{SPACE}*["']?{SPACE}*[:=]{SPACE}*["']?""", "", KEY_TRIGGER, True, _SECRET, True)],
-    [Rule("CREDIT_CARD", "financial", r"(?:[0-9][ \t\x{00A0}\-]?){12,18}[0-9]", EDGE, EDGE, trigger=r"[0-9](?:[ \t\x{00A0}\-]?[0-9]){12}", check=plain(V.luhn_ok))],
-    [Rule("IBAN", "financial", r"[A-Z]{2}[0-9]{2}(?:[ \t\x{00A0}]?[A-Z0-9]{4}){2,7}(?:[ \t\x{00A0}]?[A-Z0-9]{1,4})?", EDGE, EDGE, trigger="[A-Za-z]{2}[0-9]{2}", ignore_case=True, check=plain(V.iban_ok))],
-    [Rule("BANK_ACCOUNT", "financial", r"[0-9][0-9 \-]{5,20}[0-9]", rf"{EDGE}(?:account|acct|a/c){ID_LABEL}", EDGE, "(?i)account|acct|a/c", True)],
-    [Rule("ROUTING_NUMBER", "financial", r"[0-9]{9}", rf"{EDGE}(?:routing|aba){ID_LABEL}", EDGE, "(?i)routing|aba", True)],
-    [Rule("CRYPTO_WALLET", "financial", r"(?:0x[a-fA-F0-9]{40}|bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})", EDGE, EDGE, trigger="0x[a-fA-F0-9]{40}|bc1|[13][a-km-zA-HJ-NP-Z1-9]{25}")],
-    [Rule("US_SSN", "government_id", r"(?!000|666|9[0-9]{2})[0-9]{3}[ \-]?(?!00)[0-9]{2}[ \-]?(?!0000)[0-9]{4}", EDGE, EDGE, trigger=r"[0-9]{3}[ \-]?[0-9]{2}[ \-]?[0-9]{4}", check=V.ssn_context_ok)],
-    [Rule("PASSPORT", "government_id", "[A-Z0-9]{6,9}", rf"{EDGE}passport{ID_LABEL}", EDGE, "(?i)passport", True)],
-    [Rule("DRIVER_LICENSE", "government_id", r"[A-Z0-9\-]{5,15}", rf"{EDGE}(?:driver'?s?{SPACE}*licen[sc]e|DL){ID_LABEL}", EDGE, "(?i)licen[sc]e|dl", True)],
+    [Rule("PASSWORD_OR_SECRET", "secrets", r"[^<]{3,}", rf"<({SENSITIVE_KEY}){EDGE}[^<>]*+>", r"</\2>", ignore_case=True, check=_SECRET, groups=1, words=("</",), folded=KEY_WORDS)],
+    [Rule("PASSWORD_OR_SECRET", "secrets", r"""[^\s"',;]{4,}""", rf"""(?<![A-Za-z]){KEYED}{SPACE}*+["']?{SPACE}*+[:=]{SPACE}*+["']?""", "", ignore_case=True, check=_SECRET, extend=True, folded=KEY_WORDS)],
+    [Rule("CREDIT_CARD", "financial", r"(?:[0-9][ \t\x{00A0}\-]?){12,18}[0-9]", EDGE, EDGE, trigger=r"[0-9](?:[ \t\x{00A0}\-]?[0-9]){12}", digit=True, check=plain(V.luhn_ok))],
+    [Rule("IBAN", "financial", r"[A-Z]{2}[0-9]{2}(?:[ \t\x{00A0}]?[A-Z0-9]{4}){2,7}(?:[ \t\x{00A0}]?[A-Z0-9]{1,4})?", EDGE, EDGE, trigger="[A-Za-z]{2}[0-9]{2}", digit=True, ignore_case=True, check=plain(V.iban_ok))],
+    [Rule("BANK_ACCOUNT", "financial", r"[0-9][0-9 \-]{5,20}[0-9]", rf"{EDGE}(?:account|acct|a/c){ID_LABEL}", EDGE, ignore_case=True, folded=("account", "acct", "a/c"), digit=True)],
+    [Rule("ROUTING_NUMBER", "financial", r"[0-9]{9}", rf"{EDGE}(?:routing|aba){ID_LABEL}", EDGE, ignore_case=True, folded=("routing", "aba"), digit=True)],
+    [Rule("CRYPTO_WALLET", "financial", r"(?:0x[a-fA-F0-9]{40}|bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})", EDGE, EDGE, trigger="0x[a-fA-F0-9]{40}|bc1|[13][a-km-zA-HJ-NP-Z1-9]{25}", digit=True)],
+    [Rule("US_SSN", "government_id", r"(?!000|666|9[0-9]{2})[0-9]{3}[ \-]?(?!00)[0-9]{2}[ \-]?(?!0000)[0-9]{4}", EDGE, EDGE, trigger=r"[0-9]{3}[ \-]?[0-9]{2}[ \-]?[0-9]{4}", digit=True, check=V.ssn_context_ok, context=True)],
+    [Rule("PASSPORT", "government_id", "[A-Z0-9]{6,9}", rf"{EDGE}passport{ID_LABEL}", EDGE, ignore_case=True, folded=("passport",))],
+    [Rule("DRIVER_LICENSE", "government_id", r"[A-Z0-9\-]{5,15}", rf"{EDGE}(?:driver'?s?{SPACE}*+licen[sc]e|DL){ID_LABEL}", EDGE, rf"(?i)licen|{EDGE}DL", ignore_case=True, folded=("licen", "dl"))],
     [],  # the place of emails among the ranks; they are found by a rule of their own, below
-    [Rule("PHONE", "contact", rf"\+[0-9]{{1,3}}{SEPARATOR}?\(?[0-9]{{1,4}}\)?(?:{SEPARATOR}?[0-9]{{2,5}}){{2,4}}{EDGE}(?:[ \t]?(?:ext\.?|x){SPACE}?[0-9]{{1,5}})?", trigger=r"\+[0-9]", check=_PHONE)],
-    [Rule("PHONE", "contact", rf"(?:\([0-9]{{3}}\)[ \t\x{{00A0}}]?|{EDGE}[0-9]{{3}}{SEPARATOR})[0-9]{{3}}{SEPARATOR}[0-9]{{4}}", "", EDGE, rf"[0-9]{{3}}{SEPARATOR}[0-9]{{4}}", check=_PHONE)],
-    [Rule("PHONE", "contact", "[2-9][0-9]{2}[2-9][0-9]{6}", EDGE, EDGE, "[0-9]{10}", check=plain(V.nanp_phone_ok))],
-    [Rule("PHONE", "contact", rf"0[0-9]{{2,4}}{SEPARATOR}[0-9]{{3,4}}{SEPARATOR}[0-9]{{3,4}}", EDGE, EDGE, rf"0[0-9]{{2,4}}{SEPARATOR}[0-9]", check=_PHONE)],
-    [Rule("PHONE", "contact", rf"[6-9][0-9]{{4}}{SEPARATOR}[0-9]{{5}}", EDGE, EDGE, rf"[0-9]{{5}}{SEPARATOR}[0-9]{{5}}", check=_PHONE)],
-    [Rule("PERSON", "person", FULL_NAME, rf"\A{SPACE}*", rf"(?:{SPACE}*\([^)]{{1,40}}\))?(?:{SPACE}+|(?={GLUED})){TIMESTAMP}{SPACE}*\z", "[0-9]:[0-9]")],
+    [Rule("PHONE", "contact", rf"\+[0-9]{{1,3}}{SEPARATOR}?\(?[0-9]{{1,4}}\)?(?:{SEPARATOR}?[0-9]{{2,5}}){{2,4}}{EDGE}(?:[ \t]?(?:ext\.?|x){SPACE}?[0-9]{{1,5}})?", trigger=r"\+[0-9]", digit=True, words=("+",), check=_PHONE)],
+    [Rule("PHONE", "contact", rf"(?:\([0-9]{{3}}\)[ \t\x{{00A0}}]?|{EDGE}[0-9]{{3}}{SEPARATOR})[0-9]{{3}}{SEPARATOR}[0-9]{{4}}", "", EDGE, rf"[0-9]{{3}}{SEPARATOR}[0-9]{{4}}", digit=True, check=_PHONE)],
+    [Rule("PHONE", "contact", "[2-9][0-9]{2}[2-9][0-9]{6}", EDGE, EDGE, "[0-9]{10}", digit=True, check=plain(V.nanp_phone_ok))],
+    [Rule("PHONE", "contact", rf"0[0-9]{{2,4}}{SEPARATOR}[0-9]{{3,4}}{SEPARATOR}[0-9]{{3,4}}", EDGE, EDGE, rf"0[0-9]{{2,4}}{SEPARATOR}[0-9]", digit=True, check=_PHONE)],
+    [Rule("PHONE", "contact", rf"[6-9][0-9]{{4}}{SEPARATOR}[0-9]{{5}}", EDGE, EDGE, rf"[0-9]{{5}}{SEPARATOR}[0-9]{{5}}", digit=True, check=_PHONE)],
+    [Rule("PERSON", "person", FULL_NAME, rf"\A{SPACE}*", rf"(?:{SPACE}*\([^)]{{1,40}}\))?(?:{SPACE}+|(?={GLUED})){TIMESTAMP}{SPACE}*\z", "[0-9]:[0-9]", digit=True)],
     [Rule("PERSON", "person", NAME, rf"(?<![0-9A-Za-z_.])@", words=("@",))],
     [Rule("PERSON", "person", rf"{NAME_WORD}(?:{SPACE}+{NAME_WORD})?", rf"{EDGE}(?:Hi|Hello|Hey|Dear|Thanks|Thank you|Cheers|Regards|Best),?{SPACE}+{NOT_GENERIC}", words=("Hi", "Hello", "Hey", "Dear", "Thank", "Cheers", "Regards", "Best"))],
-    [Rule("PERSON", "person", NAME, rf"{EDGE}(?:From|To|Cc|Bcc|Sender|Recipient|Name|Full name|Owner|Assignee|Author|Contact|Signed by){SPACE}*:{SPACE}*{NOT_GENERIC}", trigger=rf"[a-zA-Z]{SPACE}*:{SPACE}*\p{{Lu}}")],
+    [Rule("PERSON", "person", NAME, rf"{EDGE}(?:From|To|Cc|Bcc|Sender|Recipient|Name|Full name|Owner|Assignee|Author|Contact|Signed by){SPACE}*:{SPACE}*{NOT_GENERIC}", trigger=rf":{SPACE}*\p{{Lu}}", words=(":",))],
     [
         Rule(
             "DATE_OF_BIRTH",
             "dates",
             r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-3]?[0-9][/.\-][0-3]?[0-9][/.\-](?:19|20)?[0-9]{2}|[A-Za-z]{3,9}\.? [0-9]{1,2},? [0-9]{4}|[0-3]?[0-9] [A-Za-z]{3,9}\.? [0-9]{4})",
-            rf"{EDGE}(?:dob|d\.o\.b\.?|date of birth|birth{SPACE}*date|born){SPACE}*[:#\-]?{SPACE}*",
+            rf"{EDGE}(?:dob|d\.o\.b\.?|date of birth|birth{SPACE}*+date|born){SPACE}*+[:#\-]?{SPACE}*+",
             "",
-            "(?i)dob|d[.]o[.]b|birth|born",
-            True,
+            ignore_case=True,
+            folded=("dob", "d.o.b", "birth", "born"),
+            digit=True,
         )
     ],
-    [Rule("MAC_ADDRESS", "network", "(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}", EDGE, EDGE, "[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")],
-    [Rule("MAC_ADDRESS", "network", r"[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}", EDGE, EDGE, r"[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.")],
+    [Rule("MAC_ADDRESS", "network", "(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}", EDGE, EDGE, "[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", words=(":", "-"))],
+    [Rule("MAC_ADDRESS", "network", r"[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}", EDGE, EDGE, r"\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}")],
     [
         Rule(
             "IP_ADDRESS",
@@ -149,29 +158,32 @@ _ORDER: list[list[Rule]] = [
             "(?<![0-9A-Za-z_:])",
             r"(?![0-9A-Za-z_:]|\.[0-9])",
             ":[0-9A-Fa-f]{0,4}:",
+            words=(":",),
             check=plain(V.ipv6_ok),
         )
     ],
-    [Rule("IP_ADDRESS", "network", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", EDGE, EDGE, r"[0-9]\.[0-9]{1,3}\.[0-9]", check=V.ipv4_in_context_ok)],
-    [Rule("POSSIBLE_SECRET", "secrets", r"[A-Za-z0-9+/_\-]{20,}={0,2}", trigger=r"[A-Za-z0-9+/_\-]{20}", check=plain(V.possible_secret_ok), score=0.7)],
+    [Rule("IP_ADDRESS", "network", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", EDGE, EDGE, r"\.[0-9]{1,3}\.[0-9]", digit=True, check=V.ipv4_in_context_ok, context=True)],
+    [Rule("POSSIBLE_SECRET", "secrets", r"[A-Za-z0-9+/_\-]{20,}={0,2}", trigger=r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}", digit=True, check=plain(V.possible_secret_ok), score=0.7)],
 ]
 
-#: Private keys with what belongs to them come before all others, emails after them.
+#: Private keys with what belongs to them come before all others, emails after them.  A key ends at its own end line, which
+#: no other key's first line may come before, or behind its last line that looks like part of a key.
 PEM = Rule(
     "PRIVATE_KEY",
     "secrets",
-    rf"-{{5}}BEGIN ([A-Z ]*PRIVATE KEY)-{{5}}(?:[\s\S]*?-{{5}}END \3-{{5}}|(?:(?:\r\n|\n|\r)[ \t]*(?:{PEM_LINE})[ \t]*(?=[\r\n]|\z))*)",
+    rf"-{{5}}BEGIN ([A-Z ]{{0,64}}PRIVATE KEY)-{{5}}(?:[^-]*+(?:-(?!----(?:END \3-{{5}}|BEGIN ))[^-]*+)*+-{{5}}END \3-{{5}}|(?:(?:\r\n|\n|\r)[ \t]*+(?:{PEM_LINE})[ \t]*+(?=[\r\n]|\z))*+)",
     words=("PRIVATE KEY-----",),
+    value_groups=1,
     rank=-100,
 )
 EMAIL = Rule(
     "EMAIL",
     "contact",
-    rf"""(?:"[^"@]{{0,64}}"|(?!\.)(?:{LOCAL}|\.(?![.@])){{1,65}})@(?:{DOMAIN_LABEL}\.)+[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]{{0,61}}[\p{{L}}\p{{N}}])""",
+    rf"""(?:"[^"@]{{0,64}}"|(?!\.)(?:{LOCAL}|\.(?![.@])){{1,65}})@(?:{DOMAIN_LABEL}\.(?=[\p{{L}}\p{{N}}])){{1,127}}+[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]{{0,61}}[\p{{L}}\p{{N}}])""",
     r"(?<![\p{L}\p{N}._%+\-@])",
-    r"(?![_%])(?=[.\-]*(?![\p{L}\p{N}.\-]))",
+    r"(?![_%])(?=[.\-]*+(?![\p{L}\p{N}.\-]))",
     words=("@",),
-    check=lambda value, text, start: V.valid_domain(V.F.substring_index(value, "@", -1)),
+    check=lambda value, match: V.valid_domain(V.F.substring_index(value, "@", -1)),
     rank=52,
 )
 

@@ -2,45 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwork.operators.registry import CUSTOM_RANK, RULES, Rule
-from maskwork.functions.validators import extend_secret
+from maskwork.functions.validators import more_of_secret
 from maskwork.schemas import CANDIDATE, SPANS
 
-MATCHES = "array<struct<start:int,end:int,value:string>>"
+#: ``head`` is text before the value of 32 characters or more, or all there is; ``tail`` is what is behind it, up to the
+#: eighth match from there; ``alone`` says whether the text is this value and white space.
+MATCHES = "array<struct<start:int,end:int,value:string,head:string,tail:string,alone:boolean>>"
+#: Put round the parts of a match; a noncharacter, which a text may not have, and is read as another one where it has it.
+MARK = "\ufdd0"
+#: Up to so many spans are settled in one go; more are cut into islands first.
+FEW = 32
+_BLOCK = 32
 
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def find_matches(text: Column | str, value: str, before: str = "", after: str = "", groups: int = 0, flags: str = "") -> Column:
-    """All matches of ``before value after``, left to right without overlap: ``array<struct<start, end, value>>`` of the values.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _places(n: Column) -> Column:
+    """0 to n - 1; none for 0."""
+    return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
+
+
+def _part(items: Column, start: Column, end: Column) -> Column:
+    """Items from one place up to another, of which there is one at least; ``slice`` would go through the whole array."""
+    return F.transform(F.sequence(start, end - 1), lambda i: F.get(items, i))
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column], levels: int = 1) -> Column:
+    """For each of some integers the fold, from 0, of all up to it.  Blocks keep the work near to linear."""
+    total = lambda x, start: F.aggregate(x, start, fold)
+    if not levels:
+        return let(values, lambda v: F.transform(v, lambda _, i: total(F.slice(v, F.lit(1), i + 1), F.lit(0))))
+
+    def by_blocks(blocks: Column) -> Column:
+        inside = lambda b, before: F.transform(b, lambda _, i: total(F.slice(b, F.lit(1), i + 1), before))
+        after = lambda totals: F.flatten(F.transform(blocks, lambda b, k: let(F.coalesce(F.get(totals, k - 1), F.lit(0)), lambda before: inside(b, before))))
+        return let(running(F.transform(blocks, lambda b: total(b, F.lit(0))), fold, levels - 1), after)
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(_places(F.ceil(F.size(v) / _BLOCK).cast("int")), lambda b: _part(v, b * _BLOCK, F.least((b + 1) * _BLOCK, F.size(v))))
+        return let(blocks, by_blocks)
+
+    return let(values, whole)
+
+
+def _marked(text: Column, value: str, before: str = "", after: str = "", groups: int = 0, flags: str = "", value_groups: int = 0) -> Column:
+    """The text with a mark before and behind each of the three parts of each match."""
+    return F.regexp_replace(text, f"{flags}({before})({value})({after})", "".join(f"{MARK}${g}" for g in (1, 2 + groups, 3 + groups + value_groups)) + MARK)
 
-    Offsets are half-open and count code points.  The text is split by the matches, and the lengths of what lies between
-    and of the matches themselves add up to each place.  ``groups`` is the number of capturing groups in ``before``.
-    """
-    text = _col(text)
-    pattern = f"{flags}({before})({value}){after}"
-    got = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), got(0).alias("all"), got(1).alias("pre"), got(2 + groups).alias("val"))
-    n = F.char_length
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        here = a["at"] + n(p["gap"])
-        first = here + n(p["pre"])
-        found = F.struct(first.alias("start"), (first + n(p["val"])).alias("end"), p["val"].alias("value"))
-        return F.struct(
-            F.when(p["all"].isNull(), here).otherwise(here + n(p["all"])).cast("int").alias("at"),
-            F.when(p["all"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(found)).cast(MATCHES)).alias("out"),
-        )
+def _unmarked(text: Column) -> Column:
+    return F.when(text.contains(MARK), F.translate(text, MARK, "\ufdd1")).otherwise(text)
 
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+
+def _matches(marked: Column, context: Column) -> Column:
+    """Matches of a marked text: the running lengths of the pieces between marks are their places."""
+
+    def found(pieces: Column) -> Column:
+        n = ((F.size(pieces) - 1) / 4).cast("int")
+        join = lambda first, count: F.array_join(_part(pieces, first, first + count), "")
+
+        def match(ends: Column, k: Column) -> Column:
+            first = F.greatest(4 * k - 32, F.lit(0))
+            alone = (n == 1) & (F.trim(F.concat(join(F.lit(0), F.lit(2)), join(F.lit(3), F.lit(2)))) == "")
+            fields = {
+                "start": F.get(ends, 4 * k + 1),
+                "end": F.get(ends, 4 * k + 2),
+                "value": F.get(pieces, 4 * k + 2),
+                "head": F.when(context, join(first, 4 * k + 2 - first)),
+                "tail": F.when(context, join(4 * k + 3, F.lit(34))),
+                "alone": F.when(context, alone),
+            }
+            return F.struct(*[v.alias(name) for name, v in fields.items()])
+
+        return let(running(F.transform(pieces, lambda p: F.char_length(p)), lambda x, y: x + y), lambda ends: F.transform(_places(n), lambda k: match(ends, k)))
+
+    return F.when(marked.contains(MARK), let(F.split(marked, MARK, -1), found)).otherwise(F.array().cast(MATCHES))
+
+
+def find_matches(text: Column | str, value: str, before: str = "", after: str = "", groups: int = 0, flags: str = "", value_groups: int = 0) -> Column:
+    """All matches of ``before value after``, left to right without overlap: an array of ``struct<start, end, value>``.
+
+    Offsets are half-open, count code points, and are those of the value.  One pass puts marks round the parts of each
+    match, and the text is split at them.  ``groups`` and ``value_groups`` are the numbers of capturing groups in ``before``
+    and ``value``.
+    """
+    found = let(_marked(_unmarked(_col(text)), value, before, after, groups, flags, value_groups), lambda m: _matches(m, F.lit(False)))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
 
 def _candidate(rank: int, start: Column, end: Column, label: str, category: str, score: float, source: str = "rule") -> Column:
@@ -56,21 +116,40 @@ def _candidate(rank: int, start: Column, end: Column, label: str, category: str,
     )
 
 
-def rule_candidates(text: Column, rule: Rule) -> Column:
-    """Candidates of one rule; a match that fails its check gives none, and no shorter one is tried."""
-    flags = "(?i)" if rule.ignore_case else ""
-    found = find_matches(text, rule.value, rule.before, rule.after, rule.groups, flags)
-    good = F.filter(found, lambda m: m["end"] > m["start"])
-    if rule.check:
-        good = F.filter(good, lambda m: F.coalesce(rule.check(m["value"], text, m["start"]), F.lit(False)))
-    end = (lambda m: extend_secret(text, m["end"])) if rule.extend else (lambda m: m["end"])
-    out = F.transform(good, lambda m: _candidate(rule.rank, m["start"], end(m), rule.label, rule.category, rule.score))
+def _gated(t: Column, rule: Rule) -> Column:
+    """The text marked by a rule; null where a cheap test says that nothing matches.  ``t`` has ``text, low, digit``."""
     gate = F.lit(True)
+    if rule.digit:
+        gate = gate & t["digit"]
     if rule.words:
-        gate = gate & _any(text.contains(w) for w in rule.words)
+        gate = gate & _any(t["text"].contains(w) for w in rule.words)
+    if rule.folded:
+        gate = gate & _any(t["low"].contains(w) for w in rule.folded)
     if rule.trigger:
-        gate = gate & text.rlike(rule.trigger)
-    return F.when(gate, out).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+        gate = gate & t["text"].rlike(rule.trigger)
+    return F.when(gate, _marked(t["text"], rule.value, rule.before, rule.after, rule.groups, "(?i)" if rule.ignore_case else "", rule.value_groups))
+
+
+def _checked(matches: Column, rule: Rule) -> Column:
+    """Candidates of a rule's matches; one that fails its check gives none, and no shorter one is tried."""
+    if rule.check:
+        matches = F.filter(matches, lambda m: F.coalesce(rule.check(m["value"], m), F.lit(False)))
+    end = (lambda m: m["end"] + more_of_secret(m["tail"])) if rule.extend else (lambda m: m["end"])
+    return F.transform(matches, lambda m: _candidate(rule.rank, m["start"], end(m), rule.label, rule.category, rule.score))
+
+
+def _all_candidates(text: Column, rules: list[Rule]) -> Column:
+    """Candidates of all rules.  What is alike for all is one expression over an array of marked texts, so plans stay small."""
+    context = F.array(*[F.lit(r.context or r.extend) for r in rules])
+    facts = F.struct(text.alias("text"), F.lower(text).alias("low"), text.rlike("[0-9]").alias("digit"))
+    marked = let(facts, lambda t: F.array(*[_gated(t, r) for r in rules]))
+    matched = F.transform(marked, lambda m, i: F.coalesce(_matches(m, F.get(context, i)), F.array().cast(MATCHES)))
+    return let(matched, lambda found: F.concat(*[_checked(F.get(found, F.lit(i)), r) for i, r in enumerate(rules)]))
+
+
+def rule_candidates(text: Column, rule: Rule) -> Column:
+    """Candidates of one rule, in a text that is not null."""
+    return _all_candidates(_unmarked(text), [rule])
 
 
 def _any(tests: Iterable[Column]) -> Column:
@@ -86,24 +165,49 @@ def wanted_rules(categories: Sequence[str] | None) -> list[Rule]:
 
 def candidates(text: Column | str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = ()) -> Column:
     """What all rules of the categories find, before overlaps are settled.  Custom terms are found whatever the categories."""
-    text = F.coalesce(_col(text), F.lit(""))
-    terms = sorted({t.strip() for t in custom_terms if t and t.strip()}, key=lambda t: (-len(t), t))
-    parts = []
-    for term in terms:
-        quoted = term.replace("\\E", r"\E\\E\Q")
-        parts.append(F.transform(find_matches(text, rf"\Q{quoted}\E", flags="(?iu)"), lambda m: _candidate(CUSTOM_RANK, m["start"], m["end"], "CUSTOM", "custom", 1.0)))
-    parts += [rule_candidates(text, r) for r in wanted_rules(categories)]
-    return F.concat(*parts) if parts else F.array().cast(f"array<{CANDIDATE}>")
+    text = _unmarked(F.coalesce(_col(text), F.lit("")))
+    rules = [_custom(t) for t in sorted({t.strip() for t in custom_terms if t and t.strip()}, key=lambda t: (-len(t), t))] + wanted_rules(categories)
+    return _all_candidates(text, rules) if rules else F.array().cast(f"array<{CANDIDATE}>")
+
+
+def _custom(term: str) -> Rule:
+    """A term in upper or lower case, taken literally."""
+    quoted = term.replace("\\E", r"\E\\E\Q")
+    return Rule("CUSTOM", "custom", rf"(?iu)\Q{quoted}\E", rank=CUSTOM_RANK)
 
 
 def _apart(a: Column, b: Column) -> Column:
     return (a["end"] <= b["start"]) | (a["start"] >= b["end"])
 
 
+def _islands(items: Column, body: Callable[[Column], Column]) -> Column:
+    """The items that ``body`` leaves of each island: a group that no other item reaches into."""
+    placed = F.sort_array(F.transform(items, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c.alias("item"))))
+
+    def cut(rows: Column) -> Column:
+        n = F.size(rows)
+
+        def at(reach: Column) -> Column:
+            heads = F.filter(_places(n), lambda i: F.coalesce(F.get(reach, i - 1) <= F.get(rows, i)["start"], F.lit(True)))
+            own = lambda h, j, all_: F.transform(_part(rows, h, F.coalesce(F.get(all_, j + 1), n)), lambda r: r["item"])
+            return let(heads, lambda all_: F.flatten(F.transform(all_, lambda h, j: let(own(h, j, all_), lambda x: F.when(F.size(x) == 1, x).otherwise(body(x))))))
+
+        return let(running(F.transform(rows, lambda r: r["end"]), lambda x, y: F.greatest(x, y)), at)
+
+    return let(placed, cut)
+
+
+def _settled(items: Column, body: Callable[[Column], Column]) -> Column:
+    return F.when(F.size(items) <= FEW, body(items)).otherwise(_islands(items, body))
+
+
+def _greedy(items: Column) -> Column:
+    return F.aggregate(F.sort_array(items), F.slice(items, 1, 0), lambda acc, z: F.when(F.forall(acc, lambda k: _apart(k, z)), F.concat(acc, F.array(z))).otherwise(acc))
+
+
 def resolve(found: Column | str) -> Column:
     """Greedy choice by rank, then length, then start: what overlaps nothing chosen so far is chosen.  Sorted by start."""
-    empty = F.array().cast(f"array<{CANDIDATE}>")
-    kept = F.aggregate(F.sort_array(_col(found)), empty, lambda acc, z: F.when(F.forall(acc, lambda k: _apart(k, z)), F.concat(acc, F.array(z))).otherwise(acc))
+    kept = let(_col(found), lambda c: _settled(c, _greedy))
     spans = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "category", "score", "source")]))
     return F.sort_array(spans).cast(SPANS)
 
@@ -120,13 +224,23 @@ def find_spans(text: Column | str, categories: Sequence[str] | None = None, cust
 
 def merge_spans(sure: Column | str, others: Column | str) -> Column:
     """All of the first spans, and those of the others, in their order, that overlap nothing taken so far; by start."""
-    merged = F.aggregate(_col(others), _col(sure).cast(SPANS), lambda acc, z: F.when(F.forall(acc, lambda k: _apart(k, z)), F.concat(acc, F.array(z))).otherwise(acc))
-    return F.sort_array(merged)
+    tagged = lambda spans, kind: F.transform(_col(spans).cast(SPANS), lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), z["start"].alias("start"), z["end"].alias("end"), z.alias("span")))
+
+    def taken(items: Column) -> Column:
+        return F.aggregate(F.sort_array(items), F.slice(items, 1, 0), lambda acc, z: F.when((z["kind"] == 0) | F.forall(acc, lambda k: _apart(k, z)), F.concat(acc, F.array(z))).otherwise(acc))
+
+    merged = let(F.concat(tagged(sure, 0), tagged(others, 1)), lambda c: _settled(c, taken))
+    return F.sort_array(F.transform(merged, lambda m: m["span"]))
+
+
+def once(column: Column) -> Column:
+    """The column behind a fence: being indeterminate, it is not moved into filters, which would compute it again."""
+    return F.when(F.rand(0) + 1 > 0, column)
 
 
 def with_spans(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: Sequence[str] = (), name: str = "spans") -> DataFrame:
     """``docs`` with their spans.  Candidates are made in a projection of their own, so that each is computed once."""
-    found = docs.withColumn("_found", candidates(text, categories, custom_terms))
+    found = docs.withColumn("_found", once(candidates(text, categories, custom_terms)))
     return found.withColumn(name, F.when(F.size("_found") > 0, resolve("_found")).otherwise(F.array().cast(SPANS))).drop("_found")
 
 

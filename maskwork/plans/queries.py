@@ -9,10 +9,10 @@ from maskwork.functions import display, validators as V
 from maskwork.operators import entities as E
 from maskwork.operators import geometry as G
 from maskwork.operators import layout as L
-from maskwork.operators.redact import redact, report, select_spans, summary
+from maskwork.operators.redact import redact, redact_text, report, select_spans, summary
 from maskwork.operators.registry import EMAIL, RULES
 from maskwork.operators.spans import CANDIDATE, explode_spans, find_matches, merge_spans, resolve, resolve_rows, rule_candidates, with_spans
-from maskwork.plans.cases import FOUND
+from maskwork.plans.planted import NEAR_MISSES, PLANTED as CASES
 from maskwork.session import configure, table
 from maskwork.sources.tables import text_lines
 
@@ -106,38 +106,43 @@ def secret_spans(t):
     return explode_spans(with_spans(t("documents"), categories=["secrets"]), "doc_id").select("doc_id", "start", "end", "label", "value")
 
 
-def _planted(t) -> DataFrame:
-    """Each customer's text: a case, dealt by the key, behind a prefix with the key."""
-    cases = t("customer").sparkSession.createDataFrame([(i, text) for i, (text, _, _) in enumerate(FOUND)], "case_no int, case_text string")
-    own = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(FOUND)).cast("int").alias("case_no"))
-    # A case that counts as a whole text gets no prefix.
-    return own.join(F.broadcast(cases), "case_no").select("id", "case_no", F.col("case_text").alias("text"))
+TEXTS = [t for t, _, _ in CASES] + NEAR_MISSES
 
 
-PLANTED = "(VALUES " + ", ".join(f"({i}, {_quote(t)}, {_quote(label)}, {_quote(v)})" for i, (t, label, v) in enumerate(FOUND)) + ") AS p(case_no, text, label, value)"
+def _planted_rows(t) -> DataFrame:
+    """All spans in planted texts and near misses, which are dealt to customers by their keys."""
+    cases = t("customer").sparkSession.createDataFrame(list(enumerate(TEXTS)), "case_no int, text string")
+    own = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(TEXTS)).cast("int").alias("case_no"))
+    return explode_spans(with_spans(own.join(F.broadcast(cases), "case_no")), "id")
 
 
-@query(f"SELECT c_custkey AS id, label, value, (position(value IN text) - 1)::INT AS start FROM customer JOIN {PLANTED} ON c_custkey % {len(FOUND)} = case_no")
-def planted_spans(t):
-    """Every rule on planted values: what was planted is found, at its place, under its label."""
-    return _planted_rows(t).select("id", "label", "value", "start")
+EXPECTED = "(VALUES " + ", ".join(f"({i}, {_quote(t)}, {_quote(label)}, {_quote(v)})" for i, (t, label, v) in enumerate(CASES)) + f") AS p(case_no, text, label, value) JOIN customer ON c_custkey % {len(TEXTS)} = case_no"
 
 
-def _planted_rows(t) -> DataFrame:
-    rows = explode_spans(with_spans(_planted(t)), "id")
-    wanted = t("customer").sparkSession.createDataFrame([(i, label, v) for i, (_, label, v) in enumerate(FOUND)], "case_no int, label string, value string")
-    ids = _planted(t).select("id", "case_no")
-    return rows.join(ids, "id").join(F.broadcast(wanted), ["case_no", "label", "value"], "left_semi")
+@query(f"SELECT c_custkey AS id, label, value, (position(value IN text) - 1)::INT AS start FROM {EXPECTED}")
+def planted_spans(t):
+    """Every rule on planted values: what was planted is found, at its place, under its label, and nothing else is."""
+    return _planted_rows(t).select("id", "label", "value", "start")
 
 
-@query(f"SELECT category, count(*) AS n FROM customer JOIN {PLANTED} ON c_custkey % {len(FOUND)} = case_no JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted({(r.label, r.category) for r in RULES})) + ") AS k(label, category) USING (label) GROUP BY category")
+@query(f"SELECT category, count(*) AS n FROM {EXPECTED} JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted({(r.label, r.category) for r in RULES})) + ") AS k(label, category) USING (label) GROUP BY category")
 def category_summary(t):
     return summary(_planted_rows(t))
 
 
-@query()
+INTL = r"\+[0-9]{1,3}[ \t.\-\x{00A0}]?\(?[0-9]{1,4}\)?(?:[ \t.\-\x{00A0}]?[0-9]{2,5}){2,4}\b(?:[ \t]?(?:ext\.?|x)\s?[0-9]{1,5})?"
+PHONE_SQL = matches_sql("documents", "doc_id", "text", INTL, where=f"{DIGIT_COUNT} BETWEEN 10 AND 15")
+EMAIL_SQL = matches_sql("documents", "doc_id", "text", EMAIL_RE)
+SECRET_SQL = ORACLES["secret_spans"]
+LABELS_SQL = " UNION ALL ".join(
+    f"SELECT '{category}' AS category, {label} AS label, doc_id FROM ({sql})"
+    for category, label, sql in (("contact", "'EMAIL'", EMAIL_SQL), ("contact", "'PHONE'", PHONE_SQL), ("network", "'IP_ADDRESS'", ORACLES["ipv4_spans"]), ("financial", "'CREDIT_CARD'", ORACLES["card_spans"]), ("secrets", "label", SECRET_SQL))
+)
+
+
+@query(f"SELECT category, label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({LABELS_SQL}) GROUP BY category, label")
 def label_counts(t):
-    """All rules over all documents, counted by label."""
+    """All rules over all documents, counted by label.  The documents hold values of these labels only, apart from each other."""
     rows = explode_spans(with_spans(t("documents")), "doc_id")
     return rows.groupBy("category", "label").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
@@ -176,12 +181,10 @@ def custom_terms_redacted(t):
 
 @query(
     f"""SELECT doc_id, list_aggregate(list_transform(range(1, len(gap) + 1), lambda k: gap[k] || CASE WHEN k <= len(m) THEN repeat('█', length(m[k])) ELSE '' END), 'string_agg', '') AS redacted
-FROM (SELECT doc_id, string_split_regex(text, '{EMAIL_RE}') AS gap, regexp_extract_all(text, '{EMAIL_RE}') AS m FROM documents WHERE contains(text, '@'))"""
+FROM (SELECT doc_id, string_split_regex(text, '{EMAIL_RE}') AS gap, regexp_extract_all(text, '{EMAIL_RE}') AS m FROM documents)"""
 )
 def emails_boxed(t):
-    from maskwork.operators.redact import redact_text
-
-    docs = t("documents").where(F.contains("text", F.lit("@"))).withColumn("spans", resolve(rule_candidates(F.col("text"), EMAIL)))
+    docs = t("documents").withColumn("spans", resolve(rule_candidates(F.col("text"), EMAIL)))
     return docs.select("doc_id", redact_text("text", "spans", "box").alias("redacted"))
 
 
@@ -368,7 +371,16 @@ def document_lines(t):
     return lines.groupBy("doc_id").agg((F.max("line_id") + 1).alias("n_lines"), F.sum(F.col("box.x1") - F.col("box.x0")).alias("width"))
 
 
-@query()
+REPORT_SQL = f"""WITH found AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS o, trim(value) AS t FROM (
+    SELECT doc_id, start, "end", value, 'EMAIL' AS label, 'Email' AS name FROM ({EMAIL_SQL}) UNION ALL SELECT doc_id, start, "end", value, 'PHONE', 'Phone' FROM ({PHONE_SQL}))),
+regions AS (SELECT *, '{{"ordinal":' || o || ',"category":"contact","label":"' || label || '","name":"' || name || '","text":"' ||
+    CASE WHEN length(t) < 8 THEN repeat('•', length(t)) WHEN length(t) < 20 THEN t[1:2] || repeat('•', least(8, length(t) - 2)) ELSE t[1:4] || repeat('•', 8) END
+    || '","score":1.0,"source":"rule","start":' || start || ',"end":' || "end" || '}}' AS region FROM found)
+SELECT doc_id, '{{"count":' || count(*) || ',"by_category":{{"contact":' || count(*) || '}},"redacted":[' || coalesce(string_agg(region, ',' ORDER BY o) FILTER (label <> 'EMAIL'), '') || '],"kept_visible":[' || coalesce(string_agg(region, ',' ORDER BY o) FILTER (label = 'EMAIL'), '') || ']}}' AS report
+FROM regions GROUP BY doc_id"""
+
+
+@query(REPORT_SQL)
 def reports(t):
     """JSON reports of contact data in documents; emails are left visible."""
     docs = with_spans(t("documents").select("doc_id", "text"), categories=["contact"])
@@ -392,7 +404,8 @@ def match_offsets(t):
     return found.select("item_id", "m.start", "m.end", "m.value")
 
 
-@query()
+@query("SELECT role, 'custom' AS category, sum(len(regexp_extract_all(text, '(?i)(how|of the|please|an)')))::BIGINT AS n FROM conversations GROUP BY role HAVING n > 0")
 def conversation_spans_by_role(t):
-    rows = explode_spans(with_spans(t("conversations")), ["conv_id", "turn", "role"])
-    return rows.groupBy("role", "category").agg(F.count("*").alias("n"))
+    """Custom terms in conversations, with the rules for secrets and contacts, which find nothing there."""
+    found = with_spans(t("conversations"), categories=["secrets", "contact"], custom_terms=["how", "of the", "please", "an"])
+    return explode_spans(found, ["conv_id", "turn", "role"]).groupBy("role", "category").agg(F.count("*").alias("n"))
