@@ -2,21 +2,26 @@
 
 The filter holds each n-gram once for every level up to ``1 + floor(log2(count))``.  A count is looked up by asking for
 level 1, 2, ... until one is missing.  Counting is exact and distributed: tasks count their own n-grams, the counts are
-shuffled in sorted blocks by hash range, and each range builds its own segment of the filter.
+exchanged in sorted blocks by hash range, of which there are the more the longer the texts are, and each range builds its
+own segment of the filter.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
-from .shared import written
+from .columns import head_of, set_aside
+from .exchange import BUNDLE, bundled, entries_of, exchanged, widths
+from .shared import discard, written
 
 U = np.uint64
 END = U(0x6A09E667F3BCC908)
@@ -31,6 +36,10 @@ class LmRules:
     prior: float = 50.0
     #: Tokens counted by a task before it hands its counts on.
     flush: int = 2_000_000
+    #: Bytes of text for each hash range.
+    bucket_bytes: int = 4 << 20
+    #: Into so many groups of ranges a task sends its counts at most.
+    fan: int = 512
     #: Bytes of the model that a pass over the texts looks at; where it has more, there are several passes.
     pass_bytes: int = 256 << 20
     #: Bytes of one broadcast, and so of what the driver holds at once.
@@ -61,31 +70,60 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
 
 
+def _packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted block: how many, hashes, and counts in 4 bytes each if they fit, else in 8."""
+    return np.int64(len(hashes)).tobytes() + hashes.tobytes() + counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64).tobytes()
+
+
+def _summed(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of several blocks, sorted, and their counts."""
+    hashes, counts = [], []
+    for p in packed:
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        hashes.append(np.frombuffer(p, U, n, 8))
+        counts.append(np.frombuffer(p, np.uint32 if len(p) == 8 + 12 * n else np.int64, n, 8 + 8 * n).astype(np.int64))
+    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(hashes), 1), bool), hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _joined(entries: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """One block for each target."""
+    by: dict[int, list] = {}
+    for source, target, packed in entries:
+        by.setdefault(target, [source, []])[1].append(packed)
+    return [(source, target, _packed(*_summed(packed))) for target, (source, packed) in by.items()]
+
+
 def count_ngrams(texts: DataFrame, rules: LmRules, buckets: int) -> DataFrame:
-    """``kind, bucket, hashes, counts`` from column ``text``: sorted blocks, several for a bucket."""
+    """Bundles of sorted blocks of hashes and counts, from column ``text``, by ``key``: the bucket for unigrams, and behind
+    those for bigrams."""
+    width = widths(2 * buckets, rules.fan)[0]
 
-    def flushed(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flushed(kept: list[np.ndarray], number: int) -> pa.RecordBatch:
+        entries, source = [], zlib.crc32(f"{TaskContext.get().partitionId()}-{number}".encode()) % (2 * buckets)
         for kind in (UNIGRAM, BIGRAM):
             hashes, counts = np.unique(np.concatenate([bigrams(t) if kind == BIGRAM else t for t in kept]), return_counts=True)
             cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            block = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), block(hashes), block(counts.astype(np.uint32))], names=["kind", "bucket", "hashes", "counts"])
+            entries += [(source, (kind - 1) * buckets + int(b), _packed(hashes[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+        return bundled(source, entries, width).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n = [], 0
+        kept, n, number = [], 0, 0
         for whole in batches:
             for batch in T.pieces(whole):
                 got, _ = tokens(batch.column("text"))
                 kept.append(got)
                 n += len(got)
                 if n >= rules.flush:
-                    yield from flushed(kept)
-                    kept, n = [], 0
+                    yield flushed(kept, number)
+                    kept, n, number = [], 0, number + 1
         if n:
-            yield from flushed(kept)
+            yield flushed(kept, number)
 
-    return texts.select("text").mapInArrow(run, "kind int, bucket int, hashes binary, counts binary")
+    return exchanged(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, BUNDLE), 2 * buckets, rules.fan, _joined)
 
 
 def _positions(hashes: np.ndarray, level: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
@@ -97,16 +135,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ...
 
 
-def build_segments(blocks: DataFrame, rules: LmRules) -> DataFrame:
+def build_segments(bundles: DataFrame, buckets: int, rules: LmRules) -> DataFrame:
     """``kind, bucket, hashes, counts, n_distinct, n_total, bits``: exact counts (of unigrams only) and filter segments."""
 
     def run(group: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(group.column("hashes").to_pylist()), U)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        hashes, counts = hashes[first], np.add.reduceat(counts, first)
+        hashes, counts = _summed([e[2] for e in entries_of(group)])
         levels = levels_of(counts)
         words = int(levels.sum()) * rules.bits_per_key // 64 + 1
         bits = np.zeros(words * 64, np.uint8)
@@ -114,12 +147,12 @@ def build_segments(blocks: DataFrame, rules: LmRules) -> DataFrame:
             own = hashes[levels >= level]
             for probe in range(rules.probes):
                 bits[_positions(own, level, probe, U(words * 64))] = 1
-        kind = group.column("kind")[0].as_py()
-        exact = kind == UNIGRAM
+        kind, bucket = divmod(group.column("key")[0].as_py(), buckets)
+        exact = kind + 1 == UNIGRAM
         return pa.table(
             {
-                "kind": pa.array([kind], pa.int32()),
-                "bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()),
+                "kind": pa.array([kind + 1], pa.int32()),
+                "bucket": pa.array([bucket], pa.int32()),
                 "hashes": pa.array([hashes.tobytes() if exact else b""], pa.binary()),
                 "counts": pa.array([counts.tobytes() if exact else b""], pa.binary()),
                 "n_distinct": pa.array([len(hashes)], pa.int64()),
@@ -128,7 +161,7 @@ def build_segments(blocks: DataFrame, rules: LmRules) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, hashes binary, counts binary, n_distinct long, n_total long, bits binary")
+    return bundles.groupBy("key").applyInArrow(run, "kind int, bucket int, hashes binary, counts binary, n_distinct long, n_total long, bits binary")
 
 
 @dataclass
@@ -178,9 +211,10 @@ def _parts(sizes: list[tuple], bound: int) -> list[list[tuple]]:
 
 
 def train_lm(texts: DataFrame, rules: LmRules = LmRules()) -> DataFrame:
-    """Count and write out the model: the table of ``build_segments``, with column ``buckets``."""
-    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(build_segments(count_ngrams(texts, rules, buckets), rules).withColumn("buckets", F.lit(buckets)), "lm")
+    """Count and write out the model: the table of ``build_segments``, with column ``buckets``.  A null text is an empty one."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // rules.bucket_bytes))
+    return written(build_segments(count_ngrams(texts, rules, buckets), buckets, rules).withColumn("buckets", F.lit(buckets)), "lm")
 
 
 def _load(model: DataFrame, part: list[tuple], columns: list[str]) -> list:
@@ -230,16 +264,24 @@ def about(levels: np.ndarray) -> np.ndarray:
     return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 1.3 * count))
 
 
+STATE = {"_known": pa.int64(), "_logs": pa.float64(), "_levels": pa.binary()}
+MADE = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
 def score_texts(docs: DataFrame, model: DataFrame, rules: LmRules = LmRules()) -> DataFrame:
-    """Adds ``n_tokens, n_known, train_tokens, base_score, score`` to the columns of ``docs``.
+    """Adds ``n_tokens, n_known, train_tokens, base_score, score`` to the columns of ``docs``, whatever their names (those that
+    are made here are replaced).
 
     ``base_score`` is the add-one unigram log10 probability from exact counts, ``score`` that of the bigram model, whose
     counts all come from the filter: ``(c(u w) + prior * p(w)) / (c(u) + prior)``.  A null text is an empty one, which has
-    the end token alone.  Without training texts all counts are 0.  Rows are neither dropped nor added.
+    the end token alone.  Without training texts all counts are 0.  Texts are scored whole whatever their length, and
+    repeated rows alike.  Rows are neither dropped nor added; an empty table gives none.
 
-    The vocabulary is sorted hashes, so two words are confused with a chance of about V**2 / 2**65.
+    A model of more than ``pass_bytes`` is looked at part by part; what a pass has found is written with the rows, and its
+    broadcasts go, before the next begins.  The vocabulary is sorted hashes, so two words are confused with a chance of
+    about V**2 / 2**65.
     """
-    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    out, names, restored = set_aside(docs, ["text"], list(MADE))
     spark = docs.sparkSession
     sizes = model.select("kind", "bucket", "n_distinct", "n_total", F.octet_length("bits").alias("size"), "buckets").orderBy("kind", "bucket").collect()
     buckets = sizes[0]["buckets"] if sizes else 1
@@ -248,21 +290,32 @@ def score_texts(docs: DataFrame, model: DataFrame, rules: LmRules = LmRules()) -
     items = [("words", UNIGRAM, r["bucket"], 16 * r["n_distinct"]) for r in words] + [("bits", r["kind"], r["bucket"], r["size"]) for r in sizes]
     parts = [part for what in ("words", "bits") for part in _parts([x for x in items if x[0] == what], rules.part_bytes)]
     passes = _parts([(part, sum(x[-1] for x in part)) for part in parts], rules.pass_bytes) or [[]]
-    out = docs.select(*[c for c in docs.columns if c not in made])
     for i, own in enumerate(passes):
         shared = []
         for part, _ in own:
             shared.append(spark.sparkContext.broadcast(_vocabulary(model, part) if part[0][0] == "words" else _filter(model, part, buckets, rules)))
-        out = _pass(out, shared, i == 0, i == len(passes) - 1, n, v, rules)
-    return out
+        scored = _pass(out, names, shared, i == 0, i == len(passes) - 1, n, v, rules)
+        if i < len(passes) - 1:
+            before, out = out, written(scored, "lm-pass")
+            for x in shared:
+                x.destroy()
+            if i:
+                discard(before)
+    return scored.select(*restored, *MADE)
 
 
-def _pass(docs: DataFrame, shared, first: bool, last: bool, n: int, v: int, rules: LmRules) -> DataFrame:
+def word_scores(word: np.ndarray, pair: np.ndarray, rows: np.ndarray, n: int, v: int, prior: float) -> np.ndarray:
+    """Each row's log10 probability from counts of its tokens and of its pairs of tokens, of N tokens and V distinct ones."""
+    context = np.concatenate([word[-1:], word[:-1]])
+    context[rows[:-1]] = word[rows[1:] - 1]  # an end stands before each first word, and at each row's last place
+    pair = np.minimum(pair, np.minimum(context, word))
+    return np.add.reduceat(np.log10((pair + prior * (word + 1) / (n + v + 1)) / (context + prior)), rows[:-1])
+
+
+def _pass(docs: DataFrame, names: list[str], shared, first: bool, last: bool, n: int, v: int, rules: LmRules) -> DataFrame:
     """Look up what this part of the model holds; the levels found so far travel with the rows, two bytes a token."""
-    state = ["_known", "_logs", "_levels"]
-    names = [c for c in docs.columns if c not in state]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    done = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    made = MADE if last else STATE
+    done = "n_tokens long, n_known long, train_tokens long, base_score double, score double" if last else "_known long, _logs double, _levels binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x.value for x in shared]
@@ -270,7 +323,7 @@ def _pass(docs: DataFrame, shared, first: bool, last: bool, n: int, v: int, rule
         look_up = lambda kind, hashes: np.maximum.reduce([f.look_up(kind, hashes) for f in filters] or [np.zeros(len(hashes), np.uint8)])
         bottom = np.log10(n + (v + 1))
         for whole in batches:
-            for batch in T.pieces(whole):
+            for batch in T.pieces(whole, limit=T.PIECE_BYTES // 2):
                 got, rows = tokens(batch.column("text"))
                 distinct, where = np.unique(got, return_inverse=True)
                 c = np.zeros(len(distinct), np.int64)
@@ -278,22 +331,15 @@ def _pass(docs: DataFrame, shared, first: bool, last: bool, n: int, v: int, rule
                     x.look_up(distinct, c)
                 levels = np.stack([look_up(UNIGRAM, distinct)[where], look_up(BIGRAM, bigrams(got))])
                 add = lambda x: np.add.reduceat(x[where], rows[:-1])
-                n_known, logs = add((c > 0).astype(np.int64)), add(np.log10(c + 1.0))
+                known, logs = add((c > 0).astype(np.int64)), add(np.log10(c + 1.0))
                 if not first:
                     levels = np.maximum(levels, np.concatenate([np.frombuffer(b, np.uint8).reshape(2, -1) for b in batch.column("_levels").to_pylist()], axis=1))
-                    n_known, logs = n_known + np.asarray(batch.column("_known")), logs + np.asarray(batch.column("_logs"))
-                kept = [batch.column(x) for x in names]
-                if not last:
-                    cut = [np.ascontiguousarray(levels[:, a:b]).tobytes() for a, b in zip(rows[:-1], rows[1:])]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(n_known), pa.array(logs), pa.array(cut, pa.binary())], names=[*names, *state])
-                    continue
-                word, pair = about(levels[0]), about(levels[1])
-                context = np.concatenate([word[-1:], word[:-1]])
-                context[rows[:-1]] = word[rows[1:] - 1]  # an end stands before each first word, and at each row's last place
-                pair = np.minimum(pair, np.minimum(context, word))
-                p = (pair + rules.prior * (word + 1) / (n + v + 1)) / (context + rules.prior)
-                size = np.diff(rows)
-                base, score = logs - size * bottom, np.add.reduceat(np.log10(p), rows[:-1])
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(size), pa.array(n_known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return docs.mapInArrow(run, f"{head}, {done if last else '_known long, _logs double, _levels binary'}")
+                    known, logs = known + np.asarray(batch.column("_known")), logs + np.asarray(batch.column("_logs"))
+                if last:
+                    size = np.diff(rows)
+                    values = (size, known, np.full(len(size), n), logs - size * bottom, word_scores(about(levels[0]), about(levels[1]), rows, n, v, rules.prior))
+                else:
+                    values = (known, logs, [np.ascontiguousarray(levels[:, a:b]).tobytes() for a, b in zip(rows[:-1], rows[1:])])
+                yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + [pa.array(x, t) for x, t in zip(values, made.values())], names=[*names, *made])
+
+    return docs.mapInArrow(run, f"{head_of(docs.select(*names))}, {done}")

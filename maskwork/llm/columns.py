@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def head_of(docs: DataFrame) -> str:
+    """The columns of ``docs`` as a schema that others can be added to."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
 def set_aside(docs: DataFrame, needed: list[str], made: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
     """``docs`` with its other columns under numbered names; those names; and columns that restore all in order.
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination with Aho-Corasick automata over normalised test items.
 
-A text is normalised to its words in lower case, each with a space on either side.  The patterns are the windows of
-consecutive item words.  One scan of the normalised text finds them all; the spaces before a hit give its first word, and
-the words' places in the original come from the same pass over the bytes.
+A text is normalised to its words in lower case, and each word to its number among the items' words (0 if it is none).  The
+patterns are the windows of consecutive item words, so an edge of the automaton is a word.  One scan of the numbers finds
+them all; the words' places in the original come from the same pass over the bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import ahocorasick
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
+from .columns import head_of, set_aside
+from .shared import discard, written
 
 #: Every byte that is no word byte: words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z are in lower case.
 GAPS = np.zeros(256, bool)
@@ -41,31 +44,26 @@ def item_windows(items: list[tuple[str, str]], size: int) -> dict[bytes, set[str
 
 
 def build_automaton(windows: dict[bytes, set[str]]) -> bytes:
-    """A pickled pair: the automaton, whose values are (words, item numbers), and the items by number."""
+    """A pickled triple: the automaton, whose values are (words, item numbers), the words' numbers, and the items by number."""
     items = sorted(set().union(*windows.values())) if windows else []
-    number = {x: i for i, x in enumerate(items)}
-    automaton = ahocorasick.Automaton()
-    for words, owners in windows.items():
-        automaton.add_word(f" {words.decode('latin-1')} ", (words.count(b" ") + 1, tuple(sorted(number[x] for x in owners))))
+    number, vocabulary = {x: i for i, x in enumerate(items)}, {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for window, owners in windows.items():
+        words = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in window.split(b" "))
+        automaton.add_word(words, (len(words), tuple(sorted(number[x] for x in owners))))
     if windows:
         automaton.make_automaton()
-    return pickle.dumps((automaton, items))
+    return pickle.dumps((automaton, vocabulary, items))
 
 
-_loaded: dict[str, tuple] = {}
-
-
-def _scan(text: str, automaton, items: list[str]) -> tuple[int, list[tuple[int, int]], set[str]]:
+def _scan(text: str, automaton, vocabulary: dict[bytes, int], items: list[str]) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit ranges of words, items."""
     words = normal_words(text.encode())
     if not words or not len(automaton):
         return len(words), [], set()
-    normal = f" {b' '.join(words).decode('latin-1')} "
-    hits, found, spaces, counted = [], set(), 0, 0
-    for end, (n, owners) in automaton.iter(normal):
-        spaces += normal.count(" ", counted, end)  # the words that have ended before the hit's last space
-        counted = end
-        hits.append((spaces - n, spaces))
+    hits, found = [], set()
+    for last, (n, owners) in automaton.iter(tuple(vocabulary.get(w, 0) for w in words)):
+        hits.append((last - n + 1, last + 1))
         found.update(owners)
     return len(words), hits, {items[i] for i in found}
 
@@ -80,71 +78,76 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-HIT_SCHEMA = "n_words long, _hits array<long>, _items array<string>"
+STATE = {"_words": pa.int64(), "_hits": pa.list_(pa.int64()), "_items": pa.list_(pa.string())}
+MADE = {
+    "n_words": pa.int64(),
+    "n_hit": pa.int64(),
+    "n_items": pa.int64(),
+    "items": pa.list_(pa.string()),
+    "items_sha256": pa.string(),
+    "contaminated": pa.bool_(),
+    "hit_spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
+}
+STATE_SCHEMA = "_words long, _hits array<long>, _items array<string>"
+MADE_SCHEMA = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = 100_000) -> DataFrame:
     """Find benchmark windows in every document.
 
-    Keeps the columns of ``docs`` and adds ``n_words, n_hit, n_items, items array<string>, items_sha256, contaminated,
-    hit_spans array<struct<start int, end int>>``: half-open ranges of code points in the original text, from the first
-    to the last word of joined hits.  A null or wordless text has no words and no hits; null and wordless items have no
-    windows; repeated items are one.  Item ids are compared as strings, and a null id is the string ``null``.  Rows are
-    neither dropped nor repeated.
+    Keeps the columns of ``docs``, whatever their names (those that are made here are replaced), and adds ``n_words, n_hit,
+    n_items, items array<string>, items_sha256, contaminated, hit_spans array<struct<start int, end int>>``: half-open
+    ranges of code points in the original text, from the first to the last word of joined hits.  A null or wordless text
+    has no words and no hits; null and wordless items have no windows; repeated items are one.  Item ids are compared as
+    strings, and a null id is the string ``null``.  Texts are scanned whole whatever their length.  Rows are neither dropped
+    nor repeated; an empty table gives none, and an empty benchmark no hits.
 
-    The automaton is broadcast.  A benchmark of more than ``block_bytes`` of text is cut into blocks of about that size,
-    scanned one after another, each adding its hits to the rows; so no broadcast is larger.
+    The automaton is broadcast.  A benchmark of more than ``block_words`` words, and so about as many windows, is dealt to
+    blocks of about that size, each of one item at least.  Their passes over the rows follow each other; what one has found
+    is written with the rows before the next begins, so no task and no driver holds more than one block.
     """
-    made = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hit_spans"]
-    out = docs.select(*[c for c in docs.columns if c not in made])
     spark = docs.sparkSession
+    out, names, restored = set_aside(docs, ["text"], list(MADE))
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = int(-(-total // block_bytes)) or 1
+    n_words = F.regexp_count(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = rows.agg(F.coalesce(F.sum(n_words.cast("long")), F.lit(0))).first()[0]
+    n_blocks = int(-(-total // block_words)) or 1
     for k in range(n_blocks):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         shared = spark.sparkContext.broadcast(build_automaton(item_windows([(r.item, r.text) for r in block.toLocalIterator()], size)))
-        out = _add_hits(out, shared, k == 0, k == n_blocks - 1)
-    return out
+        scanned = _add_hits(out, names, shared, k == 0, k == n_blocks - 1)
+        if k < n_blocks - 1:
+            before, out = out, written(scanned, "hits")
+            shared.destroy()
+            if k:
+                discard(before)
+    return scanned.select(*restored, *MADE)
 
 
-def _add_hits(docs: DataFrame, shared, first: bool, last: bool) -> DataFrame:
-    names = [c for c in docs.columns if c not in ("_hits", "_items", "n_words")]
-    kept = docs.select(*names).schema
-    done = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>"
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
-    schema = f"{head}, {done if last else HIT_SCHEMA}"
+def _add_hits(docs: DataFrame, names: list[str], shared, first: bool, last: bool) -> DataFrame:
+    made = MADE if last else STATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, items = pickle.loads(shared.value)
+        automaton, vocabulary, items = pickle.loads(shared.value)
         for whole in batches:
             for batch in T.pieces(whole):
-                texts = batch.column("text").to_pylist()
-                before = (batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()) if not first else None
-                cols = defaultdict(list)
-                for i, text in enumerate(texts):
-                    n, hits, found = _scan(text or "", automaton, items)
-                    if before:
-                        flat = before[0][i]
+                cols = {c: [] for c in (*STATE, *MADE)}
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    n, hits, found = _scan(text or "", automaton, vocabulary, items)
+                    if not first:
+                        flat = batch.column("_hits")[i].as_py()
                         hits += list(zip(flat[::2], flat[1::2]))
-                        found |= set(before[1][i])
+                        found |= set(batch.column("_items")[i].as_py())
                     hits, found = _union(hits), sorted(found)
-                    cols["n_words"].append(n)
                     if not last:
-                        cols["_hits"].append([x for h in hits for x in h])
-                        cols["_items"].append(found)
-                        continue
-                    cols["n_hit"].append(sum(b - a for a, b in hits))
-                    cols["n_items"].append(len(found))
-                    cols["items"].append(found)
-                    cols["items_sha256"].append(hashlib.sha256(",".join(found).encode()).hexdigest())
-                    cols["contaminated"].append(bool(hits))
-                    cols["hit_spans"].append(_places(text, hits) if hits else [])
-                types = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items": pa.list_(pa.string()), "items_sha256": pa.string(), "contaminated": pa.bool_(), "hit_spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "_hits": pa.list_(pa.int64()), "_items": pa.list_(pa.string())}
-                order = [x.strip().split(" ")[0] for x in (HIT_SCHEMA.split(", ") if not last else ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hit_spans"])]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(cols[c], types[c]) for c in order], names=names + order)
-
-    return docs.mapInArrow(run, schema)
+                        values = (n, [x for h in hits for x in h], found)
+                    else:
+                        values = (n, sum(b - a for a, b in hits), len(found), found, hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hits), _places(text, hits) if hits else [])
+                    for c, v in zip(made, values):
+                        cols[c].append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(cols[c], t) for c, t in made.items()], names=[*names, *made])
+
+    return docs.mapInArrow(run, f"{head_of(docs.select(*names))}, {MADE_SCHEMA if last else STATE_SCHEMA}")
 
 
 def _places(text: str, hits: list[tuple[int, int]]) -> list[dict]:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
+from .columns import head_of, set_aside
+from .shared import discard, written
 
 #: Letters beyond the first are dealt to this many vectors by their code.
 SLOTS = 1024
@@ -27,8 +29,8 @@ UNKNOWN = "und"
 class HyperRules:
     dimensions: int = 1024
     seed: int = 5
-    #: Prototypes are broadcast; a table with more languages than this is refused.
-    most_languages: int = 2000
+    #: Prototypes are broadcast so many at a time; with more languages, texts are compared with one block after another.
+    block: int = 2000
 
 
 _tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -84,12 +86,17 @@ def bundle(texts: list[str | None], rules: HyperRules) -> np.ndarray:
     return out
 
 
-def learn_languages(docs: DataFrame, rules: HyperRules = HyperRules()) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and the sum of their texts' vectors, from all rows with a text and a non-null ``lang``.
+def learn_languages(docs: DataFrame, rules: HyperRules = HyperRules()) -> DataFrame:
+    """``lang, sums array<double>``, written: the sum of the texts' vectors of each language, from all rows with a text and a
+    non-null ``lang``.
 
-    Each task adds up its own texts by language; only those sums are shuffled, one value per language and dimension.
+    Each task adds up its own texts by language, and hands sums on where it has many; only sums are shuffled, one value per
+    language and dimension.
     """
 
+    def table(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
@@ -98,45 +105,62 @@ def learn_languages(docs: DataFrame, rules: HyperRules = HyperRules()) -> tuple[
                 vectors = bundle(batch.column("text").to_pylist(), rules)
                 for x in set(langs.tolist()):
                     sums[x] = sums.get(x, 0) + vectors[langs == x].sum(axis=0, dtype=np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
+                if len(sums) > rules.block:
+                    yield table(sums)
+                    sums = {}
+        yield table(sums)
 
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    if rows.select("lang").distinct().limit(rules.most_languages + 1).count() > rules.most_languages:
-        raise ValueError(f"more than {rules.most_languages} languages")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = rows.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).collect()
-    found = sorted((r["lang"], [x["v"] for x in r["v"]]) for r in found)
-    return [x for x, _ in found], np.array([v for _, v in found]).reshape(len(found), rules.dimensions)
+    return written(sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("sums")), "languages")
 
 
-def predict_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], rules: HyperRules = HyperRules()) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (cosine, 0 to 1) to the columns of ``docs``; reads ``text`` alone.
+def predict_languages(docs: DataFrame, model: DataFrame, rules: HyperRules = HyperRules()) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (cosine, 0 to 1) to the columns of ``docs``, whatever their names (those that are made
+    here are replaced); reads ``text`` alone.
 
     A null text, one without letters, or any text where no language was learned gets ``und`` and 0.  Ties go to the
-    language that is first in order.  Rows are neither dropped nor added.
+    language that is first in order.  Texts are read whole whatever their length, and repeated rows are judged alike.  Rows
+    are neither dropped nor added; an empty table gives none.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    langs, sums = model
-    norms = np.linalg.norm(sums, axis=1, keepdims=True) if len(langs) else np.ones((0, 1))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, (sums / np.where(norms > 0, norms, 1)).astype(np.float32)))
+    out, names, restored = set_aside(docs, ["text"], ["lang_pred", "score"])
+    n_blocks = max(1, -(-model.count() // rules.block))
+    for k in range(n_blocks):
+        rows = model.where(F.pmod(F.xxhash64("lang"), F.lit(n_blocks)) == k).collect()
+        found = sorted((r["lang"], r["sums"]) for r in rows)
+        sums = np.array([v for _, v in found]).reshape(len(found), rules.dimensions)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        shared = docs.sparkSession.sparkContext.broadcast(([x for x, _ in found], (sums / np.where(norms > 0, norms, 1)).astype(np.float32)))
+        judged = _compared(out, names, shared, k == 0, rules)
+        if k < n_blocks - 1:
+            before, out = out, written(judged, "compared")
+            shared.destroy()
+            if k:
+                discard(before)
+    return judged.select(*restored, "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)))).alias("score"))
+
+
+def _compared(docs: DataFrame, names: list[str], shared, first: bool, rules: HyperRules) -> DataFrame:
+    """The best of a block of languages and of what the blocks before have found: ``lang_pred`` and an unclipped ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = shared.value
         for whole in batches:
             for batch in T.pieces(whole):
-                pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+                n = batch.num_rows
+                pred, score = (np.full(n, UNKNOWN, object), np.full(n, -np.inf)) if first else (np.array(batch.column("lang_pred").to_pylist(), object), np.array([-np.inf if x is None else x for x in batch.column("score").to_pylist()]))
                 if langs:
                     vectors = bundle(batch.column("text").to_pylist(), rules)
                     size = np.linalg.norm(vectors, axis=1)
-                    cosine = (vectors @ prototypes.T) / np.where(size > 0, size, 1)[:, None]
+                    cosine = (vectors @ prototypes.T).astype(np.float64) / np.where(size > 0, size, 1)[:, None]
                     best = cosine.argmax(axis=1)
-                    pred = np.where(size > 0, np.array(langs, object)[best], UNKNOWN)
-                    score = np.where(size > 0, cosine[np.arange(len(best)), best].clip(0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                    names_, own = np.array(langs, object)[best], cosine[np.arange(n), best]
+                    better = (size > 0) & ((own > score) | ((own == score) & np.array([a < b for a, b in zip(names_, pred)], bool)))
+                    pred, score = np.where(better, names_, pred), np.where(better, own, score)
+                scores = pa.array(np.where(np.isfinite(score), score, 0.0), pa.float64(), mask=~np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred.tolist(), pa.string()), scores], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{head}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{head_of(docs.select(*names))}, lang_pred string, score double")
 
 
 def held_out(remainder: int, divisor: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
+from .columns import head_of, set_aside
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class OrdinalRules:
     bits: int = 18
     #: The model is fitted on so many labelled documents at most, those with the smallest hashes of their ids.
     most_labelled: int = 12_000
+    #: And on so many features in all, from the first of these on; each takes four bytes.
+    most_features: int = 20_000_000
     #: A hashed word counts only if so many of these documents have it.
     least_documents: int = 4
     rounds: int = 120
@@ -79,8 +82,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rules: OrdinalRules = Ordina
     flat, owner = flat[use], owner[use]
     scale = np.sqrt(np.maximum(np.bincount(owner, minlength=len(rows)), 1))
     value = 1 / np.sqrt(scale)[owner]
-    levels = np.arange(top)
-    target = grades[:, None] > levels[None, :]
     balance = n / ((top + 1) * np.maximum(np.bincount(grades, minlength=top + 1), 1))[grades]
     seen_w, seen_t = np.full(1 << rules.bits, 1e-8), np.full(top, 1e-8)
     for _ in range(rules.rounds):
@@ -104,7 +105,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rules: OrdinalRules = Ordina
         weights += rules.step * grad / np.sqrt(seen_w)
         move = rules.step * step_t / np.sqrt(seen_t)
         base, gaps = base + move[0], gaps + move[1:]
-    del target
     return OrdinalModel(weights, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
@@ -113,32 +113,41 @@ def _feature_batches(docs: DataFrame, rules: OrdinalRules) -> DataFrame:
         for whole in batches:
             for batch in T.pieces(whole):
                 rows = features(batch.column("text"), rules.bits)
-                yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["grade", "slots"])
+                yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("grade"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["place", "grade", "slots"])
 
-    return docs.mapInArrow(run, "grade int, slots binary")
+    return docs.mapInArrow(run, "place long, grade int, slots binary")
 
 
 def train(docs: DataFrame, grades: DataFrame, rules: OrdinalRules = OrdinalRules()) -> OrdinalModel:
-    """Fit on documents joined with ``grades (doc_id, grade)``, at most ``most_labelled`` of them.
+    """Fit on documents joined with ``grades (doc_id, grade)``, at most ``most_labelled`` ids with the smallest hashes.
 
-    An id with several grades has the smallest; null ids and grades are left out; without rows the weights are 0.
+    An id with several grades has the smallest; all rows of an id count, in the order of the ids' hashes, up to
+    ``most_features``.  Null ids and grades are left out; without rows the weights are 0.
     """
     one = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.most_labelled)
-    rows = _feature_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text"), rules).limit(rules.most_labelled).collect()
-    rows.sort(key=lambda r: (r["grade"], bytes(r["slots"])))
-    return fit([np.frombuffer(r["slots"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64), rules)
+    chosen = one.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rules.most_labelled)
+    rows = _feature_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("place", "grade", "text"), rules)
+    slots, grade, room = [], [], rules.most_features
+    for r in rows.orderBy("place", "slots").toLocalIterator():
+        x = np.frombuffer(r["slots"], np.int32)
+        room -= len(x)
+        if room < 0 and slots:
+            break
+        slots.append(x)
+        grade.append(r["grade"])
+    return fit(slots, np.array(grade, np.int64), rules)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = OrdinalRules()) -> DataFrame:
-    """Adds ``expected_grade, top_probability, kept`` to the columns of ``docs``.
+    """Adds ``expected_grade, top_probability, kept`` to the columns of ``docs``, whatever their names (those that are made
+    here are replaced).
 
     ``top_probability`` is that of the highest grade and ``kept`` whether it reaches ``least_top_probability``.  A null or
-    wordless text has no features, so the thresholds alone speak.  Rows are neither dropped nor added.
+    wordless text has no features, so the thresholds alone speak.  Texts are read whole whatever their length, and repeated
+    rows are judged alike.  Rows are neither dropped nor added; an empty table gives none.
     """
-    names = [c for c in docs.columns if c not in ("expected_grade", "top_probability", "kept")]
-    docs = docs.select(*names)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    made = ["expected_grade", "top_probability", "kept"]
+    docs, names, restored = set_aside(docs, ["text"], made)
     shared = docs.sparkSession.sparkContext.broadcast(OrdinalModel(model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +157,6 @@ def score_quality(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = Or
                 score = np.array([model.weights[r].sum(dtype=np.float64) / max((model.weights[r] != 0).sum(), 1) ** 0.25 for r in features(batch.column("text"), rules.bits)])
                 above = model.above(score)
                 top = above[:, -1]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(above.sum(axis=1)), pa.array(top), pa.array(top >= rules.least_top_probability)], names=[*names, "expected_grade", "top_probability", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(above.sum(axis=1)), pa.array(top), pa.array(top >= rules.least_top_probability)], names=[*names, *made])
 
-    return docs.mapInArrow(run, f"{head}, expected_grade double, top_probability double, kept boolean")
+    return docs.mapInArrow(run, f"{head_of(docs)}, expected_grade double, top_probability double, kept boolean").select(*restored, *made)

@@ -14,7 +14,7 @@ from .lang_hyper import held_out, learn_languages, predict_languages
 from .near_dedup import NEAR_SQL, NearRules, near_duplicates
 from .quality_divergence import QUALITY_SQL, quality_rules
 from .quality_ordinal import score_quality, train
-from .secret_scan import scan_secrets
+from .secret_scan import learn_words, scan_secrets
 from .shared import written
 from .source_mixing import MIX_SQL, mix_sources
 from .suffix_dedup import REPEAT_SQL, remove_repeats
@@ -66,7 +66,8 @@ def op6_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = scan_secrets(table(configure(spark), folder, "documents").select("doc_id", "text"))
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, learn_words(docs))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

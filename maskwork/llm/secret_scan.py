@@ -2,21 +2,26 @@ r"""Secret scans: fixed token shapes, and values in a credential context that wo
 
 The guess cost of a value is the smallest sum, over all ways to cut it into words, dates, repeats, keyboard walks and
 brute-force spans, of the decimal logarithms of how many guesses each part takes.  Dynamic programming over end positions
-finds it.
+finds it.  A word takes as many guesses as its rank among common passwords and then among the words of the corpus, by the
+number of documents that have them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textbatch as T
+from .columns import head_of, set_aside
 
 #: Fixed patterns: kind, pattern, and the fewest characters of the measured group; shorter matches are dropped.
 BASE = [
@@ -27,7 +32,9 @@ BASE = [
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Fixed words: what stands before a value that may be a secret.
 CONTEXT_WORDS = ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "login", "auth"]
-CONTEXT = re.compile(r"(?<![a-z])(?:" + "|".join(CONTEXT_WORDS) + r""")s?["']?(?:\s*(?:[:=]|=>|->)\s*|\s+(?:is|was|are)\s+:?\s*)["']?([^\s"'<>,;()\[\]{}]{6,})""", re.I | re.A)
+#: The second group is there where prose leads to the value ("the password is ..."): then the value has to look like no word.
+CONTEXT = re.compile(r"(?<![a-z])(?:" + "|".join(CONTEXT_WORDS) + r""")s?["']?(?:\s*(?:=>|->|[:=])\s*|(\s+(?:is|was|are)\s+:?\s*))["']?([^\s"'<>,;()\[\]{}]{6,})""", re.I | re.A)
+PROSE_VALUE = re.compile(r"(?=.*[0-9])(?=.*[^0-9.,:/-])|.[^A-Za-z'\u2019\u0080-\U0010ffff-]+.|[a-z][A-Z].*[a-z]?[A-Z]")
 #: Fixed words, most common first: a word's rank is its guess count.
 COMMON_WORDS = (
     "password the and pass admin user secret token key test login qwerty love abc letmein welcome dragon monkey master hello "
@@ -39,14 +46,30 @@ COMMON_WORDS = (
 ).split()
 #: Fixed rows of a keyboard, for walks along one of them in either direction.
 KEY_ROWS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz"]
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
+_YEAR, _MONTH, _DAY, _GAP = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])", r"[-/._]?"
+_NAMED = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}"
+#: Dates in each usual order of their parts, each with the logarithm of how many there are; found at every place.
+DATES = [
+    (re.compile(rf"(?=({_YEAR}{_GAP}{_MONTH}{_GAP}{_DAY}))"), math.log10(36_500)),
+    (re.compile(rf"(?=({_DAY}{_GAP}{_MONTH}{_GAP}(?:{_YEAR}|\d\d)))"), math.log10(2 * 36_500)),
+    (re.compile(rf"(?=({_MONTH}{_GAP}{_DAY}{_GAP}(?:{_YEAR}|\d\d)))"), math.log10(2 * 36_500)),
+    (re.compile(rf"(?=({_NAMED}{_GAP}(?:{_DAY}{_GAP})?{_YEAR}))", re.I), math.log10(4 * 36_500)),
+    (re.compile(rf"(?=({_YEAR}{_GAP}{_MONTH}))"), math.log10(1_200)),
+    (re.compile(rf"(?=({_YEAR}))"), 2.0),
+]
+#: Characters that stand for letters in passwords, in two readings.
+SPELLINGS = [str.maketrans("@4310$57!+", "aaeiossitt"), str.maketrans("@43!0$57|1", "aeeiosstll")]
 REPEAT = re.compile(r"(.{1,4}?)\1+", re.S)
 SETS = [(re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10), (re.compile(r"[^A-Za-z0-9]"), 33)]
 
 
 @dataclass(frozen=True)
 class GuessRules:
+    #: Words from the most to the least common; ``learn_words`` makes a longer list.
     words: tuple[str, ...] = tuple(COMMON_WORDS)
+    #: How many words of a corpus are learned, and in how many documents one has to be.
+    most_words: int = 50_000
+    least_documents: int = 3
     #: Decimal logarithm of guesses from which on a value counts as a secret.
     least_cost: float = 9.0
     #: What each part after the first adds, for the guesser has to try where to cut.
@@ -83,10 +106,12 @@ def guess_cost(value: str, rules: GuessRules = GuessRules()) -> float:
     if not n:
         return 0.0
     ranks, longest = _ranks(rules.words)
+    readings = {lower, *(lower.translate(x) for x in SPELLINGS)} if any(c in "@4310$57!+|" for c in lower) else {lower}
     each = math.log10(sum(size for pattern, size in SETS if pattern.search(value)))
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for m in DATE.finditer(value):
-        ends[m.end()].append((m.start(), math.log10(36_500) if len(m[0]) > 4 else 2.0))
+    for pattern, cost in DATES:
+        for m in pattern.finditer(value):
+            ends[m.end(1)].append((m.start(1), cost))
     for m in REPEAT.finditer(value):
         if m.end() - m.start() >= 3:
             ends[m.end()].append((m.start(), len(m[1]) * each + math.log10((m.end() - m.start()) / len(m[1]))))
@@ -100,10 +125,11 @@ def guess_cost(value: str, rules: GuessRules = GuessRules()) -> float:
         for a, cost in ends[i]:
             got = min(got, best[a] + cost + (rules.part_cost if a else 0.0))
         for a in range(max(0, i - longest), i - 1):
-            rank = ranks.get(lower[a:i])
-            if rank is not None:
-                upper = 0.0 if value[a:i] == lower[a:i] else 0.5
-                got = min(got, best[a] + rank + upper + (rules.part_cost if a else 0.0))
+            for read in readings:
+                rank = ranks.get(read[a:i])
+                if rank is not None:
+                    changed = (0.0 if value[a:i] == lower[a:i] else 0.5) + (0.0 if read[a:i] == lower[a:i] else 1.0)
+                    got = min(got, best[a] + rank + changed + (rules.part_cost if a else 0.0))
         best[i] = got
     return best[n]
 
@@ -124,12 +150,16 @@ def find_secrets(text: str, rules: GuessRules = GuessRules()) -> list[tuple[str,
         found += [(kind, *m.span()) for m in pattern.finditer(text) if len(m[group]) >= least]
     found += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
     if context:
-        base = list(found)
+        base = sorted((x, y) for _, x, y in found)
+        reach = list(accumulate((y for _, y in base), max))
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
+            a, b = m.span(2)
             while b > a and text[b - 1] in ".:!?":
                 b -= 1
-            if b - a >= 6 and not any(x <= a and b <= y for _, x, y in base) and guess_cost(text[a:b], rules) >= rules.least_cost:
+            if b - a < 6 or (m[1] and not PROSE_VALUE.search(text[a:b])):
+                continue
+            before = bisect_right(base, (a, math.inf))  # the base spans that start no later; the furthest end tells
+            if not (before and reach[before - 1] >= b) and guess_cost(text[a:b], rules) >= rules.least_cost:
                 found.append(("guess", a, b))
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
@@ -148,24 +178,33 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]")
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def learn_words(docs: DataFrame, rules: GuessRules = GuessRules()) -> GuessRules:
+    """The rules with more words: behind their own, those of 4 to 16 letters a to z of the corpus that are in most documents,
+    ``most_words`` of them; ties by the word.  All texts count; null ones have no words."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"), lambda w: F.char_length(w).between(4, 16)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents)
+    return replace(rules, words=(*rules.words, *(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(rules.most_words).collect())))
+
+
 def scan_secrets(docs: DataFrame, rules: GuessRules = GuessRules()) -> DataFrame:
-    """Find secrets in every text: keeps the columns of ``docs`` and adds ``secrets array<struct<kind, start, end>>`` and
-    ``redacted`` (null where the text is null).
+    """Find secrets in every text: keeps the columns of ``docs``, whatever their names (those that are made here are replaced),
+    and adds ``secrets array<struct<kind, start, end>>`` and ``redacted`` (null where the text is null).
 
     Offsets are half-open and count code points.  A null or empty text has no secrets.  Repeated rows are scanned alike,
-    rows are neither dropped nor added, and texts are scanned whole whatever their length.
+    rows are neither dropped nor added, and texts are scanned whole whatever their length; an empty table gives none.
     """
-    names = [c for c in docs.columns if c not in ("secrets", "redacted")]
-    docs = docs.select(*names)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    made = ["secrets", "redacted"]
+    docs, names, restored = set_aside(docs, ["text"], made)
+    shared = docs.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = shared.value
         for whole in batches:
             for batch in T.pieces(whole):
                 texts = batch.column("text").to_pylist()
                 spans = [find_secrets(t, rules) if t else [] for t in texts]
                 secrets = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], SPAN_TYPE)
                 redacted = pa.array([redact(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [secrets, redacted], names=[*names, "secrets", "redacted"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [secrets, redacted], names=[*names, *made])
 
-    return docs.mapInArrow(run, f"{head}, secrets array<struct<kind:string,start:int,end:int>>, redacted string")
+    return docs.mapInArrow(run, f"{head_of(docs)}, secrets array<struct<kind:string,start:int,end:int>>, redacted string").select(*restored, *made)

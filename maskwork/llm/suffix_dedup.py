@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
+from .exchange import BUNDLE, Entries, bundled, entries_of, exchanged, widths
 
 U = np.uint64
 LAST = np.int64(2**63 - 1)  # stands for a null id
@@ -537,51 +538,6 @@ def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: b
     return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
 
-# Exchange.  A row bundles what one source, or a group of them, has for a group of targets.
-
-Entries = list[tuple[int, bytes]]
-BUNDLE = "key int, source int, sources binary, targets binary, sizes binary, payload binary"
-
-
-def _bundled(source: int, entries: list[tuple[int, int, bytes]], width: int) -> pa.Table:
-    """Rows by ``target // width`` of (source, target, payload)."""
-    rows: dict[str, list] = {c.split()[0]: [] for c in BUNDLE.split(", ")}
-    entries.sort(key=lambda e: e[1])
-    for key, own in groupby(entries, lambda e: e[1] // width):
-        own = list(own)
-        ints = lambda k: np.array([e[k] for e in own], np.int32).tobytes()
-        for c, v in zip(rows, (key, source, ints(0), ints(1), np.array([len(e[2]) for e in own], np.int64).tobytes(), b"".join(e[2] for e in own))):
-            rows[c].append(v)
-    return pa.table({c: pa.array(v, pa.int32() if c in ("key", "source") else pa.binary()) for c, v in rows.items()})
-
-
-def _entries(bundles: pa.Table) -> list[tuple[int, int, bytes]]:
-    out = []
-    for sources, targets, sizes, payload in zip(*(bundles.column(c).to_pylist() for c in ("sources", "targets", "sizes", "payload"))):
-        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]).tolist()
-        out += [(s, t, payload[a:b]) for s, t, a, b in zip(np.frombuffer(sources, np.int32).tolist(), np.frombuffer(targets, np.int32).tolist(), cuts, cuts[1:])]
-    return out
-
-
-def _widths(parts: int, fan: int) -> list[int]:
-    """How many targets a bundle is for, on each step of the way to single ones."""
-    widths = [1]
-    while widths[0] * fan < parts:
-        widths.insert(0, widths[0] * fan)
-    return widths
-
-
-def _exchanged(sent: DataFrame, parts: int, rules: RepeatRules, join) -> DataFrame:
-    """Bundles for single targets, by column ``key``, from those for groups of them; ``join`` makes one payload of several."""
-    for width in _widths(parts, rules.fan)[1:]:
-        sent = sent.withColumn("source", F.floor(F.col("source") / rules.fan).cast("int")).groupBy("key", "source").applyInArrow(_regroup(width, join), BUNDLE)
-    return sent
-
-
-def _regroup(width: int, join):
-    return lambda bundles: _bundled(bundles.column("source")[0].as_py(), join(_entries(bundles)), width)
-
-
 def _merged(entries: list[tuple[int, int, bytes]], rules: RepeatRules) -> list[tuple[int, int, bytes]]:
     """The blocks for one target as one block."""
     out = []
@@ -606,7 +562,7 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     runs = max(1, -(-total // rules.run_bytes))
-    first = _widths(runs, rules.fan)[0]
+    first = widths(runs, rules.fan)[0]
     texts = texts.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(runs)).cast("int"))
     plain = lambda entries: entries
     run_of = lambda t: t.column("run")[0].as_py()
@@ -614,26 +570,26 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
     of = lambda source, entries: [(source, target, x) for target, x in entries]
 
     def fingerprints(t: pa.Table) -> pa.Table:
-        return _bundled(run_of(t), of(run_of(t), _fingerprints(t, runs, rules)), first)
+        return bundled(run_of(t), of(run_of(t), _fingerprints(t, runs, rules)), first)
 
     def repeated(t: pa.Table) -> pa.Table:
-        entries = _entries(t)
-        return _bundled(key_of(t), of(key_of(t), _repeated([e[0] for e in entries], [e[2] for e in entries], rules)), first)
+        entries = entries_of(t)
+        return bundled(key_of(t), of(key_of(t), _repeated([e[0] for e in entries], [e[2] for e in entries], rules)), first)
 
     def suffixes(t: pa.Table, r: pa.Table) -> pa.Table:
-        entries = _entries(r)
+        entries = entries_of(r)
         run = run_of(t) if t.num_rows else 0
-        return _bundled(run, of(run, _suffix_runs(t, [e[0] for e in entries], [e[2] for e in entries], runs, rules)), first)
+        return bundled(run, of(run, _suffix_runs(t, [e[0] for e in entries], [e[2] for e in entries], runs, rules)), first)
 
     def owners(t: pa.Table) -> pa.Table:
-        return _bundled(key_of(t), of(key_of(t), _smallest_owners([e[2] for e in _entries(t)], rules)), first)
+        return bundled(key_of(t), of(key_of(t), _smallest_owners([e[2] for e in entries_of(t)], rules)), first)
 
-    prints = _exchanged(texts.groupBy("run").applyInArrow(fingerprints, BUNDLE), runs, rules, plain)
-    known = _exchanged(prints.groupBy("key").applyInArrow(repeated, BUNDLE), runs, rules, plain)
-    coded = _exchanged(texts.groupBy("run").cogroup(known.groupBy("key")).applyInArrow(suffixes, BUNDLE), runs, rules, lambda e: _merged(e, rules))
-    answers = _exchanged(coded.groupBy("key").applyInArrow(owners, BUNDLE), runs, rules, plain)
+    prints = exchanged(texts.groupBy("run").applyInArrow(fingerprints, BUNDLE), runs, rules.fan, plain)
+    known = exchanged(prints.groupBy("key").applyInArrow(repeated, BUNDLE), runs, rules.fan, plain)
+    coded = exchanged(texts.groupBy("run").cogroup(known.groupBy("key")).applyInArrow(suffixes, BUNDLE), runs, rules.fan, lambda e: _merged(e, rules))
+    answers = exchanged(coded.groupBy("key").applyInArrow(owners, BUNDLE), runs, rules.fan, plain)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:int,end:int>>")
-    return texts.groupBy("run").cogroup(answers.groupBy("key")).applyInArrow(lambda t, a: _removed(t, [e[2] for e in _entries(a)], rules, digest), schema)
+    return texts.groupBy("run").cogroup(answers.groupBy("key")).applyInArrow(lambda t, a: _removed(t, [e[2] for e in entries_of(a)], rules, digest), schema)
 
 
 REPEAT_SQL = r"""

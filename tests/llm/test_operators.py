@@ -6,18 +6,19 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from maskwork.llm import decontaminate as D
-from maskwork.llm.bloom_lm import LmRules, score_texts, train_lm
+from maskwork.llm.bloom_lm import LmRules, about, levels_of, score_texts, train_lm, word_scores
 from maskwork.llm.chat_format import escape, format_chats, read_chats, unescape
-from maskwork.llm.lang_hyper import learn_languages, predict_languages
+from maskwork.llm.lang_hyper import HyperRules, _letters, bundle, learn_languages, predict_languages
 from maskwork.llm.quality_divergence import DivergenceRules, quality_rules
 from maskwork.llm.quality_ordinal import OrdinalRules, fit, score_quality, train
-from maskwork.llm.secret_scan import find_secrets, guess_cost, scan_secrets
+from maskwork.llm.secret_scan import GuessRules, find_secrets, guess_cost, learn_words, scan_secrets
 from maskwork.llm.source_mixing import mix_sources
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +53,46 @@ def test_ordinal_classifier(spark):
     assert score_quality(docs.limit(3), none).count() == 3
 
 
+def test_ordinal_on_labels(spark):
+    """Accuracy of the kept flag on held-out ratings, and rows of repeated ids."""
+    folder = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    graded = labels.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1
+    got = score_quality(docs.join(graded.where(held), "doc_id"), train(docs, graded.where(~held))).collect()
+    right = np.mean([r["kept"] == (r["grade"] == 2) for r in got])
+    print(len(got), right, np.mean([r["grade"] == 2 for r in got]))
+    assert len(got) > 600 and right > 0.85
+    twice = train(docs.unionByName(docs), graded, OrdinalRules(most_labelled=50))
+    once = train(docs, graded, OrdinalRules(most_labelled=50, least_documents=2))
+    assert len(twice.thresholds) == len(once.thresholds)
+
+
+def test_ordinal_gradients():
+    """One step of the fit moves thresholds and weights along numerical gradients of the likelihood."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(16, 5, replace=False)).astype(np.int32) for _ in range(40)]
+    grades = np.array([i % 3 for i in range(40)])
+
+    def likelihood(weights, base, gap):
+        t = np.array([base, base + np.exp(gap)])
+        value = 1 / 5**0.25
+        balance = 40 / (3 * np.bincount(grades))[grades]
+        score = np.array([weights[r].sum() * value for r in rows])
+        p = 1 / (1 + np.exp(-(score[:, None] - t)))
+        full = np.concatenate([np.ones((40, 1)), p, np.zeros((40, 1))], axis=1)
+        return float((balance * np.log(full[np.arange(40), grades] - full[np.arange(40), grades + 1])).mean())
+
+    rules = OrdinalRules(bits=4, least_documents=1, rounds=1, step=1e-3, decay=0.0)
+    model, eps, zero = fit(rows, grades, rules), 1e-5, np.zeros(16)
+    slope = np.array([(likelihood(zero + eps * (np.arange(16) == i), -1.0, 0.0) - likelihood(zero - eps * (np.arange(16) == i), -1.0, 0.0)) / (2 * eps) for i in range(16)])
+    strong = np.abs(slope) > 1e-3
+    assert (np.sign(model.weights[strong]) == np.sign(slope[strong])).all() and strong.sum() > 8
+    by_base = (likelihood(zero, -1.0 + eps, 0.0) - likelihood(zero, -1.0 - eps, 0.0)) / (2 * eps)
+    by_gap = (likelihood(zero, -1.0, eps) - likelihood(zero, -1.0, -eps)) / (2 * eps)
+    assert np.sign(model.thresholds[0] + 1.0) == np.sign(by_base) and np.sign(np.diff(model.thresholds)[0] - 1.0) == np.sign(by_gap)
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i < 9000 else "b" if i < 9900 else None) for i in range(10_000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("copy_no", F.lit("old"))
@@ -103,16 +144,32 @@ def test_language_held_out(spark):
     odd = predict_languages(odd_docs(spark), learn_languages(docs)).collect()
     assert {r["lang_pred"] for r in odd if r["text"] is None or not re.search(r"[^\W\d_]", r["text"])} == {"und"}
     assert {r["lang_pred"] for r in predict_languages(odd_docs(spark), learn_languages(docs.limit(0))).collect()} == {"und"}
+    few = HyperRules(block=1)
+    rows = lambda rules: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 5)) for r in predict_languages(docs, learn_languages(docs.where("NOT held"), rules), rules).collect())
+    assert rows(few) == rows(HyperRules())
+
 
+def test_cosines_by_hand():
+    """The vector of a text, letter by letter."""
+    rules = HyperRules(dimensions=64)
+    slots, vectors = _letters(rules)
+    for text in ("ab", "The tree, a tree!", "é1é"):
+        want, letters = np.zeros(64), [int(slots[ord(c)]) for c in f" {text} "]
+        letters = [x for i, x in enumerate(letters) if x or not i or letters[i - 1]]
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if a or b or c:
+                want += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+        assert np.allclose(bundle([text], rules)[0], want)
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
+
+@pytest.mark.parametrize("block", [100_000, 30])
 def test_decontamination(spark, block):
     rng = random.Random(9)
     word = lambda: rng.choice(["Ab", "cd", "éf", "g1", "H"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 12, 25, 10, 0, 1, 40])] + [(7, None), (1, "cd g1")]
     rows = [(i, "  ,".join([word() for _ in range(20)] + rng.choice([[], items[2][1].split()[3:16], [items[0][1]], [items[6][1].upper()]]) + [word()])) for i in range(60)] + [(60, None), (61, ""), (61, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hit", F.lit("x"))
-    got = D.benchmark_hits(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    got = D.benchmark_hits(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
     windows = {}
     for i, t in items:
         w = D.normal_words((t or "").encode())
@@ -189,6 +246,51 @@ def test_guess_cost_is_least():
         assert abs(guess_cost(v, rules) - want) < 1e-9
 
 
+def test_guess_costs_with_a_lexicon():
+    learned = replace(GuessRules(), words=(*GuessRules().words, "complicated", "generated"))
+    for weak in ("complicated", "P@ssw0rd", "letmein2024", "Jan2024!", "01021999abc"):
+        assert guess_cost(weak, learned) < 9 < guess_cost("kX9#vLq2Zp", learned)
+
+
+def test_prose_is_left_alone():
+    for text in ("The token is generated by the server.", "The secret is understanding your readers", "Her password was forgotten yesterday", "the secret is state-of-the-art work", "The auth token is invalidated-on-logout then", "their passwords are Überflüssig"):
+        assert find_secrets(text) == [], text
+    assert [s[0] for s in find_secrets("the password is TrustNo1forever")] == ["guess"]
+
+
+def test_secret_base_over_documents(spark):
+    """Base spans of whole documents against plain regular expressions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rules = learn_words(docs)
+    assert len(rules.words) > len(GuessRules().words) and rules.words[: len(GuessRules().words)] == GuessRules().words
+    kinds = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+        ("hex", re.compile("[0-9a-f]+"), 0, 32),
+    ]
+    for r in scan_secrets(docs, rules).collect():
+        want = [(m.start(), i, m.end()) for i, (_, p, g, least) in enumerate(kinds) for m in p.finditer(r["text"] or "") if len(m[g]) >= least]
+        got = [(s["start"], [k for k, *_ in kinds].index(s["kind"]), s["end"]) for s in r["secrets"] if s["kind"] != "guess"]
+        assert got == sorted(want)
+
+
+def test_callers_columns_stay(spark):
+    """Dots, upper case and names that operators use inside do no harm."""
+    docs = odd_docs(spark).drop("kept", "Score").withColumn("a.b", F.lit(1)).withColumn("TEXT2", F.lit("x")).withColumn("_hits", F.lit(2)).withColumn("_known", F.lit(3)).withColumn("_items", F.lit(4))
+    bench = spark.createDataFrame([(1, "a b a b a b a b a b a b")], "item_id long, text string")
+    model = train(docs, docs.select("doc_id", F.lit(1).alias("grade")))
+    for out in (
+        D.benchmark_hits(docs, bench, block_words=3),
+        scan_secrets(docs),
+        predict_languages(docs, learn_languages(docs)),
+        score_texts(docs, train_lm(docs)),
+        score_quality(docs, model),
+    ):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert len(rows) == len(ODD) + 3 and all((r["a.b"], r["_hits"], r["_known"], r["_items"]) == (1, 2, 3, 4) for r in rows)
+
+
 def test_secret_scan(spark):
     key = "AKIA" + "Z9Y8X7W6V5U4T3S2"
     texts = ["password=hunter2hunter ok", f"see {key}.", "x" + "0123456789abcdef" * 2 + "g", 'TOKEN: "abcdefgh"', "secret=short", "the password is kX9#vLq2Zp.", "password is required", "é😀 api_key=12345678"]
@@ -200,7 +302,7 @@ def test_secret_scan(spark):
     assert find_secrets("a" * 100_000 + " token=" + "b" * 100_000)[-1][2] == 200_007
 
 
-@pytest.mark.parametrize("rules", [LmRules(), LmRules(flush=500, pass_bytes=20_000, part_bytes=6_000)])
+@pytest.mark.parametrize("rules", [LmRules(), LmRules(flush=500, pass_bytes=20_000, part_bytes=6_000, bucket_bytes=8_000, fan=3)])
 def test_language_model(spark, rules):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1001, "")], "doc_id long, text string"))
     rows = docs.collect()
@@ -208,13 +310,16 @@ def test_language_model(spark, rules):
     train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
     c = Counter(w for r in train for w in split(r["text"]))
     n, v = sum(c.values()), len(c)
+    pairs = Counter(x for r in train for w in [split(r["text"])] for x in zip([None, *w], w))
     got = score_texts(docs.withColumn("score", F.lit("x")), train_lm(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2), rules), rules).collect()
     assert len(got) == len(rows)
     for r in got:
         w = split(r["text"])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r["base_score"] - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
-        assert -1e9 < r["score"] <= 0
+        words = np.array([float(c[x]) for x in w])
+        near = word_scores(about(levels_of(words)), about(levels_of(np.array([float(pairs[x]) for x in zip([None, *w], w)]))), np.array([0, len(w)]), n, v, rules.prior)[0]
+        assert -1e9 < r["score"] <= 0 and abs(r["score"] - near) < 0.03 * len(w) + 0.5
     seen = [r for r in got if r["n_tokens"] > 50 and r["n_known"] == r["n_tokens"]]
     assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
     assert {r["base_score"] for r in score_texts(docs, train_lm(docs.limit(0), rules), rules).where("doc_id = 1001").collect()} == {0.0}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from maskwork.llm.decontaminate import item_windows, normal_words
 from maskwork.llm.quality_divergence import quality_rules
-from maskwork.llm.secret_scan import find_secrets, redact
+from maskwork.llm.secret_scan import find_secrets, learn_words, redact
 from tests.llm.test_near_dedup import brute_force
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,9 @@ def test_run(spark):
         w = normal_words(text.encode())
         return not any(b" ".join(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
 
-    want = {d: redact(r["text"], find_secrets(r["text"])) for d, r in kept.items() if clean(r["text"])}
+    kept = {d: r for d, r in kept.items() if clean(r["text"])}
+    rules = learn_words(docs.where(F.col("doc_id").isin(list(kept))))
+    want = {d: redact(r["text"], find_secrets(r["text"], rules)) for d, r in kept.items()}
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and {r["doc_id"] for r in got} <= set(want)
     for r in got:
