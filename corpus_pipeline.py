@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each of which reads what the one before has written and decides on all of it."""
+"""The corpus pipeline: five stages, each of which reads what the one before has written and decides on all of it.
+
+All stages take null ids, texts, languages and sources, empty and very long texts, repeated rows and empty tables, as their
+operators' docstrings say: a null or empty text fails the quality rules, rows of one id share their fate, and columns beyond
+those of ``documents`` are carried along.  Columns that the last stage makes (``n_copies, copy_no, shuffle_key``) replace
+callers' columns of these names.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import functions as F
 from maskwork.llm.decontaminate import benchmark_hits
 from maskwork.llm.near_dedup import near_duplicates
 from maskwork.llm.quality_divergence import quality_rules
-from maskwork.llm.secret_scan import scan_secrets
+from maskwork.llm.secret_scan import learn_words, scan_secrets
 from maskwork.llm.shared import written
 from maskwork.llm.source_mixing import mix_sources
 from maskwork.session import configure, table
@@ -36,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked, and ``n_chars`` is counted anew where they were."""
     configure(spark)
-    found = scan_secrets(docs)
+    found = scan_secrets(docs, learn_words(docs))
     changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.char_length("redacted").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
