@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwork.operators.spans import let
 from maskwork.schemas import BOX, POLYGON
 
 
@@ -88,11 +89,11 @@ def tile_starts(length: Column, tile: int, step: int) -> Column:
 
 
 def tiles(images: DataFrame, size: int, step: int) -> DataFrame:
-    """One row per tile of ``width`` by ``height``: adds ``tile_no`` and its ``box``."""
-    rows = images.withColumn("_y", F.explode(tile_starts(F.col("height"), size, step))).withColumn("_x", F.explode(tile_starts(F.col("width"), size, step)))
-    rows = rows.withColumn("box", box(F.col("_x"), F.col("_y"), F.least(F.col("_x") + size, F.col("width")), F.least(F.col("_y") + size, F.col("height"))))
-    keys = [c for c in images.columns]
-    return rows.withColumn("tile_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_y", "_x"))).drop("_x", "_y")
+    """One row per tile of ``width`` by ``height``: adds ``tile_no``, row by row from 1, and its ``box``.  Nothing is shuffled."""
+    across, down = tile_starts(F.col("width"), size, step), tile_starts(F.col("height"), size, step)
+    places = F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: box(x, y, F.least(x + size, F.col("width")), F.least(y + size, F.col("height"))))))
+    rows = images.select(*images.columns, F.posexplode(places).alias("tile_no", "box"))
+    return rows.withColumn("tile_no", F.col("tile_no") + 1)
 
 
 def moved(b: Column, dx: Column, dy: Column) -> Column:
@@ -184,13 +185,20 @@ def span_box(line: Column, start: Column, end: Column, pad_chars: float = 0.35,
 
 def span_polygon(polygon: Column, bounds: Column, start: Column, end: Column, pad_chars: float = 0.35, pad_y: float = 0.08) -> Column:
     """The same on a line that may lie at any angle, given by its corners."""
-    t0, t1 = _padded(bounds, F.size(bounds), start, end, pad_chars)
-    tl, tr, br, bl = (polygon[i] for i in range(4))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     out = lambda a, b: point(a["x"] + pad_y * (a["x"] - b["x"]), a["y"] + pad_y * (a["y"] - b["y"]))
-    top, right, low, left = out(tl, bl), out(tr, br), out(br, tr), out(bl, tl)
     lerp = lambda a, b, t: point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
-    return F.array(lerp(top, right, t0), lerp(top, right, t1), lerp(left, low, t1), lerp(left, low, t0)).cast(POLYGON)
+
+    def ends(b: Column) -> Column:
+        low, high = _padded(b, F.size(b), start, end, pad_chars)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    def sides(p: Column) -> Column:
+        tl, tr, br, bl = (p[i] for i in range(4))
+        return F.array(out(tl, bl), out(tr, br), out(br, tr), out(bl, tl))
+
+    corners = lambda t, s: F.array(lerp(s[0], s[1], t["low"]), lerp(s[0], s[1], t["high"]), lerp(s[3], s[2], t["high"]), lerp(s[3], s[2], t["low"]))
+    return let(let(bounds, ends), lambda t: let(let(polygon, sides), lambda s: corners(t, s))).cast(POLYGON)
 
 
 def face_box(b: Column, width: Column, height: Column) -> Column:
@@ -198,3 +206,32 @@ def face_box(b: Column, width: Column, height: Column) -> Column:
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
     pad = F.when(F.greatest(w, h) < 64, 0.55).otherwise(0.35)
     return box(F.greatest(F.lit(0.0), b["x0"] - pad * w), F.greatest(F.lit(0.0), b["y0"] - 1.3 * pad * h), F.least(width.cast("double"), b["x1"] + pad * w), F.least(height.cast("double"), b["y1"] + pad * h))
+
+
+def decode_faces(cells: DataFrame, keys: list[str], threshold: float = 0.7, overlap: float = 0.3) -> DataFrame:
+    """Faces from a detector's cells: keys, ``stride, row, col, cls, obj, dx, dy, lw, lh``.
+
+    A cell's score is the root of its two chances, its centre is moved by ``dx, dy`` cells, and its size is the exponential
+    of ``lw, lh`` in cells.  Faces under the threshold go, and of those that overlap the best stays.
+    """
+    chance = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
+    x, y = (F.col("col") + F.col("dx")) * F.col("stride"), (F.col("row") + F.col("dy")) * F.col("stride")
+    w, h = F.exp("lw") * F.col("stride"), F.exp("lh") * F.col("stride")
+    number = F.struct("stride", "row", "col")
+    found = cells.withColumn("score", F.sqrt(chance("cls") * chance("obj"))).where(F.col("score") >= threshold)
+    return nms(found.select(*keys, number.alias("box_id"), "score", box(x - w / 2, y - h / 2, x + w / 2, y + h / 2).alias("box")), keys, overlap)
+
+
+def code_regions(codes: DataFrame, pad: float = 6.0) -> DataFrame:
+    """Adds ``polygon`` to found codes with ``points`` and the image's ``width, height``: the box round the points, padded."""
+    b = polygon_box(F.col("points"))
+    edge = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.col(top).cast("double"))
+    around = box(edge(b["x0"] - pad, "width"), edge(b["y0"] - pad, "height"), edge(b["x1"] + pad, "width"), edge(b["y1"] + pad, "height"))
+    return codes.withColumn("polygon", box_polygon(around))
+
+
+def reading_batches(boxes: DataFrame, keys: list[str], size: int = 6) -> DataFrame:
+    """Adds ``batch_no``, from 0: boxes of an image by shape, narrow ones first, so that those read together are alike."""
+    shape = (F.col("box.x1") - F.col("box.x0")) / (F.col("box.y1") - F.col("box.y0"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(shape, "box_id"))
+    return boxes.withColumn("batch_no", F.floor((place - 1) / size).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -105,20 +105,23 @@ def shrink(image: np.ndarray, longest: int = 4096) -> np.ndarray:
 
 
 def polygon_mask(height: int, width: int, polygons: list[list[tuple[float, float]]]) -> np.ndarray:
-    """Pixels inside or on the edge of any polygon, by scan lines; corners are rounded to pixels."""
+    """Pixels inside any polygon, by even-odd scan lines, or on its edge; corners are rounded to pixels."""
     mask = np.zeros((height, width), bool)
+    cut = lambda low, high: slice(max(0, int(np.floor(low + 0.5))), max(0, int(np.floor(high + 0.5)) + 1))
     for points in polygons:
         p = np.rint(np.array(points, float)).astype(int)
         q = np.roll(p, -1, axis=0)
-        for y in range(max(0, p[:, 1].min()), min(height - 1, p[:, 1].max()) + 1):
-            xs = []
-            for (ax, ay), (bx, by) in zip(p, q):
-                if ay == by == y:
-                    xs += [ax, bx]
-                elif min(ay, by) <= y <= max(ay, by) and ay != by:
-                    xs.append(ax + (y - ay) * (bx - ax) / (by - ay))
-            if xs:
-                mask[y, max(0, int(np.floor(min(xs) + 0.5))) : max(0, int(np.floor(max(xs) + 0.5)) + 1)] = True
+        dy = np.where(q[:, 1] == p[:, 1], 1, q[:, 1] - p[:, 1])
+        slope = (q[:, 0] - p[:, 0]) / dy
+        low, high = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1])
+        for y in range(max(0, low.min()), min(height - 1, high.max()) + 1):
+            crossed = np.flatnonzero((low <= y) & (y < high))
+            xs = np.sort(p[crossed, 0] + (y - p[crossed, 1]) * slope[crossed])
+            for a, b in zip(xs[::2], xs[1::2]):
+                mask[y, cut(a, b)] = True
+            for i in np.flatnonzero((low <= y) & (y <= high)):  # the part of each edge nearest to this line
+                ends = p[i, 0] + (np.clip([y - 0.5, y + 0.5], low[i], high[i]) - p[i, 1]) * slope[i] if low[i] < high[i] else np.array([p[i, 0], q[i, 0]])
+                mask[y, cut(ends.min(), ends.max())] = True
     return mask
 
 
@@ -180,26 +183,35 @@ def read_images(spark: SparkSession, path: str, longest: int = 4096) -> DataFram
     return files.mapInPandas(run, f"path string, {IMAGE}")
 
 
-def redact_images(images: DataFrame, regions: DataFrame, key: str, style: str = "black box") -> DataFrame:
-    """``key, png``: images with the regions ``key, polygon`` hidden, encoded anew from their pixels."""
+def redact_images(images: DataFrame, regions: DataFrame, key: str, style: str = "black box", along: Sequence[str] = ()) -> DataFrame:
+    """``key, png``: images with the regions hidden, encoded anew from their pixels; null for null pixels.
+
+    ``regions`` are rows ``key, polygon``, or one row per image ``key, polygons`` whose columns ``along`` go along, as strings.
+    """
     from pyspark.sql import functions as F
 
-    rows = images.join(regions.groupBy(key).agg(F.collect_list("polygon").alias("polygons")), key, "left")
+    if "polygons" not in regions.columns:
+        regions = regions.groupBy(key).agg(F.collect_list("polygon").alias("polygons"))
+    rows = images.join(regions, key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-                polygons = [[(p["x"], p["y"]) for p in q] for q in (r.polygons if r.polygons is not None else [])]
-                out.append((getattr(r, key), encode_png(apply_redactions(image, polygons, style))))
-            yield pd.DataFrame(out, columns=[key, "png"])
+                png = None
+                if r.data is not None:
+                    image = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3)
+                    polygons = [[(p["x"], p["y"]) for p in q] for q in (r.polygons if r.polygons is not None else [])]
+                    png = encode_png(apply_redactions(image, polygons, style))
+                out.append((getattr(r, key), png, *(getattr(r, c) for c in along)))
+            yield pd.DataFrame(out, columns=[key, "png", *along])
 
-    return rows.select(key, "width", "height", "data", "polygons").mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, png binary")
+    made = "".join(f", {c} string" for c in along)
+    return rows.select(key, "width", "height", "data", "polygons", *along).mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, png binary{made}")
 
 
 def extract(images: DataFrame, load: Callable[[], Callable[[np.ndarray], list[dict]]] | None, key: str, schema: str) -> DataFrame:
-    """Rows that an injected engine (text reader, face or code finder) makes of each image; without one there are none."""
+    """Rows that an injected engine (text reader, face or code finder) makes of each image; none without one or of null pixels."""
     full = f"{key} {images.schema[key].dataType.simpleString()}, {schema}"
     if load is None:
         return images.sparkSession.createDataFrame([], full)
@@ -208,42 +220,92 @@ def extract(images: DataFrame, load: Callable[[], Callable[[np.ndarray], list[di
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = load()
         for b in batches:
-            rows = [{key: getattr(r, key), **x} for r in b.itertuples(index=False) for x in engine(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3))]
+            rows = [{key: getattr(r, key), **x} for r in b.itertuples(index=False) for x in engine(np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3))]
             yield pd.DataFrame(rows, columns=[key, *names])
 
-    return images.select(key, "width", "height", "data").mapInPandas(run, full)
+    return images.where("data IS NOT NULL").select(key, "width", "height", "data").mapInPandas(run, full)
+
+
+def _areas(on: np.ndarray) -> np.ndarray:
+    """x0, y0, x1, y1 (inclusive) of the areas of set pixels that touch at sides or corners, from runs of pixels by row."""
+    edges = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (rows, first), last = np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1
+    root = np.arange(len(rows))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    cuts = np.searchsorted(rows, np.arange(on.shape[0] + 1))
+    for y in range(1, on.shape[0]):
+        above, own = slice(cuts[y - 1], cuts[y]), np.arange(cuts[y], cuts[y + 1])
+        # runs of the row above that reach to within a pixel of each run
+        low = cuts[y - 1] + np.searchsorted(last[above], first[own] - 1)
+        high = cuts[y - 1] + np.searchsorted(first[above], last[own] + 1, side="right")
+        for i, a, b in zip(own.tolist(), low.tolist(), high.tolist()):
+            for j in range(a, b):
+                root[find(i)] = find(j)
+    label = np.array([find(i) for i in range(len(rows))], np.int64)
+    areas, which = np.unique(label, return_inverse=True)
+    out = np.empty((len(areas), 4), np.int64)
+    out[:, :2], out[:, 2:] = np.iinfo(np.int64).max, -1
+    np.minimum.at(out[:, 0], which, first)
+    np.minimum.at(out[:, 1], which, rows)
+    np.maximum.at(out[:, 2], which, last)
+    np.maximum.at(out[:, 3], which, rows)
+    return out
+
 
+def text_boxes(chances: np.ndarray, width: int, height: int, threshold: float = 0.3, least: float = 0.5, grow: float = 1.6, smallest: int = 3, most: int | None = None) -> list[dict]:
+    """Boxes of text from a map of chances: areas over the threshold, each with a mean chance, grown and scaled to the image.
 
-def text_boxes(chances: np.ndarray, width: int, height: int, threshold: float = 0.3, least: float = 0.5, grow: float = 1.6, smallest: int = 3, most: int = 1000) -> list[dict]:
-    """Boxes of text from a map of chances: areas over the threshold, each with a mean chance, grown and scaled to the image."""
+    All boxes are returned unless ``most`` is given.
+    """
     h, w = chances.shape
-    on = chances > threshold
-    wide = on.copy()
-    wide[:, 1:] |= on[:, :-1]
-    wide[1:] |= on[:-1]
-    wide[1:, 1:] |= on[:-1, :-1]
-    label = np.where(wide, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # the smallest number of each area spreads over it
-        padded = np.pad(label, 1)
-        near = np.stack([padded[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
-        new = np.where(wide, np.where(near > 0, near, h * w + 1).min(axis=0), 0)
-        if (new == label).all():
-            break
-        label = new
+    on = np.pad(chances > threshold, ((1, 0), (1, 0)))
+    area = _areas(on[1:, 1:] | on[1:, :-1] | on[:-1, 1:] | on[:-1, :-1])
     total = np.pad(chances.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    out = []
-    for area in np.unique(label[label > 0]):
-        ys, xs = np.nonzero(label == area)
-        x0, x1, y0, y1 = xs.min(), xs.max(), ys.min(), ys.max()
-        bw, bh = x1 - x0, y1 - y0
-        mean = (total[y1 + 1, x1 + 1] - total[y0, x1 + 1] - total[y1 + 1, x0] + total[y0, x0]) / ((bw + 1) * (bh + 1))
-        if min(bw, bh) < smallest or mean < least:
-            continue
-        by = bw * bh * grow / (2 * (bw + bh))
-        if min(bw, bh) + 2 * by < smallest + 2:
-            continue
-        fit = lambda v, scale, top: float(min(max(np.floor(v * scale + 0.5), 0), top - 1))
-        box = {"x0": fit(x0 - by, width / w, width), "y0": fit(y0 - by, height / h, height), "x1": fit(x1 + by, width / w, width), "y1": fit(y1 + by, height / h, height), "score": float(mean)}
-        if box["x1"] - box["x0"] > 3 and box["y1"] - box["y0"] > 3:
-            out.append(box)
-    return out[:most]
+    low, high = area[:, :2], area[:, 2:]
+    size = high - low
+    inside = total[high[:, 1] + 1, high[:, 0] + 1] - total[low[:, 1], high[:, 0] + 1] - total[high[:, 1] + 1, low[:, 0]] + total[low[:, 1], low[:, 0]]
+    mean = inside / (size + 1).prod(axis=1)
+    margin = size.prod(axis=1) * grow / np.maximum(2 * size.sum(axis=1), 1)
+    short = size.min(axis=1, initial=np.iinfo(np.int64).max)
+    limits = np.array([width, height])
+    fitted = lambda v: np.clip(np.floor(v * limits / [w, h] + 0.5), 0, limits - 1)
+    a, b = fitted(low - margin[:, None]), fitted(high + margin[:, None])
+    kept = (short >= smallest) & (mean >= least) & (short + 2 * margin >= smallest + 2) & ((b - a) > 3).all(axis=1)
+    order = np.flatnonzero(kept)
+    return [{"x0": float(a[i, 0]), "y0": float(a[i, 1]), "x1": float(b[i, 0]), "y1": float(b[i, 1]), "score": float(mean[i])} for i in order[:most]]
+
+
+#: Digits as rows of three pixels, for the numbers of regions.
+_DIGITS = {d: [[int(c) for c in row] for row in rows.split()] for d, rows in zip("0123456789", (
+    "111 101 101 101 111", "010 110 010 010 111", "111 001 111 100 111", "111 001 111 001 111", "101 101 111 001 001",
+    "111 100 111 001 111", "111 100 111 101 111", "111 001 001 010 010", "111 101 111 101 111", "111 101 111 001 111"))}
+COLOURS = ((214, 39, 40), (31, 119, 180), (44, 160, 44), (148, 103, 189), (255, 127, 14), (23, 190, 207))
+
+
+def annotate(image: np.ndarray, regions: list[tuple[int, str, list]], chosen: set[int] | None = None) -> np.ndarray:
+    """A copy for review: the regions (number, category, polygon) outlined and numbered, those that are chosen (or all) tinted.
+
+    A category's colour depends on its name only.
+    """
+    height, width = image.shape[:2]
+    out = image.astype(np.float64)
+    colour = lambda category: np.array(COLOURS[zlib.crc32(category.encode()) % len(COLOURS)], float)
+    for number, category, polygon in regions:
+        if chosen is None or number in chosen:
+            mask = polygon_mask(height, width, [polygon])
+            out[mask] = 0.7 * out[mask] + 0.3 * colour(category)
+    for number, category, polygon in regions:
+        edges = [[a, b] for a, b in zip(polygon, [*polygon[1:], polygon[0]])]
+        out[polygon_mask(height, width, edges)] = colour(category)
+        glyphs = np.concatenate([np.pad(np.array(_DIGITS[d]), ((1, 1), (1, 1 if i == len(str(number)) - 1 else 0))) for i, d in enumerate(str(number))], axis=1)
+        scale = max(1, min(height, width) // 300)
+        glyphs = np.kron(glyphs, np.ones((scale, scale), int))
+        x, y = int(min(max(0, min(p[0] for p in polygon)), max(0, width - 1))), int(min(max(0, min(p[1] for p in polygon)), max(0, height - 1)))
+        glyphs = glyphs[: height - y, : width - x]
+        out[y : y + glyphs.shape[0], x : x + glyphs.shape[1]] = np.where(glyphs[:, :, None] > 0, 255.0, colour(category))
+    return np.rint(out).clip(0, 255).astype(np.uint8)

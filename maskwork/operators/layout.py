@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwork.operators.geometry import boxes_overlap, span_box, suppress
+from maskwork.operators.geometry import box_polygon, boxes_overlap, polygon_box, span_box, span_polygon, suppress, uniform_bounds
 from maskwork.operators.registry import SECRET_LABEL_ONLY
-from maskwork.operators.spans import merge_spans, with_spans
+from maskwork.operators.spans import let, merge_spans, with_spans
 from maskwork.schemas import BOX, LINE, SPANS
 
 _PART = f"struct<line:{LINE},offset:int>"
@@ -91,6 +91,17 @@ def row_span_box(parts: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(own) > 0, around).otherwise(span_box(parts[0]["line"], F.lit(0), F.lit(1))).cast(BOX)
 
 
+def row_span_polygon(parts: Column, start: Column, end: Column) -> Column:
+    """The same on lines at any angle (``line.polygon``): a span in one part has its own corners, one over several the box
+    around them, one over none the first character's."""
+    n = lambda p: F.char_length(p["line"]["text"])
+    shape = lambda p, a, b: span_polygon(p["line"]["polygon"], F.when(F.size(p["line"]["bounds"]) > 0, p["line"]["bounds"]).otherwise(uniform_bounds(n(p))), a, b)
+    own = F.filter(parts, lambda p: F.least(end, p["offset"] + n(p)) > F.greatest(start, p["offset"]))
+    shapes = F.transform(own, lambda p: shape(p, F.greatest(start, p["offset"]) - p["offset"], F.least(end, p["offset"] + n(p)) - p["offset"]))
+    around = lambda all_: box_polygon(let(F.flatten(all_), polygon_box))
+    return let(shapes, lambda all_: F.when(F.size(all_) == 1, F.get(all_, F.lit(0))).when(F.size(all_) > 1, around(all_)).otherwise(shape(parts[0], F.lit(0), F.lit(1))))
+
+
 def labelled_values(lines: DataFrame, key: str, label: str = SECRET_LABEL_ONLY, max_gap: float = 20.0, below: bool = True) -> DataFrame:
     """``key, label_id, line_id``: for each line that is only a label, the nearest line to its right, or else below it.
 

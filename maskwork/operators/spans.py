@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,11 +164,22 @@ def wanted_rules(categories: Sequence[str] | None) -> list[Rule]:
     return [r for r in RULES if categories is None or r.category in categories]
 
 
+_built: dict[tuple, Column] = {}
+
+
 def candidates(text: Column | str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = ()) -> Column:
     """What all rules of the categories find, before overlaps are settled.  Custom terms are found whatever the categories."""
+    key = (SparkContext._active_spark_context.applicationId, text, None if categories is None else tuple(categories), tuple(custom_terms)) if isinstance(text, str) else None
+    if key in _built:
+        return _built[key]
     text = _unmarked(F.coalesce(_col(text), F.lit("")))
     rules = [_custom(t) for t in sorted({t.strip() for t in custom_terms if t and t.strip()}, key=lambda t: (-len(t), t))] + wanted_rules(categories)
-    return _all_candidates(text, rules) if rules else F.array().cast(f"array<{CANDIDATE}>")
+    out = _all_candidates(text, rules) if rules else F.array().cast(f"array<{CANDIDATE}>")
+    if key:
+        if len(_built) > 32:
+            _built.clear()
+        _built[key] = out  # to build it takes seconds, as each function is a call to the JVM
+    return out
 
 
 def _custom(term: str) -> Rule:
