@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as T
 from .columns import head_of, set_aside
+from .shared import discard, written
 
 #: Fixed patterns: kind, pattern, and the fewest characters of the measured group; shorter matches are dropped.
 BASE = [
@@ -179,11 +180,24 @@ SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("
 
 
 def learn_words(docs: DataFrame, rules: GuessRules = GuessRules()) -> GuessRules:
-    """The rules with more words: behind their own, those of 4 to 16 letters a to z of the corpus that are in most documents,
-    ``most_words`` of them; ties by the word.  All texts count; null ones have no words."""
+    """The rules with more words: behind their own, those of 4 to 16 letters a to z of the corpus that are in most documents.
+
+    All texts count; null ones have no words.  Words are taken level by level, a sixteenth of a doubling of the number of
+    documents each, as long as they are no more than ``most_words``; so only these, and a count for each level, get to the
+    driver.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"), lambda w: F.char_length(w).between(4, 16)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents)
-    return replace(rules, words=(*rules.words, *(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(rules.most_words).collect())))
+    counts = written(counts.withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "words")
+    room, least = rules.most_words, 1 << 30
+    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["level"]
+    found = sorted(counts.where(F.col("level") >= least).select("n", "word").collect(), key=lambda r: (-r["n"], r["word"]))
+    discard(counts)
+    return replace(rules, words=(*rules.words, *(r["word"] for r in found)))
 
 
 def scan_secrets(docs: DataFrame, rules: GuessRules = GuessRules()) -> DataFrame:
