@@ -173,14 +173,21 @@ def _bounds_of(line: Column) -> Column:
 
 def span_box(line: Column, start: Column, end: Column, pad_chars: float = 0.35, pad_y: float = 0.08) -> Column:
     """The box of characters ``start`` to ``end`` of a line struct; ``orientation`` cw or ccw is text turned by a quarter."""
-    bounds = _bounds_of(line)
-    t0, t1 = _padded(bounds, F.size(bounds), start, end, pad_chars)
     b = line["box"]
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
-    flat = box(b["x0"] + t0 * w, b["y0"] - pad_y * h, b["x0"] + t1 * w, b["y1"] + pad_y * h)
-    cw = box(b["x0"] - pad_y * w, b["y0"] + (1 - t1) * h, b["x1"] + pad_y * w, b["y0"] + (1 - t0) * h)
-    ccw = box(b["x0"] - pad_y * w, b["y0"] + t0 * h, b["x1"] + pad_y * w, b["y0"] + t1 * h)
-    return F.when(line["orientation"] == "cw", cw).when(line["orientation"] == "ccw", ccw).otherwise(flat).cast(BOX)
+
+    def ends(bounds: Column) -> Column:
+        low, high = _padded(bounds, F.size(bounds), start, end, pad_chars)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    def placed(t: Column) -> Column:
+        t0, t1 = t["low"], t["high"]
+        flat = box(b["x0"] + t0 * w, b["y0"] - pad_y * h, b["x0"] + t1 * w, b["y1"] + pad_y * h)
+        cw = box(b["x0"] - pad_y * w, b["y0"] + (1 - t1) * h, b["x1"] + pad_y * w, b["y0"] + (1 - t0) * h)
+        ccw = box(b["x0"] - pad_y * w, b["y0"] + t0 * h, b["x1"] + pad_y * w, b["y0"] + t1 * h)
+        return F.when(line["orientation"] == "cw", cw).when(line["orientation"] == "ccw", ccw).otherwise(flat).cast(BOX)
+
+    return let(let(_bounds_of(line), ends), placed)
 
 
 def span_polygon(polygon: Column, bounds: Column, start: Column, end: Column, pad_chars: float = 0.35, pad_y: float = 0.08) -> Column:

@@ -86,9 +86,9 @@ def row_span_box(parts: Column, start: Column, end: Column) -> Column:
     n = lambda p: F.char_length(p["line"]["text"])
     own = F.filter(parts, lambda p: F.least(end, p["offset"] + n(p)) > F.greatest(start, p["offset"]))
     boxes = F.transform(own, lambda p: span_box(p["line"], F.greatest(start, p["offset"]) - p["offset"], F.least(end, p["offset"] + n(p)) - p["offset"]))
-    side = lambda k, f: f(F.transform(boxes, lambda b: b[k]))
-    around = F.struct(*[side(k, f).alias(k) for k, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))])
-    return F.when(F.size(own) > 0, around).otherwise(span_box(parts[0]["line"], F.lit(0), F.lit(1))).cast(BOX)
+    side = lambda all_, k, f: f(F.transform(all_, lambda b: b[k]))
+    around = lambda all_: F.struct(*[side(all_, k, f).alias(k) for k, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))])
+    return let(boxes, lambda all_: F.when(F.size(all_) > 0, around(all_)).otherwise(span_box(parts[0]["line"], F.lit(0), F.lit(1)))).cast(BOX)
 
 
 def row_span_polygon(parts: Column, start: Column, end: Column) -> Column:
