@@ -10,7 +10,9 @@ from maskwork.session import configure, table
 from .bloom_lm import score_texts, train_lm
 from .chat_format import CHAT_SQL, format_chats, read_chats
 from .decontaminate import DECONTAMINATE_SQL, benchmark_hits
+from .importance_resampling import resample
 from .lang_hyper import held_out, learn_languages, predict_languages
+from .lexical_search import SEARCH_SQL, build_index, search
 from .near_dedup import NEAR_SQL, NearRules, near_duplicates
 from .quality_divergence import QUALITY_SQL, quality_rules
 from .quality_ordinal import score_quality, train
@@ -18,6 +20,7 @@ from .secret_scan import learn_words, scan_secrets
 from .shared import written
 from .source_mixing import MIX_SQL, mix_sources
 from .suffix_dedup import REPEAT_SQL, remove_repeats
+from .url_rules import FIXED_RULES, URL_SQL, judge_urls
 
 
 def op1_quality_ordinal(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,5 +91,20 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(configure(spark), folder, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm, op10_suffix_dedup)}
-ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op6_quality_divergence": QUALITY_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL}
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, folder, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = build_index(table(configure(spark), folder, "documents"))
+    return search(index, table(spark, folder, "benchmark"))
+
+
+def op13_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(FIXED_RULES, "verdict string, host string, path string")
+    return judge_urls(table(configure(spark), folder, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm, op10_suffix_dedup, op11_importance_resampling, op12_lexical_search, op13_url_rules)}
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op6_quality_divergence": QUALITY_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL, "op12_lexical_search": SEARCH_SQL, "op13_url_rules": URL_SQL}
