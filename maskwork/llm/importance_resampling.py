@@ -159,3 +159,20 @@ def resample(docs: DataFrame, target: DataFrame, rules: ResampleRules = Resample
     rest = scored.where(~able).select(*kept, *WEIGHTS, "score", F.lit(None).cast("long").alias("rank"))
     back = [c for c, n in zip(restored, names) if n != "text"]
     return out.unionByName(rest).select(*back, *made)
+
+
+RESAMPLE_SQL = r"""
+WITH crcs AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+texts AS (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+worded AS (SELECT part, row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM texts),
+runs AS (SELECT part, r, array_to_string(w[i:i + n - 1], ' ') AS feature, count(*) AS k FROM (SELECT part, r, w, unnest(range(1, len(w) + 1)) AS i FROM worded), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w) GROUP BY ALL),
+bytes AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs)),
+hashed AS (SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, [(instr('123456789ABCDEF', h[2 * j - 1]) * 16 + instr('123456789ABCDEF', h[2 * j]))::BIGINT FOR j IN range(1, len(h) // 2 + 1)]), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crcs),
+counts AS (SELECT bucket, coalesce(sum(k) FILTER (part = 0), 0) AS s, coalesce(sum(k) FILTER (part = 1), 0) AS t FROM runs JOIN hashed USING (feature) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT r, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS weight FROM runs JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE part = 0 GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM worded LEFT JOIN weights USING (r) WHERE part = 0),
+drawn AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM drawn
+"""

@@ -10,7 +10,7 @@ from maskwork.session import configure, table
 from .bloom_lm import score_texts, train_lm
 from .chat_format import CHAT_SQL, format_chats, read_chats
 from .decontaminate import DECONTAMINATE_SQL, benchmark_hits
-from .importance_resampling import resample
+from .importance_resampling import RESAMPLE_SQL, resample
 from .lang_hyper import held_out, learn_languages, predict_languages
 from .lexical_search import SEARCH_SQL, build_index, search
 from .near_dedup import NEAR_SQL, NearRules, near_duplicates
@@ -107,4 +107,4 @@ def op13_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_source_mixing, op3_chat_format, op4_lang_hyper, op5_decontaminate, op6_quality_divergence, op7_secret_scan, op8_near_dedup, op9_bloom_lm, op10_suffix_dedup, op11_importance_resampling, op12_lexical_search, op13_url_rules)}
-ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op6_quality_divergence": QUALITY_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL, "op12_lexical_search": SEARCH_SQL, "op13_url_rules": URL_SQL}
+ORACLES = {"op2_source_mixing": MIX_SQL, "op3_chat_format": CHAT_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op6_quality_divergence": QUALITY_SQL, "op8_near_dedup": NEAR_SQL, "op10_suffix_dedup": REPEAT_SQL, "op11_importance_resampling": RESAMPLE_SQL, "op12_lexical_search": SEARCH_SQL, "op13_url_rules": URL_SQL}
