@@ -73,9 +73,20 @@ SECRET_LABEL_ONLY = rf"(?i)(?:^|{SPACE})(?:{LABEL_KEY}){SPACE}*[:=]?{SPACE}*\z"
 PEM_LINE = r"[A-Za-z0-9+/=]{8,}|Proc-Type:[^\r\n]*|DEK-Info:[^\r\n]*|Comment:[^\r\n]*"
 LOCAL = r"[\p{L}\p{N}_%+\-]"
 DOMAIN_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,61}[\p{L}\p{N}])?"
-#: A key may have so many more words behind the one that makes it sensitive, each so long at most.
-KEYED = rf"(?:{SENSITIVE_KEY})(?:[_-][A-Za-z0-9]{{1,64}}+){{0,32}}+"
-QUOTED_KEY = rf"""\\?["']?{KEYED}\\?["']?{SPACE}*+[:=]{SPACE}*+"""
+
+
+def _keyed(start: str = "") -> str:
+    """A sensitive key and any number of words behind it, each after one ``_`` or ``-``.
+
+    The words are one flat run with its shape looked at from both ends, so their number and length have no bound.  A key
+    with another one before it, with only such words between, is passed over: what follows the run decides for both, and a
+    run of many keys is not read from each.
+    """
+    key = rf"{start}(?:{SENSITIVE_KEY})"
+    return rf"(?={key})(?<!{key}(?=[_-])(?![A-Za-z0-9_-]{{0,128}}?[_-]{{2}})[A-Za-z0-9_-]{{1,128}}?){key}(?:[_-](?![A-Za-z0-9_-]*?[_-]{{2}})(?![_-])[A-Za-z0-9_-]*+(?<![_-]))?+"
+
+
+QUOTED_KEY = rf"""\\?["']?{_keyed()}\\?["']?{SPACE}*+[:=]{SPACE}*+"""
 
 
 def _quoted(quote: str) -> str:
@@ -104,7 +115,8 @@ _ORDER: list[list[Rule]] = [
     [Rule("TELEGRAM_BOT", "secrets", r"[0-9]{8,10}:[A-Za-z0-9_\-]{20,}", EDGE, EDGE, trigger="[0-9]{8}:", digit=True)],
     [Rule("GOOGLE_API_KEY", "secrets", r"AIza[0-9A-Za-z_\-]{35}", EDGE, EDGE, words=("AIza",))],
     [Rule("STRIPE_KEY", "secrets", r"(?:sk|rk)_(?:[l1I]ive|test)_[0-9a-zA-Z]{16,}", EDGE, EDGE, words=("sk_", "rk_"))],
-    [Rule("JWT", "secrets", r"eyJ[A-Za-z0-9_\-]{8,4096}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", EDGE, words=("eyJ",))],
+    # A run of its characters is read from the first place where it can begin, and from others 512 characters apart.
+    [Rule("JWT", "secrets", r"eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+", rf"{EDGE}(?=eyJ)(?<!{EDGE}eyJ[A-Za-z0-9_\-]{{0,512}}?)", words=("eyJ",))],
     [Rule("CONNECTION_STRING_KEY", "secrets", r"[A-Za-z0-9+/%=]{16,}", EDGE + "(?:AccountKey|SharedAccessKey|SharedAccessSignature|sig)=", words=("AccountKey=", "SharedAccessKey=", "SharedAccessSignature=", "sig="))],
     [Rule("BEARER_TOKEN", "secrets", r"[A-Za-z0-9._~+/\-]{16,}=*", rf"{EDGE}bearer{SPACE}+", folded=("bearer",), ignore_case=True)],
     [Rule("BASIC_AUTH", "secrets", r"[A-Za-z0-9+/]{8,}={0,2}", rf"{EDGE}(?:Authorization{SPACE}*:{SPACE}*)?Basic{SPACE}+", folded=("basic",), ignore_case=True, check=plain(V.basic_auth_ok))],
@@ -117,7 +129,7 @@ _ORDER: list[list[Rule]] = [
         Rule("PASSWORD_OR_SECRET", "secrets", r"[^'\\]{4,}", QUOTED_KEY + r"\\'", r"\\?'", ignore_case=True, check=_SECRET, folded=KEY_WORDS),
     ],
     [Rule("PASSWORD_OR_SECRET", "secrets", r"[^<]{3,}", rf"<({SENSITIVE_KEY}){EDGE}[^<>]*+>", r"</\2>", ignore_case=True, check=_SECRET, groups=1, words=("</",), folded=KEY_WORDS)],
-    [Rule("PASSWORD_OR_SECRET", "secrets", r"""[^\s"',;]{4,}""", rf"""(?<![A-Za-z]){KEYED}{SPACE}*+["']?{SPACE}*+[:=]{SPACE}*+["']?""", "", ignore_case=True, check=_SECRET, extend=True, folded=KEY_WORDS)],
+    [Rule("PASSWORD_OR_SECRET", "secrets", r"""[^\s"',;]{4,}""", rf"""{_keyed("(?<![A-Za-z])")}{SPACE}*+["']?{SPACE}*+[:=]{SPACE}*+["']?""", "", ignore_case=True, check=_SECRET, extend=True, folded=KEY_WORDS)],
     [Rule("CREDIT_CARD", "financial", r"(?:[0-9][ \t\x{00A0}\-]?){12,18}[0-9]", EDGE, EDGE, trigger=r"[0-9](?:[ \t\x{00A0}\-]?[0-9]){12}", digit=True, check=plain(V.luhn_ok))],
     [Rule("IBAN", "financial", r"[A-Z]{2}[0-9]{2}(?:[ \t\x{00A0}]?[A-Z0-9]{4}){2,7}(?:[ \t\x{00A0}]?[A-Z0-9]{1,4})?", EDGE, EDGE, trigger="[A-Za-z]{2}[0-9]{2}", digit=True, ignore_case=True, check=plain(V.iban_ok))],
     [Rule("BANK_ACCOUNT", "financial", r"[0-9][0-9 \-]{5,20}[0-9]", rf"{EDGE}(?:account|acct|a/c){ID_LABEL}", EDGE, ignore_case=True, folded=("account", "acct", "a/c"), digit=True)],
@@ -171,7 +183,7 @@ _ORDER: list[list[Rule]] = [
 PEM = Rule(
     "PRIVATE_KEY",
     "secrets",
-    rf"-{{5}}BEGIN ([A-Z ]{{0,64}}PRIVATE KEY)-{{5}}(?:[^-]*+(?:-(?!----(?:END \3-{{5}}|BEGIN ))[^-]*+)*+-{{5}}END \3-{{5}}|(?:(?:\r\n|\n|\r)[ \t]*+(?:{PEM_LINE})[ \t]*+(?=[\r\n]|\z))*+)",
+    rf"-{{5}}BEGIN ([A-Z ]*PRIVATE KEY)-{{5}}(?:[^-]*+(?:-(?!----(?:END \3-{{5}}|BEGIN ))[^-]*+)*+-{{5}}END \3-{{5}}|(?:(?:\r\n|\n|\r)[ \t]*+(?:{PEM_LINE})[ \t]*+(?=[\r\n]|\z))*+)",
     words=("PRIVATE KEY-----",),
     value_groups=1,
     rank=-100,

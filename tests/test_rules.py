@@ -50,7 +50,7 @@ def test_any_surroundings(spark):
 @pytest.mark.parametrize("part", range(4))
 def test_no_text_kills(spark, part):
     """A megabyte of what makes each rule repeat: no stack runs out, and no rule takes the square of its length."""
-    units = ["a.", "_a", "Ab1+" * 16 + "\n", " ", "\u00a0", "token_", "-eyJa", "Aa ", "1 ", "-", "@a", "a:", "<password ", "::", "\"a\\\"", ".", "A", "0"]
+    units = ["-eyJaaaaaaaaa.", "token-", "token_a_", "pwd_-", "a.", "_a", "Ab1+" * 16 + "\n", " ", "\u00a0", "token_", "-eyJa", "Aa ", "1 ", "-", "@a", "a:", "<password ", "::", "\"a\\\"", ".", "A", "0"]
     size = 1_000_000
     texts = [u * (size // len(u)) for u in units]
     texts += ["x@" + "a." * 50_000 + "com", "password" + "_a" * 60_000 + "=hunter2x", "-----BEGIN PRIVATE KEY-----\n" + ("Ab1+" * 16 + "\n") * 20_000, "-----BEGIN PRIVATE KEY-----" * 30_000]
@@ -63,8 +63,19 @@ def test_no_text_kills(spark, part):
 
 
 def test_long_values(spark):
-    got = spans_of(spark, ["x@" + "a." * 20_000 + "com", "password" + "_a" * 20_000 + "=hunter2x", "-----BEGIN PRIVATE KEY-----\n" + ("Ab1+" * 16 + "\n") * 2_000, 'token = "' + "a1" * 60_000 + '"'])
-    assert got[0] == [] and len(got[1]) <= 1 and got[2][0][0] == "PRIVATE_KEY" and len(got[2][0][1]) > 120_000 and len(got[3][0][1]) == 120_000
+    """Values, and what has to stand before them, are found whatever their length."""
+    pem = "-----BEGIN PRIVATE KEY-----\n" + ("Ab1+" * 16 + "\n") * 2_000
+    kind = "A" * 200 + " PRIVATE KEY"
+    closed = f"-----BEGIN {kind}-----\n{'Ab1+' * 16}\n-----END {kind}-----"
+    jwt = f"eyJ{'a' * 9_000}.{'b-' * 9_000}.{'c' * 9_000}"
+    keys = ["password" + "_a" * 20_000, "password_" + "a" * 70, "password" + "_a" * 40, "api-key-" + "x" * 9_000 + "_id", "token_token_secret_" * 200 + "id", "token__token"]
+    texts = ["x@" + "a." * 20_000 + "com", pem, closed, f"is {jwt}, yes", 'token = "' + "a1" * 60_000 + '"']
+    got = spans_of(spark, texts + [f"{k}=hunter2x" for k in keys] + [f"{q}{k}{q}: {q}hunter2x{q}" for k in keys for q in "\"'"] + [f"{k}{x}=hunter2x" for k in keys[:2] for x in ("_", "--a", "_-a", "é")])
+    assert got[0] == [] and got[1][0][0] == "PRIVATE_KEY" and len(got[1][0][1]) > 120_000 and len(got[4][0][1]) == 120_000
+    assert got[2] == [("PRIVATE_KEY", closed, 0)] and got[3] == [("JWT", jwt, 3)]
+    n = len(texts)
+    assert not [i for i in range(n, n + 3 * len(keys)) if [x[:2] for x in got[i]] != [("PASSWORD_OR_SECRET", "hunter2x")]]
+    assert not [got[i] for i in range(n + 3 * len(keys), len(got)) if any(x[0] == "PASSWORD_OR_SECRET" for x in got[i])]
 
 
 def test_many_matches(spark):
