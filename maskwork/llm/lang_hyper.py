@@ -22,6 +22,8 @@ from .shared import discard, written
 
 #: Letters beyond the first are dealt to this many vectors by their code.
 SLOTS = 1024
+#: The length of a prototype's direction in whole numbers.
+_UNIT = 2.0**26
 UNKNOWN = "und"
 
 
@@ -73,19 +75,31 @@ def bundle(texts: list[str | None], rules: HyperRules) -> np.ndarray:
     """The vector of each text; all zero where it has no letter triple."""
     _, vectors = _letters(rules)
     row, code, counts = triples([f" {t} " if t else t for t in texts], rules)
-    out = np.zeros((len(texts), rules.dimensions), np.float32)
+    out = np.zeros((len(texts), rules.dimensions))
     for a in range(0, len(texts), 32):
         lo, hi = np.searchsorted(row, [a, a + 32])
         if hi > lo:
             distinct, at = np.unique(code[lo:hi], return_inverse=True)
             first, second, third = distinct // SLOTS**2, distinct // SLOTS % SLOTS, distinct % SLOTS
             bound = np.roll(vectors[first], 2, axis=1) * np.roll(vectors[second], 1, axis=1) * vectors[third]
-            table = np.zeros((min(32, len(texts) - a), len(distinct)), np.float32)
+            table = np.zeros((min(32, len(texts) - a), len(distinct)))
             table[row[lo:hi] - a, at] = counts[lo:hi]
-            out[a : a + 32] = table @ bound.astype(np.float32)
+            exact = np.float32 if table.sum(axis=1).max() < 2**24 else np.float64  # sums of whole numbers, in any order
+            out[a : a + 32] = table.astype(exact) @ bound.astype(exact)
     return out
 
 
+def whole_prototypes(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of the languages' sums in whole numbers, and their lengths.
+
+    Products with a text's vector are sums of whole numbers below 2**53, so a cosine is the same whatever texts and languages
+    are multiplied with it.
+    """
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    whole = np.rint(sums / np.where(norms > 0, norms, 1) * _UNIT)
+    return whole, np.linalg.norm(whole, axis=1)
+
+
 def learn_languages(docs: DataFrame, rules: HyperRules = HyperRules()) -> DataFrame:
     """``lang, sums array<double>``, written: the sum of the texts' vectors of each language, from all rows with a text and a
     non-null ``lang``.
@@ -129,8 +143,7 @@ def predict_languages(docs: DataFrame, model: DataFrame, rules: HyperRules = Hyp
         rows = model.where(F.pmod(F.xxhash64("lang"), F.lit(n_blocks)) == k).collect()
         found = sorted((r["lang"], r["sums"]) for r in rows)
         sums = np.array([v for _, v in found]).reshape(len(found), rules.dimensions)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        shared = docs.sparkSession.sparkContext.broadcast(([x for x, _ in found], (sums / np.where(norms > 0, norms, 1)).astype(np.float32)))
+        shared = docs.sparkSession.sparkContext.broadcast(([x for x, _ in found], *whole_prototypes(sums)))
         judged = _compared(out, names, shared, k == 0, rules)
         if k < n_blocks - 1:
             before, out = out, written(judged, "compared")
@@ -144,7 +157,7 @@ def _compared(docs: DataFrame, names: list[str], shared, first: bool, rules: Hyp
     """The best of a block of languages and of what the blocks before have found: ``lang_pred`` and an unclipped ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prototypes = shared.value
+        langs, prototypes, lengths = shared.value
         for whole in batches:
             for batch in T.pieces(whole):
                 n = batch.num_rows
@@ -152,7 +165,7 @@ def _compared(docs: DataFrame, names: list[str], shared, first: bool, rules: Hyp
                 if langs:
                     vectors = bundle(batch.column("text").to_pylist(), rules)
                     size = np.linalg.norm(vectors, axis=1)
-                    cosine = (vectors @ prototypes.T).astype(np.float64) / np.where(size > 0, size, 1)[:, None]
+                    cosine = vectors @ prototypes.T / (np.where(size > 0, size, 1)[:, None] * np.where(lengths > 0, lengths, 1))
                     best = cosine.argmax(axis=1)
                     names_, own = np.array(langs, object)[best], cosine[np.arange(n), best]
                     better = (size > 0) & ((own > score) | ((own == score) & np.array([a < b for a, b in zip(names_, pred)], bool)))

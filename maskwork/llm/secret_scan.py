@@ -68,7 +68,7 @@ SETS = [(re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0
 class GuessRules:
     #: Words from the most to the least common; ``learn_words`` makes a longer list.
     words: tuple[str, ...] = tuple(COMMON_WORDS)
-    #: How many words of a corpus are learned, and in how many documents one has to be.
+    #: How many words of a corpus are learned at most, and in how many documents one has to be.
     most_words: int = 50_000
     least_documents: int = 3
     #: Decimal logarithm of guesses from which on a value counts as a secret.
@@ -180,22 +180,27 @@ SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("
 
 
 def learn_words(docs: DataFrame, rules: GuessRules = GuessRules()) -> GuessRules:
-    """The rules with more words: behind their own, those of 4 to 16 letters a to z of the corpus that are in most documents.
+    """The rules with more words: behind their own, the ``most_words`` words of 4 to 16 letters, of any script, that are in most
+    documents of the corpus, and of those in as many the first in order.
 
-    All texts count; null ones have no words.  Words are taken level by level, a sixteenth of a doubling of the number of
-    documents each, as long as they are no more than ``most_words``; so only these, and a count for each level, get to the
-    driver.
+    All texts count; null ones have no words.  The bound is on what each task holds, about 5 MB at its default: a value made
+    of rarer words is judged by its letters, so it costs more guesses than it should and may be masked without need, while no
+    value costs fewer.  Counts are put in levels, a sixteenth of a doubling each, so that only the level that the bound cuts
+    is sorted, and only the chosen words, and a count for each level, get to the driver.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"), lambda w: F.char_length(w).between(4, 16)))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{M}]+"), lambda w: F.char_length(w).between(4, 16)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents)
     counts = written(counts.withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "words")
-    room, least = rules.most_words, 1 << 30
+    room, least, cut = rules.most_words, 1 << 30, None
     for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
-        room -= r["k"]
-        if room < 0:
+        if r["k"] > room:
+            cut = r["level"]
             break
-        least = r["level"]
-    found = sorted(counts.where(F.col("level") >= least).select("n", "word").collect(), key=lambda r: (-r["n"], r["word"]))
+        room, least = room - r["k"], r["level"]
+    found = counts.where(F.col("level") >= least).select("n", "word").collect()
+    if cut is not None and room:
+        found += counts.where(F.col("level") == cut).orderBy(F.desc("n"), "word").limit(room).select("n", "word").collect()
+    found.sort(key=lambda r: (-r["n"], r["word"]))
     discard(counts)
     return replace(rules, words=(*rules.words, *(r["word"] for r in found)))
 
