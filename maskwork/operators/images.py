@@ -9,60 +9,131 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STYLES = ("black box", "pixelate", "blur")
 IMAGE = "width int, height int, data binary"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
+#: Samples of a pixel by PNG colour type.
+_DEPTHS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: The passes of an interlaced picture: first column, first row, steps between columns and rows.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+#: Rows whose filters are undone together.
+_STRIP = 128
+
+
 def decode_png(raw: bytes) -> np.ndarray:
-    """An 8-bit PNG without interlacing as RGB; transparency is laid on white, gray is repeated."""
+    """A PNG of any colour type, depth and interlacing as 8-bit RGB; transparency is laid on white, gray is repeated."""
     if raw[:8] != _SIGNATURE:
         raise ValueError("not a PNG")
-    at, packed, head = 8, b"", None
-    while at < len(raw):
+    at, packed, head, palette, clear = 8, [], None, None, None
+    while at + 8 <= len(raw):
         size, kind = struct.unpack(">I4s", raw[at : at + 8])
         body = raw[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
-            packed += body
+            packed.append(body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = body
         at += 12 + size
+    if head is None or head[3] not in _DEPTHS or head[2] not in (1, 2, 4, 8, 16) or (head[3] == 3 and palette is None):
+        raise ValueError("no picture in it")
     width, height, depth, colour, _, _, interlaced = head
-    depth_of = {0: 1, 2: 3, 4: 2, 6: 4}
-    if depth != 8 or interlaced or colour not in depth_of:
-        raise ValueError("only 8-bit gray, RGB and alpha without interlacing")
-    n = depth_of[colour]
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height, width, n), np.uint8)
-    above = np.zeros((width, n), np.int64)
-    for y in range(height):
-        line = rows[y, 1:].reshape(width, n).astype(np.int64)
-        above = _unfilter(int(rows[y, 0]), line, above)
-        out[y] = above
-    return flatten(out)
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Undo a row's filter: 0 none, 1 left, 2 above, 3 their mean, 4 whichever is nearest to left + above - corner."""
+    n, data = _DEPTHS[colour], np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    out = np.zeros((height, width, n), np.uint16 if depth == 16 else np.uint8)
+    at = 0
+    for x, y, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        w, h = len(range(x, width, dx)), len(range(y, height, dy))
+        if w and h:
+            line = (w * n * depth + 7) // 8
+            rows = data[at : at + h * (1 + line)].reshape(h, 1 + line)
+            at += rows.size
+            out[y::dy, x::dx] = _samples(unfilter(rows, max(1, n * depth // 8)), w, n, depth)
+    return flatten(_coloured(out, colour, depth, palette, clear))
+
+
+def _samples(rows: np.ndarray, width: int, n: int, depth: int) -> np.ndarray:
+    if depth == 16:
+        return rows.view(">u2").reshape(len(rows), width, n)
+    if depth < 8:
+        parts = [(rows >> shift) & ((1 << depth) - 1) for shift in range(8 - depth, -1, -depth)]
+        rows = np.stack(parts, axis=2).reshape(len(rows), -1)[:, : width * n]
+    return rows.reshape(len(rows), width, n)
+
+
+def _coloured(out: np.ndarray, colour: int, depth: int, palette: np.ndarray | None, clear: bytes | None) -> np.ndarray:
+    """Samples in 8 bits, by the palette where there is one, and with what ``tRNS`` says of transparency."""
+    if colour == 3:
+        alpha = np.full(len(palette), 255, np.uint8)
+        if clear is not None:
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(alpha)]
+        return np.concatenate([palette, alpha[:, None]], axis=1)[np.minimum(out[:, :, 0], len(palette) - 1)]
+    alpha = None
+    if clear is not None and colour in (0, 2):
+        key = np.frombuffer(clear, ">u2")[: out.shape[2]]
+        alpha = np.where((out == key).all(axis=2), 0, 255).astype(np.uint8)[:, :, None]
+    eight = ((out.astype(np.uint32) + 128) // 257).astype(np.uint8) if depth == 16 else (out * (255 // ((1 << depth) - 1))).astype(np.uint8)
+    return eight if alpha is None else np.concatenate([eight, alpha], axis=2)
+
+
+def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
+    """Undo the filters of rows that begin with the filter's number: 0 none, 1 left, 2 above, 3 their mean, 4 whichever is
+    nearest to left + above - corner.  ``step`` is how many bytes further left the left neighbour is.
+
+    Rows of filters 0 to 2 are whole-row sums.  Strips with others go along their diagonals, all of whose bytes depend on the
+    two diagonals before only.
+    """
+    height, width = rows.shape[0], rows.shape[1] - 1
+    out = np.zeros((height + 1, width), np.uint8)
+    at = 0
+    while at < height:
+        strip = rows[at : at + _STRIP]
+        if strip[0, 0] < 3:
+            out[at + 1] = _plain(int(strip[0, 0]), strip[0, 1:], out[at], step)
+            at += 1
+        else:
+            simple = np.flatnonzero(strip[:, 0] < 3)
+            n = len(strip)
+            if len(simple) > n // 2:  # few that need their diagonals: only up to the next plain row
+                n = int(simple[0])
+            out[at + 1 : at + 1 + n] = _diagonals(strip[:n], out[at], step)
+            at += n
+    return out[1:]
+
+
+def _plain(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return line
-    if kind == 1:
-        return np.cumsum(line, axis=0) % 256
     if kind == 2:
-        return (line + above) % 256
-    out = np.zeros_like(line)
-    left = corner = np.zeros(line.shape[1], np.int64)
-    for x in range(len(line)):
-        up = above[x]
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
-            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-        left = out[x] = (line[x] + guess) % 256
-        corner = up
-    return out
+        return line + above
+    pad = np.pad(line, (0, -len(line) % step)).reshape(-1, step)
+    return np.cumsum(pad, axis=0, dtype=np.uint8).ravel()[: len(line)]
+
+
+def _diagonals(strip: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    n, bytes_ = len(strip), strip.shape[1] - 1
+    cells = -(-bytes_ // step)
+    raw = np.zeros((n, cells * step), np.int16)
+    raw[:, :bytes_] = strip[:, 1:]
+    kind = strip[:, 0][:, None]
+    done = np.zeros((n + 1, (cells + 1) * step), np.int16)  # one row above, one cell to the left
+    done[0, step : step + bytes_] = above
+    flat, raw_flat = done.reshape(n + 1, cells + 1, step), raw.reshape(n, cells, step)
+    for t in range(cells + n - 1):
+        y = np.arange(max(0, t - cells + 1), min(n, t + 1))
+        x = t - y
+        left, up, corner = flat[y + 1, x], flat[y, x + 1], flat[y, x]
+        own = kind[y]
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.where(own == 4, nearest, np.where(own == 3, (left + up) >> 1, np.where(own == 2, up, np.where(own == 1, left, 0))))
+        flat[y + 1, x + 1] = (raw_flat[y, x] + guess) & 255
+    return done[1:, step : step + bytes_].astype(np.uint8)
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -97,6 +168,17 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(along(along(image, height).swapaxes(0, 1), width).swapaxes(0, 1)).clip(0, 255).astype(np.uint8)
 
 
+def pixels_of(row) -> np.ndarray:
+    """The RGB pixels of a row ``width, height, data``; with ``channels``, data is BGR, BGR and alpha, or gray, as Spark's own
+    picture source has it."""
+    shape = (int(row.height), int(row.width))
+    channels = getattr(row, "channels", None)
+    if channels is None:
+        return np.frombuffer(row.data, np.uint8).reshape(*shape, 3)
+    data = np.frombuffer(row.data, np.uint8).reshape(*shape, int(channels))
+    return flatten(data if channels == 1 else data[:, :, [2, 1, 0, 3][: int(channels)]])
+
+
 def shrink(image: np.ndarray, longest: int = 4096) -> np.ndarray:
     side = max(image.shape[:2])
     if side <= longest:
@@ -167,47 +249,85 @@ def apply_redactions(image: np.ndarray, polygons: list, style: str = "black box"
 
 def read_images(spark: SparkSession, path: str, longest: int = 4096) -> DataFrame:
     """``path, width, height, data`` (RGB bytes) of the PNG files under a path; files that can't be read have null pixels."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode_files(spark.read.format("binaryFile").load(path).select("path", "content"), longest)
+
+
+def decode_files(files: DataFrame, longest: int = 4096) -> DataFrame:
+    """The same of rows ``path, content``.  Each picture is handed on before the next is decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for path, raw in zip(b["path"], b["content"]):
                 try:
                     image = shrink(decode_png(bytes(raw)), longest)
-                    rows.append((path, image.shape[1], image.shape[0], image.tobytes()))
-                except (ValueError, zlib.error, struct.error, TypeError):
-                    rows.append((path, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "data"]).astype({"width": "Int32", "height": "Int32"})
+                    row = (path, image.shape[1], image.shape[0], image.tobytes())
+                except (ValueError, zlib.error, struct.error, TypeError, IndexError):
+                    row = (path, None, None, None)
+                yield pd.DataFrame([row], columns=["path", "width", "height", "data"]).astype({"width": "Int32", "height": "Int32"})
 
     return files.mapInPandas(run, f"path string, {IMAGE}")
 
 
+def read_pictures(spark: SparkSession, path: str, exact_gray: bool = True) -> DataFrame:
+    """``path, width, height, channels, data`` of the JPEG, PNG, GIF and BMP files under a path, decoded in the JVM.
+
+    ``data`` has BGR, BGR and alpha, or gray bytes, as ``pixels_of`` reads them; palettes, deep and interlaced colours come as
+    8-bit colours.  Files that are no picture have null pixels, and empty ones no row.  The decoder takes gray samples as they are, without alpha, so
+    those of gray PNGs with 16 bits or alpha are decoded anew by our own; only gray pictures are joined for that.
+    ``exact_gray=False`` leaves this, and its second scan, out.
+    """
+    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    whole = F.col("width") > 0
+    rows = found.select(F.col("origin").alias("path"), F.when(whole, F.col("width")).alias("width"), F.when(whole, F.col("height")).alias("height"), F.when(whole, F.col("nChannels")).alias("channels"), F.when(whole, F.col("data")).alias("data"))
+    if not exact_gray:
+        return rows
+    kind = lambda at: F.hex(F.substring("content", at, 1))  # noqa: E731  of the first block: the 25th byte is the depth, the 26th the colour type
+    deep = (F.hex(F.substring("content", 1, 8)) == _SIGNATURE.hex().upper()) & ((kind(26) == "04") | ((kind(25) == "10") & (kind(26) == "00")))
+    files = spark.read.format("binaryFile").load(path).where(deep).select("path", "content")
+    anew = decode_files(files, 1 << 30).select(_plain_path("path").alias("_path"), F.col("data").alias("_data"))
+    gray = rows.where("channels = 1").join(anew, _plain_path("path") == F.col("_path"), "left")
+    # our own decoder gives RGB; as BGR it is the same, for all three are alike
+    mended = gray.select("path", "width", "height", F.when(F.col("_data").isNotNull(), 3).otherwise(F.col("channels")).alias("channels"), F.coalesce("_data", "data").alias("data"))
+    return rows.where("channels IS NULL OR channels != 1").unionByName(mended)
+
+
+def _plain_path(c: str):
+    """A path as both sources write it: with one slash behind the scheme's colon, or three."""
+    return F.regexp_replace(F.col(c), "^([a-z]+):/+", "$1:/")
+
+
+#: Bytes of regions that are sent to all tasks; if there are more, pictures and regions are dealt out by their key.
+MOST_REGIONS = 64 << 20
+
+
 def redact_images(images: DataFrame, regions: DataFrame, key: str, style: str = "black box", along: Sequence[str] = ()) -> DataFrame:
     """``key, png``: images with the regions hidden, encoded anew from their pixels; null for null pixels.
 
     ``regions`` are rows ``key, polygon``, or one row per image ``key, polygons`` whose columns ``along`` go along, as strings.
+    They are measured first, so they should be cheap to look at twice: up to ``MOST_REGIONS`` bytes of them are broadcast and
+    no pixels move.
     """
-    from pyspark.sql import functions as F
-
     if "polygons" not in regions.columns:
         regions = regions.groupBy(key).agg(F.collect_list("polygon").alias("polygons"))
-    rows = images.join(regions, key, "left")
+    regions = regions.select(key, "polygons", *along)
+    size = F.lit(64) + F.coalesce(F.aggregate("polygons", F.lit(0), lambda n, p: n + 16 + 24 * F.size(p)), F.lit(0))
+    for c in along:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    small = (regions.agg(F.sum(size.cast("long"))).first()[0] or 0) <= MOST_REGIONS
+    rows = images.join(F.broadcast(regions) if small else regions, key, "left")
+    pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
                 png = None
                 if r.data is not None:
-                    image = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3)
                     polygons = [[(p["x"], p["y"]) for p in q] for q in (r.polygons if r.polygons is not None else [])]
-                    png = encode_png(apply_redactions(image, polygons, style))
-                out.append((getattr(r, key), png, *(getattr(r, c) for c in along)))
-            yield pd.DataFrame(out, columns=[key, "png", *along])
+                    png = encode_png(apply_redactions(pixels_of(r), polygons, style))
+                yield pd.DataFrame([(getattr(r, key), png, *(getattr(r, c) for c in along))], columns=[key, "png", *along])
 
     made = "".join(f", {c} string" for c in along)
-    return rows.select(key, "width", "height", "data", "polygons", *along).mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, png binary{made}")
+    return rows.select(key, *pixels, "polygons", *along).mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, png binary{made}")
 
 
 def extract(images: DataFrame, load: Callable[[], Callable[[np.ndarray], list[dict]]] | None, key: str, schema: str) -> DataFrame:
@@ -220,10 +340,10 @@ def extract(images: DataFrame, load: Callable[[], Callable[[np.ndarray], list[di
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = load()
         for b in batches:
-            rows = [{key: getattr(r, key), **x} for r in b.itertuples(index=False) for x in engine(np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3))]
-            yield pd.DataFrame(rows, columns=[key, *names])
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame([{key: getattr(r, key), **x} for x in engine(pixels_of(r))], columns=[key, *names])
 
-    return images.where("data IS NOT NULL").select(key, "width", "height", "data").mapInPandas(run, full)
+    return images.where("data IS NOT NULL").select(key, *[c for c in ("width", "height", "channels", "data") if c in images.columns]).mapInPandas(run, full)
 
 
 def _areas(on: np.ndarray) -> np.ndarray:
