@@ -67,10 +67,12 @@ def nms(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
 
 def dedupe_lines(lines: DataFrame, keys: list[str], threshold: float = 0.75) -> DataFrame:
     """Per key, lines without those that have a better line's text and cover it, or lie in it, by more than the threshold."""
-    item = F.struct((-F.col("score")).alias("order"), "line_id", "text", "score", "box")
+    own = ["line_id", "score", "box"]
+    rest = [c for c in lines.columns if c not in (*keys, "text", *own)]
+    item = F.struct((-F.col("score")).alias("order"), *own, *rest)
     per_text = lines.groupBy(*keys, "text").agg(F.sort_array(F.collect_list(item)).alias("_all"))
     kept = per_text.withColumn("_kept", suppress("_all", lambda a, b: overlap_ratio(a["box"], b["box"]) > threshold))
-    return kept.select(*keys, F.explode("_kept").alias("_b")).select(*keys, "_b.line_id", "_b.text", "_b.score", "_b.box")
+    return kept.select(*keys, "text", F.explode("_kept").alias("_b")).select(*keys, "_b.line_id", "text", "_b.score", "_b.box", *[f"_b.{c}" for c in rest])
 
 
 def sort_boxes(boxes: DataFrame, keys: list[str], step: float = 10.0) -> DataFrame:
@@ -215,18 +217,23 @@ def face_box(b: Column, width: Column, height: Column) -> Column:
     return box(F.greatest(F.lit(0.0), b["x0"] - pad * w), F.greatest(F.lit(0.0), b["y0"] - 1.3 * pad * h), F.least(width.cast("double"), b["x1"] + pad * w), F.least(height.cast("double"), b["y1"] + pad * h))
 
 
-def decode_faces(cells: DataFrame, keys: list[str], threshold: float = 0.7, overlap: float = 0.3) -> DataFrame:
-    """Faces from a detector's cells: keys, ``stride, row, col, cls, obj, dx, dy, lw, lh``.
+def face_cells(cells: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``cells``, a detector's ``stride, row, col, cls, obj, dx, dy, lw, lh``, with ``score`` and ``box``; those under the threshold go.
 
     A cell's score is the root of its two chances, its centre is moved by ``dx, dy`` cells, and its size is the exponential
-    of ``lw, lh`` in cells.  Faces under the threshold go, and of those that overlap the best stays.
+    of ``lw, lh`` in cells.
     """
     chance = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
     x, y = (F.col("col") + F.col("dx")) * F.col("stride"), (F.col("row") + F.col("dy")) * F.col("stride")
     w, h = F.exp("lw") * F.col("stride"), F.exp("lh") * F.col("stride")
-    number = F.struct("stride", "row", "col")
     found = cells.withColumn("score", F.sqrt(chance("cls") * chance("obj"))).where(F.col("score") >= threshold)
-    return nms(found.select(*keys, number.alias("box_id"), "score", box(x - w / 2, y - h / 2, x + w / 2, y + h / 2).alias("box")), keys, overlap)
+    return found.withColumn("box", box(x - w / 2, y - h / 2, x + w / 2, y + h / 2))
+
+
+def decode_faces(cells: DataFrame, keys: list[str], threshold: float = 0.7, overlap: float = 0.3) -> DataFrame:
+    """Faces from a detector's cells: of those that overlap the best stays."""
+    found = face_cells(cells, threshold)
+    return nms(found.select(*keys, F.struct("stride", "row", "col").alias("box_id"), "score", "box"), keys, overlap)
 
 
 def code_regions(codes: DataFrame, pad: float = 6.0) -> DataFrame:

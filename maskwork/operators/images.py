@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STYLES = ("black box", "pixelate", "blur")
@@ -296,16 +296,22 @@ def _plain_path(c: str):
     return F.regexp_replace(F.col(c), "^([a-z]+):/+", "$1:/")
 
 
-#: Bytes of regions that are sent to all tasks; if there are more, pictures and regions are dealt out by their key.
-MOST_REGIONS = 64 << 20
+#: Bytes of what is found in pictures that are sent to all tasks; if there are more, it and the pictures are dealt out by key.
+MOST_BESIDE = 64 << 20
+
+
+def beside(images: DataFrame, found: DataFrame, key: str, size: Column, how: str) -> DataFrame:
+    """Images with what was found in each.  That is measured first, so it should be cheap to look at twice: up to
+    ``MOST_BESIDE`` bytes of it are broadcast, and no pixels move."""
+    small = (found.agg(F.sum(size.cast("long"))).first()[0] or 0) <= MOST_BESIDE
+    return images.join(F.broadcast(found) if small else found, key, how)
 
 
 def redact_images(images: DataFrame, regions: DataFrame, key: str, style: str = "black box", along: Sequence[str] = ()) -> DataFrame:
     """``key, png``: images with the regions hidden, encoded anew from their pixels; null for null pixels.
 
     ``regions`` are rows ``key, polygon``, or one row per image ``key, polygons`` whose columns ``along`` go along, as strings.
-    They are measured first, so they should be cheap to look at twice: up to ``MOST_REGIONS`` bytes of them are broadcast and
-    no pixels move.
+    Few of them leave the pixels where they are (``beside``).
     """
     if "polygons" not in regions.columns:
         regions = regions.groupBy(key).agg(F.collect_list("polygon").alias("polygons"))
@@ -313,8 +319,7 @@ def redact_images(images: DataFrame, regions: DataFrame, key: str, style: str =
     size = F.lit(64) + F.coalesce(F.aggregate("polygons", F.lit(0), lambda n, p: n + 16 + 24 * F.size(p)), F.lit(0))
     for c in along:
         size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    small = (regions.agg(F.sum(size.cast("long"))).first()[0] or 0) <= MOST_REGIONS
-    rows = images.join(F.broadcast(regions) if small else regions, key, "left")
+    rows = beside(images, regions, key, size, "left")
     pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,62 +12,89 @@ from pyspark.sql import functions as F
 from maskwork.functions.display import mask_preview
 from maskwork.operators import entities as E
 from maskwork.operators.geometry import box, box_polygon, dedupe_lines, moved, polygon_box, rotated_back
-from maskwork.operators.images import redact_images
+from maskwork.operators.images import pixels_of, redact_images
 from maskwork.operators.layout import detect, group_rows
 from maskwork.operators.redact import parse_terms
+from maskwork.session import written
 
 Reader = Callable[[np.ndarray], list[dict]]
 
 
+#: What a reader's rows are before lines are settled: the part of the image, how it was turned, and the line in it.
+PARTS = "left int, top int, wide int, high int, turn string, text string, score double, x0 double, y0 double, x1 double, y1 double, bounds array<struct<t0:double,t1:double>>"
+
+
 def _starts(length: int, tile: int, step: int) -> list[int]:
     return [0] if length <= tile else [*range(0, length - tile, step), length - tile]
 
 
-def read_lines(images: DataFrame, load: Callable[[], Reader] | None, key: str, least: float = 0.5, tile: int = 2000, overlap: int = 96, most_turned: int = 4) -> DataFrame:
-    """``key, line_id, text, score, box, orientation``: lines of text that an engine reads in images of any size.
+def parts_of(image: np.ndarray, whole: int, tile: int, overlap: int, most_turned: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """``left, top, wide, high, turn`` and pixels of what is read of an image: all of it up to ``whole`` pixels a side, else
+    tiles that overlap, and if these are few, each turned by a quarter either way as well."""
+    height, width = image.shape[:2]
+    size = max(height, width) if max(height, width) <= whole else tile
+    places = [(x, y) for y in _starts(height, size, size - overlap) for x in _starts(width, size, size - overlap)]
+    for x, y in places:
+        part = image[y : y + size, x : x + size]
+        for turn, quarter in (("", 0), ("cw", -1), ("ccw", 1))[: 3 if len(places) <= most_turned else 1]:
+            yield (x, y, part.shape[1], part.shape[0], turn), np.ascontiguousarray(np.rot90(part, quarter))
+
 
-    The engine gets an RGB array and returns dicts of ``text, score, x0, y0, x1, y1``.  Large images are read in tiles that
-    overlap; those of few tiles are read turned by a quarter either way as well.  Blank and doubtful lines go, and of lines
-    that were read twice the better stays.  Lines are numbered from the top.
+def read_lines(images: DataFrame, load: Callable[[], Reader] | None, key: str, least: float = 0.5, tile: int = 1800, overlap: int = 96, most_turned: int = 4, whole: int = 2000) -> DataFrame:
+    """``key, line_id, text, score, box, orientation, bounds``: lines of text that an engine reads in images of any size.
+
+    The engine gets an RGB array and returns dicts of ``text, score, x0, y0, x1, y1`` and, if it knows, ``bounds``: for each
+    character of the text where it begins and ends, as shares of the line.  Images of more than ``whole`` pixels a side are
+    read in tiles that overlap; those of few tiles are read turned by a quarter either way as well.  Blank and doubtful lines
+    go, and of lines that were read twice the better stays.  Lines are numbered from the top.
     """
-    spec = f"{key} {images.schema[key].dataType.simpleString()}"
-    schema = f"{spec}, left int, top int, wide int, high int, turn string, text string, score double, x0 double, y0 double, x1 double, y1 double"
+    schema = f"{key} {images.schema[key].dataType.simpleString()}, {PARTS}"
+    names = [key, *(c.split()[0] for c in PARTS.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = load()
         for b in batches:
-            rows = []
             for r in b.itertuples(index=False):
-                image = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3)
-                places = [(x, y) for y in _starts(int(r.height), tile, tile - overlap) for x in _starts(int(r.width), tile, tile - overlap)]
-                for x, y in places:
-                    part = image[y : y + tile, x : x + tile]
-                    for turn, quarter in (("", 0), ("cw", -1), ("ccw", 1))[: 3 if len(places) <= most_turned else 1]:
-                        for found in engine(np.ascontiguousarray(np.rot90(part, quarter))):
-                            rows.append((getattr(r, key), x, y, part.shape[1], part.shape[0], turn, found["text"], float(found["score"]), *(float(found[k]) for k in ("x0", "y0", "x1", "y1"))))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    empty = images.sparkSession.createDataFrame([], schema)
-    read = empty if load is None else images.where("data IS NOT NULL").select(key, "width", "height", "data").mapInPandas(run, schema)
+                rows = []
+                for place, part in parts_of(pixels_of(r), whole, tile, overlap, most_turned):
+                    for found in engine(part):
+                        bounds = [{"t0": float(a), "t1": float(z)} for a, z in found.get("bounds") or []]
+                        rows.append((getattr(r, key), *place, found["text"], float(found["score"]), *(float(found[k]) for k in ("x0", "y0", "x1", "y1")), bounds))
+                yield pd.DataFrame(rows, columns=names)
+
+    if load is None:
+        return settle_lines(images.sparkSession.createDataFrame([], schema), key, least)
+    pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
+    return settle_lines(images.where("data IS NOT NULL").select(key, *pixels).mapInPandas(run, schema), key, least)
+
+
+def settle_lines(read: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """Lines of whole images, as ``read_lines`` returns them, from rows ``key`` and ``PARTS``.
+
+    Bounds that are not one for each character are left out.
+    """
     good = read.where((F.trim("text") != "") & (F.col("score") >= least))
     found = box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     back = F.when(F.col("turn") == "cw", rotated_back(found, F.col("wide"), F.col("high"), True)).when(F.col("turn") == "ccw", rotated_back(found, F.col("wide"), F.col("high"), False)).otherwise(found)
     place = F.struct("turn", "left", "top", "x0", "y0", "x1", "y1")
-    lines = dedupe_lines(good.select(key, place.alias("line_id"), "text", "score", moved(back, F.col("left"), F.col("top")).alias("box")), [key])
-    numbered = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("box.y0").alias("y"), F.col("box.x0").alias("x"), "line_id", "text", "score", "box"))).alias("_l"))
+    bounds = F.when(F.size("bounds") == F.char_length("text"), F.col("bounds")).otherwise(F.slice("bounds", 1, 0))
+    lines = dedupe_lines(good.select(key, place.alias("line_id"), "text", "score", moved(back, F.col("left"), F.col("top")).alias("box"), bounds.alias("bounds")), [key])
+    numbered = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("box.y0").alias("y"), F.col("box.x0").alias("x"), "line_id", "text", "score", "box", "bounds"))).alias("_l"))
     rows = numbered.select(key, F.posexplode("_l").alias("line_id", "l"))
     turn = F.when(F.col("l.line_id.turn") != "", F.col("l.line_id.turn"))
-    return rows.select(key, "line_id", "l.text", "l.score", "l.box", turn.alias("orientation"))
+    return rows.select(key, "line_id", "l.text", "l.score", "l.box", turn.alias("orientation"), "l.bounds")
 
 
-def detection_pages(images: DataFrame, detections: DataFrame, key: str) -> DataFrame:
-    """``key, polygons, report`` for each image: the polygons to hide, and JSON of count, count by category and regions, whose
-    values are masked.  Images without any have 0 and no polygons."""
+#: The report of an image in which nothing was found.
+NOTHING = '{"count":0,"by_category":{},"regions":[]}'
+
+
+def detection_pages(detections: DataFrame, key: str) -> DataFrame:
+    """``key, polygons, report`` for each image with detections: the polygons to hide, and JSON of count, count by category and
+    regions, whose values are masked."""
     region = F.struct("detection_id", "category", "label", F.round("score", 3).alias("score"), "source", *[F.round(f"box.{k}", 1).alias(k) for k in ("x0", "y0", "x1", "y1")], mask_preview(F.col("text")).alias("text"))
-    page = detections.groupBy(key).agg(F.array_sort(F.collect_list(region)).alias("regions"), F.collect_list("polygon").alias("polygons"))
-    rows = images.select(key).join(page, key, "left").withColumn("regions", F.coalesce("regions", F.array().cast(page.schema["regions"].dataType)))
-    kinds = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["category"])))
-    rows = rows.withColumn("kinds", kinds)
+    rows = detections.groupBy(key).agg(F.array_sort(F.collect_list(region)).alias("regions"), F.collect_list("polygon").alias("polygons"))
+    rows = rows.withColumn("kinds", F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["category"]))))
     counts = F.map_from_arrays("kinds", F.transform("kinds", lambda c: F.size(F.filter("regions", lambda r: r["category"] == c))))
     return rows.select(key, "polygons", F.to_json(F.struct(F.size("regions").alias("count"), counts.alias("by_category"), "regions")).alias("report"))
 
@@ -81,17 +108,20 @@ def redact_screens(
     categories: Sequence[str] | None = None,
     style: str = "black box",
     custom_terms: str | Sequence[str] = (),
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """``key, png, report``: images ``key, width, height, data`` with all that is sensitive in them hidden.
 
-    Text is read, laid out and searched by rules and, if any of the categories is one that it knows, by a tagger of names.
+    Text is read by the injected reader, or comes as ``lines`` of ``reading.read_text``; it is laid out and searched by rules and, if any of the categories is one that it knows, by a tagger of names.
     ``found (key, category, label, polygon, score, source, text)`` adds regions of faces, codes or drawn by hand, those of
-    unwanted categories left out.  An image that can't be read has a null ``png`` and an empty report.  The lines that the
-    reader finds are cached, as several passes look at them.
+    unwanted categories left out.  An image that can't be read has a null ``png`` and an empty report.
+
+    ``images`` are looked at twice, once to read them and once to hide; what is found between is written to the shared folder,
+    as several passes look at it.  Only texts, places and reports are shuffled, no pixels (see ``redact_images``).
     """
     terms = parse_terms(custom_terms) if isinstance(custom_terms, str) else list(custom_terms)
     wanted = None if categories is None else list(categories)
-    lines = read_lines(images, load_reader, key).persist()
+    lines = written(read_lines(images, load_reader, key) if lines is None else lines, "lines")
     entities = None
     if load_tagger is not None and E.model_wanted(wanted):
         rows = group_rows(lines, key).select(key, "row_id", "text", F.struct(key, "row_id").alias("_row"))
@@ -105,4 +135,6 @@ def redact_screens(
         page = detections.unionByName(more).groupBy(key).agg(F.collect_list(F.struct(F.coalesce("detection_id", F.lit(2**31 - 1)).alias("o"), F.struct(*[c for c in more.columns if c not in (key, "detection_id")]).alias("d"))).alias("_all"))
         rows = page.select(key, F.posexplode(F.array_sort("_all", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))).alias("i", "x"))
         detections = rows.select(key, (F.col("i") + 1).alias("detection_id"), "x.d.*")
-    return redact_images(images, detection_pages(images, detections, key), key, style, ["report"])
+    pages = written(detection_pages(detections, key), "pages")
+    out = redact_images(images, pages, key, style, ["report"])
+    return out.select(key, "png", F.coalesce("report", F.lit(NOTHING)).alias("report"))

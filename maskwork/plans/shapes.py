@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from maskwork.operators import entities as E
@@ -156,5 +157,9 @@ def blackened_pixels(t):
     k = F.col("p_partkey")
     images = t("part").select("p_partkey", F.lit(12).alias("width"), F.lit(8).alias("height"), F.unhex(F.repeat(F.lit("FF"), 12 * 8 * 3)).alias("data"))
     regions = t("part").select("p_partkey", G.box_polygon(G.box(F.lit(1), F.lit(2), 2 + k % 7, F.lit(5))).alias("polygon"))
-    black = F.udf(lambda png: int((I.decode_png(bytes(png)) == 0).sum()), "long")
-    return I.redact_images(images, regions, "p_partkey").select("p_partkey", black("png").alias("n_black"))
+
+    def black(batches):
+        for b in batches:
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "n_black": [int((I.decode_png(bytes(png)) == 0).sum()) for png in b["png"]]})
+
+    return I.redact_images(images, regions, "p_partkey").mapInPandas(black, "p_partkey long, n_black long")

@@ -79,8 +79,12 @@ def test_entities(spark):
     assert got == {"PERSON": ("Priya Raman", 0.8), "LOCATION": ("12 Main St, CA 94043", 0.8)}
     spans = E.entity_spans(E.group_entities(tokens, docs, "id"), docs, "id", ["person", "location"]).first()["spans"]
     assert [(s["label"], s["source"]) for s in spans] == [("PERSON", "ner"), ("ADDRESS", "ner")]
-    assert E.listed_names("ask Mei, Olga and Sid or Bank Ltd", [(4, 7)]) == [(9, 13), (18, 21)]
-    assert [x["start"] for x in docs.select(E.coordinated_names(F.lit("Ann, Bob"), F.expr("array(struct(0 AS start, 3 AS end))")).alias("n")).first()["n"]] == [5]
+    people = spark.createDataFrame(
+        [(0, "ask Mei, Olga and Sid or Bank Ltd", [(4, 7)]), (1, "Ann, Bob", [(0, 3)]), (2, "Ann, Bob and Cy", [(0, 3), (5, 8)]), (3, "Ann, Bob, Cy, Di, Ed, Flo", [(0, 3)]), (4, "Ann or Acme Labs, Bob", [(0, 3)]), (5, "Ann & Bo Ltd", [(0, 3)]), (6, "Ann went home", [(0, 3)]), (7, None, []), (8, "Ann,and Zoë Élan", [(0, 3)])],
+        "i int, text string, people array<struct<start:int,end:int>>",
+    )
+    got = {r["i"]: [tuple(x) for x in r["n"] or []] for r in people.select("i", E.coordinated_names("text", "people").alias("n")).collect()}
+    assert got == {0: [(9, 13), (18, 21)], 1: [(5, 8)], 2: [(13, 15)], 3: [(5, 8), (10, 12), (14, 16), (18, 20)], 4: [], 5: [], 6: [], 7: [], 8: [(8, 16)]}
     chunks = E.chunk_lines(spark.createDataFrame([(1, i, "x" * 400) for i in range(5)], "id int, line_id int, text string"), "id").orderBy("line_id")
     assert [r["chunk_no"] for r in chunks.collect()] == [0, 0, 1, 1, 2]
     assert E.run_model(docs, None, "id").count() == 0
