@@ -7,21 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwork.operators.geometry import box_polygon, boxes_overlap, polygon_box, span_box, span_polygon, suppress, uniform_bounds
+from maskwork.operators.geometry import box_polygon, boxes_overlap, polygon_box, span_box, span_polygon, suppress, uniform_bounds, word_bounds
 from maskwork.operators.registry import SECRET_LABEL_ONLY
 from maskwork.operators.spans import let, merge_spans, with_spans
-from maskwork.schemas import BOX, LINE, SPANS
+from maskwork.schemas import BOX, LINE, POLYGON, SPANS
 
 _PART = f"struct<line:{LINE},offset:int>"
 
 
 def line_struct(lines: DataFrame) -> DataFrame:
-    """``lines`` with missing optional columns, and a ``line`` struct of all."""
+    """``lines`` with missing optional columns, and a ``line`` struct of all.
+
+    Lines at any angle have a ``polygon``, their corners from the top left along the text, and their ``box`` is the one round
+    it if they have none.  ``words array<struct<text, polygon>>`` give the characters their bounds where lines have none.
+    """
     have = set(lines.columns)
-    for name, default in (("score", F.lit(1.0)), ("bounds", F.array().cast("array<struct<t0:double,t1:double>>")), ("orientation", F.lit(None).cast("string"))):
-        if name not in have:
+    if "box" not in have:
+        lines = lines.withColumn("box", polygon_box(F.col("polygon")))
+    if "bounds" not in have and {"polygon", "words"} <= have:
+        lines = lines.withColumn("bounds", F.when(F.col("polygon").isNotNull() & F.col("words").isNotNull(), word_bounds(F.col("text"), F.col("polygon"), F.col("words"))))
+    for name, default in (("score", F.lit(1.0)), ("bounds", F.array().cast("array<struct<t0:double,t1:double>>")), ("orientation", F.lit(None).cast("string")), ("polygon", F.lit(None).cast(POLYGON))):
+        if name not in lines.columns:
             lines = lines.withColumn(name, default)
-    return lines.withColumn("line", F.struct(F.col("line_id").cast("int").alias("line_id"), "text", "score", "box", "bounds", "orientation").cast(LINE))
+    return lines.withColumn("line", F.struct(F.col("line_id").cast("int").alias("line_id"), "text", "score", "box", "bounds", "orientation", "polygon").cast(LINE))
 
 
 def group_rows(lines: DataFrame, key: str, max_gap: float = 2.5) -> DataFrame:
@@ -92,10 +100,11 @@ def row_span_box(parts: Column, start: Column, end: Column) -> Column:
 
 
 def row_span_polygon(parts: Column, start: Column, end: Column) -> Column:
-    """The same on lines at any angle (``line.polygon``): a span in one part has its own corners, one over several the box
-    around them, one over none the first character's."""
+    """The same on lines at any angle (``line.polygon``, else its box): a span in one part has its own corners, one over several
+    the box around them, one over none the first character's."""
     n = lambda p: F.char_length(p["line"]["text"])
-    shape = lambda p, a, b: span_polygon(p["line"]["polygon"], F.when(F.size(p["line"]["bounds"]) > 0, p["line"]["bounds"]).otherwise(uniform_bounds(n(p))), a, b)
+    turned = lambda p, a, b: span_polygon(p["line"]["polygon"], F.when(F.size(p["line"]["bounds"]) > 0, p["line"]["bounds"]).otherwise(uniform_bounds(n(p))), a, b)
+    shape = lambda p, a, b: F.when(p["line"]["polygon"].isNotNull(), turned(p, a, b)).otherwise(box_polygon(span_box(p["line"], a, b)))
     own = F.filter(parts, lambda p: F.least(end, p["offset"] + n(p)) > F.greatest(start, p["offset"]))
     shapes = F.transform(own, lambda p: shape(p, F.greatest(start, p["offset"]) - p["offset"], F.least(end, p["offset"] + n(p)) - p["offset"]))
     around = lambda all_: box_polygon(let(F.flatten(all_), polygon_box))
@@ -123,12 +132,13 @@ def labelled_values(lines: DataFrame, key: str, label: str = SECRET_LABEL_ONLY,
 
 
 def detect(lines: DataFrame, key: str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = (), entities: DataFrame | None = None) -> DataFrame:
-    """All detections of pages of lines: ``key, detection_id, category, label, box, score, source, text``.
+    """All detections of pages of lines: ``key, detection_id, category, label, box, score, source, text, polygon``.
 
     Rows are scanned, then rows without the gaps between their parts, of which only what overlaps no detection is new,
     then whole pages for spans over line ends, then values beside labels.  ``entities (key, row_id, spans)`` are joined to
-    the rows' own spans where they overlap none.
+    the rows' own spans where they overlap none.  Detections on lines with polygons have turned corners and the box round them.
     """
+    upright = "polygon" not in lines.columns
     lines = line_struct(lines)
     rows = group_rows(lines, key)
     scan = lambda r: with_spans(r, "text", categories, custom_terms)
@@ -137,9 +147,17 @@ def detect(lines: DataFrame, key: str, categories: Sequence[str] | None = None,
         first = first.join(entities.select(key, "row_id", F.col("spans").alias("_more")), [key, "row_id"], "left")
         first = first.withColumn("spans", merge_spans("spans", F.coalesce("_more", F.array().cast(SPANS)))).drop("_more")
 
+    def placed(rows: DataFrame, boxed: Column, shape: Column) -> DataFrame:
+        """With ``box`` and ``polygon``; the expressions of turned lines are there only if some may be."""
+        if upright:
+            return rows.withColumn("box", boxed).withColumn("polygon", box_polygon(F.col("box")))
+        return rows.withColumn("polygon", shape).withColumn("box", polygon_box(F.col("polygon")))
+
     def located(r: DataFrame, stage: int) -> DataFrame:
         out = r.select(key, "row_id", "text", "parts", F.posexplode("spans").alias("n", "s"))
-        return out.select(key, F.lit(stage).alias("stage"), "row_id", "n", "s.category", "s.label", row_span_box(F.col("parts"), F.col("s.start"), F.col("s.end")).alias("box"), "s.score", "s.source", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
+        at = (F.col("parts"), F.col("s.start"), F.col("s.end"))
+        out = placed(out, row_span_box(*at), row_span_polygon(*at))
+        return out.select(key, F.lit(stage).alias("stage"), "row_id", "n", "s.category", "s.label", "box", "polygon", "s.score", "s.source", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
 
     found = located(first, 1)
     found = found.unionByName(located(scan(compact_rows(rows.where(F.size("parts") > 1))), 2))
@@ -147,13 +165,14 @@ def detect(lines: DataFrame, key: str, categories: Sequence[str] | None = None,
     found = found.unionByName(located(pages, 3).where(F.col("text").contains("\n")))
     if categories is None or "secrets" in categories:
         values = labelled_values(lines, key).select(key, "line_id").distinct().join(lines.select(key, "line_id", "line"), [key, "line_id"])
-        whole = span_box(F.col("line"), F.lit(0), F.char_length(F.col("line")["text"]))
-        values = values.select(key, F.lit(4).alias("stage"), F.col("line_id").cast("int").alias("row_id"), F.lit(0).alias("n"), F.lit("secrets").alias("category"), F.lit("PASSWORD_OR_SECRET").alias("label"), whole.alias("box"), F.lit(0.9).alias("score"), F.lit("rule").alias("source"), F.col("line")["text"].alias("text"))
+        part = F.array(F.struct(F.col("line"), F.lit(0).alias("offset")))
+        n = F.char_length(F.col("line")["text"])
+        values = placed(values, span_box(F.col("line"), F.lit(0), n), row_span_polygon(part, F.lit(0), n)).select(key, F.lit(4).alias("stage"), F.col("line_id").cast("int").alias("row_id"), F.lit(0).alias("n"), F.lit("secrets").alias("category"), F.lit("PASSWORD_OR_SECRET").alias("label"), "box", "polygon", F.lit(0.9).alias("score"), F.lit("rule").alias("source"), F.col("line")["text"].alias("text"))
         found = found.unionByName(values)
     order = ["stage", "row_id", "n"]
     page = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in found.columns if c not in (key, *order)]))).alias("_all"))
     kept = suppress("_all", lambda k, z: z["stage"].isin(2, 4) & boxes_overlap(k["box"], z["box"]))
-    return page.select(key, F.posexplode(kept).alias("_i", "_d")).select(key, (F.col("_i") + 1).alias("detection_id"), *[f"_d.{c}" for c in ("category", "label", "box", "score", "source", "text")])
+    return page.select(key, F.posexplode(kept).alias("_i", "_d")).select(key, (F.col("_i") + 1).alias("detection_id"), *[f"_d.{c}" for c in ("category", "label", "box", "score", "source", "text", "polygon")])
 
 
 def with_manual(detections: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
@@ -163,4 +182,6 @@ def with_manual(detections: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     own = boxes.withColumn("_i", place).join(last, key, "left").select(
         key, (F.coalesce("_n", F.lit(0)) + F.col("_i")).alias("detection_id"), F.lit("custom").alias("category"), F.lit("MANUAL").alias("label"), "box", F.lit(1.0).alias("score"), F.lit("you").alias("source"), F.lit("").alias("text")
     )
+    if "polygon" in detections.columns:
+        own = own.withColumn("polygon", box_polygon(F.col("box")))
     return detections.unionByName(own)

@@ -118,5 +118,6 @@ def read_text(images: DataFrame, key: str, load_detector: Callable[[], Detector]
     read = boxes.withColumn("d", ctc_collapse(F.col("best"), named))
     bounds = ctc_bounds(F.col("d.cols"), F.size("best"), F.col("padded"), F.col("resized"))
     names = [c.split()[0] for c in PARTS.split(", ")]
-    made = {"text": F.col("d.text"), "score": F.col("d.score"), "bounds": bounds}
+    nothing = lambda c: F.lit(None).cast(dict(x.split(" ", 1) for x in PARTS.split(", "))[c])
+    made = {"text": F.col("d.text"), "score": F.col("d.score"), "bounds": bounds, "polygon": nothing("polygon"), "words": nothing("words")}
     return settle_lines(read.select(key, *[made[c].alias(c) if c in made else F.col(c) for c in names]), key, rules.least)

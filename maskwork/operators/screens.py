@@ -6,22 +6,23 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.functions.display import mask_preview
 from maskwork.operators import entities as E
-from maskwork.operators.geometry import box, box_polygon, dedupe_lines, moved, polygon_box, rotated_back
+from maskwork.operators.geometry import box, dedupe_lines, moved, polygon_box, rotated_back, word_bounds
 from maskwork.operators.images import pixels_of, redact_images
 from maskwork.operators.layout import detect, group_rows
 from maskwork.operators.redact import parse_terms
+from maskwork.schemas import POLYGON
 from maskwork.session import written
 
 Reader = Callable[[np.ndarray], list[dict]]
 
 
 #: What a reader's rows are before lines are settled: the part of the image, how it was turned, and the line in it.
-PARTS = "left int, top int, wide int, high int, turn string, text string, score double, x0 double, y0 double, x1 double, y1 double, bounds array<struct<t0:double,t1:double>>"
+PARTS = "left int, top int, wide int, high int, turn string, text string, score double, x0 double, y0 double, x1 double, y1 double, bounds array<struct<t0:double,t1:double>>, polygon array<struct<x:double,y:double>>, words array<struct<text:string,polygon:array<struct<x:double,y:double>>>>"
 
 
 def _starts(length: int, tile: int, step: int) -> list[int]:
@@ -41,10 +42,11 @@ def parts_of(image: np.ndarray, whole: int, tile: int, overlap: int, most_turned
 
 
 def read_lines(images: DataFrame, load: Callable[[], Reader] | None, key: str, least: float = 0.5, tile: int = 1800, overlap: int = 96, most_turned: int = 4, whole: int = 2000) -> DataFrame:
-    """``key, line_id, text, score, box, orientation, bounds``: lines of text that an engine reads in images of any size.
+    """``key, line_id, text, score, box, orientation, bounds, polygon``: lines of text that an engine reads in images of any size.
 
     The engine gets an RGB array and returns dicts of ``text, score, x0, y0, x1, y1`` and, if it knows, ``bounds``: for each
-    character of the text where it begins and ends, as shares of the line.  Images of more than ``whole`` pixels a side are
+    character of the text where it begins and ends, as shares of the line.  A line that lies at an angle has ``polygon``, four
+    points from the top left along the text, in place of the box, and may have ``words``, dicts of ``text, polygon``.  Images of more than ``whole`` pixels a side are
     read in tiles that overlap; those of few tiles are read turned by a quarter either way as well.  Blank and doubtful lines
     go, and of lines that were read twice the better stays.  Lines are numbered from the top.
     """
@@ -58,8 +60,7 @@ def read_lines(images: DataFrame, load: Callable[[], Reader] | None, key: str, l
                 rows = []
                 for place, part in parts_of(pixels_of(r), whole, tile, overlap, most_turned):
                     for found in engine(part):
-                        bounds = [{"t0": float(a), "t1": float(z)} for a, z in found.get("bounds") or []]
-                        rows.append((getattr(r, key), *place, found["text"], float(found["score"]), *(float(found[k]) for k in ("x0", "y0", "x1", "y1")), bounds))
+                        rows.append((getattr(r, key), *place, *_line(found)))
                 yield pd.DataFrame(rows, columns=names)
 
     if load is None:
@@ -68,21 +69,38 @@ def read_lines(images: DataFrame, load: Callable[[], Reader] | None, key: str, l
     return settle_lines(images.where("data IS NOT NULL").select(key, *pixels).mapInPandas(run, schema), key, least)
 
 
+def _line(found: dict) -> tuple:
+    """What an engine returned of a line, as the last columns of ``PARTS``."""
+    points = lambda p: [{"x": float(x), "y": float(y)} for x, y in p]
+    shape = found.get("polygon")
+    xs, ys = zip(*shape) if shape else ((found["x0"], found["x1"]), (found["y0"], found["y1"]))
+    bounds = [{"t0": float(a), "t1": float(z)} for a, z in found.get("bounds") or []]
+    words = [{"text": w["text"], "polygon": points(w["polygon"])} for w in found.get("words") or []]
+    return found["text"], float(found["score"]), float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys)), bounds, points(shape) if shape else None, words
+
+
 def settle_lines(read: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """Lines of whole images, as ``read_lines`` returns them, from rows ``key`` and ``PARTS``.
 
-    Bounds that are not one for each character are left out.
+    Bounds that are not one for each character are left out; those of lines with words go by the words' places.
     """
     good = read.where((F.trim("text") != "") & (F.col("score") >= least))
     found = box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     back = F.when(F.col("turn") == "cw", rotated_back(found, F.col("wide"), F.col("high"), True)).when(F.col("turn") == "ccw", rotated_back(found, F.col("wide"), F.col("high"), False)).otherwise(found)
     place = F.struct("turn", "left", "top", "x0", "y0", "x1", "y1")
-    bounds = F.when(F.size("bounds") == F.char_length("text"), F.col("bounds")).otherwise(F.slice("bounds", 1, 0))
-    lines = dedupe_lines(good.select(key, place.alias("line_id"), "text", "score", moved(back, F.col("left"), F.col("top")).alias("box"), bounds.alias("bounds")), [key])
-    numbered = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("box.y0").alias("y"), F.col("box.x0").alias("x"), "line_id", "text", "score", "box", "bounds"))).alias("_l"))
+    bounds = F.when(F.size("bounds") == F.char_length("text"), F.col("bounds")).when(F.col("polygon").isNotNull() & (F.size("words") > 0), word_bounds(F.col("text"), F.col("polygon"), F.col("words"))).otherwise(F.slice("bounds", 1, 0))
+
+    def put_back(p: Column) -> Column:
+        x = F.when(F.col("turn") == "cw", p["y"]).when(F.col("turn") == "ccw", F.col("wide") - p["y"]).otherwise(p["x"])
+        y = F.when(F.col("turn") == "cw", F.col("high") - p["x"]).when(F.col("turn") == "ccw", p["x"]).otherwise(p["y"])
+        return F.struct((x + F.col("left")).alias("x"), (y + F.col("top")).alias("y"))
+
+    polygon = F.transform("polygon", put_back).cast(POLYGON)
+    lines = dedupe_lines(good.select(key, place.alias("line_id"), "text", "score", moved(back, F.col("left"), F.col("top")).alias("box"), bounds.alias("bounds"), polygon.alias("polygon")), [key])
+    numbered = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("box.y0").alias("y"), F.col("box.x0").alias("x"), "line_id", "text", "score", "box", "bounds", "polygon"))).alias("_l"))
     rows = numbered.select(key, F.posexplode("_l").alias("line_id", "l"))
     turn = F.when(F.col("l.line_id.turn") != "", F.col("l.line_id.turn"))
-    return rows.select(key, "line_id", "l.text", "l.score", "l.box", turn.alias("orientation"), "l.bounds")
+    return rows.select(key, "line_id", "l.text", "l.score", "l.box", turn.alias("orientation"), "l.bounds", "l.polygon")
 
 
 #: The report of an image in which nothing was found.
@@ -128,7 +146,7 @@ def redact_screens(
         tagged = E.run_model(rows, load_tagger, "_row")
         spans = E.entity_spans(E.group_entities(tagged, rows, "_row"), rows, "_row", wanted or sorted({c for _, c in E.ENTITY_LABELS.values()}))
         entities = spans.select(f"_row.{key}", "_row.row_id", "spans")
-    detections = detect(lines, key, wanted, terms, entities).withColumn("polygon", box_polygon(F.col("box")))
+    detections = detect(lines, key, wanted, terms, entities)
     if found is not None:
         more = found if wanted is None else found.where(F.col("category").isin([*wanted, "custom"]))
         more = more.select(key, F.lit(None).cast("int").alias("detection_id"), "category", "label", polygon_box(F.col("polygon")).alias("box"), F.col("score").cast("double").alias("score"), "source", "text", "polygon")

@@ -9,4 +9,4 @@ CANDIDATE = "struct<rank:int,shorter:int,start:int,end:int,label:string,category
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 POINT = "struct<x:double,y:double>"
 POLYGON = f"array<{POINT}>"
-LINE = f"struct<line_id:int,text:string,score:double,box:{BOX},bounds:array<struct<t0:double,t1:double>>,orientation:string>"
+LINE = f"struct<line_id:int,text:string,score:double,box:{BOX},bounds:array<struct<t0:double,t1:double>>,orientation:string,polygon:{POLYGON}>"

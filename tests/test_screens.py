@@ -49,7 +49,7 @@ def test_reading_in_tiles_and_turned(spark):
     corner = lambda: lambda im: [line("tall", 10, 0, 30, 50)] if im[0, 0, 0] == 9 else [line("turned", 0, 0, 40, 10)] if im.shape[0] > im.shape[1] and im[0, -1, 0] == 9 else []
     rows = read_lines(images, corner, "key").collect()
     assert {r["text"]: r["orientation"] for r in rows} == {"tall": None, "turned": "cw"}
-    seen = read_lines(images, lambda: lambda im: [line(f"{im.shape[1]}x{im.shape[0]}", 1, 1, 9, 9)], "key", tile=100, overlap=20, most_turned=2).collect()
+    seen = read_lines(images, lambda: lambda im: [line(f"{im.shape[1]}x{im.shape[0]}", 1, 1, 9, 9)], "key", tile=100, overlap=20, most_turned=2, whole=100).collect()
     assert sorted(r["box"]["x0"] for r in seen) == [1, 81, 161, 201] and {r["text"] for r in seen} == {"100x100"}
 
 
@@ -67,7 +67,7 @@ def test_faces_codes_and_batches(spark):
 
 def test_spans_over_polygons(spark):
     square = "array(struct({0} AS x, 0D AS y), struct({1} AS x, 0D AS y), struct({1} AS x, 10D AS y), struct({0} AS x, 10D AS y))"
-    part = lambda text, x0, x1, at: F.struct(F.struct(F.lit(text).alias("text"), F.expr(square.format(f"{x0}D", f"{x1}D")).alias("polygon"), F.array().cast("array<struct<t0:double,t1:double>>").alias("bounds")).alias("line"), F.lit(at).alias("offset"))
+    part = lambda text, x0, x1, at: F.struct(F.struct(F.lit(text).alias("text"), F.expr(square.format(f"{x0}D", f"{x1}D")).alias("polygon"), F.array().cast("array<struct<t0:double,t1:double>>").alias("bounds"), F.lit(None).cast("string").alias("orientation"), F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("box")).alias("line"), F.lit(at).alias("offset"))
     parts = F.array(part("abcd", 0, 40, 0), part("efgh", 60, 100, 5))
     one, two, none = spark.range(1).select(*[L.row_span_polygon(parts, F.lit(a), F.lit(b)) for a, b in ((0, 2), (2, 7), (20, 21))]).first()
     assert one[0]["x"] < 0.1 and one[1]["x"] < 25 and two[0]["x"] < 20 and two[1]["x"] > 80 and none[1]["x"] < 15
@@ -132,3 +132,42 @@ def test_labels_and_gate(spark):
     asked = spark.createDataFrame([(1, "date of birth", 5, 10, 0.7)], "id int, type string, start int, end int, score double")
     got = E.entity_spans(asked, texts, "id", ["dates"], labels=E.ASKED_LABELS).first()["spans"]
     assert [(s["label"], s["category"]) for s in got] == [("DATE_OF_BIRTH", "dates")]
+
+
+def corners(x, y, length, height, angle):
+    """A box turned about its top left corner."""
+    c, s = np.cos(angle), np.sin(angle)
+    return [(x + a * c - b * s, y + a * s + b * c) for a, b in ((0, 0), (length, 0), (length, height), (0, height))]
+
+
+@pytest.mark.parametrize("angle", [np.pi / 4, np.pi / 2, -np.pi / 6])
+def test_lines_at_angles(spark, angle):
+    """A span of a line at an angle is hidden by its own turned corners, which words place, and what lies beside is untouched."""
+    x, y = 60, 170 if angle < 0 else 60
+    text = "mail kim@acme.example now"
+    shape = corners(x, y, 250, 20, angle)
+    along = lambda a, b: corners(x + a * np.cos(angle), y + a * np.sin(angle), b - a, 20, angle)
+    words = [{"text": "mail", "polygon": along(0, 40)}, {"text": "kim@acme.example", "polygon": along(100, 200)}, {"text": "now", "polygon": along(220, 250)}]
+    images = an_image(spark, 330, 330)
+    found = {"text": text, "score": 0.9, "polygon": shape, "words": words}
+    reader = lambda: lambda im: [found] if im[0, 0, 0] == 9 else []
+    rows = read_lines(images, reader, "key").collect()
+    assert len(rows) == 1 and np.allclose([(p["x"], p["y"]) for p in rows[0]["polygon"]], shape) and len(rows[0]["bounds"]) == len(text)
+    got = redact_screens(images, "key", reader, categories=["contact"]).where("key = 'shot'").first()
+    out = I.decode_png(bytes(got["png"]))
+    black = ~out.any(axis=2)
+    pad = 0.35 * 100 / 16
+    want = I.polygon_mask(330, 330, [corners(x + (100 - pad) * np.cos(angle) + 1.6 * np.sin(angle), y + (100 - pad) * np.sin(angle) - 1.6 * np.cos(angle), 100 + 2 * pad, 23.2, angle)])
+    assert (black ^ want).sum() < 0.03 * want.sum() and black.sum() > 1500
+    around = I.polygon_mask(330, 330, [corners(x + 93 * np.cos(angle) + 4 * np.sin(angle), y + 93 * np.sin(angle) - 4 * np.cos(angle), 114, 28, angle)])
+    assert (out[~around & (np.arange(330) >= 5)[:, None]] == 200).all()
+
+
+def test_turned_tile_puts_polygons_back(spark):
+    """A polygon that was found in a picture turned by a quarter, in a tile, lies where it is in the picture."""
+    pixels = np.full((100, 300, 3), 200, np.uint8)
+    pixels[:5, 200:205] = 9  # the corner of the last tile
+    images = spark.createDataFrame([("a", 300, 100, bytearray(pixels.tobytes()))], "key string, width int, height int, data binary")
+    turned = lambda: lambda im: [{"text": "turned", "score": 0.9, "polygon": [(10, 20), (60, 20), (60, 30), (10, 30)]}] if im[0, -1, 0] == 9 and im[0, 0, 0] != 9 else []
+    rows = read_lines(images, turned, "key", tile=100, overlap=20, whole=100).collect()
+    assert [[(p["x"], p["y"]) for p in r["polygon"]] for r in rows if r["orientation"] == "cw"] == [[(220, 90), (220, 40), (230, 40), (230, 90)]]
