@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwork.operators import codes as C
 from maskwork.operators import entities as E
 from maskwork.operators import faces as A
 from maskwork.operators import geometry as G
@@ -157,3 +158,35 @@ def faces_over_tiles(t):
     images = t("supplier").select(k, F.lit(800).alias("width"), F.lit(300).alias("height"), data.alias("data"))
     found = A.find_faces(images, "s_suppkey", _gray_squares)
     return found.select(k, *[F.round(f"box.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("score", 6).alias("score"))
+
+
+def _symbol() -> list[str]:
+    """The rows of a QR-like symbol of 21 by 21 modules as bits: finders, timing lines, and a rule for the rest."""
+
+    def dark(x: int, y: int) -> bool:
+        for a, b in ((x, y), (20 - x, y), (x, 20 - y)):
+            if a < 8 and b < 8:
+                return max(abs(a - 3), abs(b - 3)) in (0, 1, 3)
+        if x == 6 or y == 6:
+            return (x + y) % 2 == 0
+        return (7 * x + 13 * y + x * y) % 3 == 0
+
+    return ["".join("1" if dark(x, y) else "0" for x in range(21)) for y in range(21)]
+
+
+@query(
+    """SELECT s_suppkey, greatest(0, x - 6)::DOUBLE AS x0, greatest(0, y - 6)::DOUBLE AS y0, least(140, x + 63 + 6)::DOUBLE AS x1, least(110, y + 63 + 6)::DOUBLE AS y1, 'QR_CODE' AS label
+FROM (SELECT s_suppkey, 3 + s_suppkey * 37 % 70 AS x, 3 + s_suppkey * 13 % 40 AS y FROM supplier)"""
+)
+def located_codes(t):
+    """A picture of 140 by 110 for each supplier with a symbol, modules of three pixels, at a place by its key, turned or not."""
+    k, white = F.col("s_suppkey"), lambda n: F.repeat(F.lit("FFFFFF"), n)
+    x, y = (3 + k * 37 % 70).cast("int"), (3 + k * 13 % 40).cast("int")
+    rows = _symbol()
+    turned = ["".join(r[i] for r in rows) for i in range(21)]  # as seen in a mirror
+    bits = F.when(k % 2 == 0, F.array(*[F.lit(r) for r in rows])).otherwise(F.array(*[F.lit(r) for r in turned]))
+    line = lambda r: F.concat(F.repeat(F.lit("FFFFFF"), x), F.replace(F.replace(r, F.lit("1"), F.lit("14" * 9)), F.lit("0"), F.lit("F" * 18)), F.repeat(F.lit("FFFFFF"), 77 - x))
+    data = F.unhex(F.concat(F.repeat(white(140), y), F.array_join(F.transform(bits, lambda r: F.repeat(line(r), 3)), ""), F.repeat(white(140), 47 - y)))
+    images = t("supplier").select(k, F.lit(140).alias("width"), F.lit(110).alias("height"), data.alias("data"))
+    found = C.find_codes(images, "s_suppkey").withColumn("box", G.polygon_box(F.col("polygon")))
+    return found.select(k, *[F.round(f"box.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")], "label")

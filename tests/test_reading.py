@@ -109,7 +109,7 @@ def test_chain_reads_and_places(spark):
             assert b["t0"] < middle < b["t1"], (key, i)
         assert all(abs(x["t1"] - y["t0"]) < 1e-9 for x, y in zip(r["bounds"], r["bounds"][1:]))
     assert R.read_text(images, "key", None, load_recogniser, LETTERS).count() == 0
-    out = redact_screens(images, "key", None, custom_terms=["41"], lines=R.read_text(images, "key", load_detector, load_recogniser, LETTERS, rules))
+    out = redact_screens(images, "key", None, categories=["custom"], custom_terms=["41"], lines=R.read_text(images, "key", load_detector, load_recogniser, LETTERS, rules))
     got = {r["key"]: r for r in out.collect()}
     assert json.loads(got["a"]["report"])["count"] == 1 and json.loads(got["b"]["report"])["count"] == 0 and got["broken"]["png"] is None
     image = I.decode_png(bytes(got["a"]["png"]))
@@ -138,7 +138,7 @@ def test_bounds_from_reader_to_hidden_columns(spark):
     assert not read_lines(images, reader(bounds=bounds[:3]), "key").first()["bounds"]  # not one for each character
 
     def hidden(load):
-        png = redact_screens(images, "key", load, categories=["contact"]).where("key = 'a'").first()["png"]
+        png = redact_screens(images, "key", load, categories=["custom"], custom_terms=["a@bb.org"]).where("key = 'a'").first()["png"]
         return np.flatnonzero(~I.decode_png(bytes(png))[30].any(axis=1))
 
     wide = 0.0575 * 400

@@ -153,7 +153,7 @@ def test_lines_at_angles(spark, angle):
     reader = lambda: lambda im: [found] if im[0, 0, 0] == 9 else []
     rows = read_lines(images, reader, "key").collect()
     assert len(rows) == 1 and np.allclose([(p["x"], p["y"]) for p in rows[0]["polygon"]], shape) and len(rows[0]["bounds"]) == len(text)
-    got = redact_screens(images, "key", reader, categories=["contact"]).where("key = 'shot'").first()
+    got = redact_screens(images, "key", reader, categories=["custom"], custom_terms=["kim@acme.example"]).where("key = 'shot'").first()
     out = I.decode_png(bytes(got["png"]))
     black = ~out.any(axis=2)
     pad = 0.35 * 100 / 16
