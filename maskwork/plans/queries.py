@@ -15,6 +15,7 @@ from maskwork.operators.spans import CANDIDATE, explode_spans, find_matches, mer
 from maskwork.plans.planted import NEAR_MISSES, PLANTED as CASES
 from maskwork.session import configure, table
 from maskwork.sources.tables import text_lines
+from maskwork.sql import register
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -409,3 +410,13 @@ def conversation_spans_by_role(t):
     """Custom terms in conversations, with the rules for secrets and contacts, which find nothing there."""
     found = with_spans(t("conversations"), categories=["secrets", "contact"], custom_terms=["how", "of the", "please", "an"])
     return explode_spans(found, ["conv_id", "turn", "role"]).groupBy("role", "category").agg(F.count("*").alias("n"))
+
+
+@query(ORACLES["label_counts"])
+def sql_label_counts(t):
+    """All rules over all documents, counted by label, through the SQL functions of the session."""
+    docs = t("documents")
+    register(docs.sparkSession)
+    return docs.sparkSession.sql(
+        "SELECT s.category, s.label, count(*) AS n, count(DISTINCT d.doc_id) AS n_docs FROM {docs} d, LATERAL maskwork_spans(d.text) s GROUP BY s.category, s.label", docs=docs
+    )
