@@ -1,41 +1,3 @@
 """Tables in the folder that driver and executors share."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.  Where it is unset, one of our own on a single machine, as in tests; a cluster
-    has to name one, as its executors do not see each other's disks."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="maskwork-")
-        at = _own[app]
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: computed once, and there if an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/maskwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``written`` has made and no later result reads."""
-    files = table.inputFiles()
-    if files:
-        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        if "/maskwork/" in folder.toString():
-            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+from maskwork.session import discard, shared_folder, written  # noqa: F401
