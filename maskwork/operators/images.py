@@ -179,11 +179,37 @@ def pixels_of(row) -> np.ndarray:
     return flatten(data if channels == 1 else data[:, :, [2, 1, 0, 3][: int(channels)]])
 
 
+def sinc_taps(old: int, new: int, lobes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights, one row for each of ``new`` pixels, of the old pixels that it is a sum of: a sinc windowed by its own
+    middle lobe, as wide as the picture shrinks."""
+    scale = max(1.0, old / new)
+    middle = (np.arange(new) + 0.5) * (old / new)
+    first = np.floor(middle - lobes * scale + 0.5).astype(np.int64)
+    at = first[:, None] + np.arange(int(np.ceil(2 * lobes * scale)) + 1)
+    x = (at + 0.5 - middle[:, None]) / scale
+    weights = np.where((np.abs(x) < lobes) & (at >= 0) & (at < old), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return at.clip(0, old - 1), weights / weights.sum(axis=1, keepdims=True)
+
+
+def lanczos(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Resampled along rows, then along columns, by the same few weights for all of them."""
+
+    def along(a: np.ndarray, n: int) -> np.ndarray:
+        at, weights = sinc_taps(len(a), n)
+        out = np.zeros((n, *a.shape[1:]))
+        for k in range(at.shape[1]):
+            out += weights[:, k].reshape(-1, *[1] * (a.ndim - 1)) * a[at[:, k]]
+        return np.rint(out).clip(0, 255).astype(np.uint8)
+
+    return np.ascontiguousarray(along(along(image.swapaxes(0, 1), width).swapaxes(0, 1), height))
+
+
 def shrink(image: np.ndarray, longest: int = 4096) -> np.ndarray:
+    """The picture with its longer side at ``longest`` pixels at most."""
     side = max(image.shape[:2])
     if side <= longest:
         return image
-    return resize(image, max(1, round(image.shape[1] * longest / side)), max(1, round(image.shape[0] * longest / side)))
+    return lanczos(image, max(1, round(image.shape[1] * longest / side)), max(1, round(image.shape[0] * longest / side)))
 
 
 def polygon_mask(height: int, width: int, polygons: list[list[tuple[float, float]]]) -> np.ndarray:

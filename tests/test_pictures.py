@@ -143,3 +143,23 @@ def test_redaction_moves_no_pixels(spark, tmp_path):
     want = np.array(cases()[0][2]).copy()
     want[3:10, 2:7] = 0
     assert (got["p0.png"] == want).all() and (got["p2.png"] == cases()[2][2]).all()
+
+
+def test_lanczos_equals_a_double_loop():
+    image = np.random.default_rng(3).integers(0, 256, (23, 31, 3), dtype=np.uint8)
+
+    def weight(x):
+        return 0.0 if abs(x) >= 3 else 1.0 if x == 0 else 3 * np.sin(np.pi * x) * np.sin(np.pi * x / 3) / (np.pi * x) ** 2
+
+    def along(rows, new):
+        out = []
+        for i in range(new):
+            scale, middle = max(1.0, len(rows) / new), (i + 0.5) * len(rows) / new
+            w = np.array([weight((j + 0.5 - middle) / scale) for j in range(len(rows))])
+            out.append(np.rint(sum(a * b for a, b in zip(w / w.sum(), rows.astype(float)))).clip(0, 255))
+        return np.array(out)
+
+    for width, height in ((10, 7), (31, 23), (1, 1), (30, 5), (40, 30)):
+        want = along(along(image.swapaxes(0, 1), width).swapaxes(0, 1), height)
+        assert np.abs(I.lanczos(image, width, height).astype(int) - want).max() <= 1 and (I.lanczos(image, width, height) == want).mean() > 0.999
+    assert (I.lanczos(np.full((50, 90, 3), 77, np.uint8), 13, 9) == 77).all() and max(I.shrink(np.zeros((50, 100, 3), np.uint8), 40).shape) == 40
