@@ -55,13 +55,22 @@ def suppress(items: Column | str, clash) -> Column:
     return F.aggregate(items, F.slice(items, 1, 0), lambda acc, z: F.when(F.exists(acc, lambda k: clash(k, z)), acc).otherwise(F.concat(acc, F.array(z))))
 
 
+def in_bands(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_band``: boxes of different bands of a key have no height in common, so a page is settled band by band."""
+    down = Window.partitionBy(*keys).orderBy(F.col("box.y0"))
+    above = F.max("box.y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    rows = boxes.withColumn("_band", F.coalesce(above <= F.col("box.y0"), F.lit(True)).cast("int"))
+    return rows.withColumn("_band", F.sum("_band").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def nms(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Per key, the boxes left when each drops those of lower score with a larger IoU.
 
     ``boxes``: keys, ``box``, ``score`` and ``box_id``; equal scores go by ``box_id``.
     """
     item = F.struct((-F.col("score")).alias("order"), "box_id", "score", "box")
-    kept = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_all")).withColumn("_kept", suppress("_all", lambda a, b: iou(a["box"], b["box"]) > threshold))
+    bands = in_bands(boxes, keys) if threshold >= 0 else boxes.withColumn("_band", F.lit(0))
+    kept = bands.groupBy(*keys, "_band").agg(F.sort_array(F.collect_list(item)).alias("_all")).withColumn("_kept", suppress("_all", lambda a, b: iou(a["box"], b["box"]) > threshold))
     return kept.select(*keys, F.explode("_kept").alias("_b")).select(*keys, "_b.box_id", "_b.score", "_b.box")
 
 
@@ -70,7 +79,8 @@ def dedupe_lines(lines: DataFrame, keys: list[str], threshold: float = 0.75) ->
     own = ["line_id", "score", "box"]
     rest = [c for c in lines.columns if c not in (*keys, "text", *own)]
     item = F.struct((-F.col("score")).alias("order"), *own, *rest)
-    per_text = lines.groupBy(*keys, "text").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    bands = in_bands(lines, [*keys, "text"]) if threshold >= 0 else lines.withColumn("_band", F.lit(0))
+    per_text = bands.groupBy(*keys, "text", "_band").agg(F.sort_array(F.collect_list(item)).alias("_all"))
     kept = per_text.withColumn("_kept", suppress("_all", lambda a, b: overlap_ratio(a["box"], b["box"]) > threshold))
     return kept.select(*keys, "text", F.explode("_kept").alias("_b")).select(*keys, "_b.line_id", "text", "_b.score", "_b.box", *[f"_b.{c}" for c in rest])
 

@@ -184,3 +184,22 @@ def test_streams(spark, tmp_path):
     (tmp_path / "t" / "x.txt").write_text("one\ntwo")
     assert read_text_files(spark, str(tmp_path / "t")).first()["text"] == "one\ntwo"
     assert read_text_files(spark, str(tmp_path / "t"), by_line=True).count() == 2
+
+
+def test_bands_leave_choices_as_they_are(spark):
+    """Suppression band by band equals that over whole pages, for boxes that touch, nest and lie apart."""
+    rng = np.random.default_rng(8)
+    boxes = [(k, i, (float(x), float(y), float(x + w), float(y + h)), float(s)) for k in range(4) for i, (x, y, w, h, s) in enumerate(zip(rng.integers(0, 60, 90), rng.integers(0, 700, 90), rng.integers(0, 40, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90)))]
+    rows = spark.createDataFrame(boxes, "page int, box_id int, box struct<x0:double,y0:double,x1:double,y1:double>, score double")
+    for threshold in (0.0, 0.3, 0.7):
+        want = set()
+        for k in range(4):
+            kept = []
+            for _, i, b, s in sorted((r for r in boxes if r[0] == k), key=lambda r: (-r[3], r[1])):
+                shared = lambda c: max(0.0, min(b[2], c[2]) - max(b[0], c[0])) * max(0.0, min(b[3], c[3]) - max(b[1], c[1]))  # noqa: B023, E731
+                area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+                if all(shared(c) / ((area(b) + area(c) - shared(c)) or 1.0) <= threshold for c in kept):
+                    kept.append(b)
+                    want.add((k, i))
+        assert {(r["page"], r["box_id"]) for r in G.nms(rows, ["page"], threshold).collect()} == want
+    assert G.in_bands(rows, ["page"]).select("page", "_band").distinct().count() > 20
