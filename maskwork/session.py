@@ -15,8 +15,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables of long texts, whose rows are much work.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that lie in fewer splits than there are cores, as in one file of one row group, dealt out over all of them.
+
+    What has a split for each core, and so everything large, stays where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 _own: dict[str, str] = {}
