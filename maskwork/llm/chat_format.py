@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwork.operators.spans import running
+
 START, END, SEGMENT = "<|im_start|>", "<|im_end|>", "<|seg|>"
 #: Control strings of common chat templates.  All that begin with ``<|`` are covered by that beginning.
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
+#: Spans are read in runs of so many, each cut out of the conversation once.
+RUN = 64
 #: A control string's first character where the rest of one follows.
 CONTROL_STARTS = r"\[(?=/?INST\])|<(?=\||/?s>|</?SYS>>|(?:start|end)_of_turn>)"
 
@@ -35,7 +39,8 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     Turns are sorted by turn, role and text (nulls first), so ties and repeated rows have one order and all stay.  A null
     text or role is empty; a null ``conv_id`` is a conversation of its own.  Spans are half-open, in code points of
     ``formatted``, one for each turn of the trained role, and cover its text only.  An empty table gives none.  A
-    conversation is one row, as long as its turns together.
+    conversation is one row, as long as its turns together; other columns of ``turns``, whatever their names, are left out.  Work
+    is near to linear in turns, and texts are read whole.
     """
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn), _by_turn).alias("_turns"))
@@ -46,18 +51,11 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     chats = chats.withColumn("_blocks", merged)
     written = F.transform("_blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEGMENT), F.lit(f"{END}\n")))
     n = F.char_length
-
-    def place(a: Column, b: Column) -> Column:
-        at = a["at"] + len(START) + n(b["role"]) + 1
-        texts = F.aggregate(
-            b["texts"],
-            F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-            lambda s, t: F.struct((s["at"] + n(t) + len(SEGMENT)).alias("at"), F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), (s["at"] + n(t)).alias("end")))).alias("spans")),
-        )
-        spans = F.when(b["role"] == escape(F.lit(trained_role)), F.concat(a["spans"], texts["spans"])).otherwise(a["spans"])
-        return F.struct((texts["at"] - len(SEGMENT) + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    spans = F.aggregate("_blocks", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), place, lambda a: a["spans"])
+    opens = lambda i: (i == 0) | (F.get("_turns", i)["role"] != F.get("_turns", i - 1)["role"])
+    before = lambda t, i: F.when(opens(i), n(t["role"]) + F.when(i == 0, len(START) + 1).otherwise(len(END) + 1 + len(START) + 1)).otherwise(len(SEGMENT))
+    chats = chats.withColumn("_ends", running(F.transform("_turns", lambda t, i: before(t, i) + n(t["text"])), lambda a, b: a + b))
+    placed = F.transform("_turns", lambda t, i: F.struct((F.get("_ends", i) - n(t["text"])).alias("start"), F.get("_ends", i).alias("end"), t["role"].alias("role")))
+    spans = F.transform(F.filter(placed, lambda s: s["role"] == escape(F.lit(trained_role))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return chats.select("conv_id", F.array_join(written, "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -73,15 +71,19 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     """Turns and loss text read back from ``formatted`` and ``loss_spans``: adds ``turns array<struct<role, text>>, loss_text``."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
     header = rf"(?s)^{START}((?:[^\\\n]|\\.)*+)\n(.*)$".replace("|", r"\|", 2)
-    pairs = F.transform(
+    parsed = F.transform(
         blocks,
-        lambda b: F.transform(
-            F.split(F.regexp_extract(b, header, 2), r"<\|seg\|>", -1),
-            lambda t: F.struct(unescape(F.regexp_extract(b, header, 1)).alias("role"), unescape(t).alias("text")),
-        ),
+        lambda b: F.struct(unescape(F.regexp_extract(b, header, 1)).alias("role"), F.split(F.regexp_extract(b, header, 2), r"<\|seg\|>", -1).alias("texts")),
+    )
+    pairs = F.transform(parsed, lambda p: F.transform(p["texts"], lambda t: F.struct(p["role"].alias("role"), unescape(t).alias("text"))))
+    size = F.size("loss_spans")
+    runs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.ceil(size / RUN).cast("int")), lambda k: k * RUN < size),
+        lambda k: F.struct(F.get("loss_spans", k * RUN)["start"].alias("start"), F.slice("loss_spans", k * RUN + 1, F.lit(RUN)).alias("spans")),
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return formatted.withColumn("turns", F.flatten(pairs)).withColumn("loss_text", loss)
+    cut = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["spans"].alias("spans"), F.substring(F.col("formatted"), r["start"] + 1, F.element_at(r["spans"], -1)["end"] - r["start"]).alias("text")))
+    texts = F.transform(cut, lambda r: F.array_join(F.transform(r["spans"], lambda s: unescape(F.substring(r["text"], s["start"] - r["start"] + 1, s["end"] - s["start"]))), ""))
+    return formatted.withColumn("turns", F.flatten(pairs)).withColumn("loss_text", F.array_join(texts, ""))
 
 
 CHAT_SQL = r"""

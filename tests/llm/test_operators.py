@@ -323,3 +323,18 @@ def test_language_model(spark, rules):
     seen = [r for r in got if r["n_tokens"] > 50 and r["n_known"] == r["n_tokens"]]
     assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
     assert {r["base_score"] for r in score_texts(docs, train_lm(docs.limit(0), rules), rules).where("doc_id = 1001").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("roles", [["assistant"], ["user", "assistant"]])
+def test_long_conversations(spark, roles):
+    """Thousands of turns, in one block or in many, and a long text: read back whole, with callers' columns left out."""
+    n = 3000
+    text = F.when(F.col("turn") == 7, F.repeat(F.lit("wörd <|x "), 20_000)).otherwise(F.concat(F.lit("tûrn </s> "), F.col("turn").cast("string")))
+    role = F.element_at(F.array(*map(F.lit, roles)), (F.col("turn") % len(roles) + 1).cast("int"))
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("extra").alias("formatted")).withColumn("role", role).withColumn("text", text)
+    chats = format_chats(turns)
+    assert chats.columns == ["conv_id", "formatted", "loss_spans"]
+    got = read_chats(chats).collect()[0]
+    want = sorted((r["turn"], r["role"], r["text"]) for r in turns.collect())
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [r[1:] for r in want]
+    assert got["loss_text"] == "".join(r[2] for r in want if r[1] == "assistant") and len(got["loss_spans"]) == n // len(roles)
