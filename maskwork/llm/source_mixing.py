@@ -6,7 +6,7 @@ seed and the document's id only.  The mean is what the source needs to reach its
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import set_aside
@@ -15,6 +15,8 @@ from .columns import set_aside
 PART_MEAN = 16.0
 #: So many terms of a distribution with such a mean leave less than 2**-52.
 TERMS = 80
+#: Parts of one row that are drawn together; the copies of a row with more are made by as many tasks as it has such blocks.
+BLOCK_PARTS = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -55,28 +57,64 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     key and sorted by it, so the order is random over the whole output and the same on every run.  A null source is a
     source of its own.  Rows with equal ids (null included) draw the same count, and text plays no part.  An empty table
     gives none.  The rates are broadcast up to ``most_sources`` of them; beyond, they are joined by a shuffle in which
-    each source is dealt over ``salts`` keys.
+    each source is dealt over ``salts`` keys.  A row that is to be repeated more than some thousand times is dealt to tasks
+    in blocks of its parts.
     """
     made = ["n_copies", "copy_no", "shuffle_key"]
     docs, keep, restored = set_aside(docs, ["doc_id", "source"], made)
     rates = repetition_rates(docs, weights, size).select(F.col("source").alias("_source"), F.col("n_parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    bounds = rates.agg(F.count("*").alias("n"), F.max("_parts").alias("parts")).first()
+    few = bounds["n"] <= most_sources
     rows = docs.select(*keep)
-    if docs.select("source").distinct().limit(most_sources + 1).count() <= most_sources:
-        joined = rows.join(F.broadcast(rates), same)
-    else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        joined = rows.join(salted, same & (F.col("_deal") == F.col("_salt")))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(str(seed)), id_text, i.cast("string")))
-    joined = joined.withColumn("_drawn", drawn)
-    joined = joined.withColumn("n_copies", F.aggregate("_drawn", F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u))).cast("long"))
-    copies = joined.where(F.col("n_copies") > 0).select(*keep, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), id_text, F.col("copy_no").cast("string")))
+    common = _with_rates(rows, rates.where(F.col("_parts") <= BLOCK_PARTS), few, salts)
+    common = common.withColumn("n_copies", _drawn(F.lit(1), F.col("_parts"), seed)).where("n_copies > 0")
+    copies = common.select(*keep, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
+    if (bounds["parts"] or 0) > BLOCK_PARTS:
+        copies = copies.unionByName(_many_copies(rows, rates.where(F.col("_parts") > BLOCK_PARTS), keep, seed, few, salts))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), _id_text(), F.col("copy_no").cast("string")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*restored, *made)
 
 
+def _id_text() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+
+
+def _drawn(first: Column, last: Column, seed: int) -> Column:
+    """How many copies the parts from ``first`` to ``last`` of a row draw together."""
+    drawn = F.transform(F.sequence(first, last), lambda i: uniform(F.lit(str(seed)), _id_text(), i.cast("string")))
+    return F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u))).cast("long")
+
+
+def _with_rates(rows: DataFrame, rates: DataFrame, few: bool, salts: int) -> DataFrame:
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if few:
+        return rows.join(F.broadcast(rates), same)
+    salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, same & (F.col("_deal") == F.col("_salt")))
+
+
+def _many_copies(rows: DataFrame, rates: DataFrame, keep: list[str], seed: int, few: bool, salts: int) -> DataFrame:
+    """The copies of rows of rare sources.  Blocks of a row's parts are dealt to all tasks, first to draw and then, with the
+    row's text, to make copies: about a thousand from each block, whatever the row draws in all.
+
+    What is drawn depends on id and source only, so it is counted once for all rows that have both in common.
+    """
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last = F.floor((F.col("_parts") - 1) / BLOCK_PARTS).cast("int")
+    blocks = lambda df: df.withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
+    ids = rows.select("doc_id", "source").distinct()
+    dealt = blocks(_with_rates(ids, rates, few, salts)).select("doc_id", "source", "_block", "_parts", "_cdf").repartition(tasks, "doc_id", "source", "_block")
+    begin = F.col("_block") * BLOCK_PARTS + 1
+    drawn = dealt.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("_block").alias("_at"), _drawn(begin, F.least(begin + BLOCK_PARTS - 1, F.col("_parts")), seed).alias("_k"))
+    by_row = Window.partitionBy("_id", "_from")
+    placed = drawn.withColumn("_end", F.sum("_k").over(by_row.orderBy("_at"))).withColumn("n_copies", F.sum("_k").over(by_row))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_block") == F.col("_at"))
+    spread = blocks(_with_rates(rows, rates.drop("_cdf"), few, salts)).join(placed.where("_k > 0"), same)
+    spread = spread.select(*keep, "n_copies", "_end", "_k", "_block").repartition(tasks, "doc_id", "source", "_block")
+    return spread.select(*keep, "n_copies", F.explode(F.sequence(F.col("_end") - F.col("_k") + 1, F.col("_end"))).alias("copy_no"))
+
+
 MIX_SQL = """
 WITH counts AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT sum(n_docs) FROM counts)::DOUBLE * 1.0 * 1.0 / (SELECT count(*) FROM counts)::DOUBLE / n_docs AS rate FROM counts),
