@@ -2,7 +2,8 @@ r"""Secret scans: fixed token shapes, and values in a credential context that wo
 
 The guess cost of a value is the smallest sum, over all ways to cut it into words, dates, repeats, keyboard walks and
 brute-force spans, of the decimal logarithms of how many guesses each part takes.  Dynamic programming over end positions
-finds it.  A word takes as many guesses as its rank among common passwords and then among the words of the corpus, by the
+finds it.  A value is a secret if that is much, and not far below what as many random characters would cost: addresses, times
+and phrases of words are long, but cheap for their length.  So a pass phrase of known words is no guess.  A word takes as many guesses as its rank among common passwords and then among the words of the corpus, by the
 number of documents that have them.
 """
 
@@ -35,7 +36,8 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CONTEXT_WORDS = ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "login", "auth"]
 #: The second group is there where prose leads to the value ("the password is ..."): then the value has to look like no word.
 CONTEXT = re.compile(r"(?<![a-z])(?:" + "|".join(CONTEXT_WORDS) + r""")s?["']?(?:\s*(?:=>|->|[:=])\s*|(\s+(?:is|was|are)\s+:?\s*))["']?([^\s"'<>,;()\[\]{}]{6,})""", re.I | re.A)
-PROSE_VALUE = re.compile(r"(?=.*[0-9])(?=.*[^0-9.,:/-])|.[^A-Za-z'\u2019\u0080-\U0010ffff-]+.|[a-z][A-Z].*[a-z]?[A-Z]")
+PROSE_VALUE = re.compile(r".[^A-Za-z'\u2019\u0080-\U0010ffff-]+.|[a-z][A-Z].*[a-z]?[A-Z]")
+DIGIT, BESIDE_NUMBERS = re.compile(r"[0-9]"), re.compile(r"[^0-9.,:/-]")
 #: Fixed words, most common first: a word's rank is its guess count.
 COMMON_WORDS = (
     "password the and pass admin user secret token key test login qwerty love abc letmein welcome dragon monkey master hello "
@@ -58,6 +60,14 @@ DATES = [
     (re.compile(rf"(?=({_YEAR}{_GAP}{_MONTH}))"), math.log10(1_200)),
     (re.compile(rf"(?=({_YEAR}))"), 2.0),
 ]
+#: Fixed parts of addresses and times, each with the logarithm of how many there are; found at every place, as dates are.
+SHAPES = [
+    (re.compile(r"(?=((?:https?|ftp|ssh|wss?)://(?:www\.)?))", re.I), 1.0),
+    (re.compile(r"(?=(\.(?:com|org|net|edu|gov|io|dev|app|info|html?|php|co\.uk|de|fr|es|it|uk)(?![A-Za-z0-9])))", re.I), 1.5),
+    (re.compile(r"(?=(T?(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?(?:Z|[+-]\d\d:?\d\d)?))"), math.log10(86_400)),
+]
+#: Characters between words, which take no guess but for the place of the cut.
+SEPARATORS = frozenset("-_./")
 #: Characters that stand for letters in passwords, in two readings.
 SPELLINGS = [str.maketrans("@4310$57!+", "aaeiossitt"), str.maketrans("@43!0$57|1", "aeeiosstll")]
 REPEAT = re.compile(r"(.{1,4}?)\1+", re.S)
@@ -73,6 +83,10 @@ class GuessRules:
     least_documents: int = 3
     #: Decimal logarithm of guesses from which on a value counts as a secret.
     least_cost: float = 9.0
+    #: And what share of the cost of random characters, of the same sets and as many, it has to take at least.
+    least_share: float = 0.5
+    #: The same for a value that may be a word or words: letters, hyphens and apostrophes only, or one capital at the front.
+    least_word_share: float = 0.9
     #: What each part after the first adds, for the guesser has to try where to cut.
     part_cost: float = 0.5
     shortest_walk: int = 3
@@ -101,16 +115,49 @@ def _ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
     return ranks, max(map(len, ranks), default=0)
 
 
+def no_word(value: str) -> bool:
+    """Whether a value has digits among other characters, signs inside, or capitals inside."""
+    return bool((DIGIT.search(value) and BESIDE_NUMBERS.search(value)) or PROSE_VALUE.search(value))
+
+
+def random_cost(value: str) -> float:
+    """Decimal logarithm of the guesses for as many characters drawn from the sets that the value's characters are from."""
+    return len(value) * math.log10(sum(size for pattern, size in SETS if pattern.search(value)) or 1)
+
+
+def is_secret(value: str, rules: GuessRules, word_like: bool) -> bool:
+    """Whether a value costs enough, by itself and beside random characters, of which words and dates take far less.
+
+    What is cheap may stand before or behind the secret, so a stretch that only brute force finds is also enough, if it looks
+    like no word.
+    """
+    cost, stretches = cheapest_cut(value, rules)
+    if cost < rules.least_cost:
+        return False
+    random = random_cost(value)
+    if cost >= (rules.least_word_share if word_like else rules.least_share) * random:
+        return True
+    return any((b - a) * random / len(value) >= rules.least_cost and no_word(value[a:b]) for a, b in stretches)
+
+
 def guess_cost(value: str, rules: GuessRules = GuessRules()) -> float:
     """Decimal logarithm of the guesses that a value takes."""
+    return cheapest_cut(value, rules)[0]
+
+
+def cheapest_cut(value: str, rules: GuessRules = GuessRules()) -> tuple[float, list[tuple[int, int]]]:
+    """The guess cost, and the brute-force spans of the cut that has it."""
     n, lower = len(value), value.lower()
     if not n:
-        return 0.0
+        return 0.0, []
     ranks, longest = _ranks(rules.words)
     readings = {lower, *(lower.translate(x) for x in SPELLINGS)} if any(c in "@4310$57!+|" for c in lower) else {lower}
     each = math.log10(sum(size for pattern, size in SETS if pattern.search(value)))
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for pattern, cost in DATES:
+    for i in range(1, n - 1):
+        if value[i] in SEPARATORS:
+            ends[i + 1].append((i, 0.0))
+    for pattern, cost in (*DATES, *SHAPES):
         for m in pattern.finditer(value):
             ends[m.end(1)].append((m.start(1), cost))
     for m in REPEAT.finditer(value):
@@ -119,20 +166,27 @@ def guess_cost(value: str, rules: GuessRules = GuessRules()) -> float:
     for a, b in _walks(lower, rules.shortest_walk):
         ends[b].append((a, math.log10(47 * 2 * (b - a))))
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)  # brute: the last part is a brute-force span
+    opens, last = [0] * (n + 1), [0] * (n + 1)  # where that span starts, and where the best cut's last part does
     for i in range(1, n + 1):
         opened = best[i - 1] + (rules.part_cost if i > 1 else 0.0)
+        opens[i] = i - 1 if opened <= brute[i - 1] else opens[i - 1]
         brute[i] = min(brute[i - 1], opened) + each
-        got = brute[i]
-        for a, cost in ends[i]:
-            got = min(got, best[a] + cost + (rules.part_cost if a else 0.0))
+        parts = [(best[a] + cost + (rules.part_cost if a else 0.0), a) for a, cost in ends[i]]
         for a in range(max(0, i - longest), i - 1):
             for read in readings:
                 rank = ranks.get(read[a:i])
                 if rank is not None:
                     changed = (0.0 if value[a:i] == lower[a:i] else 0.5) + (0.0 if read[a:i] == lower[a:i] else 1.0)
-                    got = min(got, best[a] + rank + changed + (rules.part_cost if a else 0.0))
-        best[i] = got
-    return best[n]
+                    parts.append((best[a] + rank + changed + (rules.part_cost if a else 0.0), a))
+        best[i], last[i] = min(parts, default=(math.inf, 0))
+        if brute[i] <= best[i]:
+            best[i], last[i] = brute[i], -1
+    spans, i = [], n
+    while i:
+        if last[i] < 0:
+            spans.append((opens[i], i))
+        i = opens[i] if last[i] < 0 else last[i]
+    return best[n], spans
 
 
 def find_secrets(text: str, rules: GuessRules = GuessRules()) -> list[tuple[str, int, int]]:
@@ -157,10 +211,11 @@ def find_secrets(text: str, rules: GuessRules = GuessRules()) -> list[tuple[str,
             a, b = m.span(2)
             while b > a and text[b - 1] in ".:!?":
                 b -= 1
-            if b - a < 6 or (m[1] and not PROSE_VALUE.search(text[a:b])):
+            word_like = not no_word(text[a:b])
+            if b - a < 6 or (word_like and (m[1] or not text[a:b].isascii())):
                 continue
             before = bisect_right(base, (a, math.inf))  # the base spans that start no later; the furthest end tells
-            if not (before and reach[before - 1] >= b) and guess_cost(text[a:b], rules) >= rules.least_cost:
+            if not (before and reach[before - 1] >= b) and is_secret(text[a:b], rules, word_like):
                 found.append(("guess", a, b))
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
