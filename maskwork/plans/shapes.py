@@ -10,6 +10,7 @@ from maskwork.operators import geometry as G
 from maskwork.operators import images as I
 from maskwork.operators import layout as L
 from maskwork.plans.queries import _boxes, _form, query
+from maskwork.session import dealt
 
 
 def _pair(t):
@@ -155,7 +156,7 @@ def aligned_words(t):
 def blackened_pixels(t):
     """A white image for each part with a black box by its key, written as PNG and read again."""
     k = F.col("p_partkey")
-    images = t("part").select("p_partkey", F.lit(12).alias("width"), F.lit(8).alias("height"), F.unhex(F.repeat(F.lit("FF"), 12 * 8 * 3)).alias("data"))
+    images = dealt(t("part").select("p_partkey")).select("p_partkey", F.lit(12).alias("width"), F.lit(8).alias("height"), F.unhex(F.repeat(F.lit("FF"), 12 * 8 * 3)).alias("data"))
     regions = t("part").select("p_partkey", G.box_polygon(G.box(F.lit(1), F.lit(2), 2 + k % 7, F.lit(5))).alias("polygon"))
 
     def black(batches):

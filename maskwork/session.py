@@ -33,6 +33,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes, each of which is much work, such as keys that pictures are made of, dealt out over all cores, in four
+    parts for each.  Files of them are small, so that one task would have many of them or all, however many splits there are."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 _own: dict[str, str] = {}
 
 
