@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwork.operators.images import beside, pixels_of
+from maskwork.operators.images import beside, frames, pixels_of
 
+#: New rows that are mixed together, so that what is between stays in the processor's cache.
+_ROWS = 16
 BATCH = "batch_no int, box_ids array<long>, widths array<int>, height int, width int, tensor array<float>"
 
 
@@ -31,18 +33,37 @@ def resample(image: np.ndarray, x: float, y: float, w: float, h: float, width: i
         low = np.floor(at).astype(np.int64)
         return low, np.minimum(low + 1, length - 1), at - low
 
+    if width == w and height == h and x == int(x) >= 0 and y == int(y) >= 0 and x + w <= image.shape[1] and y + h <= image.shape[0]:
+        return image[int(y) : int(y) + height, int(x) : int(x) + width].copy()  # centres lie on pixels
     x0, x1, wx = near(x, w, width, image.shape[1])
     y0, y1, wy = near(y, h, height, image.shape[0])
-    wx, wy = wx[None, :, None], wy[:, None, None]
-    row = lambda at: image[at][:, x0] * (1 - wx) + image[at][:, x1] * wx
-    return np.rint(row(y0) * (1 - wy) + row(y1) * wy).clip(0, 255).astype(np.uint8)
+    # rows that are needed are mixed across once each, however many new rows lie between them
+    own, at = np.unique(np.concatenate([y0, y1]), return_inverse=True)
+    rows, channels = image[own], image.shape[2]
+    wx = np.repeat(wx, channels)
+    pick = lambda cols: np.take(rows, cols, axis=1).reshape(len(own), -1)
+    across = pick(x0) * (1 - wx)
+    across += pick(x1) * wx
+    out = np.empty((height, width * channels), np.uint8)
+    upper, lower = at[:height], at[height:]
+    for a in range(0, height, _ROWS):
+        b = min(height, a + _ROWS)
+        mixed = np.take(across, upper[a:b], axis=0)
+        mixed *= (1 - wy)[a:b, None]
+        other = np.take(across, lower[a:b], axis=0)
+        other *= wy[a:b, None]
+        mixed += other
+        out[a:b] = np.rint(mixed, out=mixed).clip(0, 255, out=mixed)
+    return out.reshape(height, width, channels)
 
 
 def planes(image: np.ndarray, height: int | None = None, width: int | None = None, scale: float = 1 / 255, mean: float = 0.5, std: float = 0.5) -> np.ndarray:
     """An RGB picture as three planes of blue, green and red in float32, at the top left of ``height`` by ``width`` zeros."""
     h, w = image.shape[:2]
+    shade = ((np.arange(256) * scale - mean) / std).astype(np.float32)  # a sample has one of so many values
     out = np.zeros((3, height or h, width or w), np.float32)
-    out[:, :h, :w] = (image[:, :, ::-1].transpose(2, 0, 1) * scale - mean) / std
+    for plane, c in zip(out, (2, 1, 0)):
+        plane[:h, :w] = shade[image[:, :, c]]
     return out
 
 
@@ -76,12 +97,15 @@ def crop_tensors(images: DataFrame, boxes: DataFrame, key: str, rules: CropRules
     pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
     names = [key, *(c.split()[0] for c in BATCH.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for r in b.itertuples(index=False):
                 found = [(x["x0"], x["y0"], x["x1"], x["y1"]) for x in r.boxes]
                 ids = [x["box_id"] for x in r.boxes]
                 for k, (own, widths, tensor) in enumerate(crop_batches(pixels_of(r), found, rules)):
-                    yield pd.DataFrame([(getattr(r, key), k, [ids[i] for i in own], widths, tensor.shape[2], tensor.shape[3], tensor.ravel())], columns=names)
+                    yield getattr(r, key), k, [ids[i] for i in own], widths, tensor.shape[2], tensor.shape[3], tensor.ravel()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(cut(batches), names)
 
     return rows.select(key, *pixels, F.col("_boxes").alias("boxes")).mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, {BATCH}")

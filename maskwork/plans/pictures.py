@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,18 +16,38 @@ from maskwork.operators import geometry as G
 from maskwork.operators import reading as R
 from maskwork.operators import tensors as X
 from maskwork.plans.queries import query
+from maskwork.session import dealt
 
 
 def _hex(n: Column) -> Column:
     return F.lpad(F.hex(n.cast("long")), 2, "0")
 
 
+def _samples(digits: str) -> Column:
+    """Samples as a string of raw bytes, which ``repeat`` and ``concat`` copy as they are; pictures are cast to binary at the end."""
+    return F.unhex(F.lit(digits)).cast("string")
+
+
+def _white(n: Column | int) -> Column:
+    return F.repeat(_samples("FFFFFF"), n)
+
+
+def _keys(t):
+    """The keys that pictures are made of."""
+    return dealt(t("supplier").select("s_suppkey"))
+
+
 def _gradients(t):
-    """A picture of 64 by 40 for each supplier, whose samples are a function of place, colour and key."""
-    k = F.col("s_suppkey")
+    """A picture of 64 by 40 for each supplier, whose samples are a function of place, colour and key.
+
+    As samples are bytes, there are 256 such pictures; these are made once and joined.
+    """
+    k = F.col("k")
     sample = lambda i: _hex((3 * (F.floor(i / 3) % 64) + 5 * F.floor(i / 192) + 40 * (i % 3) + k) % 256)
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(64 * 40 * 3 - 1)), sample), ""))
-    return t("supplier").select("s_suppkey", F.lit(64).alias("width"), F.lit(40).alias("height"), data.alias("data"))
+    rows = _keys(t)
+    made = rows.sparkSession.range(256).select(F.col("id").alias("k")).select("k", data.alias("data"))
+    return rows.join(F.broadcast(made), F.pmod("s_suppkey", F.lit(256)) == k).select("s_suppkey", F.lit(64).alias("width"), F.lit(40).alias("height"), "data")
 
 
 @query(
@@ -44,16 +67,19 @@ def crop_sums(t):
     n = F.lit
     boxes = F.array(at(0, k % 5, k % 3, 20 + k % 7, 8 + k % 4), at(1, n(10), n(5), 30 + k % 9, n(30)), at(2, n(2), n(30), n(60), n(8)))
     rows = X.crop_tensors(_gradients(t), t("supplier").select(k, F.explode(boxes).alias("b")).select(k, "b.*"), "s_suppkey")
-    rows = rows.select(k, F.col("width").alias("batch_width"), "height", "tensor", F.posexplode(F.arrays_zip("box_ids", "widths")).alias("at", "c"))
-    plane = F.col("height") * F.col("batch_width")
 
-    def total(i: int) -> Column:
-        """Samples of a plane are put back to 0 to 255; those of each of its rows end where the crop does."""
-        first = (3 * F.col("at") + i) * plane
-        lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda r: F.slice("tensor", first + r * F.col("batch_width") + 1, F.col("c.widths")))
-        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + F.aggregate(line, F.lit(0).cast("long"), lambda b, v: b + F.round((v * 0.5 + 0.5) * 255).cast("long")))
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Samples of planes are put back to 0 to 255; a crop's end where it does."""
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                planes = r.tensor.reshape(len(r.widths), 3, r.height, r.width)
+                for box_id, width, own in zip(r.box_ids, r.widths, planes):
+                    blue, green, red = np.rint((own[:, :, :width].astype(np.float64) * 0.5 + 0.5) * 255).sum(axis=(1, 2)).astype(np.int64).tolist()
+                    rows.append((r.s_suppkey, box_id, width, r.width, red, green, blue))
+            yield pd.DataFrame(rows, columns=["s_suppkey", "box_id", "width", "batch_width", "red", "green", "blue"])
 
-    return rows.select(k, F.col("c.box_ids").alias("box_id"), F.col("c.widths").alias("width"), "batch_width", total(2).alias("red"), total(1).alias("green"), total(0).alias("blue"))
+    return rows.mapInPandas(sums, "s_suppkey long, box_id long, width int, batch_width int, red long, green long, blue long")
 
 
 def _dark_area():
@@ -89,11 +115,11 @@ def _shades():
 def read_digits(t):
     """A picture of each supplier's key, a shade for each digit, found, cropped, read and decoded: the digits, and whether the
     middle of each one's block lies within its bounds."""
-    key, white = F.col("s_suppkey").cast("string"), lambda n: F.repeat(F.lit("FFFFFF"), n)
-    block = lambda d: F.concat(F.repeat(_hex(10 + 20 * d.cast("int")), 72), white(24))
+    key = F.col("s_suppkey").cast("string")
+    block = lambda d: F.concat(F.repeat(F.unhex(_hex(10 + 20 * d.cast("int"))).cast("string"), 72), _white(24))
     n = F.char_length(key)
-    line = F.concat(white(40), F.array_join(F.transform(F.split(key, ""), block), ""), F.repeat(F.lit("FFFFFF"), 360 - 48 * n))
-    images = t("supplier").select("s_suppkey", F.lit(400).alias("width"), F.lit(60).alias("height"), F.unhex(F.concat(white(4000), F.repeat(line, 32), white(7200))).alias("data"))
+    line = F.concat(_white(40), F.array_join(F.transform(F.split(key, ""), block), ""), _white(360 - 48 * n))
+    images = _keys(t).select("s_suppkey", F.lit(400).alias("width"), F.lit(60).alias("height"), F.concat(_white(4000), F.repeat(line, 32), _white(7200)).cast("binary").alias("data"))
     lines = R.read_text(images, "s_suppkey", _dark_area, _shades, list("0123456789"), R.ReadingRules(most_turned=0))
     b = F.col("box")
     middle = lambda i: (52 + 48 * i - b["x0"]) / (b["x1"] - b["x0"])
@@ -151,12 +177,12 @@ FROM (SELECT s_suppkey, (60 + s_suppkey * 37 % 650)::DOUBLE AS x, (10 + s_suppke
 )
 def faces_over_tiles(t):
     """A picture of 800 by 300 for each supplier with one square, in one tile, in two or over the edge of one: found once."""
-    k, white = F.col("s_suppkey"), lambda n: F.repeat(F.lit("FFFFFF"), n)
+    k = F.col("s_suppkey")
     x, y = (60 + k * 37 % 650).cast("int"), (10 + k * 13 % 220).cast("int")
-    line = F.concat(F.repeat(F.lit("FFFFFF"), x), F.repeat(F.lit("323232"), 60), F.repeat(F.lit("FFFFFF"), 740 - x))
-    data = F.unhex(F.concat(F.repeat(white(800), y), F.repeat(line, 60), F.repeat(white(800), 240 - y)))
-    images = t("supplier").select(k, F.lit(800).alias("width"), F.lit(300).alias("height"), data.alias("data"))
-    found = A.find_faces(images, "s_suppkey", _gray_squares)
+    line = F.concat(_white(x), F.repeat(_samples("323232"), 60), _white(740 - x))
+    data = F.concat(F.repeat(_white(800), y), F.repeat(line, 60), F.repeat(_white(800), 240 - y)).cast("binary")
+    images = _keys(t).select(k, F.lit(800).alias("width"), F.lit(300).alias("height"), data.alias("data"))
+    found = A.find_faces(images, "s_suppkey", _gray_squares, spread=False)  # pictures are dealt out already
     return found.select(k, *[F.round(f"box.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("score", 6).alias("score"))
 
 
@@ -180,13 +206,13 @@ FROM (SELECT s_suppkey, 3 + s_suppkey * 37 % 70 AS x, 3 + s_suppkey * 13 % 40 AS
 )
 def located_codes(t):
     """A picture of 140 by 110 for each supplier with a symbol, modules of three pixels, at a place by its key, turned or not."""
-    k, white = F.col("s_suppkey"), lambda n: F.repeat(F.lit("FFFFFF"), n)
+    k = F.col("s_suppkey")
     x, y = (3 + k * 37 % 70).cast("int"), (3 + k * 13 % 40).cast("int")
     rows = _symbol()
     turned = ["".join(r[i] for r in rows) for i in range(21)]  # as seen in a mirror
     bits = F.when(k % 2 == 0, F.array(*[F.lit(r) for r in rows])).otherwise(F.array(*[F.lit(r) for r in turned]))
-    line = lambda r: F.concat(F.repeat(F.lit("FFFFFF"), x), F.replace(F.replace(r, F.lit("1"), F.lit("14" * 9)), F.lit("0"), F.lit("F" * 18)), F.repeat(F.lit("FFFFFF"), 77 - x))
-    data = F.unhex(F.concat(F.repeat(white(140), y), F.array_join(F.transform(bits, lambda r: F.repeat(line(r), 3)), ""), F.repeat(white(140), 47 - y)))
-    images = t("supplier").select(k, F.lit(140).alias("width"), F.lit(110).alias("height"), data.alias("data"))
+    line = lambda r: F.concat(_white(x), F.replace(F.replace(r, F.lit("1"), _samples("14" * 9)), F.lit("0"), _samples("F" * 18)), _white(77 - x))
+    data = F.concat(F.repeat(_white(140), y), F.array_join(F.transform(bits, lambda r: F.repeat(line(r), 3)), ""), F.repeat(_white(140), 47 - y)).cast("binary")
+    images = _keys(t).select(k, F.lit(140).alias("width"), F.lit(110).alias("height"), data.alias("data"))
     found = C.find_codes(images, "s_suppkey").withColumn("box", G.polygon_box(F.col("polygon")))
     return found.select(k, *[F.round(f"box.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")], "label")

@@ -24,3 +24,43 @@ def test_keys_of_hidden_pictures_are_dealt_out(spark, tmp_path):
     made = QUERIES["blackened_pixels"](spark, str(tmp_path))
     assert made.rdd.getNumPartitions() > 4
     assert {r.p_partkey: r.n_black for r in made.collect()} == {k: 3 * (k % 7 + 2) * 4 for k in range(1000)}
+
+
+def plain_resample(image, x, y, w, h, width, height):
+    near = lambda start, size, n, length: np.clip(start + (np.arange(n) + 0.5) * (size / n) - 0.5, 0, length - 1)
+    at, down = near(x, w, width, image.shape[1]), near(y, h, height, image.shape[0])
+    x0, y0 = np.floor(at).astype(int), np.floor(down).astype(int)
+    x1, y1 = np.minimum(x0 + 1, image.shape[1] - 1), np.minimum(y0 + 1, image.shape[0] - 1)
+    wx, wy = (at - x0)[None, :, None], (down - y0)[:, None, None]
+    row = lambda r: image[r][:, x0] * (1 - wx) + image[r][:, x1] * wx
+    return np.rint(row(y0) * (1 - wy) + row(y1) * wy).clip(0, 255).astype(np.uint8)
+
+
+def test_resampling_by_rows_is_that_of_each_pixel():
+    from maskwork.operators import tensors as X
+
+    some = np.random.default_rng(7)
+    for _ in range(80):
+        image = some.integers(0, 256, (some.integers(1, 60), some.integers(1, 70), 3)).astype(np.uint8)
+        area = (some.uniform(-5, 60), some.uniform(-5, 50), some.uniform(0.5, 70), some.uniform(0.5, 60))
+        size = (int(some.integers(1, 150)), int(some.integers(1, 150)))
+        assert (X.resample(image, *area, *size) == plain_resample(image, *area, *size)).all()
+        whole = (int(some.integers(0, 70)), int(some.integers(0, 60)), *size)
+        assert (X.resample(image, *whole, *size) == plain_resample(image, *whole, *size)).all()
+        shifted = (image[:, :, ::-1].transpose(2, 0, 1) * (1 / 255) - 0.5) / 0.5
+        assert (X.planes(image) == shifted.astype(np.float32)).all()
+
+
+def test_sums_of_crops_of_many_pictures_are_those_of_their_pixels(spark, tmp_path):
+    keys_in_one_file(spark, tmp_path, "supplier", "s_suppkey", 300)
+    made = QUERIES["crop_sums"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 4
+    rows = {(r.s_suppkey, r.box_id): r for r in made.collect()}
+    assert len(rows) == 900
+    y, x, z = np.mgrid[:40, :64, :3]
+    for k in (0, 7, 255, 256, 299):
+        image = ((3 * x + 5 * y + 40 * z + k) % 256).astype(np.uint8)
+        for box_id, (bx, by, w, h) in enumerate([(k % 5, k % 3, 20 + k % 7, 8 + k % 4), (10, 5, 30 + k % 9, 30), (2, 30, 60, 8)]):
+            r = rows[k, box_id]
+            assert r.width == -(-48 * w // h)
+            assert [r.red, r.green, r.blue] == plain_resample(image, bx, by, w, h, r.width, 48).sum(axis=(0, 1), dtype=int).tolist()
