@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.operators.geometry import box, box_polygon, face_box, face_cells, moved, nms, tile_starts
-from maskwork.operators.images import pixels_of
+from maskwork.operators.images import frames, pixels_of
 from maskwork.operators.tensors import planes, resample
 
 #: A model that gets planes (3, size, size) of blue, green and red from 0 to 255 and returns, for each stride, arrays of the
@@ -45,6 +45,29 @@ def face_parts(width: Column, height: Column, rules: FaceRules = FaceRules()) ->
     return F.concat(F.array(part(zero, zero, width, height)), tiles)
 
 
+def _cut(r, rules: FaceRules) -> Iterator[tuple]:
+    """``part_no, x, y, scale, tile`` of a picture's parts."""
+    image = pixels_of(r)
+    for n, p in enumerate(r.parts):
+        scale = rules.size / max(p["w"], p["h"])
+        wide, high = (max(1, int(np.floor(p[k] * scale + 0.5))) for k in ("w", "h"))
+        yield n, p["x"], p["y"], scale, resample(image, p["x"], p["y"], p["w"], p["h"], wide, high)
+
+
+def _sure(model: FaceModel, tile: np.ndarray, rules: FaceRules) -> Iterator[tuple]:
+    """``stride, row, col, cls, obj`` and the four numbers of a box, of a tile's cells that are sure enough."""
+    for stride, (cls, obj, shape) in model(planes(tile, rules.size, rules.size, 1.0, 0.0, 1.0)).items():
+        cls, obj, shape = np.ravel(cls).astype(float), np.ravel(obj).astype(float), np.reshape(shape, (-1, 4)).astype(float)
+        across = rules.size // stride
+        for i in np.flatnonzero(np.sqrt(cls.clip(0, 1) * obj.clip(0, 1)) >= rules.threshold).tolist():
+            yield stride, i // across, i % across, cls[i], obj[i], *shape[i]
+
+
+def _parted(images: DataFrame, key: str, rules: FaceRules) -> DataFrame:
+    pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
+    return images.where("data IS NOT NULL").select(key, *pixels, face_parts(F.col("width"), F.col("height"), rules).alias("parts"))
+
+
 def face_tiles(images: DataFrame, key: str, rules: FaceRules = FaceRules(), spread: bool = True) -> DataFrame:
     """``key, part_no, x, y, scale, high, wide, tile``: each part of each picture, scaled to fit the model's input, as RGB bytes.
 
@@ -52,21 +75,18 @@ def face_tiles(images: DataFrame, key: str, rules: FaceRules = FaceRules(), spre
     their picture was decoded.
     """
     kind = images.schema[key].dataType.simpleString()
-    pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
-    rows = images.where("data IS NOT NULL").select(key, *pixels, face_parts(F.col("width"), F.col("height"), rules).alias("parts"))
     names = [key, "part_no", "x", "y", "scale", "high", "wide", "tile"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for r in b.itertuples(index=False):
-                image = pixels_of(r)
-                for n, p in enumerate(r.parts):
-                    scale = rules.size / max(p["w"], p["h"])
-                    wide, high = (max(1, int(np.floor(p[k] * scale + 0.5))) for k in ("w", "h"))
-                    tile = resample(image, p["x"], p["y"], p["w"], p["h"], wide, high)
-                    yield pd.DataFrame([(getattr(r, key), n, p["x"], p["y"], scale, high, wide, tile.tobytes())], columns=names)
-
-    tiles = rows.mapInPandas(run, f"{key} {kind}, part_no int, x int, y int, scale double, high int, wide int, tile binary")
+                for *place, tile in _cut(r, rules):
+                    yield getattr(r, key), *place, *tile.shape[:2], tile.tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(cut(batches), names)
+
+    tiles = _parted(images, key, rules).mapInPandas(run, f"{key} {kind}, part_no int, x int, y int, scale double, high int, wide int, tile binary")
     # a number is given, so that parts of few bytes, each of which is much work for a model, are not put together again
     return tiles.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key), F.col("part_no")) if spread else tiles
 
@@ -75,26 +95,29 @@ def find_faces(images: DataFrame, key: str, load: Callable[[], FaceModel] | None
     """``key, category, label, box, polygon, score, source, text``: faces in pictures ``key, width, height, data``.
 
     A face is looked for in the whole picture and in every tile; of finds that overlap the best stays, and gets a margin, more
-    for small faces and more above than below.  Without a model, and in pictures that can't be read, there are none.
+    for small faces and more above than below.  With ``spread`` tiles are rows of many tasks, as ``face_tiles`` has them; many
+    pictures of few tiles are dealt out already, and without it each is cut and looked at in one task.  Without a model, and in pictures that can't be read, there are none.
     """
     kind = images.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, part_no int, x int, y int, scale double, stride int, row int, col int, cls double, obj double, dx double, dy double, lw double, lh double"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sure(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         model = load()
         for b in batches:
             for r in b.itertuples(index=False):
-                tile = np.frombuffer(r.tile, np.uint8).reshape(int(r.high), int(r.wide), 3)
-                rows = []
-                for stride, (cls, obj, shape) in model(planes(tile, rules.size, rules.size, 1.0, 0.0, 1.0)).items():
-                    cls, obj, shape = np.ravel(cls).astype(float), np.ravel(obj).astype(float), np.reshape(shape, (-1, 4)).astype(float)
-                    across = rules.size // stride
-                    for i in np.flatnonzero(np.sqrt(cls.clip(0, 1) * obj.clip(0, 1)) >= rules.threshold).tolist():
-                        rows.append((getattr(r, key), r.part_no, r.x, r.y, r.scale, stride, i // across, i % across, cls[i], obj[i], *shape[i]))
-                yield pd.DataFrame(rows, columns=names)
-
-    cells = images.sparkSession.createDataFrame([], schema) if load is None else face_tiles(images, key, rules, spread).mapInPandas(run, schema)
+                parts = [(r.part_no, r.x, r.y, r.scale, np.frombuffer(r.tile, np.uint8).reshape(int(r.high), int(r.wide), 3))] if spread else _cut(r, rules)
+                for *place, tile in parts:
+                    for cell in _sure(model, tile, rules):
+                        yield getattr(r, key), *place, *cell
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(sure(batches), names)
+
+    if load is None:
+        cells = images.sparkSession.createDataFrame([], schema)
+    else:
+        cells = (face_tiles(images, key, rules) if spread else _parted(images, key, rules)).mapInPandas(run, schema)
     found = face_cells(cells, rules.threshold)
     scaled = box(*[F.col(f"box.{k}") / F.col("scale") for k in ("x0", "y0", "x1", "y1")])
     found = found.withColumn("box", scaled).where((F.col("box.x1") - F.col("box.x0") > rules.least) & (F.col("box.y1") - F.col("box.y0") > rules.least))

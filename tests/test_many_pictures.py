@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from maskwork.operators import faces
 from maskwork.operators import images as I
 from maskwork.plans import pictures, shapes  # noqa: F401  (registers the queries)
 from maskwork.plans.queries import QUERIES
@@ -64,3 +65,20 @@ def test_sums_of_crops_of_many_pictures_are_those_of_their_pixels(spark, tmp_pat
             r = rows[k, box_id]
             assert r.width == -(-48 * w // h)
             assert [r.red, r.green, r.blue] == plain_resample(image, bx, by, w, h, r.width, 48).sum(axis=(0, 1), dtype=int).tolist()
+
+
+def test_faces_of_pictures_that_are_dealt_out_already(spark, tmp_path):
+    keys_in_one_file(spark, tmp_path, "supplier", "s_suppkey", 40)
+    assert pictures._keys(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")).rdd.getNumPartitions() > 4
+    images = pictures._keys(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    images = images.selectExpr("s_suppkey", "800 AS width", "300 AS height", "unhex(repeat('FFFFFF', 800 * 300)) AS data")
+    inside = faces.find_faces(images, "s_suppkey", pictures._gray_squares, spread=False)
+    assert inside.collect() == []
+    found = QUERIES["faces_over_tiles"](spark, str(tmp_path)).collect()
+    plan = QUERIES["faces_over_tiles"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert plan.count("tile#") == 0  # tiles are no rows
+    want = {}
+    for k in range(40):
+        x, y = 60 + k * 37 % 650, 10 + k * 13 % 220
+        want[k] = (x - 33, max(0, round(y - 42.9, 3)), min(800, x + 93), min(300, y + 93))
+    assert {r.s_suppkey: (r.x0, r.y0, r.x1, r.y1) for r in found} == want
