@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.operators.entities import ctc_bounds, ctc_collapse
-from maskwork.operators.images import pixels_of, text_boxes
+from maskwork.operators.images import frames, pixels_of, text_boxes
 from maskwork.operators.screens import PARTS, parts_of, settle_lines
 from maskwork.operators.tensors import CropRules, crop_batches, planes, resample
 
@@ -69,7 +69,7 @@ def find_text(images: DataFrame, key: str, load: Callable[[], Detector], rules:
     """``key`` and ``CROPS``: a row for each batch of crops that the detector's boxes cut out of a part of an image."""
     names = [key, *(c.split()[0] for c in CROPS.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         engine = load()
         for b in batches:
             for r in b.itertuples(index=False):
@@ -79,7 +79,10 @@ def find_text(images: DataFrame, key: str, load: Callable[[], Detector], rules:
                     chances = np.asarray(engine(planes(resample(part, 0, 0, width, height, w, h))), np.float64)
                     boxes = [tuple(x[k] for k in ("x0", "y0", "x1", "y1")) for x in in_reading_order(text_boxes(chances, width, height))]
                     for own, widths, tensor in crop_batches(part, boxes, rules.crops):
-                        yield pd.DataFrame([(getattr(r, key), *place, [list(boxes[i]) for i in own], widths, tensor.shape[3], tensor.ravel())], columns=names)
+                        yield getattr(r, key), *place, [list(boxes[i]) for i in own], widths, tensor.shape[3], tensor.ravel()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(cut(batches), names)
 
     pixels = [c for c in ("width", "height", "channels", "data") if c in images.columns]
     return images.where("data IS NOT NULL").select(key, *pixels).mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, {CROPS}")
@@ -90,17 +93,18 @@ def recognise(crops: DataFrame, key: str, load: Callable[[], Recogniser], rules:
     head = "left int, top int, wide int, high int, turn string, x0 double, y0 double, x1 double, y1 double, best array<struct<c:int,p:double>>, resized int, padded int"
     names = [key, *(c.split()[0] for c in head.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         engine = load()
         for b in batches:
             for r in b.itertuples(index=False):
                 tensor = np.asarray(r.tensor, np.float32).reshape(len(r.widths), 3, rules.crops.height, int(r.width))
                 chances = np.asarray(engine(tensor), np.float64)
                 letter, most = chances.argmax(axis=2), chances.max(axis=2)
-                rows = []
                 for corners, width, c, p in zip(r.boxes, r.widths, letter.tolist(), most.tolist()):
-                    rows.append((getattr(r, key), r.left, r.top, r.wide, r.high, r.turn, *map(float, corners), [{"c": a, "p": z} for a, z in zip(c, p)], int(width), int(r.width)))
-                yield pd.DataFrame(rows, columns=names)
+                    yield getattr(r, key), r.left, r.top, r.wide, r.high, r.turn, *map(float, corners), [{"c": a, "p": z} for a, z in zip(c, p)], int(width), int(r.width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(read(batches), names)
 
     return crops.mapInPandas(run, f"{key} {crops.schema[key].dataType.simpleString()}, {head}")
 

@@ -82,3 +82,10 @@ def test_faces_of_pictures_that_are_dealt_out_already(spark, tmp_path):
         x, y = 60 + k * 37 % 650, 10 + k * 13 % 220
         want[k] = (x - 33, max(0, round(y - 42.9, 3)), min(800, x + 93), min(300, y + 93))
     assert {r.s_suppkey: (r.x0, r.y0, r.x1, r.y1) for r in found} == want
+
+
+def test_digits_of_pictures_in_one_file_are_read_by_all_tasks(spark, tmp_path):
+    keys_in_one_file(spark, tmp_path, "supplier", "s_suppkey", 60)
+    made = QUERIES["read_digits"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 1
+    assert {r.s_suppkey: (r.text, r.in_place) for r in made.collect()} == {k: (str(k), True) for k in range(60)}
