@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwork.functions.display import mask_preview, pretty_label
+from maskwork.operators.registry import Rule
 from maskwork.operators.spans import _col, explode_spans, let, with_spans
 
 
@@ -31,10 +32,11 @@ def redact_text(text: Column | str, spans: Column | str, style: str = "label") -
     return let(_col(spans), stitched)
 
 
-def redact(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: str | Sequence[str] = (), style: str = "label") -> DataFrame:
-    """``docs`` with ``spans`` and ``redacted``.  Custom terms may be one string with commas or line ends between them."""
+def redact(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: str | Sequence[str] = (), style: str = "label", rules: Sequence[Rule] | None = None) -> DataFrame:
+    """``docs`` with ``spans`` and ``redacted``.  Custom terms may be one string with commas or line ends between them; ``rules``
+    are a caller's own, in the place of ours and of terms."""
     terms = parse_terms(custom_terms) if isinstance(custom_terms, str) else custom_terms
-    found = with_spans(docs, text, categories, terms)
+    found = with_spans(docs, text, categories, terms, rules=rules)
     return found.withColumn("redacted", F.when(F.size("spans") > 0, redact_text(text, "spans", style)).otherwise(F.col(text)))
 
 

@@ -167,6 +167,16 @@ def wanted_rules(categories: Sequence[str] | None) -> list[Rule]:
 _built: dict[tuple, Column] = {}
 
 
+def rules_candidates(text: Column | str, rules: Sequence[Rule]) -> Column:
+    """What a caller's own rules find, before overlaps are settled; none in a null text."""
+    return _all_candidates(_unmarked(F.coalesce(_col(text), F.lit(""))), list(rules))
+
+
+def as_spans(found: Column | str) -> Column:
+    """Candidates as spans, by start, with overlaps left as they are."""
+    return F.sort_array(F.transform(_col(found), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "category", "score", "source")]))).cast(SPANS)
+
+
 def candidates(text: Column | str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = ()) -> Column:
     """What all rules of the categories find, before overlaps are settled.  Custom terms are found whatever the categories."""
     key = (SparkContext._active_spark_context.applicationId, text, None if categories is None else tuple(categories), tuple(custom_terms)) if isinstance(text, str) else None
@@ -224,14 +234,14 @@ def resolve(found: Column | str) -> Column:
     return F.sort_array(spans).cast(SPANS)
 
 
-def find_spans(text: Column | str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = ()) -> Column:
+def find_spans(text: Column | str, categories: Sequence[str] | None = None, custom_terms: Sequence[str] = (), rules: Sequence[Rule] | None = None, settle: bool = True) -> Column:
     """Non-overlapping sensitive spans of a text, sorted by start.
 
     Categories choose the rules before overlaps are settled, so a rule that is left out takes no span away from another.
-    A null text has none.
+    A null text has none.  ``rules`` and ``settle`` are those of ``with_spans``.
     """
-    found = candidates(text, categories, custom_terms)
-    return F.when(F.size(found) > 0, resolve(found)).otherwise(F.array().cast(SPANS))
+    found = candidates(text, categories, custom_terms) if rules is None else rules_candidates(text, rules)
+    return F.when(F.size(found) > 0, resolve(found) if settle else as_spans(found)).otherwise(F.array().cast(SPANS))
 
 
 def merge_spans(sure: Column | str, others: Column | str) -> Column:
@@ -250,10 +260,13 @@ def once(column: Column) -> Column:
     return F.when(F.rand(0) + 1 > 0, column)
 
 
-def with_spans(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: Sequence[str] = (), name: str = "spans") -> DataFrame:
-    """``docs`` with their spans.  Candidates are made in a projection of their own, so that each is computed once."""
-    found = docs.withColumn("_found", once(candidates(text, categories, custom_terms)))
-    return found.withColumn(name, F.when(F.size("_found") > 0, resolve("_found")).otherwise(F.array().cast(SPANS))).drop("_found")
+def with_spans(docs: DataFrame, text: str = "text", categories: Sequence[str] | None = None, custom_terms: Sequence[str] = (), name: str = "spans", rules: Sequence[Rule] | None = None, settle: bool = True) -> DataFrame:
+    """``docs`` with their spans.  Candidates are made in a projection of their own, so that each is computed once.
+
+    ``rules`` are a caller's own, in the place of ours; without ``settle`` all that is found is kept, overlaps included.
+    """
+    found = docs.withColumn("_found", once(candidates(text, categories, custom_terms) if rules is None else rules_candidates(text, rules)))
+    return found.withColumn(name, F.when(F.size("_found") > 0, resolve("_found") if settle else as_spans("_found")).otherwise(F.array().cast(SPANS))).drop("_found")
 
 
 def explode_spans(docs: DataFrame, key: str | list[str], spans: str = "spans", text: str = "text") -> DataFrame:

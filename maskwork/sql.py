@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from maskwork.operators.redact import parse_terms, redact_text
+from maskwork.operators.registry import Rule
 from maskwork.operators.spans import find_spans, let
 from maskwork.schemas import SPANS
 
@@ -24,21 +25,21 @@ def sql_text(column: Column) -> str:
     return _PARTS.sub(lambda m: f"`{m[1]}`" if m[1] else f"{m[2]}D" if m[2] else m[0], shown[1] if shown else text)
 
 
-def register(spark: SparkSession, prefix: str = "maskwork", categories: Sequence[str] | None = None, custom_terms: str | Sequence[str] = ()) -> list[str]:
+def register(spark: SparkSession, prefix: str = "maskwork", categories: Sequence[str] | None = None, custom_terms: str | Sequence[str] = (), rules: Sequence[Rule] | None = None, settle: bool = True) -> list[str]:
     """Make temporary SQL functions, and return their names:
 
     * ``<prefix>_find(text)``: the array of spans of a text,
     * ``<prefix>_redact(text, style)``: the text with its spans hidden, in style ``label``, ``box`` or ``mask``,
     * ``<prefix>_spans(text)``: a table of the spans, for ``FROM docs, LATERAL <prefix>_spans(text)``.
 
-    They have the rules of the categories, or all, and are plain expressions, so that Spark plans and prunes what calls them
+    They have the rules of the categories, or all, or a caller's own (``rules`` and ``settle`` are those of ``with_spans``), and are plain expressions, so that Spark plans and prunes what calls them
     as if it had been written out.
     """
     terms = parse_terms(custom_terms) if isinstance(custom_terms, str) else list(custom_terms)
     text = F.col("text")
     find, hide, table = (f"{prefix}_{x}" for x in ("find", "redact", "spans"))
     make = lambda head, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    found = find_spans(text, categories, terms)
+    found = find_spans(text, categories, terms, rules, settle)
 
     def hidden(spans: Column) -> Column:
         out = F.when(F.col("style") == "label", redact_text(text, spans, "label"))
