@@ -39,6 +39,13 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def by_key(rows: DataFrame, key: str, n_rows: int, most: int = 100_000) -> DataFrame:
+    """Rows dealt out by key for all the windows, groups and joins by key that follow, ``most`` rows of ``n_rows`` to a task, so
+    that a task's memory stays what it is as tables grow: the session's number of partitions is one for all sizes."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // most))
+    return rows.repartition(parts, key)
+
+
 _own: dict[str, str] = {}
 
 
