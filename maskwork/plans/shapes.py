@@ -10,7 +10,7 @@ from maskwork.operators import geometry as G
 from maskwork.operators import images as I
 from maskwork.operators import layout as L
 from maskwork.plans.queries import _boxes, _form, query
-from maskwork.session import dealt
+from maskwork.session import by_key, dealt
 
 
 def _pair(t):
@@ -90,7 +90,8 @@ FROM (SELECT k, b, t, q, p.x AS ax, p.y AS ay FROM (SELECT l_orderkey AS k, l_li
 )
 def deduped_lines(t):
     """Lines of two texts, a pixel or two apart: the best of each heap stays."""
-    rows = t("lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("int").alias("line_id")).agg(
+    own = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = by_key(own, "l_orderkey", own.count()).groupBy("l_orderkey", F.col("l_linenumber").cast("int").alias("line_id")).agg(
         F.min(F.struct(F.floor(F.col("l_partkey") % 60 / 20).cast("double").alias("x"), F.floor(F.col("l_suppkey") % 40 / 20).cast("double").alias("y"))).alias("p"), F.min("l_quantity").alias("score")
     )
     lines = rows.select("l_orderkey", "line_id", F.concat(F.lit("t"), (F.col("line_id") % 2).cast("string")).alias("text"), "score", G.box(F.col("p.x"), F.col("p.y"), F.col("p.x") + 20, F.col("p.y") + 12).alias("box"))
