@@ -84,8 +84,10 @@ def test_faces_of_pictures_that_are_dealt_out_already(spark, tmp_path):
     assert {r.s_suppkey: (r.x0, r.y0, r.x1, r.y1) for r in found} == want
 
 
-def test_digits_of_pictures_in_one_file_are_read_by_all_tasks(spark, tmp_path):
+def test_digits_of_pictures_in_one_file_are_read_by_all_tasks(spark, tmp_path, monkeypatch):
     keys_in_one_file(spark, tmp_path, "supplier", "s_suppkey", 60)
+    read, given = pictures.R.read_text, []
+    monkeypatch.setattr(pictures.R, "read_text", lambda images, *rest: given.append(images) or read(images, *rest))
     made = QUERIES["read_digits"](spark, str(tmp_path))
-    assert made.rdd.getNumPartitions() > 1
+    assert given[0].rdd.getNumPartitions() > 4
     assert {r.s_suppkey: (r.text, r.in_place) for r in made.collect()} == {k: (str(k), True) for k in range(60)}
