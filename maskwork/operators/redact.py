@@ -66,5 +66,8 @@ def report(docs: DataFrame, key: str, text: str = "text", spans: str = "spans",
 
 
 def select_spans(spans: DataFrame, chosen: DataFrame | None, keys: list[str]) -> DataFrame:
-    """All spans, or those whose keys and ordinal are chosen."""
-    return spans if chosen is None else spans.join(chosen, [*keys, "ordinal"], "left_semi")
+    """All spans, or those whose keys, which may be null, and ordinal are chosen."""
+    if chosen is None:
+        return spans
+    same = [F.col(f"_s.`{c}`").eqNullSafe(F.col(f"_c.`{c}`")) for c in [*keys, "ordinal"]]
+    return spans.alias("_s").join(chosen.alias("_c"), same, "left_semi").select("_s.*")

@@ -276,6 +276,11 @@ def explode_spans(docs: DataFrame, key: str | list[str], spans: str = "spans", t
     return rows.select(*keys, (F.col("ordinal") + 1).alias("ordinal"), "_s.*", F.substring(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("value"))
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Spans with ordinals by key and start, where texts may have one key, or none; ties by end, label and value."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label", "value")))
+
+
 def resolve_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The greedy choice over rows ``keys, rank, start, end, ...``, for documents with more spans than an array should hold.
 
