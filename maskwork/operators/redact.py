@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwork.functions.display import mask_preview, pretty_label
 from maskwork.operators.registry import Rule
-from maskwork.operators.spans import _col, explode_spans, let, with_spans
+from maskwork.operators.spans import _col, explode_spans, let, numbered, with_spans
 
 
 def redact_text(text: Column | str, spans: Column | str, style: str = "label") -> Column:
@@ -55,8 +55,9 @@ def summary(spans: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, key: str, text: str = "text", spans: str = "spans", kept: Column | None = None) -> DataFrame:
-    """One JSON per document: count, count by category, and regions with masked values; ``kept`` marks spans left visible."""
-    rows = explode_spans(docs, key, spans, text)
+    """One JSON per key, as a rule of one document: count, count by category, and regions with masked values, numbered by start;
+    ``kept`` marks spans left visible."""
+    rows = numbered(explode_spans(docs, key, spans, text), key)
     rows = rows.withColumn("redacted", ~kept if kept is not None else F.lit(True))
     region = F.struct("ordinal", "category", "label", pretty_label(F.col("label")).alias("name"), mask_preview(F.col("value")).alias("text"), F.round("score", 3).alias("score"), "source", "start", "end")
     per = rows.groupBy(key, "category").agg(F.count("*").alias("n"), F.collect_list(F.struct("redacted", region.alias("region"))).alias("rows"))

@@ -277,8 +277,8 @@ def explode_spans(docs: DataFrame, key: str | list[str], spans: str = "spans", t
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Spans with ordinals by key and start, where texts may have one key, or none; ties by end, label and value."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label", "value")))
+    """Spans with ordinals by key and start, where texts may have one key, or none; ties by label, end and value."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("start", "label", "end", "value")))
 
 
 def resolve_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
