@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -24,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows) if name in TEXTS else rows
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of a table of files with their ``place`` in it, by file and row: the same however the table is cut or dealt out."""
+    return rows.withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows that lie in fewer splits than there are cores, as in one file of one row group, dealt out over all of them.
 
