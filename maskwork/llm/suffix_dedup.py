@@ -3,9 +3,12 @@
 Each string of ``length`` bytes has an anchor: the k-byte substring of the smallest hash in it.  The anchor depends on the
 string alone, so equal strings have it at the same place, and only suffixes that start at anchors need sorting.
 
-1. Texts are dealt to runs.  Runs exchange fingerprints of their anchors; an anchor that is in one document only can be in
-   no repeat, and its suffix goes no further.  An anchor with very many surroundings is split: each of its strings becomes
-   a suffix of its own, which starts at the string and is filed by the string's hash, so that no range holds them all.
+1. Texts are dealt to runs, equal ones to the same run, where all but those of the smallest id are set aside: they are
+   repeats as a whole.  Runs exchange fingerprints of what stands at their anchors, up to the middle of the strings that
+   lie before and behind: where both are in one document only, no string of the anchor can be a repeat, and its suffix goes
+   no further.  The answer is one bit for each, in the order in which they were sent.  An anchor with very many surroundings
+   is split: each of its strings becomes a suffix of its own, which starts at the string and is filed by the string's hash,
+   so that no range holds them all.
 2. Each run sorts its remaining suffixes, up to the end of the last string of that anchor, joins equal ones, and sends
    them front-coded: the length of the prefix shared with the one before, and the rest.
 3. Each range of anchors merges its runs by a loser tree that knows, for each contender, the prefix shared with the last
@@ -13,24 +16,25 @@ string alone, so equal strings have it at the same place, and only suffixes that
 4. The common prefixes of neighbours, and those of what stands before the anchors, say which strings are equal, and so
    which is the smallest document that has each.  Runs get this back and remove what a smaller document has.
 
-No run sends a row to every range.  Where there are more than ``fan`` of them, rows go to groups of ranges first, and there
-blocks of ``fan`` runs are merged and sent on to smaller groups; so rows and merges have at most ``fan`` parts at any size.
+No run sends a row to every range of many.  Where there are more than ``fan`` of them, rows go to groups of ranges first, and
+there blocks of as many runs are merged and sent on to smaller groups.  Groups are as even as the number of steps allows, so
+that a task between two steps has no more than one at the end of them.  All that is sent is packed by columns.
 """
 from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as T
-from .exchange import BUNDLE, Entries, bundled, entries_of, exchanged, widths
+from .exchange import Entries, widths
 
 U = np.uint64
 LAST = np.int64(2**63 - 1)  # stands for a null id
@@ -44,7 +48,7 @@ class RepeatRules:
     seed: int = 16
     #: Bytes of text in a run.  Runs and anchor ranges are as many as the text has such parts.
     run_bytes: int = 4 << 20
-    #: Into so many groups of ranges a run sends its rows, and so many runs are merged at once.
+    #: Into so many groups of ranges at most a run sends its rows, and so many runs at most are merged at once.
     fan: int = 512
     #: An anchor with more distinct surroundings than this, counted to a power of two in each run, is split by its strings.
     hot: int = 100_000
@@ -54,10 +58,17 @@ class RepeatRules:
         """The largest offset of an anchor in a string."""
         return self.length - self.seed
 
+    @property
+    def half(self) -> int:
+        """Strings whose anchor is no further in have what is ahead of it in common, the others what is behind."""
+        return self.reach // 2
+
 
 @dataclass
 class Anchors:
-    """By anchor: its place, the first and last start of the strings that it anchors, its row, and two hashes."""
+    """By anchor: its place, the first and last start of the strings that it anchors, its row, and hashes: of the anchor, of its
+    segment, and of the anchor with what follows and with what precedes it in each string of the one and of the other half;
+    these are odd, and 0 where there is no such string."""
 
     at: np.ndarray
     first: np.ndarray
@@ -65,9 +76,11 @@ class Anchors:
     row: np.ndarray
     fingerprint: np.ndarray
     segment: np.ndarray
+    ahead: np.ndarray
+    behind: np.ndarray
 
     def __getitem__(self, chosen) -> Anchors:
-        return Anchors(*(x[chosen] for x in (self.at, self.first, self.last, self.row, self.fingerprint, self.segment)))
+        return Anchors(*(x[chosen] for x in (self.at, self.first, self.last, self.row, self.fingerprint, self.segment, self.ahead, self.behind)))
 
     def strings(self, data: np.ndarray, size: int) -> Anchors:
         """Each string of these anchors as an anchor of its own, at its start."""
@@ -78,7 +91,8 @@ class Anchors:
             own = slice(*np.searchsorted(at, [base, base + STEP]))
             if own.stop > own.start:
                 whole[own] = T.Hasher(data[base : base + STEP + size])(at[own] - base, at[own] - base + size)
-        return Anchors(at, at, at, np.repeat(self.row, n), whole >> U(1), T.mix(whole))
+        none = np.zeros(len(at), U)
+        return Anchors(at, at, at, np.repeat(self.row, n), whole >> U(1), T.mix(whole), none, none)
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> Anchors:
@@ -108,12 +122,30 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
         new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         first, last, at = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1], at[new]
         segment = T.mix(hasher(first, last + size) + (at - first).astype(U))
-        parts.append((at + begin, first + begin, last + begin, T.mix(seeds[at]) >> U(1), segment))  # mixed again: anchors have small hashes
+        ahead, behind = np.zeros(len(at), U), np.zeros(len(at), U)
+        own = np.flatnonzero(last + rules.half >= at)
+        ahead[own] = hasher(at[own], at[own] + size - rules.half) | U(1)
+        own = np.flatnonzero(first + rules.half < at)
+        behind[own] = hasher(at[own] - rules.half - 1, at[own] + rules.seed) | U(1)
+        parts.append((at + begin, first + begin, last + begin, T.mix(seeds[at]) >> U(1), segment, ahead, behind))  # mixed again: anchors have small hashes
     if not parts:
         none = np.zeros(0, np.int64)
-        return Anchors(none, none, none, none, none.astype(U), none.astype(U))
-    at, first, last, fingerprint, segment = (np.concatenate(x) for x in zip(*parts))
-    return Anchors(at, first, last, np.searchsorted(offsets, at, side="right") - 1, fingerprint, segment)
+        return Anchors(none, none, none, none, *[none.astype(U)] * 4)
+    at, first, last, *hashes = (np.concatenate(x) for x in zip(*parts))
+    return Anchors(at, first, last, np.searchsorted(offsets, at, side="right") - 1, *hashes)
+
+
+def _set_apart(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rows of a run, and those whose whole text a row of a smaller id has."""
+    if not table.num_rows:
+        return table, table
+    ids = np.asarray(pc.fill_null(table.column("doc_id"), int(LAST)), np.int64)
+    texts = pa.chunked_array([pc.fill_null(table.column("text"), "").combine_chunks()])
+    codes = np.asarray(texts.dictionary_encode().chunk(0).indices)
+    least = np.full(codes.max() + 1, LAST)
+    np.minimum.at(least, codes, ids)
+    copy = least[codes] < ids
+    return (table.filter(pa.array(~copy)), table.filter(pa.array(copy))) if copy.any() else (table, table.slice(0, 0))
 
 
 def _rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,69 +174,147 @@ def _least_most(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[
     return order[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
 
 
-# 1. fingerprints
+# Packed columns
+
+ZSTD = pa.Codec("zstd")
+#: Kinds of columns: of bytes; of bits; of numbers that are stored as they are, byte by byte, or as differences byte by byte.
+BYTES, BITS, HASHES, IDS, NUMBERS, RISING, VALUES = ("u1", "bytes"), ("u1", "bits"), ("<u8", "whole"), ("<i8", "planes"), ("<i4", "planes"), ("<i4", "steps"), ("<u4", "steps")
+Kind = tuple[str, str]
+
+
+def _squeezed(plane: bytes) -> bytes:
+    """One byte for a plane of equal ones, else whichever is shorter of the plane and what zstd makes of it."""
+    if plane.count(plane[:1]) == len(plane):
+        return plane[:1]
+    small = ZSTD.compress(plane, asbytes=True)
+    return small if len(small) < len(plane) else plane
+
+
+def pack(columns: list[np.ndarray], kinds: list[Kind]) -> bytes:
+    lengths, planes = [], []
+    for x, (kind, how) in zip(columns, kinds):
+        x = np.ascontiguousarray(x, kind)
+        if how == "bits":
+            x = np.packbits(x)
+        elif how == "steps":
+            x = np.diff(x, prepend=x.dtype.type(0))
+        lengths.append(len(x))
+        planes += [x.tobytes()] if how == "whole" else [_squeezed(p.tobytes()) for p in x.view(np.uint8).reshape(len(x), x.itemsize).T] if len(x) else [b""] * x.itemsize
+    return np.array(lengths + [len(p) for p in planes], np.int32).tobytes() + b"".join(planes)
+
+
+def unpack(packed: bytes, kinds: list[Kind]) -> list[np.ndarray]:
+    counts = [1 if how == "whole" else np.dtype(kind).itemsize for kind, how in kinds]
+    head = np.frombuffer(packed, np.int32, len(kinds) + sum(counts)).tolist()
+    sizes, at, out = iter(head[len(kinds) :]), 4 * len(head), []
+    for (kind, how), n, count in zip(kinds, head, counts):
+        planes = np.empty((count, n), np.uint8)
+        for k in range(count):
+            size = next(sizes)
+            if how == "whole":
+                x = np.frombuffer(packed, kind, n, at)
+            elif size == n:
+                planes[k] = np.frombuffer(packed, np.uint8, n, at)
+            elif size == 1:
+                planes[k] = packed[at]
+            else:
+                planes[k] = np.frombuffer(ZSTD.decompress(packed[at : at + size], n), np.uint8)
+            at += size
+        if how != "whole":
+            x = planes[0] if count == 1 else np.ascontiguousarray(planes.T).view(kind).ravel()
+        if how == "steps":
+            x = np.cumsum(x, dtype=x.dtype)
+        elif how == "bits":
+            x = np.unpackbits(x, count=len(out[0]))
+        out.append(x)
+    return out
 
-#: A range has but so many fingerprints, so of each only 35 bits are sent, with five bits more, in five bytes.  Two that
-#: agree in these by chance count as one: that sends suffixes in vain and changes no result.
-SENT = U(2**35 - 1)
 
+def _gathered(packed: list[bytes], kinds: list[Kind]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*(unpack(p, kinds) for p in packed))]
 
-def _pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
+def _parted(columns: list[np.ndarray], kinds: list[Kind], width: int) -> Entries:
+    """Rows that are sorted by their target, the first column, packed for each group of ``width`` targets."""
+    keys, cuts = np.unique(columns[0] // width, return_index=True)
+    return [(int(k), pack([c[a:b] for c in columns], kinds)) for k, a, b in zip(keys, cuts, [*cuts[1:], len(columns[0])])]
 
-def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel().astype(U)
 
+def _regrouped(packed: list[bytes], kinds: list[Kind], width: int) -> Entries:
+    """Rows of several sources for smaller groups of targets; those for one target stay in the order of sources."""
+    columns = _gathered(packed, kinds)
+    order = np.argsort(columns[0], kind="stable")
+    return _parted([c[order] for c in columns], kinds, width)
 
-def _keyed(at: np.ndarray | int, prints: np.ndarray) -> np.ndarray:
-    """A range and the sent part of a fingerprint in one number."""
-    return U(at) << U(35) | prints & SENT if np.isscalar(at) else at.astype(U) << U(35) | prints & SENT
 
+# 1. fingerprints
 
-def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules) -> Entries:
-    """For each range, the sent part of fingerprints, above four bits for how many segments and one for several documents."""
-    found, owner, segments = [], [], []
+#: A range has but so many fingerprints, so of each only so many bits are sent.  Two that agree in these by chance count as
+#: one: that sends suffixes in vain and changes no result.
+SENT = 26
+#: Range, run, fingerprint, and if several documents have it; or a fingerprint of an anchor, with its number of segments.
+PRINTS = [RISING, RISING, VALUES, BYTES]
+#: Run, and if several have the fingerprint, or if the anchor is to be split.
+REPLIES = [RISING, BITS]
+
+
+def _keyed(prints: np.ndarray, ranges: int, anchors: bool = False) -> np.ndarray:
+    """A range, if it is of an anchor, and the sent part of a fingerprint, in one number."""
+    return _range_of(prints >> U(1), ranges).astype(U) << U(SENT + 1) | U(int(anchors) << SENT) | prints >> U(1) & U(2**SENT - 1)
+
+
+def _prints(found: list[Anchors], owners: list[np.ndarray], ranges: int, rules: RepeatRules) -> tuple[np.ndarray, np.ndarray]:
+    """What a run sends: sorted keys of fingerprints, and a byte for each: one bit for several documents, above the number of
+    bits of how many segments an anchor has.  Anchors are sent only where they may have more than ``hot`` in all runs."""
+    ids = np.concatenate(owners)
+    ahead, behind, anchors, segments = (np.concatenate([getattr(a, x) for a in found]) for x in ("ahead", "behind", "fingerprint", "segment"))
+    keys = np.concatenate([_keyed(x[x > 0], ranges) for x in (ahead, behind)])
+    if not len(keys):
+        return np.zeros(0, U), np.zeros(0, np.uint8)
+    one, least, most = _least_most(keys, *[np.concatenate([ids[ahead > 0], ids[behind > 0]])] * 2)
+    order = np.lexsort([segments, anchors])
+    anchors, segments = anchors[order], segments[order]
+    changed = np.concatenate([[True], anchors[1:] != anchors[:-1]])
+    new = np.flatnonzero(changed)
+    distinct = np.add.reduceat((changed | np.concatenate([[True], segments[1:] != segments[:-1]])).astype(np.int64), new)
+    many = distinct >= max(1, rules.hot // (2 * ranges))
+    hot, first = np.unique(_keyed(anchors[new][many] << U(1), ranges, anchors=True), return_index=True)
+    count = np.log2(distinct[many][first]).astype(np.uint8).clip(max=30) + np.uint8(1)
+    keys, flags = np.concatenate([keys[one], hot]), np.concatenate([(least != most).astype(np.uint8), count << np.uint8(1)])
+    order = np.argsort(keys)
+    return keys[order], flags[order]
+
+
+def _anchored(table: pa.Table, rules: RepeatRules) -> tuple[list[Anchors], list[np.ndarray], list[np.ndarray]]:
+    """Anchors of each piece of a run, the ids of the documents they are in, and the piece's bytes."""
+    found, owners, texts = [], [], []
     for ids, data, offsets in _rows(table):
-        a = find_anchors(data, offsets, rules)
-        found.append(a.fingerprint)
-        segments.append(a.segment)
-        owner.append(ids[a.row])
-    prints, ids, segments = np.concatenate(found), np.concatenate(owner), np.concatenate(segments)
-    sent = np.zeros(0, U)
-    if len(prints):
-        order = np.lexsort([segments, prints])
-        prints, ids, segments = prints[order], ids[order], segments[order]
-        changed = prints[1:] != prints[:-1]
-        new = np.flatnonzero(np.concatenate([[True], changed]))
-        distinct = np.add.reduceat(np.concatenate([[True], changed | (segments[1:] != segments[:-1])]).astype(np.int64), new)
-        several = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
-        prints = prints[new]
-        sent = (prints & SENT) << U(5) | np.log2(distinct).astype(U).clip(max=U(15)) << U(1) | several.astype(U)
-    cuts = np.searchsorted(_range_of(prints, ranges), np.arange(ranges + 1))
-    return [(int(r), _pack(sent[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
-
-
-def _repeated(runs: list[int], prints: list[bytes], rules: RepeatRules) -> Entries:
-    """For each run, those of its fingerprints that several documents have, above a bit that says if they are split."""
-    own = [_unpack(b) for b in prints]
-    every = np.sort(np.concatenate(own))
-    key = every >> U(5)
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    times = np.diff(np.concatenate([new, [len(key)]]))
-    several = (times > 1) | (np.bitwise_or.reduceat(every, new) & U(1) == 1)
-    hot = np.add.reduceat(np.int64(1) << (every >> U(1) & U(15)).astype(np.int64), new) > rules.hot
-    key, hot = key[new][several], hot[several].astype(U)
-    out = []
-    for run, x in zip(runs, own):
-        x = x >> U(5)
-        at = np.searchsorted(key, x).clip(max=max(len(key) - 1, 0))
-        kept = np.flatnonzero(key[at] == x) if len(key) else []
-        if len(kept):
-            out.append((run, _pack(x[kept] << U(1) | hot[at[kept]])))
-    return out
+        found.append(find_anchors(data, offsets, rules))
+        owners.append(ids[found[-1].row])
+        texts.append(data)
+    return found, owners, texts
+
+
+def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules, width: int = 1) -> Entries:
+    """For each group of ranges, the run's fingerprints."""
+    found, owners, _ = _anchored(_set_apart(table)[0], rules)
+    keys, flags = _prints(found, owners, ranges, rules)
+    run = np.full(len(keys), table.column("run")[0].as_py(), np.int32)
+    return _parted([(keys >> U(SENT + 1)).astype(np.int32), run, (keys & U(2 ** (SENT + 1) - 1)).astype(np.uint32), flags], PRINTS, width)
+
+
+def _repeated(sources: list[int], packed: list[bytes], rules: RepeatRules, width: int = 1) -> Entries:
+    """For each group of runs, the answers to their fingerprints, in the order of those."""
+    _, runs, values, flags = _gathered([p for _, p in sorted(zip(sources, packed))], PRINTS)
+    order, new = _grouped(values)
+    several = (np.diff(np.append(new, len(order))) > 1) | (np.bitwise_or.reduceat(flags[order], new) & 1 == 1)
+    count = (flags[order] >> 1).astype(np.int64)
+    hot = np.add.reduceat(np.where(count > 0, np.int64(1) << (count - 1).clip(min=0), 0), new) > rules.hot
+    answer = np.where(values[order][new] >> np.uint32(SENT) > 0, hot, several)
+    reply = np.empty(len(order), np.uint8)
+    reply[order] = np.repeat(answer, np.diff(np.append(new, len(order))))
+    order = np.argsort(runs, kind="stable")
+    return _parted([runs[order], reply[order]], REPLIES, width)
 
 
 # 2. sorted, front-coded suffixes
@@ -238,11 +348,17 @@ def _common(matrix: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The columns of a ``Block``.
+SUFFIXES = [RISING, BYTES, BYTES, BYTES, BYTES, BYTES, IDS, BYTES, HASHES, NUMBERS, BYTES]
+
+
 @dataclass
 class Block:
-    """Sorted suffixes, front-coded: ``shared`` with the one before and the ``rest``; and of each what stands before its
-    anchor, the smallest document and whether there are several, a hash, its run, and whether it is one of a split anchor."""
+    """Suffixes sorted by range and bytes, front-coded: ``shared`` with the one before in the range and the ``rest``; and of
+    each what stands before its anchor, the smallest document and whether there are several, a hash, its run, and whether it is
+    one of a split anchor."""
 
+    part: np.ndarray
     shared: np.ndarray
     right: np.ndarray
     left: np.ndarray
@@ -255,17 +371,26 @@ class Block:
     split: np.ndarray
 
     def pack(self) -> bytes:
-        parts = [np.ascontiguousarray(x).tobytes() for x in (self.shared, self.right, self.left, self.rest, self.before, self.least, self.several, self.segment, self.run, self.split)]
-        return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+        return pack([getattr(self, x) for x in self.__dataclass_fields__], SUFFIXES)
 
     @staticmethod
     def unpack(packed: bytes) -> Block:
-        kinds = [np.uint8] * 5 + [np.int64, np.uint8, U, np.int32, np.uint8]
-        cuts = np.cumsum([80, *np.frombuffer(packed, np.int64, 10)]).tolist()
-        return Block(*(np.frombuffer(packed[a:b], kind) for a, b, kind in zip(cuts, cuts[1:], kinds)))
+        return Block(*unpack(packed, SUFFIXES))
+
+    def parted(self, width: int) -> Entries:
+        """The suffixes for each group of ``width`` ranges, packed."""
+        keys, cuts = np.unique(self.part // width, return_index=True)
+        ends = {"rest": np.cumsum(np.append(0, self.right.astype(np.int64) - self.shared)), "before": np.cumsum(np.append(0, self.left.astype(np.int64)))}
+        own = lambda name, a, b: getattr(self, name)[ends[name][a] : ends[name][b]] if name in ends else getattr(self, name)[a:b]
+        return [(int(k), Block(*(own(x, a, b) for x in self.__dataclass_fields__)).pack()) for k, a, b in zip(keys, cuts, [*cuts[1:], len(self.part)])]
 
-    def reader(self) -> FrontCoded:
-        return FrontCoded(self.shared.tobytes(), self.right.tobytes(), self.rest.tobytes())
+    def readers(self) -> list[tuple[int, int, FrontCoded]]:
+        """By range: its number, the place of its first suffix, and its suffixes."""
+        parts, cuts = np.unique(self.part, return_index=True)
+        cuts = [*cuts.tolist(), len(self.part)]
+        rests = np.cumsum(np.append(0, self.right.astype(np.int64) - self.shared))[cuts].tolist()
+        shared, right, rest = self.shared.tobytes(), self.right.tobytes(), self.rest.tobytes()
+        return [(p, a, FrontCoded(shared[a:b], right[a:b], rest[x:y])) for p, a, b, x, y in zip(parts.tolist(), cuts, cuts[1:], rests, rests[1:])]
 
 
 def _ragged(matrix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -274,25 +399,28 @@ def _ragged(matrix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return matrix[(steps >= low.astype(np.uint8)[:, None]) & (steps < high.astype(np.uint8)[:, None])]
 
 
-def _suffix_runs(table: pa.Table, ranges_: list[int], prints: list[bytes], ranges: int, rules: RepeatRules) -> Entries:
-    """For each range, the run's distinct suffixes, sorted and front-coded."""
-    if not prints or not table.num_rows:
+def _suffix_runs(table: pa.Table, sources: list[int], packed: list[bytes], ranges: int, rules: RepeatRules, width: int = 1) -> Entries:
+    """For each group of ranges, the run's distinct suffixes, sorted and front-coded."""
+    if not packed or not table.num_rows:
         return []
-    wanted, hot = [], []
-    for r, packed in zip(ranges_, prints):
-        x = _unpack(packed)
-        wanted.append(_keyed(r, x >> U(1)))
-        hot.append(x & U(1) == 1)
-    wanted, hot = np.concatenate(wanted), np.concatenate(hot)
-    order = np.argsort(wanted)
-    wanted, hot = wanted[order], hot[order]
+    found, owners, texts = _anchored(_set_apart(table)[0], rules)
+    keys, _ = _prints(found, owners, ranges, rules)
+    _, replies = _gathered([p for _, p in sorted(zip(sources, packed))], REPLIES)
+    if len(replies) != len(keys):
+        raise ValueError("texts of a run differ from those of its fingerprints")
+
+    def told(prints: np.ndarray, anchors: bool = False) -> np.ndarray:
+        own = _keyed(prints, ranges, anchors)
+        at = np.searchsorted(keys, own).clip(max=len(keys) - 1)
+        return (keys[at] == own) & (replies[at] == 1)
+
     parts = []
-    for ids, data, offsets in _rows(table):
-        a = find_anchors(data, offsets, rules)
-        key = _keyed(_range_of(a.fingerprint, ranges), a.fingerprint)
-        at = np.searchsorted(wanted, key).clip(max=len(wanted) - 1)
-        hit = wanted[at] == key
-        for chosen, split in ((a[hit & ~hot[at]], 0), (a[hit & hot[at]], 1)):
+    for a, ids, data in zip(found, owners, texts):
+        hit = (a.ahead > 0) & told(a.ahead) | (a.behind > 0) & told(a.behind)
+        a, ids = a[hit], ids[hit]
+        a.row = np.arange(len(a.at))
+        hot = told(a.fingerprint << U(1), anchors=True)
+        for chosen, split in ((a[~hot], 0), (a[hot], 1)):
             if not len(chosen.at):
                 continue
             if split:
@@ -313,15 +441,10 @@ def _suffix_runs(table: pa.Table, ranges_: list[int], prints: list[bytes], range
     least, several, part, one = least[order], (least != most)[order].astype(np.uint8), part[order], one[order]
     segment, right, left, split, rights, lefts = segment[one], right[one], left[one], split[one], rights[one], lefts[one]
     shared = _common(rights, right).astype(np.uint8)
-    cuts = np.searchsorted(part, np.arange(ranges + 1))
-    shared[cuts[:-1][cuts[:-1] < len(shared)]] = 0
+    shared[np.flatnonzero(np.diff(part, prepend=-1))] = 0
     run = np.full(len(part), table.column("run")[0].as_py(), np.int32)
-    out = []
-    for r in np.flatnonzero(np.diff(cuts)):
-        s = slice(cuts[r], cuts[r + 1])
-        block = Block(shared[s], right[s], left[s], _ragged(rights[s], shared[s], right[s]), _ragged(lefts[s], np.zeros(s.stop - s.start), left[s]), least[s], several[s], segment[s], run[s], split[s])
-        out.append((int(r), block.pack()))
-    return out
+    rest, before = _ragged(rights, shared, right), _ragged(lefts, np.zeros(len(left)), left)
+    return Block(part, shared, right, left, rest, before, least, several, segment, run, split).parted(width)
 
 
 # 3. merging
@@ -392,21 +515,26 @@ def merge_runs(runs: list[FrontCoded]) -> Iterator[tuple[int, int, int]]:
 
 def merge_blocks(blocks: list[Block], rules: RepeatRules, texts: bool) -> tuple[Block, np.ndarray]:
     """One sorted block of all, and what stands before each anchor as rows; the rests of suffixes only if asked for."""
-    readers = [b.reader() for b in blocks]
     places, shared, rests = array("q"), bytearray(), []
     first = np.cumsum([0] + [len(b.shared) for b in blocks]).tolist()
-    for i, row, common in merge_runs(readers):
-        places.append(first[i] + row)
-        shared.append(common)
-        if texts:
-            rests.append(readers[i].text[common:])
+    ranges: dict[int, list[tuple[int, FrontCoded]]] = {}
+    for i, b in enumerate(blocks):
+        for part, place, reader in b.readers():
+            ranges.setdefault(part, []).append((first[i] + place, reader))
+    for part in sorted(ranges):
+        starts, readers = zip(*ranges.pop(part))
+        for i, row, common in merge_runs(readers):
+            places.append(starts[i] + row)
+            shared.append(common)
+            if texts:
+                rests.append(readers[i].text[common:])
     at = np.frombuffer(places, np.int64)
     joined = lambda name: np.concatenate([getattr(b, name) for b in blocks])
     left = joined("left")
     begins = np.cumsum(left, dtype=np.int64) - left
     lefts = _matrix(joined("before"), begins[at], left[at], rules.reach)
     rest = np.frombuffer(b"".join(rests), np.uint8)
-    gathered = {name: joined(name)[at] for name in ("right", "least", "several", "segment", "run", "split")}
+    gathered = {name: joined(name)[at] for name in ("part", "right", "least", "several", "segment", "run", "split")}
     before = _ragged(lefts, np.zeros(len(at)), left[at]) if texts else rest
     return Block(shared=np.frombuffer(bytes(shared), np.uint8), left=left[at], rest=rest, before=before, **gathered), lefts
 
@@ -414,8 +542,8 @@ def merge_blocks(blocks: list[Block], rules: RepeatRules, texts: bool) -> tuple[
 # 4. which strings are equal
 
 
-def _smallest_owners(packed: list[bytes], rules: RepeatRules) -> Entries:
-    """For each run: segments with the offsets of the anchor in strings that a smaller document may have, and its id."""
+def _smallest_owners(packed: list[bytes], rules: RepeatRules, width: int = 1) -> Entries:
+    """For each group of runs: segments with the offsets of the anchor in strings that a smaller document may have, and its id."""
     T.release()
     b, lefts = merge_blocks([Block.unpack(x) for x in packed], rules, texts=False)
     shared, right, left, n = b.shared.astype(np.int64), b.right.astype(np.int64), b.left.astype(np.int64), len(b.run)
@@ -444,11 +572,11 @@ def _smallest_owners(packed: list[bytes], rules: RepeatRules) -> Entries:
     high[b.split[row] == 1] = SPLIT
     by = np.argsort(b.run[row], kind="stable")
     row, low, high, least = row[by], low[by], high[by], least[by]
-    runs, cuts = np.unique(b.run[row], return_index=True)
-    ends = [*cuts[1:], len(row)]
-    return [(int(run), Answers(b.segment[row[x:y]], low[x:y], high[x:y], least[x:y]).pack()) for run, x, y in zip(runs, cuts, ends)]
+    return _parted([b.run[row], b.segment[row], low, high, least], ANSWERS, width)
 
 
+#: Run, segment, the first and last offset, and the smallest document.
+ANSWERS = [RISING, HASHES, BYTES, BYTES, IDS]
 #: In place of the last offset: the answer is on one string of a split anchor.
 SPLIT = 255
 
@@ -460,16 +588,9 @@ class Answers:
     high: np.ndarray
     least: np.ndarray
 
-    def pack(self) -> bytes:
-        return np.int64(len(self.segment)).tobytes() + b"".join(x.tobytes() for x in (self.segment, self.low, self.high, self.least))
-
     @staticmethod
     def unpack(packed: list[bytes]) -> Answers:
-        parts = []
-        for p in packed:
-            n = int(np.frombuffer(p, np.int64, 1)[0])
-            parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((U, 0), (np.uint8, 8), (np.uint8, 9), (np.int64, 10))])
-        segment, low, high, least = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, k) for k in (U, np.uint8, np.uint8, np.int64))
+        segment, low, high, least = _gathered(packed, ANSWERS)[1:] if packed else (np.zeros(0, k) for k in (U, np.uint8, np.uint8, np.int64))
         order = np.argsort(segment, kind="stable")
         return Answers(segment[order], low[order], high[order], least[order])
 
@@ -507,6 +628,24 @@ def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: b
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
     types |= {"kept_sha256": pa.string()} if digest else {"kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
     out: dict[str, list] = {c: [] for c in types}
+
+    def put(id_: int, text: np.ndarray, covered: np.ndarray) -> None:
+        edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+        out["doc_id"].append(None if id_ == LAST else int(id_))
+        out["n_bytes"].append(len(text))
+        out["n_removed"].append(int(covered.sum()))
+        out["n_spans"].append(len(edges))
+        rest = text[~covered] if len(edges) else text
+        if digest:
+            out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
+        else:
+            out["kept"].append(rest.tobytes())
+            out["spans"].append([{"start": int(p), "end": int(q)} for p, q in edges])
+
+    table, copies = _set_apart(table)
+    for ids, data, offsets in _rows(copies):
+        for id_, x, y in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+            put(id_, data[x:y], np.full(y - x, y - x >= rules.length))
     for ids, data, offsets in _rows(table):
         change = np.zeros(len(data) + 1, np.int32)
         if len(answers.segment):
@@ -522,29 +661,68 @@ def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: b
             np.add.at(change, starts[use], 1)
             np.add.at(change, starts[use] + rules.length, -1)
         covered = np.cumsum(change[:-1]) > 0
-        for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            own = covered[x:y]
-            edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            out["doc_id"].append(None if ids[i] == LAST else int(ids[i]))
-            out["n_bytes"].append(y - x)
-            out["n_removed"].append(int(own.sum()))
-            out["n_spans"].append(len(edges))
-            rest = data[x:y][~own] if len(edges) else data[x:y]
-            if digest:
-                out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-            else:
-                out["kept"].append(rest.tobytes())
-                out["spans"].append([{"start": int(p), "end": int(q)} for p, q in edges])
+        for id_, x, y in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+            put(id_, data[x:y], covered[x:y])
     return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
 
-def _merged(entries: list[tuple[int, int, bytes]], rules: RepeatRules) -> list[tuple[int, int, bytes]]:
-    """The blocks for one target as one block."""
-    out = []
-    for target, own in groupby(sorted(entries, key=lambda e: e[1]), lambda e: e[1]):
-        own = list(own)
-        out.append((own[0][0], target, merge_blocks([Block.unpack(e[2]) for e in own], rules, texts=True)[0].pack() if len(own) > 1 else own[0][2]))
-    return out
+def _merged(packed: list[bytes], rules: RepeatRules, width: int) -> Entries:
+    """The blocks of several sources as one, for smaller groups of ranges."""
+    blocks = [Block.unpack(p) for p in packed]
+    return (merge_blocks(blocks, rules, texts=True)[0] if len(blocks) > 1 else blocks[0]).parted(width)
+
+
+# Exchange
+
+#: What a source, or a group of them, has for a group of targets.
+PARCEL = "key int, source int, payload binary"
+
+
+def _parcels(source: int, entries: Entries) -> pa.Table:
+    keys, payloads = zip(*entries) if entries else ((), ())
+    return pa.table({"key": pa.array(keys, pa.int32()), "source": pa.array([source] * len(keys), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
+def _opened(parcels: pa.Table) -> tuple[list[int], list[bytes]]:
+    return parcels.column("source").to_pylist(), parcels.column("payload").to_pylist()
+
+
+def even_fan(parts: int, most: int) -> int:
+    """The least fan with which parts are reached in as few steps as with the most."""
+    steps, fan = len(widths(parts, most)), 1
+    while fan**steps < parts:
+        fan += 1
+    return max(fan, 2)
+
+
+def _sent_on(sent: DataFrame, parts: int, fan: int, join: Callable[[list[bytes], int], Entries]) -> DataFrame:
+    """Parcels for single targets from those for groups of them."""
+
+    def step(width: int) -> Callable[[pa.Table], pa.Table]:
+        def regroup(parcels: pa.Table) -> pa.Table:
+            T.release()
+            sources, packed = _opened(parcels)
+            return _parcels(sources[0] // fan, join([p for _, p in sorted(zip(sources, packed))], width))
+
+        return regroup
+
+    for width in widths(parts, fan)[1:]:
+        sent = sent.groupBy("key", F.floor(F.col("source") / fan)).applyInArrow(step(width), PARCEL)
+    return sent
+
+
+def _dealt(texts: DataFrame, rules: RepeatRules) -> tuple[DataFrame, int]:
+    """Texts with their run, and the number of runs.  Equal texts go to one run, or to one for each quarter of a run that they fill."""
+    most = rules.run_bytes // 4
+    size = F.octet_length("text").cast("long")
+    same = texts.groupBy(F.xxhash64("text").alias("same")).agg(F.sum(size).alias("size"), F.sum(size + 64).alias("weight"))
+    total, heavy = same.agg(F.coalesce(F.sum("size"), F.lit(0)), F.collect_list(F.when(F.col("weight") > most, F.struct("same", F.ceil(F.col("weight") / most).alias("parts"))))).first()
+    runs = max(1, -(-total // rules.run_bytes))
+    texts = texts.withColumn("same", F.xxhash64("text"))
+    if heavy:
+        parts = texts.sparkSession.createDataFrame([tuple(x) for x in heavy], "same long, parts long")
+        texts = texts.join(F.broadcast(parts), "same", "left").withColumn("same", F.when(F.col("parts").isNull(), F.col("same")).otherwise(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), "parts"))))
+    return texts.select("doc_id", "text", F.pmod("same", F.lit(runs)).cast("int").alias("run")), runs
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest: bool = False) -> DataFrame:
@@ -560,36 +738,32 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), digest:
     Strings are compared byte by byte in the merge; equal segments within a run are joined by a 64-bit hash of theirs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    runs = max(1, -(-total // rules.run_bytes))
-    first = widths(runs, rules.fan)[0]
-    texts = texts.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(runs)).cast("int"))
-    plain = lambda entries: entries
-    run_of = lambda t: t.column("run")[0].as_py()
-    key_of = lambda t: t.column("key")[0].as_py()
-    of = lambda source, entries: [(source, target, x) for target, x in entries]
+    texts, runs = _dealt(texts, rules)
+    fan = even_fan(runs, rules.fan)
+    first = widths(runs, fan)[0]
+    number = lambda t, name: t.column(name)[0].as_py()
 
     def fingerprints(t: pa.Table) -> pa.Table:
-        return bundled(run_of(t), of(run_of(t), _fingerprints(t, runs, rules)), first)
+        return _parcels(number(t, "run"), _fingerprints(t, runs, rules, first))
 
     def repeated(t: pa.Table) -> pa.Table:
-        entries = entries_of(t)
-        return bundled(key_of(t), of(key_of(t), _repeated([e[0] for e in entries], [e[2] for e in entries], rules)), first)
+        return _parcels(number(t, "key"), _repeated(*_opened(t), rules, first))
 
     def suffixes(t: pa.Table, r: pa.Table) -> pa.Table:
-        entries = entries_of(r)
-        run = run_of(t) if t.num_rows else 0
-        return bundled(run, of(run, _suffix_runs(t, [e[0] for e in entries], [e[2] for e in entries], runs, rules)), first)
+        return _parcels(number(t, "run") if t.num_rows else 0, _suffix_runs(t, *_opened(r), runs, rules, first))
 
     def owners(t: pa.Table) -> pa.Table:
-        return bundled(key_of(t), of(key_of(t), _smallest_owners([e[2] for e in entries_of(t)], rules)), first)
+        return _parcels(number(t, "key"), _smallest_owners(_opened(t)[1], rules, first))
+
+    def regrouped(kinds: list[Kind]) -> Callable[[list[bytes], int], Entries]:
+        return lambda packed, width: _regrouped(packed, kinds, width)
 
-    prints = exchanged(texts.groupBy("run").applyInArrow(fingerprints, BUNDLE), runs, rules.fan, plain)
-    known = exchanged(prints.groupBy("key").applyInArrow(repeated, BUNDLE), runs, rules.fan, plain)
-    coded = exchanged(texts.groupBy("run").cogroup(known.groupBy("key")).applyInArrow(suffixes, BUNDLE), runs, rules.fan, lambda e: _merged(e, rules))
-    answers = exchanged(coded.groupBy("key").applyInArrow(owners, BUNDLE), runs, rules.fan, plain)
+    prints = _sent_on(texts.groupBy("run").applyInArrow(fingerprints, PARCEL), runs, fan, regrouped(PRINTS))
+    known = _sent_on(prints.groupBy("key").applyInArrow(repeated, PARCEL), runs, fan, regrouped(REPLIES))
+    coded = _sent_on(texts.groupBy("run").cogroup(known.groupBy("key")).applyInArrow(suffixes, PARCEL), runs, fan, lambda packed, width: _merged(packed, rules, width))
+    answers = _sent_on(coded.groupBy("key").applyInArrow(owners, PARCEL), runs, fan, regrouped(ANSWERS))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:int,end:int>>")
-    return texts.groupBy("run").cogroup(answers.groupBy("key")).applyInArrow(lambda t, a: _removed(t, [e[2] for e in entries_of(a)], rules, digest), schema)
+    return texts.groupBy("run").cogroup(answers.groupBy("key")).applyInArrow(lambda t, a: _removed(t, _opened(a)[1], rules, digest), schema)
 
 
 REPEAT_SQL = r"""
