@@ -50,7 +50,8 @@ class RepeatRules:
     run_bytes: int = 4 << 20
     #: Into so many groups of ranges at most a run sends its rows, and so many runs at most are merged at once.
     fan: int = 512
-    #: An anchor with more distinct surroundings than this, counted to a power of two in each run, is split by its strings.
+    #: An anchor with more distinct surroundings than this, counted to a power of two in each run, is split by its strings, and
+    #: so are those that are counted together with it.
     hot: int = 100_000
 
     @property
@@ -177,8 +178,8 @@ def _least_most(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[
 # Packed columns
 
 ZSTD = pa.Codec("zstd")
-#: Kinds of columns: of bytes; of bits; of numbers that are stored as they are, byte by byte, or as differences byte by byte.
-BYTES, BITS, HASHES, IDS, NUMBERS, RISING, VALUES = ("u1", "bytes"), ("u1", "bits"), ("<u8", "whole"), ("<i8", "planes"), ("<i4", "planes"), ("<i4", "steps"), ("<u4", "steps")
+#: Kinds of columns: of bytes, of bits, and of numbers that are stored byte by byte, or as differences byte by byte.
+BYTES, BITS, HASHES, IDS, NUMBERS, RISING, VALUES = ("u1", "bytes"), ("u1", "bits"), ("<u8", "planes"), ("<i8", "planes"), ("<i4", "planes"), ("<i4", "steps"), ("<u4", "steps")
 Kind = tuple[str, str]
 
 
@@ -199,29 +200,26 @@ def pack(columns: list[np.ndarray], kinds: list[Kind]) -> bytes:
         elif how == "steps":
             x = np.diff(x, prepend=x.dtype.type(0))
         lengths.append(len(x))
-        planes += [x.tobytes()] if how == "whole" else [_squeezed(p.tobytes()) for p in x.view(np.uint8).reshape(len(x), x.itemsize).T] if len(x) else [b""] * x.itemsize
+        planes += [_squeezed(p.tobytes()) for p in x.view(np.uint8).reshape(len(x), x.itemsize).T] if len(x) else [b""] * x.itemsize
     return np.array(lengths + [len(p) for p in planes], np.int32).tobytes() + b"".join(planes)
 
 
 def unpack(packed: bytes, kinds: list[Kind]) -> list[np.ndarray]:
-    counts = [1 if how == "whole" else np.dtype(kind).itemsize for kind, how in kinds]
+    counts = [np.dtype(kind).itemsize for kind, _ in kinds]
     head = np.frombuffer(packed, np.int32, len(kinds) + sum(counts)).tolist()
     sizes, at, out = iter(head[len(kinds) :]), 4 * len(head), []
     for (kind, how), n, count in zip(kinds, head, counts):
         planes = np.empty((count, n), np.uint8)
         for k in range(count):
             size = next(sizes)
-            if how == "whole":
-                x = np.frombuffer(packed, kind, n, at)
-            elif size == n:
+            if size == n:
                 planes[k] = np.frombuffer(packed, np.uint8, n, at)
             elif size == 1:
                 planes[k] = packed[at]
             else:
                 planes[k] = np.frombuffer(ZSTD.decompress(packed[at : at + size], n), np.uint8)
             at += size
-        if how != "whole":
-            x = planes[0] if count == 1 else np.ascontiguousarray(planes.T).view(kind).ravel()
+        x = planes[0] if count == 1 else np.ascontiguousarray(planes.T).view(kind).ravel()
         if how == "steps":
             x = np.cumsum(x, dtype=x.dtype)
         elif how == "bits":
@@ -252,35 +250,36 @@ def _regrouped(packed: list[bytes], kinds: list[Kind], width: int) -> Entries:
 #: A range has but so many fingerprints, so of each only so many bits are sent.  Two that agree in these by chance count as
 #: one: that sends suffixes in vain and changes no result.
 SENT = 26
-#: Range, run, fingerprint, and if several documents have it; or a fingerprint of an anchor, with its number of segments.
+#: Anchors of a range are counted in so many parts by their own fingerprints; all of a part are split where one of them is hot.
+COUNTED = 6
+#: Range, run, fingerprint, and if several documents have it; or a part of the anchors, with its number of segments.
 PRINTS = [RISING, RISING, VALUES, BYTES]
-#: Run, and if several have the fingerprint, or if the anchor is to be split.
+#: Run, and if several have the fingerprint, or if anchors of the part are to be split.
 REPLIES = [RISING, BITS]
 
 
 def _keyed(prints: np.ndarray, ranges: int, anchors: bool = False) -> np.ndarray:
-    """A range, if it is of an anchor, and the sent part of a fingerprint, in one number."""
-    return _range_of(prints >> U(1), ranges).astype(U) << U(SENT + 1) | U(int(anchors) << SENT) | prints >> U(1) & U(2**SENT - 1)
+    """A range, if it is a part of the anchors, and the sent bits of a fingerprint, in one number."""
+    return _range_of(prints >> U(1), ranges).astype(U) << U(SENT + 1) | U(int(anchors) << SENT) | prints >> U(1) & U(2 ** (COUNTED if anchors else SENT) - 1)
 
 
-def _prints(found: list[Anchors], owners: list[np.ndarray], ranges: int, rules: RepeatRules) -> tuple[np.ndarray, np.ndarray]:
+def _prints(found: list[Anchors], owners: list[np.ndarray], ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """What a run sends: sorted keys of fingerprints, and a byte for each: one bit for several documents, above the number of
-    bits of how many segments an anchor has.  Anchors are sent only where they may have more than ``hot`` in all runs."""
+    bits of how many segments a part of the anchors has.  Each run sends all parts that it has, so that all learn which to split."""
     ids = np.concatenate(owners)
     ahead, behind, anchors, segments = (np.concatenate([getattr(a, x) for a in found]) for x in ("ahead", "behind", "fingerprint", "segment"))
     keys = np.concatenate([_keyed(x[x > 0], ranges) for x in (ahead, behind)])
     if not len(keys):
         return np.zeros(0, U), np.zeros(0, np.uint8)
     one, least, most = _least_most(keys, *[np.concatenate([ids[ahead > 0], ids[behind > 0]])] * 2)
+    anchors = _keyed(anchors << U(1), ranges, anchors=True)
     order = np.lexsort([segments, anchors])
     anchors, segments = anchors[order], segments[order]
     changed = np.concatenate([[True], anchors[1:] != anchors[:-1]])
     new = np.flatnonzero(changed)
     distinct = np.add.reduceat((changed | np.concatenate([[True], segments[1:] != segments[:-1]])).astype(np.int64), new)
-    many = distinct >= max(1, rules.hot // (2 * ranges))
-    hot, first = np.unique(_keyed(anchors[new][many] << U(1), ranges, anchors=True), return_index=True)
-    count = np.log2(distinct[many][first]).astype(np.uint8).clip(max=30) + np.uint8(1)
-    keys, flags = np.concatenate([keys[one], hot]), np.concatenate([(least != most).astype(np.uint8), count << np.uint8(1)])
+    count = np.log2(distinct).astype(np.uint8).clip(max=30) + np.uint8(1)
+    keys, flags = np.concatenate([keys[one], anchors[new]]), np.concatenate([(least != most).astype(np.uint8), count << np.uint8(1)])
     order = np.argsort(keys)
     return keys[order], flags[order]
 
@@ -295,10 +294,15 @@ def _anchored(table: pa.Table, rules: RepeatRules) -> tuple[list[Anchors], list[
     return found, owners, texts
 
 
+def _numbered(found: list[Anchors]) -> np.ndarray:
+    """The segments of a run, sorted; by their place among these, which is the same in whatever order rows come, runs and ranges speak of them."""
+    return np.unique(np.concatenate([a.segment for a in found]))
+
+
 def _fingerprints(table: pa.Table, ranges: int, rules: RepeatRules, width: int = 1) -> Entries:
     """For each group of ranges, the run's fingerprints."""
     found, owners, _ = _anchored(_set_apart(table)[0], rules)
-    keys, flags = _prints(found, owners, ranges, rules)
+    keys, flags = _prints(found, owners, ranges)
     run = np.full(len(keys), table.column("run")[0].as_py(), np.int32)
     return _parted([(keys >> U(SENT + 1)).astype(np.int32), run, (keys & U(2 ** (SENT + 1) - 1)).astype(np.uint32), flags], PRINTS, width)
 
@@ -355,8 +359,8 @@ SUFFIXES = [RISING, BYTES, BYTES, BYTES, BYTES, BYTES, IDS, BYTES, HASHES, NUMBE
 @dataclass
 class Block:
     """Suffixes sorted by range and bytes, front-coded: ``shared`` with the one before in the range and the ``rest``; and of
-    each what stands before its anchor, the smallest document and whether there are several, a hash, its run, and whether it is
-    one of a split anchor."""
+    each what stands before its anchor, the smallest document and whether there are several, its segment's number in the run,
+    its run, and whether it is one of a split anchor, which has a hash in place of the number."""
 
     part: np.ndarray
     shared: np.ndarray
@@ -404,7 +408,7 @@ def _suffix_runs(table: pa.Table, sources: list[int], packed: list[bytes], range
     if not packed or not table.num_rows:
         return []
     found, owners, texts = _anchored(_set_apart(table)[0], rules)
-    keys, _ = _prints(found, owners, ranges, rules)
+    keys, _ = _prints(found, owners, ranges)
     _, replies = _gathered([p for _, p in sorted(zip(sources, packed))], REPLIES)
     if len(replies) != len(keys):
         raise ValueError("texts of a run differ from those of its fingerprints")
@@ -440,6 +444,7 @@ def _suffix_runs(table: pa.Table, sources: list[int], packed: list[bytes], range
     order = np.lexsort([*_sort_keys(lefts[one]), left[one], right[one], *_sort_keys(rights[one]), part])
     least, several, part, one = least[order], (least != most)[order].astype(np.uint8), part[order], one[order]
     segment, right, left, split, rights, lefts = segment[one], right[one], left[one], split[one], rights[one], lefts[one]
+    segment = np.where(split == 1, segment, np.searchsorted(_numbered(found), segment).astype(U))
     shared = _common(rights, right).astype(np.uint8)
     shared[np.flatnonzero(np.diff(part, prepend=-1))] = 0
     run = np.full(len(part), table.column("run")[0].as_py(), np.int32)
@@ -575,7 +580,7 @@ def _smallest_owners(packed: list[bytes], rules: RepeatRules, width: int = 1) ->
     return _parted([b.run[row], b.segment[row], low, high, least], ANSWERS, width)
 
 
-#: Run, segment, the first and last offset, and the smallest document.
+#: Run, number or hash of a segment, the first and last offset, and the smallest document.
 ANSWERS = [RISING, HASHES, BYTES, BYTES, IDS]
 #: In place of the last offset: the answer is on one string of a split anchor.
 SPLIT = 255
@@ -646,11 +651,14 @@ def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: b
     for ids, data, offsets in _rows(copies):
         for id_, x, y in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
             put(id_, data[x:y], np.full(y - x, y - x >= rules.length))
+    if len(answers.segment):
+        found, *_ = _anchored(table, rules)
+        numbered, anchors = _numbered(found), iter(found)
     for ids, data, offsets in _rows(table):
         change = np.zeros(len(data) + 1, np.int32)
         if len(answers.segment):
-            a = find_anchors(data, offsets, rules)
-            which, answer = answers.look_up(a.segment)
+            a = next(anchors)
+            which, answer = answers.look_up(np.searchsorted(numbered, a.segment).astype(U))
             use = answers.least[answer] < ids[a.row[which]]
             which, answer = which[use], answer[use]
             np.add.at(change, a.at[which] - answers.high[answer], 1)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from maskwork.llm import suffix_dedup as S
+from maskwork.llm import textbatch as T
 from tests.llm.test_suffix_dedup import brute_force
 
 
@@ -57,6 +58,18 @@ def test_suffixes_are_packed():
     assert got == brute_force(rows + copies, 50) and suffixes < 1.8 * sum(len(t) for _, t in rows + copies)
 
 
+def test_an_anchor_is_split_in_all_runs():
+    """Most of its surroundings are in one run; the other has few of them, and must split it all the same."""
+    rng, rules = random.Random(7), S.RepeatRules(hot=20)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    some = [text(16) for _ in range(20_000)]
+    anchor = some[int(np.argmin(T.Hasher(np.frombuffer("".join(some).encode(), np.uint8)).windows(16)[::16]))]
+    rows = [(i, text(60) + anchor + text(60)) for i in range(80)]
+    others = [(100 + i, text(9) + rows[i][1][26:110] + text(9)) for i in range(2)]
+    *_, got = sent([a_run(rows, 0), a_run(others, 1)], rules)
+    assert got == brute_force(rows + others, 50)
+
+
 def test_packed_columns():
     rng = np.random.default_rng(1)
     kinds = [S.RISING, S.BITS, S.BYTES, S.HASHES, S.IDS, S.NUMBERS, S.VALUES]
