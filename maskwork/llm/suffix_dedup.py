@@ -96,9 +96,10 @@ class Anchors:
         return Anchors(at, at, at, np.repeat(self.row, n), whole >> U(1), T.mix(whole), none, none)
 
 
-def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> Anchors:
+def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules, halves: bool = True) -> Anchors:
     """Anchors of all rows, the same for a row wherever it stands: each step has the anchors that lie in it, and reads as
-    far before it as their strings may begin, so a border never cuts a segment in two."""
+    far before it as their strings may begin, so a border never cuts a segment in two.  Without ``halves`` there are no hashes of
+    what is ahead and behind."""
     n, size = len(data), rules.length
     parts = []
     ends = np.repeat(offsets[1:], np.diff(offsets))  # of the row that each byte is in
@@ -124,10 +125,12 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> A
         first, last, at = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1], at[new]
         segment = T.mix(hasher(first, last + size) + (at - first).astype(U))
         ahead, behind = np.zeros(len(at), U), np.zeros(len(at), U)
-        own = np.flatnonzero(last + rules.half >= at)
-        ahead[own] = hasher(at[own], at[own] + size - rules.half) | U(1)
-        own = np.flatnonzero(first + rules.half < at)
-        behind[own] = hasher(at[own] - rules.half - 1, at[own] + rules.seed) | U(1)
+        own = np.flatnonzero(last + rules.half >= at) if halves else []
+        if len(own):
+            ahead[own] = hasher(at[own], at[own] + size - rules.half) | U(1)
+        own = np.flatnonzero(first + rules.half < at) if halves else []
+        if len(own):
+            behind[own] = hasher(at[own] - rules.half - 1, at[own] + rules.seed) | U(1)
         parts.append((at + begin, first + begin, last + begin, T.mix(seeds[at]) >> U(1), segment, ahead, behind))  # mixed again: anchors have small hashes
     if not parts:
         none = np.zeros(0, np.int64)
@@ -284,11 +287,11 @@ def _prints(found: list[Anchors], owners: list[np.ndarray], ranges: int) -> tupl
     return keys[order], flags[order]
 
 
-def _anchored(table: pa.Table, rules: RepeatRules) -> tuple[list[Anchors], list[np.ndarray], list[np.ndarray]]:
+def _anchored(table: pa.Table, rules: RepeatRules, halves: bool = True) -> tuple[list[Anchors], list[np.ndarray], list[np.ndarray]]:
     """Anchors of each piece of a run, the ids of the documents they are in, and the piece's bytes."""
     found, owners, texts = [], [], []
     for ids, data, offsets in _rows(table):
-        found.append(find_anchors(data, offsets, rules))
+        found.append(find_anchors(data, offsets, rules, halves))
         owners.append(ids[found[-1].row])
         texts.append(data)
     return found, owners, texts
@@ -652,13 +655,13 @@ def _removed(table: pa.Table, packed: list[bytes], rules: RepeatRules, digest: b
         for id_, x, y in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
             put(id_, data[x:y], np.full(y - x, y - x >= rules.length))
     if len(answers.segment):
-        found, *_ = _anchored(table, rules)
-        numbered, anchors = _numbered(found), iter(found)
+        found, *_ = _anchored(table, rules, halves=False)
+        answers.segment, anchors = _numbered(found)[answers.segment.astype(np.int64)], iter(found)  # rising, as the numbers are
     for ids, data, offsets in _rows(table):
         change = np.zeros(len(data) + 1, np.int32)
         if len(answers.segment):
             a = next(anchors)
-            which, answer = answers.look_up(np.searchsorted(numbered, a.segment).astype(U))
+            which, answer = answers.look_up(a.segment)
             use = answers.least[answer] < ids[a.row[which]]
             which, answer = which[use], answer[use]
             np.add.at(change, a.at[which] - answers.high[answer], 1)
